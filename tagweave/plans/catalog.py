@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagweave.plans import evaluation
+from tagweave.plans import evaluation, preference
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_stage_counts": evaluation.parse_stage_counts,
@@ -15,4 +15,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "file_metrics_exact": evaluation.file_metrics_exact,
     "overall_macro": evaluation.overall_macro,
     "failed_cases": evaluation.failed_cases,
+    "normalise_tags": preference.normalise_tags,
+    "tag_variant_map": preference.tag_variant_map,
+    "tag_freq": preference.tag_freq,
+    "rare_filter_kept": preference.rare_filter_kept,
+    "rare_filter_reasons": preference.rare_filter_reasons,
+    "rare_filter_stats": preference.rare_filter_stats,
 }

@@ -134,3 +134,61 @@ SELECT file_name, case_rank, doc_id, round(f1, 6) AS exact_match_f1,
        array_to_string(pred, '|') AS predicted, array_to_string(gold, '|') AS ground_truth,
        substr(truncated_input, 1, 300) || '...' AS input_preview
 FROM failed WHERE case_rank <= 5"""
+
+
+# --- cleaning and rare-tag filter -------------------------------------------
+
+
+def _norm(x: str) -> str:
+    """Tag normalisation in DuckDB regex (no look-behind): a space before every
+    capital, then trim, gives the same result as 'not at the start'."""
+    t = f"trim(replace({x}, '_', ' '))"
+    t = f"regexp_replace({t}, '([A-Z])', ' \\1', 'g')"
+    t = f"regexp_replace({t}, '\\s*-\\s*', '-', 'g')"
+    t = f"regexp_replace({t}, '\\s*/\\s*', '/', 'g')"
+    t = f"regexp_replace({t}, '\\s+', ' ', 'g')"
+    return f"trim({t})"
+
+
+# Responses of a generation record: 1 = the model output (parses leniently
+# only when it is a bare or fenced JSON list), 2 = the gold JSON list.
+RESP = f"""
+resp AS (
+  SELECT doc_id AS index, file_name, 1 AS response_id, 0 AS response_pos, pos, tag AS raw_tag,
+         {_norm('tag')} AS tag
+  FROM gen_pos WHERE doc_id % 5 IN (0, 1) AND doc_id % 23 <> 0
+  UNION ALL
+  SELECT doc_id, file_name, 2, 1, pos, tag, {_norm('tag')} FROM gold_pos)"""
+
+RARE = """
+freq AS (SELECT pos, tag, count(*) AS n FROM resp WHERE pos < 4 GROUP BY pos, tag),
+bad AS (
+  SELECT r.index, r.response_pos, r.pos, r.tag, f.n FROM resp r
+  JOIN freq f ON f.pos = r.pos AND f.tag IS NOT DISTINCT FROM r.tag
+  WHERE r.pos < 4 AND f.n < 2)"""
+
+PREF_BASE = _with(DOCS, GEN_POS, GOLD_POS, RESP, RARE)
+
+QUERIES["normalise_tags"] = _with(DOCS, GEN_POS, GOLD_POS, RESP) + """
+SELECT index, response_id, pos, raw_tag, tag FROM resp"""
+
+QUERIES["tag_variant_map"] = _with(DOCS, GEN_POS, GOLD_POS, RESP) + """
+SELECT raw_tag, tag, count(*) AS n FROM resp GROUP BY raw_tag, tag"""
+
+QUERIES["tag_freq"] = PREF_BASE + "SELECT pos, tag, n FROM freq"
+
+QUERIES["rare_filter_kept"] = PREF_BASE + """
+SELECT doc_id AS index, file_name FROM d WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.index = d.doc_id)"""
+
+QUERIES["rare_filter_reasons"] = PREF_BASE + """
+SELECT index, reason_rank, pos, tag, n FROM (
+  SELECT *, row_number() OVER (PARTITION BY index ORDER BY response_pos, pos) AS reason_rank FROM bad)
+WHERE reason_rank <= 3"""
+
+QUERIES["rare_filter_stats"] = PREF_BASE + """
+SELECT count(*) AS original_count,
+       count(*) FILTER (WHERE doc_id NOT IN (SELECT index FROM bad)) AS kept_count,
+       count(*) FILTER (WHERE doc_id IN (SELECT index FROM bad)) AS removed_count,
+       round(100.0 * count(*) FILTER (WHERE doc_id NOT IN (SELECT index FROM bad)) / count(*), 6)
+         AS retention_pct
+FROM d"""
