@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagweave.plans import evaluation, preference
+from tagweave.plans import evaluation, preference, reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_stage_counts": evaluation.parse_stage_counts,
@@ -21,4 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rare_filter_kept": preference.rare_filter_kept,
     "rare_filter_reasons": preference.rare_filter_reasons,
     "rare_filter_stats": preference.rare_filter_stats,
+    "tag_distribution": reports.tag_distribution,
+    "topic_top30": reports.topic_top30,
+    "generation_quality": reports.generation_quality,
+    "position_compare": reports.position_compare,
 }

@@ -192,3 +192,55 @@ SELECT count(*) AS original_count,
        round(100.0 * count(*) FILTER (WHERE doc_id NOT IN (SELECT index FROM bad)) / count(*), 6)
          AS retention_pct
 FROM d"""
+
+
+# --- reports ----------------------------------------------------------------
+
+SIDES = """
+sides AS (
+  SELECT file_name, 'gen' AS side, pos, tag FROM pred_pos
+  UNION ALL SELECT file_name, 'gold', pos, tag FROM gold_pos)"""
+
+QUERIES["tag_distribution"] = _with(DOCS, GEN_POS, GOLD_POS, PRED_POS, SIDES) + """,
+c AS (SELECT file_name, side, pos, tag, count(*) AS n FROM sides WHERE pos < 4 GROUP BY ALL)
+SELECT file_name, side, pos, tag, n,
+       sum(n) OVER (PARTITION BY file_name, side, pos) AS total,
+       count(*) OVER (PARTITION BY file_name, side, pos) AS n_distinct,
+       round(n * 100.0 / sum(n) OVER (PARTITION BY file_name, side, pos), 6) AS pct
+FROM c"""
+
+QUERIES["topic_top30"] = _with(DOCS, GEN_POS, PRED_POS) + """,
+c AS (SELECT file_name, tag, count(*) AS n FROM pred_pos WHERE pos >= 4 GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY file_name) AS total,
+             count(*) OVER (PARTITION BY file_name) AS n_distinct,
+             row_number() OVER (PARTITION BY file_name ORDER BY n DESC, tag) AS rank FROM c)
+SELECT file_name, rank, tag, n, total, n_distinct FROM r WHERE rank <= 30"""
+
+QUERIES["generation_quality"] = EVAL_BASE + """
+SELECT file_name, count(*) AS records, count(*) FILTER (WHERE len(pred) = 0) AS empty,
+       count(*) FILTER (WHERE len(pred) BETWEEN 1 AND 4) AS incomplete,
+       count(*) FILTER (WHERE len(pred) >= 5) AS complete,
+       round(count(*) FILTER (WHERE len(pred) >= 5) * 100.0 / count(*), 6) AS success_pct
+FROM lists GROUP BY file_name"""
+
+QUERIES["position_compare"] = EVAL_BASE + """,
+pairs AS (
+  SELECT l.doc_id, l.file_name, (len(l.pred) = 0 OR len(l.gold) = 0) AS skip, len(l.gold) AS ng,
+         p.pos, (p.tag IS NOT NULL AND g.tag IS NOT NULL AND trim(lower(p.tag)) = trim(lower(g.tag))) AS hit
+  FROM lists l
+  LEFT JOIN pred_pos p ON p.doc_id = l.doc_id AND p.pos < 5
+  LEFT JOIN gold_pos g ON g.doc_id = l.doc_id AND g.pos = p.pos),
+per_doc AS (
+  SELECT doc_id, file_name, any_value(skip) AS skip, any_value(ng) AS ng,
+         count(*) FILTER (WHERE hit) AS m,
+         bool_or(hit AND pos = 0) AS h0, bool_or(hit AND pos = 1) AS h1, bool_or(hit AND pos = 2) AS h2,
+         bool_or(hit AND pos = 3) AS h3, bool_or(hit AND pos = 4) AS h4
+  FROM pairs GROUP BY doc_id, file_name)
+SELECT file_name, count(*) AS total_samples,
+       count(*) FILTER (WHERE NOT skip AND m = ng) AS exact_matches,
+       count(*) FILTER (WHERE NOT skip AND m <> ng AND m > 0) AS partial_matches,
+       count(*) FILTER (WHERE NOT skip AND m <> ng AND m = 0) AS no_matches,
+       count(*) FILTER (WHERE NOT skip AND h0) AS match_pos0, count(*) FILTER (WHERE NOT skip AND h1) AS match_pos1,
+       count(*) FILTER (WHERE NOT skip AND h2) AS match_pos2, count(*) FILTER (WHERE NOT skip AND h3) AS match_pos3,
+       count(*) FILTER (WHERE NOT skip AND h4) AS match_pos4
+FROM per_doc GROUP BY file_name"""
