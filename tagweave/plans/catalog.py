@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagweave.plans import evaluation, preference, reports
+from tagweave.plans import evaluation, judging, preference, reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_stage_counts": evaluation.parse_stage_counts,
@@ -25,4 +25,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topic_top30": reports.topic_top30,
     "generation_quality": reports.generation_quality,
     "position_compare": reports.position_compare,
+    "judge_outcomes": judging.judge_outcomes,
+    "judge_kept_scores": judging.judge_kept_scores,
+    "judge_averages": judging.judge_averages,
+    "export_dpo": judging.export_dpo,
+    "export_weighted": judging.export_weighted,
+    "export_ppo": judging.export_ppo,
+    "weighted_loss": judging.weighted_loss,
+    "rule_judge_outcomes": judging.rule_judge_outcomes,
 }

@@ -244,3 +244,91 @@ SELECT file_name, count(*) AS total_samples,
        count(*) FILTER (WHERE NOT skip AND h2) AS match_pos2, count(*) FILTER (WHERE NOT skip AND h3) AS match_pos3,
        count(*) FILTER (WHERE NOT skip AND h4) AS match_pos4
 FROM per_doc GROUP BY file_name"""
+
+
+# --- judging and exports ----------------------------------------------------
+
+PAIRS = """
+numbered AS (
+  SELECT conv_id, turn, role, text,
+         row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS rn
+  FROM conversations WHERE role IN ('user', 'assistant')),
+pairs0 AS (
+  SELECT conv_id AS id,
+         max(text) FILTER (WHERE role = 'user' AND rn = 1) AS prompt,
+         max(text) FILTER (WHERE role = 'assistant' AND rn = 1) AS response1,
+         max(text) FILTER (WHERE role = 'assistant' AND rn = 2) AS response2
+  FROM numbered GROUP BY conv_id),
+pairs AS (SELECT * FROM pairs0 WHERE prompt IS NOT NULL AND response1 IS NOT NULL)"""
+
+JUDGED = """
+j AS (
+  SELECT *, CASE WHEN id % 19 = 0 THEN 0 WHEN length(response1) >= length(response2) THEN 1 ELSE 2 END AS chosen,
+         CAST(length(response1) % 11 AS DOUBLE) AS q1, CAST(length(response2) % 11 AS DOUBLE) AS q2,
+         CAST(id % 6 + 3 AS DOUBLE) AS d1, CAST(id % 4 + 4 AS DOUBLE) AS d2,
+         CAST(10 - id % 5 AS DOUBLE) AS p1, CAST(10 - id % 3 AS DOUBLE) AS p2
+  FROM pairs WHERE response2 IS NOT NULL)"""
+
+ORIENTED = """
+o AS (
+  SELECT id, prompt, chosen,
+    CASE chosen WHEN 1 THEN response1 WHEN 2 THEN response2 END AS chosen_text,
+    CASE chosen WHEN 1 THEN response2 WHEN 2 THEN response1 END AS rejected_text,
+    CASE chosen WHEN 1 THEN q1 WHEN 2 THEN q2 END AS qc, CASE chosen WHEN 1 THEN q2 WHEN 2 THEN q1 END AS qr,
+    CASE chosen WHEN 1 THEN d1 WHEN 2 THEN d2 END AS dc, CASE chosen WHEN 1 THEN d2 WHEN 2 THEN d1 END AS dr,
+    CASE chosen WHEN 1 THEN p1 WHEN 2 THEN p2 END AS pc, CASE chosen WHEN 1 THEN p2 WHEN 2 THEN p1 END AS pr
+  FROM j),
+oc AS (
+  SELECT *, abs(dc - dr) AS gap,
+    CASE WHEN chosen IS NULL OR chosen NOT IN (1, 2) THEN 'failed'
+         WHEN abs(dc - dr) < 2.0 THEN 'low_diversity'
+         WHEN pc < 7.0 OR pr < 7.0 THEN 'low_privacy' ELSE 'kept' END AS outcome
+  FROM o),
+kept AS (SELECT * FROM oc WHERE outcome = 'kept')"""
+
+JUDGE_BASE = _with(PAIRS, JUDGED, ORIENTED)
+
+QUERIES["judge_outcomes"] = JUDGE_BASE + "SELECT outcome, count(*) AS n FROM oc GROUP BY outcome"
+
+QUERIES["judge_kept_scores"] = JUDGE_BASE + """
+SELECT id AS index, qc AS quality_chosen, qr AS quality_rejected, dc AS diversity_chosen,
+       dr AS diversity_rejected, gap AS diversity_gap, pc AS privacy_chosen, pr AS privacy_rejected FROM kept"""
+
+QUERIES["judge_averages"] = JUDGE_BASE + """
+SELECT count(*) AS kept, round(avg(gap), 6) AS avg_diversity_gap, round(avg(pc), 6) AS avg_privacy_chosen,
+       round(avg(pr), 6) AS avg_privacy_rejected FROM kept"""
+
+QUERIES["export_dpo"] = JUDGE_BASE + """
+SELECT prompt, chosen_text AS chosen, rejected_text AS rejected FROM kept"""
+
+QUERIES["export_weighted"] = JUDGE_BASE + """
+SELECT prompt, chosen_text AS chosen, rejected_text AS rejected,
+       round(0.6 * gap / 10.0 + 0.4 * abs(pc - pr) / 10.0, 6) AS weight,
+       round(gap / 10.0, 6) AS diversity_weight, round(abs(pc - pr) / 10.0, 6) AS privacy_weight FROM kept"""
+
+QUERIES["export_ppo"] = JUDGE_BASE + """
+SELECT prompt AS query, chosen_text AS response, round(qc * dc * pc / 1000.0, 6) AS reward FROM kept"""
+
+QUERIES["weighted_loss"] = JUDGE_BASE + """,
+l AS (SELECT ln(1 + exp(-(qc - qr) / 10.0)) AS loss, 0.6 * gap / 10.0 + 0.4 * abs(pc - pr) / 10.0 AS weight
+      FROM kept)
+SELECT count(*) AS n, round(avg(loss * weight), 6) AS mean_weighted_loss,
+       round(avg(loss) * avg(weight), 6) AS loss_times_mean_weight FROM l"""
+
+_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+_PHONE = r"\d{3}[-. ]\d{3}[-. ]\d{4}"
+
+
+def _rule(t: str, s: str) -> str:
+    w = f"regexp_extract_all(lower({t}), '\\S+')"
+    return (f"least(10.0, CAST(floor(length({t}) / 50) AS DOUBLE)) AS q{s}, "
+            f"CASE WHEN len({w}) > 0 THEN 10.0 * len(list_distinct({w})) / len({w}) ELSE 0.0 END AS d{s}, "
+            f"CAST(greatest(0, 10 - 3 * (len(regexp_extract_all({t}, '{_EMAIL}')) "
+            f"+ len(regexp_extract_all({t}, '{_PHONE}')))) AS DOUBLE) AS p{s}")
+
+
+QUERIES["rule_judge_outcomes"] = _with(PAIRS) + f""",
+s AS (SELECT id, prompt, response1, response2, {_rule('response1', '1')}, {_rule('response2', '2')}
+      FROM pairs WHERE response2 IS NOT NULL),
+j AS (SELECT *, CASE WHEN q1 + d1 + p1 >= q2 + d2 + p2 THEN 1 ELSE 2 END AS chosen FROM s),""" + ORIENTED + """
+SELECT outcome, count(*) AS n, round(avg(gap), 6) AS avg_gap FROM oc GROUP BY outcome"""
