@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagweave.plans import evaluation, judging, preference, reports
+from tagweave.plans import evaluation, judging, preference, reports, semantic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_stage_counts": evaluation.parse_stage_counts,
@@ -33,4 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "export_ppo": judging.export_ppo,
     "weighted_loss": judging.weighted_loss,
     "rule_judge_outcomes": judging.rule_judge_outcomes,
+    "semantic_by_record": semantic.semantic_by_record,
+    "semantic_best_match": semantic.semantic_best_match,
+    "semantic_file_metrics": semantic.semantic_file_metrics,
 }

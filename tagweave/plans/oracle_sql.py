@@ -332,3 +332,75 @@ s AS (SELECT id, prompt, response1, response2, {_rule('response1', '1')}, {_rule
       FROM pairs WHERE response2 IS NOT NULL),
 j AS (SELECT *, CASE WHEN q1 + d1 + p1 >= q2 + d2 + p2 THEN 1 ELSE 2 END AS chosen FROM s),""" + ORIENTED + """
 SELECT outcome, count(*) AS n, round(avg(gap), 6) AS avg_gap FROM oc GROUP BY outcome"""
+
+
+# --- semantic metrics over embedding-derived records ------------------------
+
+VEC = """
+vt AS (
+  SELECT vec_id // 8 AS rec_id, 'part' || CAST(vec_id // 96 AS VARCHAR) AS file_name,
+         'v' || CAST(vec_id AS VARCHAR) AS tag, vec_id, s.side,
+         list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v
+  FROM embeddings CROSS JOIN (VALUES ('gold'), ('pred')) s(side)
+  WHERE (s.side = 'gold' AND label < 6) OR (s.side = 'pred' AND label >= 4)),
+recs AS (
+  SELECT rec_id, any_value(file_name) AS file_name,
+         count(*) FILTER (WHERE side = 'gold') AS ng, count(*) FILTER (WHERE side = 'pred') AS np
+  FROM vt GROUP BY rec_id),
+sims AS (
+  SELECT g.rec_id, g.vec_id AS gid, g.tag AS gtag, p.vec_id AS pid, p.tag AS ptag,
+         list_dot_product(g.v, p.v) / (sqrt(list_dot_product(g.v, g.v)) * sqrt(list_dot_product(p.v, p.v))) AS sim
+  FROM vt g JOIN vt p ON g.rec_id = p.rec_id AND g.side = 'gold' AND p.side = 'pred'),
+hits AS (
+  SELECT r.rec_id, r.file_name, r.ng, r.np,
+    (SELECT count(DISTINCT gid) FROM sims s WHERE s.rec_id = r.rec_id AND s.sim > 0.8) AS gh,
+    (SELECT count(DISTINCT pid) FROM sims s WHERE s.rec_id = r.rec_id AND s.sim > 0.8) AS ph,
+    (SELECT count(DISTINCT gid) FROM sims s WHERE s.rec_id = r.rec_id AND s.sim >= 0.8) AS gh2,
+    (SELECT count(DISTINCT pid) FROM sims s WHERE s.rec_id = r.rec_id AND s.sim >= 0.8) AS ph2,
+    (SELECT count(*) FROM sims s WHERE s.rec_id = r.rec_id AND s.gid = s.pid) AS inter
+  FROM recs r),
+m0 AS (
+  SELECT *,
+    CASE WHEN ng = 0 AND np = 0 THEN 1.0 WHEN ng = 0 OR np = 0 THEN 0.0 ELSE inter / np END AS ep,
+    CASE WHEN ng = 0 AND np = 0 THEN 1.0 WHEN ng = 0 OR np = 0 THEN 0.0 ELSE inter / ng END AS er,
+    CASE WHEN ng = 0 OR np = 0 THEN 0.0 ELSE gh / ng END AS sr,
+    CASE WHEN ng = 0 OR np = 0 THEN 0.0 ELSE ph / np END AS sp,
+    CASE WHEN ng = 0 AND np = 0 THEN 1.0 WHEN ng = 0 OR np = 0 THEN 0.0 ELSE gh / ng END AS sa,
+    CASE WHEN ng = 0 OR np = 0 THEN 0.0 ELSE gh2 / ng END AS sr2,
+    CASE WHEN ng = 0 OR np = 0 THEN 0.0 ELSE ph2 / np END AS sp2
+  FROM hits),
+m AS (
+  SELECT *,
+    CASE WHEN ng = 0 AND np = 0 THEN 1.0 WHEN ng = 0 OR np = 0 THEN 0.0
+         WHEN ep + er > 0 THEN 2 * ep * er / (ep + er) ELSE 0.0 END AS ef,
+    CASE WHEN sp + sr > 0 THEN 2 * sp * sr / (sp + sr) ELSE 0.0 END AS sf,
+    CASE WHEN ng = 0 AND np = 0 THEN 1.0 WHEN ng = 0 OR np = 0 THEN 0.0
+         WHEN sp2 + sr2 > 0 THEN 2 * sp2 * sr2 / (sp2 + sr2) ELSE 0.0 END AS sft
+  FROM m0)"""
+
+QUERIES["semantic_by_record"] = _with(VEC) + """
+SELECT rec_id, file_name, ng AS n_gold, np AS n_pred, round(ef, 6) AS exact_match_f1,
+       round(sa, 6) AS semantic_accuracy, round(sf, 6) AS semantic_f1, round(sp, 6) AS semantic_precision,
+       round(sr, 6) AS semantic_recall, round(sft, 6) AS sft_semantic_f1 FROM m"""
+
+QUERIES["semantic_best_match"] = _with(VEC) + """,
+ranked AS (
+  SELECT rec_id, gid, gtag, ptag, sim,
+         row_number() OVER (PARTITION BY rec_id, gid ORDER BY sim DESC, pid) AS rk FROM sims),
+gpos AS (
+  SELECT rec_id, vec_id AS gid, row_number() OVER (PARTITION BY rec_id ORDER BY vec_id) - 1 AS gold_pos
+  FROM vt WHERE side = 'gold')
+SELECT r.rec_id, g.gold_pos, r.gtag AS gold_tag, r.ptag AS pred_tag, round(r.sim, 6) AS similarity
+FROM ranked r JOIN gpos g ON g.rec_id = r.rec_id AND g.gid = r.gid WHERE r.rk = 1"""
+
+QUERIES["semantic_file_metrics"] = _with(VEC) + """
+SELECT file_name, count(*) AS total_samples, count(*) FILTER (WHERE ng > 0) AS valid_samples,
+  round(avg(ep) FILTER (WHERE ng > 0), 6) AS exact_match_precision,
+  round(avg(er) FILTER (WHERE ng > 0), 6) AS exact_match_recall,
+  round(avg(ef) FILTER (WHERE ng > 0), 6) AS exact_match_f1,
+  round(avg(sa) FILTER (WHERE ng > 0), 6) AS semantic_accuracy,
+  round(avg(sf) FILTER (WHERE ng > 0), 6) AS semantic_f1,
+  round(avg(sp) FILTER (WHERE ng > 0), 6) AS semantic_precision,
+  round(avg(sr) FILTER (WHERE ng > 0), 6) AS semantic_recall,
+  count(*) FILTER (WHERE ng > 0 AND (ef < 0.5 OR sa < 0.5)) AS failed_cases_count
+FROM m GROUP BY file_name HAVING count(*) FILTER (WHERE ng > 0) > 0"""

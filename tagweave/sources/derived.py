@@ -174,14 +174,14 @@ def vector_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tag-vector rows: (rec_id, file_name, side, pos, tag, vec_id).
 
     Every embedding row is one tag named 'v<vec_id>' of record vec_id div 8,
-    in file 'part<vec_id div 100>'. It is a gold tag when label < 6 and a
+    in file 'part<vec_id div 96>' (12 whole records per file). It is a gold tag when label < 6 and a
     predicted tag when label >= 4 (labels 4 and 5 sit on both sides, so some
     tags match exactly). pos is the vec_id order inside the record.
     """
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
     base = e.select(
         F.floor(F.col("vec_id") / 8).alias("rec_id"),
-        F.concat(F.lit("part"), F.floor(F.col("vec_id") / 100).cast("string")).alias("file_name"),
+        F.concat(F.lit("part"), F.floor(F.col("vec_id") / 96).cast("string")).alias("file_name"),
         F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("tag"),
         "vec_id", "label")
     gold = base.where(F.col("label") < 6).withColumn("side", F.lit("gold"))
