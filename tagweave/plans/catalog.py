@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagweave.plans import evaluation, judging, preference, reports, semantic
+from tagweave.plans import evaluation, judging, preference, reports, semantic, sft
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_stage_counts": evaluation.parse_stage_counts,
@@ -36,4 +36,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "semantic_by_record": semantic.semantic_by_record,
     "semantic_best_match": semantic.semantic_best_match,
     "semantic_file_metrics": semantic.semantic_file_metrics,
+    "prompt_build": sft.prompt_build,
+    "truncate_head_tail": sft.truncate_head_tail,
+    "token_budget": sft.token_budget,
+    "per_file_limit": sft.per_file_limit,
+    "hash_split": sft.hash_split,
+    "prefix_split": sft.prefix_split,
+    "eval_sample": sft.eval_sample,
+    "difference_score_top": sft.difference_score_top,
+    "resume_remaining": sft.resume_remaining,
+    "run_delta": sft.run_delta,
 }

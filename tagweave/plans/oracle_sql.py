@@ -404,3 +404,110 @@ SELECT file_name, count(*) AS total_samples, count(*) FILTER (WHERE ng > 0) AS v
   round(avg(sr) FILTER (WHERE ng > 0), 6) AS semantic_recall,
   count(*) FILTER (WHERE ng > 0 AND (ef < 0.5 OR sa < 0.5)) AS failed_cases_count
 FROM m GROUP BY file_name HAVING count(*) FILTER (WHERE ng > 0) > 0"""
+
+
+# --- prompts, budgets, splits, samples --------------------------------------
+
+_MARK = "chr(10) || chr(10) || '[Content truncated]' || chr(10) || chr(10)"
+
+
+def _trunc(text: str, tk: str, max_tokens: int) -> str:
+    half = max_tokens // 2
+    return (f"CASE WHEN len({tk}) <= {max_tokens} THEN {text} ELSE array_to_string({tk}[1:{half}], ' ') || "
+            f"{_MARK} || array_to_string({tk}[len({tk}) - {half - 1}:], ' ') END")
+
+
+_EVAL_TEMPLATE_SQL = (
+    "'Assign tags to the text below. Answer with a JSON list of objects with the keys ' || "
+    "'\"tag\" and \"explanation\", in this order: domain, task type, difficulty, language, ' || "
+    "'then topics.' || chr(10) || chr(10) || 'Text:' || chr(10) || {t} || chr(10) || chr(10) || 'Tags:'")
+
+QUERIES["prompt_build"] = """
+WITH src AS (
+  SELECT doc_id, CASE WHEN lang = 'en' THEN text END AS input, '[' || lang || '] ' || text AS prompt,
+         CASE WHEN doc_id % 2 = 0 THEN 'source ' || source ELSE '' END AS context
+  FROM documents),
+ctx AS (
+  SELECT doc_id, CASE WHEN context <> '' THEN coalesce(input, prompt) || chr(10) || chr(10) || context
+                      ELSE coalesce(input, prompt) END AS ic FROM src),
+tk AS (SELECT doc_id, ic, regexp_extract_all(ic, '\\S+') AS tk FROM ctx)
+SELECT doc_id, len(tk) AS n_tokens, len(tk) > 300 AS truncated,
+  '<start_of_turn>user' || chr(10) || """ + _EVAL_TEMPLATE_SQL.format(t=_trunc("ic", "tk", 300)) + """
+  || '<end_of_turn>' || chr(10) || '<start_of_turn>model' || chr(10) AS prompt_text
+FROM tk"""
+
+QUERIES["truncate_head_tail"] = """
+WITH tk AS (SELECT doc_id, text, regexp_extract_all(text, '\\S+') AS tk FROM documents)
+SELECT doc_id, len(tk) AS n_tokens, len(tk) > 600 AS truncated,
+       """ + _trunc("text", "tk", 600) + """ AS truncated_text FROM tk"""
+
+QUERIES["token_budget"] = _with(DOCS, GOLD_POS) + """,
+gj AS (
+  SELECT doc_id, to_json(list({'tag': tag, 'explanation':
+           CASE pos WHEN 0 THEN 'the domain' WHEN 1 THEN 'the task type' WHEN 2 THEN 'the difficulty'
+                    WHEN 3 THEN 'the language' ELSE 'the topic' END} ORDER BY pos)) AS target
+  FROM gold_pos GROUP BY doc_id),
+b0 AS (
+  SELECT d.doc_id, d.file_name, regexp_extract_all(d.text, '\\S+') AS qt,
+         coalesce(gj.target, '[]') || ' <eos>' AS target
+  FROM d LEFT JOIN gj USING (doc_id)),
+b1 AS (
+  SELECT doc_id, file_name,
+         len(regexp_extract_all('Tag this query.' || chr(10) || 'Query: ' || array_to_string(qt[1:1800], ' ')
+                                || chr(10) || 'Tags:', '\\S+')) AS n_prompt,
+         len(regexp_extract_all(target, '\\S+')) AS n_target FROM b0),
+b AS (
+  SELECT *, n_prompt + n_target AS n_total, least(n_prompt + n_target, 2048) AS n_kept,
+         greatest(least(n_prompt + n_target, 2048) - n_prompt, 0) AS n_loss FROM b1)
+SELECT file_name, count(*) AS rows, round(quantile_cont(n_kept, 0.5), 6) AS p50_len,
+       round(quantile_cont(n_kept, 0.9), 6) AS p90_len, max(n_total) AS max_total,
+       count(*) FILTER (WHERE n_total > 2048) AS truncated, count(*) FILTER (WHERE n_loss = 0) AS no_loss
+FROM b GROUP BY file_name"""
+
+QUERIES["per_file_limit"] = """
+SELECT doc_id, file_name, rn FROM (
+  SELECT doc_id, source AS file_name, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn
+  FROM documents) WHERE rn <= 10"""
+
+QUERIES["hash_split"] = """
+SELECT doc_id, CASE WHEN (doc_id * 7919) % 1000 < 800 THEN 'train' ELSE 'eval' END AS split FROM documents"""
+
+QUERIES["prefix_split"] = """
+SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) - 1 < CAST(floor(0.8 * count(*) OVER ()) AS BIGINT)
+                    THEN 'train' ELSE 'eval' END AS split FROM documents"""
+
+QUERIES["eval_sample"] = """
+SELECT doc_id FROM documents ORDER BY (doc_id * 7919) % 1000003, doc_id LIMIT 50"""
+
+QUERIES["difference_score_top"] = """
+WITH s AS (SELECT doc_id, -(n_chars % 97) / 10.0 - -(n_chars % 89) / 10.0 AS d FROM documents),
+r AS (SELECT doc_id, d, row_number() OVER (ORDER BY d DESC, doc_id) AS rn, count(*) OVER () AS n FROM s)
+SELECT doc_id, round(d, 6) AS score_diff FROM r WHERE rn <= CAST(floor(0.5 * n) AS BIGINT)"""
+
+QUERIES["resume_remaining"] = """
+SELECT doc_id, source AS file_name FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"""
+
+QUERIES["run_delta"] = EVAL_BASE + """,
+before_lists AS (
+  SELECT l.doc_id, l.file_name, coalesce(g.names, []::VARCHAR[]) AS pred, l.gold FROM lists l
+  LEFT JOIN (SELECT doc_id, list(tag ORDER BY pos) AS names FROM gen_pos GROUP BY doc_id) g USING (doc_id)),
+bs AS (
+  SELECT *, list_distinct(list_transform(pred, lambda x: trim(lower(x)))) AS ps,
+            list_distinct(list_transform(gold, lambda x: trim(lower(x)))) AS gs FROM before_lists),
+bp AS (
+  SELECT *, CAST(len(list_intersect(ps, gs)) AS DOUBLE) AS inter FROM bs),
+bq AS (
+  SELECT file_name, gold, pred,
+    CASE WHEN len(pred) = 0 AND len(gold) = 0 THEN 1.0 WHEN len(pred) = 0 OR len(gold) = 0 THEN 0.0
+         ELSE inter / len(ps) END AS p,
+    CASE WHEN len(pred) = 0 AND len(gold) = 0 THEN 1.0 WHEN len(pred) = 0 OR len(gold) = 0 THEN 0.0
+         ELSE inter / len(gs) END AS r FROM bp),
+bf AS (
+  SELECT file_name, avg(CASE WHEN len(pred) = 0 AND len(gold) = 0 THEN 1.0 WHEN len(pred) = 0 OR len(gold) = 0
+                             THEN 0.0 WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END)
+                    FILTER (WHERE len(gold) > 0) AS before_f1
+  FROM bq GROUP BY file_name),
+af AS (SELECT file_name, avg(f1) FILTER (WHERE len(gold) > 0) AS after_f1 FROM scored GROUP BY file_name)
+SELECT file_name, round(before_f1, 6) AS before_f1, round(after_f1, 6) AS after_f1,
+       round(after_f1 - before_f1, 6) AS delta FROM bf JOIN af USING (file_name)"""
