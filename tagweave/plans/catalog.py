@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagweave.plans import evaluation, judging, preference, reports, semantic, sft
+from tagweave.plans import evaluation, judging, preference, reports, roundtrip, semantic, sft
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_stage_counts": evaluation.parse_stage_counts,
@@ -46,4 +46,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "difference_score_top": sft.difference_score_top,
     "resume_remaining": sft.resume_remaining,
     "run_delta": sft.run_delta,
+    "sft_extract_f1": sft.sft_extract_f1,
+    "two_temperature_responses": roundtrip.two_temperature_responses,
+    "jsonl_roundtrip": roundtrip.jsonl_roundtrip,
+    "preference_file_load": roundtrip.preference_file_load,
 }

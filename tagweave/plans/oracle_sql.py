@@ -511,3 +511,39 @@ bf AS (
 af AS (SELECT file_name, avg(f1) FILTER (WHERE len(gold) > 0) AS after_f1 FROM scored GROUP BY file_name)
 SELECT file_name, round(before_f1, 6) AS before_f1, round(after_f1, 6) AS after_f1,
        round(after_f1 - before_f1, 6) AS delta FROM bf JOIN af USING (file_name)"""
+
+
+# --- model-call and file round trips ----------------------------------------
+
+QUERIES["two_temperature_responses"] = """
+SELECT doc_id, r.response_id, r.temperature,
+       '[{"tag": "words' || CAST(len(regexp_extract_all(text, '\\S+')) AS VARCHAR)
+       || '", "explanation": "sampled at ' || CAST(r.temperature AS VARCHAR) || '"}]' AS text
+FROM documents CROSS JOIN (VALUES (1, 0.5::DOUBLE), (2, 0.9::DOUBLE)) r(response_id, temperature)"""
+
+QUERIES["jsonl_roundtrip"] = """
+SELECT source AS file_name, count(*) AS records, 2 * count(*) AS responses,
+       count(*) + count(*) FILTER (WHERE doc_id % 5 IN (0, 1) AND doc_id % 23 <> 0) AS parsed_lists
+FROM documents GROUP BY source"""
+
+QUERIES["preference_file_load"] = JUDGE_BASE + """
+SELECT prompt, chosen_text AS chosen, rejected_text AS rejected,
+       round(0.6 * gap / 10.0 + 0.4 * abs(pc - pr) / 10.0, 6) AS weight FROM kept"""
+
+QUERIES["sft_extract_f1"] = _with(DOCS, GEN_POS, GOLD_POS) + """,
+exp AS (SELECT doc_id, pos, tag FROM gen_pos WHERE doc_id % 5 IN (0, 1, 2, 3) AND doc_id % 23 <> 0),
+lists AS (
+  SELECT d.doc_id, d.file_name, coalesce(p.names, []::VARCHAR[]) AS pred, coalesce(g.names, []::VARCHAR[]) AS gold
+  FROM d
+  LEFT JOIN (SELECT doc_id, list(tag ORDER BY pos) AS names FROM exp GROUP BY doc_id) p USING (doc_id)
+  LEFT JOIN (SELECT doc_id, list(tag ORDER BY pos) AS names FROM gold_pos GROUP BY doc_id) g USING (doc_id)),
+s AS (SELECT *, list_distinct(pred) AS ps, list_distinct(gold) AS gs FROM lists),
+q AS (SELECT *, CAST(len(list_intersect(ps, gs)) AS DOUBLE) AS inter FROM s),
+f AS (
+  SELECT file_name, len(pred) AS np,
+    CASE WHEN len(ps) = 0 AND len(gs) = 0 THEN 1.0 WHEN len(ps) = 0 OR len(gs) = 0 THEN 0.0
+         WHEN inter = 0 THEN 0.0
+         ELSE 2 * (inter / len(ps)) * (inter / len(gs)) / (inter / len(ps) + inter / len(gs)) END AS f1
+  FROM q)
+SELECT file_name, count(*) AS n, round(coalesce(avg(f1), 0.0), 6) AS mean_f1, sum(np) AS n_pred_tags
+FROM f GROUP BY file_name"""

@@ -102,3 +102,18 @@ def run_delta(spark, sf_dir):
     j = before.join(after, "file_name")
     return j.select("file_name", r6("before_f1"), r6("after_f1"),
                     F.round(F.col("after_f1") - F.col("before_f1"), 6).alias("delta"))
+
+
+def sft_extract_f1(spark, sf_dir):
+    """O-P10 + O-A6 + O-A18: SFT-style extraction of the model output, raw
+    set F1 against gold names, mean per file (0 when a file has no rows)."""
+    from tagweave.functions.extract import extract_tags_sft
+
+    r = derived.tag_records(spark, sf_dir)
+    r = r.withColumn("sft_tags", extract_tags_sft(F.col("response")))
+    r = r.withColumn("pred_names", tag_names(F.col("sft_tags"))).withColumn("gold_names", tag_names(F.col("gold")))
+    r = score.with_exact(r, "pred_names", "gold_names", normalise=False)
+    return r.groupBy("file_name").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.coalesce(F.avg("exact_match_f1"), F.lit(0.0)), 6).alias("mean_f1"),
+        F.sum(F.size("pred_names")).alias("n_pred_tags"))
