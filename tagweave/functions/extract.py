@@ -81,34 +81,48 @@ def line_fallback(text) -> Column:
     return F.aggregate(F.split(_c(text), "\n", -1), state0, step, flushed)
 
 
-def extract_tags_eval(text) -> Column:
-    """Evaluation extractor (O-P8 + O-P9): STRUCT<tags, stage>.
-
-    stage is one of 'list', 'object', 'lines', 'default', or 'error' for a
-    NULL text (which yields an empty list).
-    """
+def eval_stages(text) -> dict[str, Column]:
+    """The intermediate values of the evaluation extractor, to be staged as
+    columns (``last_list``, ``objects``, ``lines``) before ``eval_result``."""
     t = _c(text)
     last = F.try_element_at(F.regexp_extract_all(t, F.lit(_LAST_LIST), F.lit(0)), F.lit(-1))
-    lst = strict_list(last)
-    objs = F.regexp_extract_all(t, F.lit(_OBJECT), F.lit(0))
+    return {"last_list": strict_list(last),
+            "objects": F.regexp_extract_all(t, F.lit(_OBJECT), F.lit(0)),
+            "lines": line_fallback(t)}
+
+
+def eval_result(text, last_list, objects, lines) -> Column:
+    """STRUCT<tags, stage> from the staged intermediates (see eval_stages)."""
+    t, lst, objs, lns = _c(text), _c(last_list), _c(objects), _c(lines)
     obj_vals = F.transform(objs, lambda m: strict_value(m))
     obj_tags = _items_with_both_keys(F.filter(obj_vals, lambda v: v.isNotNull() & is_object(v)))
-    lines = line_fallback(t)
     default = F.array(_pair(F.lit(DEFAULT_TAG), F.lit(DEFAULT_EXPLANATION)))
     empty = F.expr(f"cast(array() as {TAG_LIST_DDL})")
     tags = (F.when(t.isNull(), empty)
             .when(lst.isNotNull(), _items_with_both_keys(lst))
             .when(F.size(objs) > 0, obj_tags)
-            .when(F.size(lines) > 0, lines)
+            .when(F.size(lns) > 0, lns)
             .otherwise(default))
     stage = (F.when(t.isNull(), "error")
              .when(lst.isNotNull(), "list")
              .when(F.size(objs) > 0, "object")
-             .when(F.size(lines) > 0, "lines")
+             .when(F.size(lns) > 0, "lines")
              .otherwise("default"))
     return F.struct(tags.alias("tags"), stage.alias("stage"))
 
 
+def extract_tags_eval(text) -> Column:
+    """Evaluation extractor (O-P8 + O-P9) as one expression: STRUCT<tags, stage>.
+
+    stage is one of 'list', 'object', 'lines', 'default', or 'error' for a
+    NULL text (which yields an empty list). Inside a DataFrame job prefer
+    ``score.parse_generated``, which stages the intermediates as columns so
+    that they are computed once per row.
+    """
+    st = eval_stages(text)
+    return eval_result(text, st["last_list"], st["objects"], st["lines"])
+
+
 def balanced_prefix(text) -> Column:
     """Text up to the point where the bracket depth first returns to zero,
     counting from the first character (O-P10 helper), or NULL.

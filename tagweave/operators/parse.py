@@ -1,4 +1,4 @@
-"""Cleaning jobs over generation records (O-P5, O-P6, O-P7, O-P12, O-P13, O-P14).
+"""Cleaning jobs over generation records (O-P5, O-P6, O-P7, O-P12, O-P13).
 
 ``clean_responses`` rewrites the responses array in place with a nested
 ``transform`` (no explode, no shuffle): each response text is parsed
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.functions.jsonparse import lenient_value, tag_items_with_flag
+from tagweave.functions.rows import posexplode_rows
 from tagweave.functions.text import normalize_tag
 
 PARSE_ERROR = "JSONDecodeError"
@@ -44,10 +45,10 @@ def clean_responses(df: DataFrame, col: str = "responses", normalise: bool = Tru
 def response_tags(cleaned: DataFrame, key: str = "index", col: str = "responses") -> DataFrame:
     """All tag items of all cleaned responses with their raw index position:
     (key, response_id, raw_pos, is_tag, tag, text) (O-P13 positions)."""
-    r = cleaned.select(key, F.posexplode(F.col(col)).alias("response_pos", "r"))
-    r = r.select(key, "response_pos", F.col("r.response_id").alias("response_id"),
-                 F.posexplode_outer(F.col("r.items")).alias("raw_pos", "it"))
-    return r.where(F.col("it").isNotNull()).select(
+    r = posexplode_rows(cleaned, [key], col, "response_pos", "r")
+    r = posexplode_rows(r.select(key, "response_pos", F.col("r.response_id").alias("response_id"), "r"),
+                        [key, "response_pos", "response_id"], F.col("r.items"), "raw_pos", "it")
+    return r.select(
         key, "response_pos", "response_id", "raw_pos", F.col("it.is_tag").alias("is_tag"),
         F.col("it.tag").alias("tag"), F.col("it.text").alias("text"))
 
@@ -59,9 +60,9 @@ def first_tags(cleaned: DataFrame, n: int = 4, key: str = "index", col: str = "r
     def firsts(r):
         return F.filter(F.slice(F.coalesce(r["items"], F.array()), 1, n), lambda x: x["is_tag"])
 
-    r = cleaned.select(key, F.posexplode(F.col(col)).alias("response_pos", "r"))
-    r = r.select(key, "response_pos", F.col("r.response_id").alias("response_id"),
-                 F.posexplode(firsts(F.col("r"))).alias("pos", "it"))
+    r = posexplode_rows(cleaned, [key], col, "response_pos", "r")
+    r = posexplode_rows(r.select(key, "response_pos", F.col("r.response_id").alias("response_id"), "r"),
+                        [key, "response_pos", "response_id"], firsts(F.col("r")), "pos", "it")
     return r.select(key, "response_pos", "response_id", "pos", F.col("it.tag").alias("tag"))
 
 
@@ -77,13 +78,3 @@ def normalised_tags(cleaned_raw: DataFrame, key: str = "index", col: str = "resp
 def variant_map(norm_rows: DataFrame) -> DataFrame:
     """Which raw spellings merged into which normalised tag: (raw_tag, tag, n)."""
     return norm_rows.groupBy("raw_tag", "tag").agg(F.count(F.lit(1)).alias("n"))
-
-
-def tags_to_json(c) -> F.Column:
-    """O-P14 for a parsed tag list: canonical JSON of {tag, explanation} with
-    '' defaults; string elements get an empty explanation; others dropped.
-    ``c`` is ARRAY<STRUCT<tag, explanation, is_tag, is_str, text>>."""
-    kept = F.filter(c, lambda x: F.schema_of_json(F.lit("{}")).isNotNull() & (x["is_str"] | x["text"].startswith("{")))
-    return F.to_json(F.transform(kept, lambda x: F.struct(
-        F.when(x["is_str"], x["text"]).otherwise(F.coalesce(x["tag"], F.lit(""))).alias("tag"),
-        F.when(x["is_str"], F.lit("")).otherwise(F.coalesce(x["explanation"], F.lit(""))).alias("explanation"))))

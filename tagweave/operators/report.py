@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tagweave.functions.rows import posexplode_rows
 from tagweave.functions.text import lower_strip
 
 
@@ -20,8 +21,7 @@ def positional_tags(df: DataFrame, side_cols: dict[str, str], key: str = "file_n
     NULL tags kept as their own value."""
     parts = []
     for side, col in side_cols.items():
-        parts.append(df.select(key, F.lit(side).alias("side"),
-                               F.posexplode(F.col(col)).alias("pos", "t"))
+        parts.append(posexplode_rows(df.withColumn("side", F.lit(side)), [key, "side"], col, "pos", "t")
                      .select(key, "side", "pos", F.col("t.tag").alias("tag")))
     out = parts[0]
     for p in parts[1:]:
@@ -55,15 +55,19 @@ def topic_top(pos_tags: DataFrame, k: int = 30, side: str = "gen", key: str = "f
 
 def generation_quality(df: DataFrame, tags_col: str, key: str = "file_name") -> DataFrame:
     """O-A4: per key, records with a tag list, empty lists, incomplete lists
-    (1-4 tags), complete lists (5+), and the complete share in percent."""
+    (1-4 tags), complete lists (5+), and the complete share in percent.
+    Rows without a list are left out through conditional counts rather than
+    a filter (a filter would be pushed below and re-derive the list)."""
     n = F.size(F.col(tags_col))
-    ok = df.where(F.col(tags_col).isNotNull())
-    return ok.groupBy(key).agg(
-        F.count(F.lit(1)).alias("records"),
-        F.count_if(n == 0).alias("empty"),
-        F.count_if((n >= 1) & (n <= 4)).alias("incomplete"),
-        F.count_if(n >= 5).alias("complete"),
-    ).withColumn("success_pct", F.col("complete") * 100.0 / F.col("records"))
+    has = F.col(tags_col).isNotNull()
+    out = df.groupBy(key).agg(
+        F.count_if(has).alias("records"),
+        F.count_if(has & (n == 0)).alias("empty"),
+        F.count_if(has & (n >= 1) & (n <= 4)).alias("incomplete"),
+        F.count_if(has & (n >= 5)).alias("complete"),
+    )
+    return out.where(F.col("records") > 0).withColumn(
+        "success_pct", F.col("complete") * 100.0 / F.col("records"))
 
 
 def position_compare(df: DataFrame, gen_names: str, gold_names: str, key: str = "file_name",

@@ -15,7 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagweave.functions import metrics as M
-from tagweave.functions.extract import extract_tags_eval, tag_names
+from tagweave.functions.extract import eval_result, eval_stages, tag_names
+from tagweave.functions.rows import explode_rows, posexplode_rows
 from tagweave.functions.text import preview
 
 EXACT = ["exact_match_precision", "exact_match_recall", "exact_match_f1"]
@@ -23,10 +24,22 @@ SEMANTIC = ["semantic_accuracy", "semantic_f1", "semantic_precision", "semantic_
 
 
 def parse_generated(df: DataFrame, text_col: str = "response", out: str = "generated_tags") -> DataFrame:
-    """Extract tags from model output text (O-P8/P9); adds ``out`` and ``parse_stage``."""
-    parsed = extract_tags_eval(F.col(text_col))
-    return df.withColumn("_p", parsed).withColumn(out, F.col("_p.tags")) \
-        .withColumn("parse_stage", F.col("_p.stage")).drop("_p")
+    """Extract tags from model output text (O-P8/P9); adds ``out`` and ``parse_stage``.
+
+    The intermediates (last bracket list, object matches, line scan) and the
+    result struct are separate projections: each is referenced more than
+    once downstream, so Catalyst keeps them as computed columns instead of
+    inlining (and re-evaluating) the parse in every consumer.
+    """
+    st = eval_stages(F.col(text_col))
+    staged = (df.withColumn("_tw_lst", st["last_list"])
+              .withColumn("_tw_objs", st["objects"])
+              .withColumn("_tw_lines", st["lines"]))
+    res = eval_result(F.col(text_col), F.col("_tw_lst"), F.col("_tw_objs"), F.col("_tw_lines"))
+    return (staged.withColumn("_tw_res", res)
+            .withColumn(out, F.col("_tw_res.tags"))
+            .withColumn("parse_stage", F.col("_tw_res.stage"))
+            .drop("_tw_lst", "_tw_objs", "_tw_lines", "_tw_res"))
 
 
 def with_exact(df: DataFrame, pred: str | Column, gold: str | Column, normalise: bool = True) -> DataFrame:
@@ -77,26 +90,35 @@ def overall(metrics: DataFrame, semantic: bool = True) -> DataFrame:
 
 
 def failed_cases(scored: DataFrame, order_key: str, gold_names: str = "gold_names",
-                 text_col: str = "truncated_input", k: int = 5, key: str = "file_name",
+                 text: Column | None = None, k: int = 5, key: str = "file_name",
                  semantic: bool = True, fail_below: float = 0.5) -> DataFrame:
     """First ``k`` failed cases per file by ``order_key`` (O-F5, O-T2, O-P20).
 
     The reference keeps the first five in file order; a DataFrame has no
-    order, so ``order_key`` defines it. ``row_number() <= k`` is planned as
-    a window group limit: each task keeps only its k best rows per file
-    before the exchange, so a hot file does not funnel to one task.
+    order, so ``order_key`` defines it. Failed rows are ranked first inside
+    the window and the filter comes after it: a filter on the scores below
+    the window would be pushed into the scan with the whole score expression
+    inlined. ``row_number() <= k`` is planned as a window group limit, so each
+    task forwards at most k rows per file through the exchange (a hot file
+    does not funnel to one task), and ``text`` is reduced to its preview only
+    for the rows that survive.
     """
     valid = F.size(F.col(gold_names)) > 0
     failed = F.col("exact_match_f1") < fail_below
     if semantic:
         failed = failed | (F.col("semantic_accuracy") < fail_below)
-    ok = scored.where(F.col("error").isNull()) if "error" in scored.columns else scored
-    w = W.partitionBy(key).orderBy(F.col(order_key))
-    return (ok.where(valid & failed)
-            .withColumn("case_rank", F.row_number().over(w))
-            .where(F.col("case_rank") <= k)
-            .withColumn("input_preview", preview(F.col(text_col)))
-            .drop(text_col))
+    is_case = valid & failed
+    if "error" in scored.columns:
+        is_case = is_case & F.col("error").isNull()
+    staged = scored.withColumn("_tw_case", is_case)
+    if text is not None:
+        staged = staged.withColumn("_tw_text", text)
+    w = W.partitionBy(key).orderBy(F.col("_tw_case").desc(), F.col(order_key))
+    out = (staged.withColumn("case_rank", F.row_number().over(w))
+           .where((F.col("case_rank") <= k) & F.col("_tw_case")))
+    if text is not None:
+        out = out.withColumn("input_preview", preview(F.col("_tw_text"))).drop("_tw_text")
+    return out.drop("_tw_case")
 
 
 # ---------------------------------------------------------------------------
@@ -104,7 +126,7 @@ def failed_cases(scored: DataFrame, order_key: str, gold_names: str = "gold_name
 
 def distinct_tags(records: DataFrame, *name_cols: str) -> DataFrame:
     """Distinct tag names over the given name-array columns (one row per tag)."""
-    parts = [records.select(F.explode(F.col(c)).alias("tag")) for c in name_cols]
+    parts = [explode_rows(records, [], c, "tag") for c in name_cols]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -122,8 +144,7 @@ def attach_vectors(records: DataFrame, tag_vectors: DataFrame, key: str, name_co
     tv = tag_vectors.select("tag", M.unit(F.col("vec")).alias("vec"))
     rows = None
     for c in name_cols:
-        part = records.select(key, F.lit(c).alias("side"),
-                              F.posexplode(F.col(c)).alias("pos", "tag"))
+        part = posexplode_rows(records.withColumn("side", F.lit(c)), [key, "side"], c, "pos", "tag")
         rows = part if rows is None else rows.unionByName(part)
     joined = rows.join(tv, "tag", "inner")
     grouped = joined.groupBy(key).agg(*[
@@ -154,6 +175,6 @@ def best_match_rows(df: DataFrame, key: str, gold_vecs: str, pred_vecs: str) ->
     """One row per gold tag with its best predicted tag (O-A9)."""
     bm = M.best_matches(F.col(gold_vecs), F.col(pred_vecs))
     return (df.where(F.size(F.col(pred_vecs)) > 0)
-            .select(key, F.posexplode(bm).alias("gold_pos", "m"))
+            .transform(lambda d: posexplode_rows(d, [key], bm, "gold_pos", "m"))
             .select(key, "gold_pos", F.col("m.gold_tag").alias("gold_tag"),
                     F.col("m.pred_tag").alias("pred_tag"), F.col("m.similarity").alias("similarity")))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.functions.extract import tag_names
+from tagweave.functions.rows import posexplode_rows
 from tagweave.functions.text import truncate_head_tail
 from tagweave.operators import score
 from tagweave.sources import derived
@@ -33,7 +34,7 @@ def parse_stage_counts(spark, sf_dir):
 
 def parsed_tag_rows(spark, sf_dir):
     r = score.parse_generated(derived.tag_records(spark, sf_dir), "response")
-    return r.select("doc_id", F.posexplode("generated_tags").alias("pos", "t")).select(
+    return posexplode_rows(r, ["doc_id"], "generated_tags", "pos", "t").select(
         "doc_id", "pos", F.col("t.tag").alias("tag"), F.col("t.explanation").alias("explanation"))
 
 
@@ -58,8 +59,8 @@ def overall_macro(spark, sf_dir):
 
 def failed_cases(spark, sf_dir):
     r = scored_records(spark, sf_dir, with_text=True)
-    r = r.withColumn("truncated_input", truncate_head_tail(F.col("text"), 300)).drop("text")
-    f = score.failed_cases(r, order_key="doc_id", semantic=False, k=5)
+    f = score.failed_cases(r, order_key="doc_id", semantic=False, k=5,
+                           text=truncate_head_tail(F.col("text"), 300))
     return f.select("file_name", "case_rank", "doc_id", r6("exact_match_f1"),
                     F.array_join("pred_names", "|").alias("predicted"),
                     F.array_join("gold_names", "|").alias("ground_truth"), "input_preview")

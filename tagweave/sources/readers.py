@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.functions.jsonparse import is_object, strict_value
+from tagweave.functions.rows import explode_rows
 
 # Fixed container keys of the judge loader, in lookup order.
 CONTAINER_KEYS = ["data", "results", "items", "samples"]
@@ -62,7 +63,7 @@ def json_documents(spark: SparkSession, path, glob: str | None = "*.json",
     v = strict_value(F.col("doc"))
     arr = F.try_variant_get(v, "$", "array<variant>")
     rows = F.when(arr.isNotNull(), arr).when(is_object(v), F.array(v))
-    return files.select("file_name", F.explode(rows).alias("v"))
+    return explode_rows(files, ["file_name"], rows, "v")
 
 
 def container_rows(docs: DataFrame) -> DataFrame:
@@ -72,8 +73,7 @@ def container_rows(docs: DataFrame) -> DataFrame:
     are expected; here we accept exploded objects and unwrap containers."""
     lists = [F.try_variant_get(F.col("v"), f"$.{k}", "array<variant>") for k in CONTAINER_KEYS]
     inner = F.coalesce(*lists)
-    return docs.select("file_name", F.explode(F.when(inner.isNotNull(), inner)
-                                              .otherwise(F.array(F.col("v")))).alias("v"))
+    return explode_rows(docs, ["file_name"], F.when(inner.isNotNull(), inner).otherwise(F.array(F.col("v"))), "v")
 
 
 def positional_record(v) -> F.Column:
