@@ -38,7 +38,10 @@ def generate(df: DataFrame, text_col: str, factory: Callable[[], Callable] = lam
              batch_size: int = 8, out: str = "raw_response") -> DataFrame:
     """O-M1: one model output per row. A failing batch writes
     'Generation failed' for each of its rows and sets ``error``."""
-    schema = df.schema.add(out, "string").add("error", "string")
+    from pyspark.sql import types as T
+
+    schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType()),
+                                              T.StructField("error", T.StringType())])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory()
