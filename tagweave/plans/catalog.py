@@ -50,4 +50,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "two_temperature_responses": roundtrip.two_temperature_responses,
     "jsonl_roundtrip": roundtrip.jsonl_roundtrip,
     "preference_file_load": roundtrip.preference_file_load,
+    "labelled_judgements": judging.labelled_judgements,
+    "filter_top_tags": preference.filter_top_tags,
+    "report_long_form": reports.report_long_form,
+    "rows_per_file": reports.rows_per_file,
+    "sft_targets": sft.sft_targets,
 }

@@ -68,3 +68,24 @@ def rule_judge_outcomes(spark, sf_dir):
     j = judge.judge(pairs, 2.0, 7.0)
     return j.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"),
                                     F.round(F.avg("diversity_gap"), 6).alias("avg_gap"))
+
+
+def labelled_judgements(spark, sf_dir):
+    """O-J6: pairs (model output vs gold JSON of each document) judged by a
+    precomputed reply table joined by key; documents without a reply count
+    as failed calls. Replies come from ``labels``: quality 1 prefers the
+    model output, quality 0 the gold list; toxic lowers the privacy score of
+    the model output."""
+    r = derived.tag_records(spark, sf_dir)
+    pairs = r.select(F.col("doc_id").alias("id"), F.concat(F.lit("Tag document "), F.col("doc_id").cast("string"))
+                     .alias("prompt"), F.col("response").alias("response1"),
+                     F.to_json("gold").alias("response2"))
+    lab = derived.table(spark, sf_dir, "labels")
+    q, t, k = F.col("quality"), F.col("toxic"), F.col("doc_id")
+    replies = lab.select(
+        k.alias("id"), F.when(q == 1, 1).otherwise(2).alias("chosen"),
+        (4 + 4 * q).cast("double").alias("q1"), (8 - 4 * q).cast("double").alias("q2"),
+        (k % 7 + 2).cast("double").alias("d1"), (k % 3 + 4).cast("double").alias("d2"),
+        (10 - 6 * t).cast("double").alias("p1"), F.lit(9.0).alias("p2"))
+    j = judge.judge(judge.attach_judgements(pairs, replies, "id"), 2.0, 7.0)
+    return judge.outcome_counts(j)

@@ -547,3 +547,49 @@ f AS (
   FROM q)
 SELECT file_name, count(*) AS n, round(coalesce(avg(f1), 0.0), 6) AS mean_f1, sum(np) AS n_pred_tags
 FROM f GROUP BY file_name"""
+
+
+# --- additional report, judge and target queries ----------------------------
+
+QUERIES["labelled_judgements"] = """
+WITH l AS (
+  SELECT doc_id AS id, CASE WHEN quality = 1 THEN 1 ELSE 2 END AS chosen,
+         CAST(4 + 4 * quality AS DOUBLE) AS q1, CAST(8 - 4 * quality AS DOUBLE) AS q2,
+         CAST(doc_id % 7 + 2 AS DOUBLE) AS d1, CAST(doc_id % 3 + 4 AS DOUBLE) AS d2,
+         CAST(10 - 6 * toxic AS DOUBLE) AS p1, 9.0 AS p2 FROM labels),
+j AS (SELECT d.doc_id AS id, d.source AS file_name, l.* EXCLUDE (id) FROM documents d LEFT JOIN l ON l.id = d.doc_id),
+o AS (
+  SELECT *, CASE chosen WHEN 1 THEN d1 WHEN 2 THEN d2 END AS dc, CASE chosen WHEN 1 THEN d2 WHEN 2 THEN d1 END AS dr,
+            CASE chosen WHEN 1 THEN p1 WHEN 2 THEN p2 END AS pc, CASE chosen WHEN 1 THEN p2 WHEN 2 THEN p1 END AS pr
+  FROM j)
+SELECT CASE WHEN chosen IS NULL THEN 'failed' WHEN abs(dc - dr) < 2.0 THEN 'low_diversity'
+            WHEN pc < 7.0 OR pr < 7.0 THEN 'low_privacy' ELSE 'kept' END AS outcome, count(*) AS n
+FROM o GROUP BY 1"""
+
+QUERIES["filter_top_tags"] = PREF_BASE + """
+SELECT pos, rank, tag, n FROM (
+  SELECT pos, tag, n, row_number() OVER (PARTITION BY pos ORDER BY n DESC, tag) AS rank FROM freq)
+WHERE rank <= 10"""
+
+QUERIES["report_long_form"] = _with(DOCS, GEN_POS, GOLD_POS, PRED_POS) + """,
+sides AS (
+  SELECT file_name, 'generated' AS section, pos, tag FROM pred_pos
+  UNION ALL SELECT file_name, 'ground_truth', pos, tag FROM gold_pos),
+c AS (SELECT file_name, section, pos, tag, count(*) AS n FROM sides WHERE pos < 4 GROUP BY ALL),
+t0 AS (SELECT file_name, tag, count(*) AS n FROM pred_pos WHERE pos >= 4 GROUP BY ALL),
+t AS (SELECT *, sum(n) OVER (PARTITION BY file_name) AS total,
+             row_number() OVER (PARTITION BY file_name ORDER BY n DESC, tag) AS rk FROM t0)
+SELECT file_name, section, pos, tag, n,
+       round(n * 100.0 / sum(n) OVER (PARTITION BY file_name, section, pos), 6) AS pct FROM c
+UNION ALL
+SELECT file_name, 'topics', 4, tag, n, round(n * 100.0 / total, 6) FROM t WHERE rk <= 30"""
+
+QUERIES["rows_per_file"] = "SELECT source AS file_name, count(*) AS rows FROM documents GROUP BY source"
+
+QUERIES["sft_targets"] = _with(DOCS, GOLD_POS) + """,
+gj AS (
+  SELECT doc_id, to_json(list({'tag': tag, 'explanation':
+           CASE pos WHEN 0 THEN 'the domain' WHEN 1 THEN 'the task type' WHEN 2 THEN 'the difficulty'
+                    WHEN 3 THEN 'the language' ELSE 'the topic' END} ORDER BY pos)) AS j
+  FROM gold_pos GROUP BY doc_id)
+SELECT d.doc_id, coalesce(gj.j, '[]') || ' <eos>' AS target FROM d LEFT JOIN gj USING (doc_id)"""

@@ -44,3 +44,9 @@ def rare_filter_reasons(spark, sf_dir):
 def rare_filter_stats(spark, sf_dir):
     s = _filter(spark, sf_dir)["stats"]
     return s.select("original_count", "kept_count", "removed_count", r6("retention_pct"))
+
+
+def filter_top_tags(spark, sf_dir):
+    """O-T1 for the filter report: the 10 most frequent tags per checked
+    position (ties by tag)."""
+    return freq.top_tags(_filter(spark, sf_dir)["freq"], 10).select("pos", "rank", "tag", "n")

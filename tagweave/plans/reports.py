@@ -35,3 +35,21 @@ def generation_quality(spark, sf_dir):
 
 def position_compare(spark, sf_dir):
     return report.position_compare(scored_records(spark, sf_dir), "pred_names", "gold_names")
+
+
+def report_long_form(spark, sf_dir):
+    """O-K5: the whole distribution report as one long table
+    (file_name, section, pos, tag, n, pct): generated and gold positions
+    0-3, and the pooled top-30 topics (pos 4)."""
+    parsed = _parsed(spark, sf_dir)
+    p = report.positional_tags(parsed, {"generated": "generated_tags", "ground_truth": "gold"})
+    d = report.tag_distribution(p).select("file_name", F.col("side").alias("section"), "pos", "tag", "n", "pct")
+    t = report.topic_top(p.where(F.col("side") == "generated"), k=30, side="generated").select(
+        "file_name", F.lit("topics").alias("section"), F.lit(4).alias("pos"), "tag", "n",
+        (F.col("n") * 100.0 / F.col("total")).alias("pct"))
+    return d.unionByName(t).select("file_name", "section", "pos", "tag", "n", r6("pct"))
+
+
+def rows_per_file(spark, sf_dir):
+    """O-A19: records loaded per file."""
+    return report.rows_per_file(derived.tag_records(spark, sf_dir).select("doc_id", "file_name"))

@@ -117,3 +117,14 @@ def sft_extract_f1(spark, sf_dir):
         F.count(F.lit(1)).alias("n"),
         F.round(F.coalesce(F.avg("exact_match_f1"), F.lit(0.0)), 6).alias("mean_f1"),
         F.sum(F.size("pred_names")).alias("n_pred_tags"))
+
+
+def sft_targets(spark, sf_dir):
+    """O-P15: training targets from stored tag lists. Even documents store
+    the gold list in Python-literal style (single quotes), odd ones as JSON;
+    both are read leniently and written back as canonical JSON plus EOS."""
+    r = derived.tag_records(spark, sf_dir)
+    js = F.to_json("gold")
+    stored = F.when(F.col("doc_id") % 2 == 0, F.translate(js, '"', "'")).otherwise(js)
+    parsed = F.from_json(stored, "array<struct<tag:string,explanation:string>>", {"allowSingleQuotes": "true"})
+    return r.select("doc_id", F.concat(F.to_json(parsed), F.lit(" " + prompts.EOS)).alias("target"))
