@@ -6,10 +6,11 @@ Counts come from the unfiltered data in one pass (no fixpoint). Plan shape:
      hot tag (a language holding a third of all rows) is pre-summed in
      every task before the exchange,
   3. rare keys (n < min_freq) joined back to the checked rows with a
-     null-safe key; each rare key has fewer than min_freq rows on the other
-     side, and AQE turns the join into a broadcast when the rare set is
-     small or splits a skewed partition otherwise,
-  4. distinct bad sample keys, then a left-anti join to keep samples.
+     null-safe key; the rare set is written to the checkpoint folder and
+     broadcast when its count is under a bound, otherwise the join stays a
+     shuffle join and AQE splits the partition of a hot key,
+  4. distinct bad sample keys (same size check), then a left-anti join to
+     keep samples: with the keys broadcast the records are not shuffled.
 Nothing is collected to the driver.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tagweave.functions.sizing import DEFAULT_MAX_ROWS, bounded_broadcast
 from tagweave.operators.parse import first_tags
 
 DEFAULT_POSITIONS = (0, 1, 2, 3)
@@ -31,15 +33,18 @@ def tag_frequencies(tag_rows: DataFrame) -> DataFrame:
     return tag_rows.groupBy("pos", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _checked_rare_rows(tag_rows: DataFrame, freq: DataFrame, min_freq: int, positions) -> DataFrame:
-    rare = freq.where(F.col("n") < min_freq)
+def _checked_rare_rows(tag_rows: DataFrame, freq: DataFrame, min_freq: int, positions,
+                       max_broadcast_rows: int) -> DataFrame:
+    rare = freq.where(F.col("n") < min_freq).select(
+        F.col("pos").alias("_tw_rpos"), F.col("tag").alias("_tw_rtag"), F.col("n").alias("n"))
+    rare = bounded_broadcast(rare, max_broadcast_rows)
     checked = tag_rows.where(F.col("pos").isin(list(positions)))
-    cond = (checked["pos"] == rare["pos"]) & checked["tag"].eqNullSafe(rare["tag"])
-    return checked.join(rare, cond, "inner").select(checked["*"], rare["n"])
+    cond = (F.col("pos") == F.col("_tw_rpos")) & F.col("tag").eqNullSafe(F.col("_tw_rtag"))
+    return checked.join(rare, cond, "inner").drop("_tw_rpos", "_tw_rtag")
 
 
 def rare_filter(cleaned: DataFrame, min_freq: int = 2, positions=DEFAULT_POSITIONS,
-                key: str = "index") -> dict[str, DataFrame]:
+                key: str = "index", max_broadcast_rows: int = DEFAULT_MAX_ROWS) -> dict[str, DataFrame]:
     """O-F1 + O-F2 + O-A17. Returns DataFrames:
 
     kept     samples whose checked tags all have count >= min_freq
@@ -51,8 +56,10 @@ def rare_filter(cleaned: DataFrame, min_freq: int = 2, positions=DEFAULT_POSITIO
     positions = list(positions) if positions else list(DEFAULT_POSITIONS)
     rows = first_tags(cleaned, 4, key)
     freq = tag_frequencies(rows)
-    bad_rows = _checked_rare_rows(rows, freq, min_freq, positions)
-    bad_keys = bad_rows.select(key).distinct()
+    bad_rows = _checked_rare_rows(rows, freq, min_freq, positions, max_broadcast_rows)
+    # Removed samples are usually few: with a checked count they are
+    # broadcast and the anti join keeps the records where they are.
+    bad_keys = bounded_broadcast(bad_rows.select(key).distinct(), max_broadcast_rows)
     kept = cleaned.join(bad_keys, key, "left_anti")
     order = F.array_position(F.array(*[F.lit(p) for p in positions]), F.col("pos"))
     w = W.partitionBy(key).orderBy("response_pos", order)

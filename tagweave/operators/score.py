@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tagweave.functions import metrics as M
 from tagweave.functions.extract import eval_result, eval_stages, tag_names
 from tagweave.functions.rows import explode_rows, posexplode_rows
+from tagweave.functions.sizing import DEFAULT_MAX_ROWS, bounded_broadcast
 from tagweave.functions.text import preview
 
 EXACT = ["exact_match_precision", "exact_match_recall", "exact_match_f1"]
@@ -133,30 +134,39 @@ def distinct_tags(records: DataFrame, *name_cols: str) -> DataFrame:
     return out.distinct()
 
 
-def attach_vectors(records: DataFrame, tag_vectors: DataFrame, key: str, name_cols: list[str]) -> DataFrame:
-    """Replace each name array with ARRAY<STRUCT<tag, vec>> (unit vectors),
-    keeping order; names without a vector are dropped like a failed encode.
+VEC_LIST_DDL = "array<struct<tag:string,vec:array<double>>>"
 
-    Exploded (record, side, pos, tag) rows join the tag->vector table once,
-    then regroup per record. The regroup holds one record's tags, which is
-    bounded by the tag-list length, not by the data size.
+
+def attach_vectors(records: DataFrame, embed, key: str, name_cols: list[str],
+                   max_broadcast_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    """Add ``<col>_vecs`` = ARRAY<STRUCT<tag, vec>> (unit vectors, list order)
+    for each name-array column; names without a vector are dropped like a
+    failed encode.
+
+    ``embed`` maps a DataFrame[tag] of distinct tags to DataFrame[tag, vec]
+    (a lookup table or a model call, O-M6), so every tag is embedded once
+    (O-J3). The records are exploded once into (key, side, pos, tag); the
+    tag -> vector table is broadcast under a checked row bound (otherwise a
+    shuffle join, with AQE splitting hot tags); the regroup per record holds
+    one record's tags, bounded by the tag-list length.
     """
-    tv = tag_vectors.select("tag", M.unit(F.col("vec")).alias("vec"))
-    rows = None
-    for c in name_cols:
-        part = posexplode_rows(records.withColumn("side", F.lit(c)), [key, "side"], c, "pos", "tag")
-        rows = part if rows is None else rows.unionByName(part)
+    def tagged(side):
+        return lambda x, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), x.alias("tag"))
+
+    sides = F.concat(*[F.transform(F.col(c), tagged(c)) for c in name_cols])
+    rows = explode_rows(records, [key], sides, "t").select(
+        key, F.col("t.side").alias("side"), F.col("t.pos").alias("pos"), F.col("t.tag").alias("tag"))
+    tv = embed(rows.select("tag").distinct()).select("tag", M.unit(F.col("vec")).alias("vec"))
+    tv = bounded_broadcast(tv, max_broadcast_rows)
     joined = rows.join(tv, "tag", "inner")
     grouped = joined.groupBy(key).agg(*[
-        F.sort_array(F.collect_list(F.when(F.col("side") == c, F.struct(
-            "pos", "tag", "vec")))).alias(c) for c in name_cols])
+        F.sort_array(F.collect_list(F.when(F.col("side") == c, F.struct("pos", "tag", "vec")))).alias(c)
+        for c in name_cols])
     grouped = grouped.select(key, *[F.transform(F.col(c), lambda x: F.struct(
         x["tag"].alias("tag"), x["vec"].alias("vec"))).alias(c + "_vecs") for c in name_cols])
-    base = records
-    out = base.join(grouped, key, "left")
+    out = records.join(grouped, key, "left")
     for c in name_cols:
-        out = out.withColumn(c + "_vecs", F.coalesce(
-            F.col(c + "_vecs"), F.expr("cast(array() as array<struct<tag:string,vec:array<double>>>)")))
+        out = out.withColumn(c + "_vecs", F.coalesce(F.col(c + "_vecs"), F.expr(f"cast(array() as {VEC_LIST_DDL})")))
     return out
 
 

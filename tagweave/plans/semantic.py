@@ -29,8 +29,7 @@ def table_embedder(spark, sf_dir):
 
 def scored_vectors(spark, sf_dir, threshold: float = THRESHOLD):
     recs = derived.vector_records(spark, sf_dir)
-    tv = table_embedder(spark, sf_dir)(score.distinct_tags(recs, "gold", "pred"))
-    v = score.attach_vectors(recs, tv, "rec_id", ["gold", "pred"])
+    v = score.attach_vectors(recs, table_embedder(spark, sf_dir), "rec_id", ["gold", "pred"])
     v = score.with_exact(v, "pred", "gold", normalise=True)
     return score.with_semantic(v, "gold_vecs", "pred_vecs", threshold)
 

@@ -200,7 +200,8 @@ def vector_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     derivation, whatever the table size).
     """
     t = vector_tags(spark, sf_dir)
-    g = t.groupBy("rec_id", "file_name").agg(
+    g = t.groupBy("rec_id").agg(
+        F.first("file_name").alias("file_name"),
         F.sort_array(F.collect_list(F.when(F.col("side") == "gold", F.struct("vec_id", "tag")))).alias("g"),
         F.sort_array(F.collect_list(F.when(F.col("side") == "pred", F.struct("vec_id", "tag")))).alias("p"))
     return g.select("rec_id", "file_name",
