@@ -36,6 +36,14 @@ def test_json_documents_and_containers(spark, tmp_dir):
     assert vals == [1, 2, 3]
 
 
+def test_strict_jsonl_fails_on_bad_line(spark, tmp_dir):
+    write(tmp_dir, "ok.jsonl", '{"index": 1}\n\n{"index": 2}\n')
+    assert readers.strict_jsonl(spark, tmp_dir).count() == 2
+    write(tmp_dir, "bad.jsonl", '{"index": 3}\nbroken\n')
+    with pytest.raises(Exception, match="invalid JSON line"):
+        readers.strict_jsonl(spark, tmp_dir).collect()
+
+
 def test_positional_record(spark):
     df = spark.createDataFrame([('[7, "q", [{"tag":"a"}]]',), ('{"prompt":"q","parsed_tags":[]}',), ('[1,2]',)],
                                "j string")
