@@ -43,9 +43,9 @@ def _checked_rare_rows(tag_rows: DataFrame, freq: DataFrame, min_freq: int, posi
     return checked.join(rare, cond, "inner").drop("_tw_rpos", "_tw_rtag")
 
 
-def rare_filter(cleaned: DataFrame, min_freq: int = 2, positions=DEFAULT_POSITIONS,
-                key: str = "index", max_broadcast_rows: int = DEFAULT_MAX_ROWS) -> dict[str, DataFrame]:
-    """O-F1 + O-F2 + O-A17. Returns DataFrames:
+class RareFilter:
+    """Outputs of the rare-tag filter, built on first access (so asking for the
+    frequency table does not run the size checks of the other outputs).
 
     kept     samples whose checked tags all have count >= min_freq
     removed  removed sample keys with up to 3 reasons (response order, then
@@ -53,29 +53,57 @@ def rare_filter(cleaned: DataFrame, min_freq: int = 2, positions=DEFAULT_POSITIO
     freq     the (pos, tag, n) table
     stats    one row: original_count, kept_count, removed_count, retention_pct
     """
-    positions = list(positions) if positions else list(DEFAULT_POSITIONS)
-    rows = first_tags(cleaned, 4, key)
-    freq = tag_frequencies(rows)
-    bad_rows = _checked_rare_rows(rows, freq, min_freq, positions, max_broadcast_rows)
-    # Removed samples are usually few: with a checked count they are
-    # broadcast and the anti join keeps the records where they are.
-    bad_keys = bounded_broadcast(bad_rows.select(key).distinct(), max_broadcast_rows)
-    kept = cleaned.join(bad_keys, key, "left_anti")
-    order = F.array_position(F.array(*[F.lit(p) for p in positions]), F.col("pos"))
-    w = W.partitionBy(key).orderBy("response_pos", order)
-    removed = (bad_rows.withColumn("reason_rank", F.row_number().over(w))
-               .where(F.col("reason_rank") <= 3)
-               .select(key, "reason_rank", "pos", "tag", "n"))
-    # Counts from one union of both sides: no join between the two totals.
-    counts = cleaned.select(F.lit(1).alias("o"), F.lit(0).alias("k")).unionByName(
-        kept.select(F.lit(0).alias("o"), F.lit(1).alias("k")))
-    stats = counts.agg(F.sum("o").alias("original_count"), F.sum("k").alias("kept_count")).select(
-        F.coalesce("original_count", F.lit(0)).alias("original_count"),
-        F.coalesce("kept_count", F.lit(0)).alias("kept_count"),
-        (F.coalesce("original_count", F.lit(0)) - F.coalesce("kept_count", F.lit(0))).alias("removed_count"),
-        (F.try_divide(F.col("kept_count").cast("double"), F.col("original_count").cast("double"))
-         * 100).alias("retention_pct"))
-    return {"kept": kept, "removed": removed, "freq": freq, "stats": stats}
+
+    def __init__(self, cleaned: DataFrame, min_freq: int, positions, key: str, max_broadcast_rows: int):
+        self.cleaned, self.min_freq, self.key = cleaned, min_freq, key
+        self.positions = list(positions) if positions else list(DEFAULT_POSITIONS)
+        self.max_rows = max_broadcast_rows
+        self.rows = first_tags(cleaned, 4, key)
+        self._cache: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._cache:
+            self._cache[name] = getattr(self, "_" + name)()
+        return self._cache[name]
+
+    def _freq(self) -> DataFrame:
+        return tag_frequencies(self.rows)
+
+    def _bad_rows(self) -> DataFrame:
+        return _checked_rare_rows(self.rows, self["freq"], self.min_freq, self.positions, self.max_rows)
+
+    def _bad_keys(self) -> DataFrame:
+        # Removed samples are usually few: with a checked count they are
+        # broadcast and the anti join keeps the records where they are.
+        return bounded_broadcast(self["bad_rows"].select(self.key).distinct(), self.max_rows)
+
+    def _kept(self) -> DataFrame:
+        return self.cleaned.join(self["bad_keys"], self.key, "left_anti")
+
+    def _removed(self) -> DataFrame:
+        order = F.array_position(F.array(*[F.lit(p) for p in self.positions]), F.col("pos"))
+        w = W.partitionBy(self.key).orderBy("response_pos", order)
+        return (self["bad_rows"].withColumn("reason_rank", F.row_number().over(w))
+                .where(F.col("reason_rank") <= 3)
+                .select(self.key, "reason_rank", "pos", "tag", "n"))
+
+    def _stats(self) -> DataFrame:
+        # Counts from one union of both sides: no join between the two totals.
+        counts = self.cleaned.select(F.lit(1).alias("o"), F.lit(0).alias("k")).unionByName(
+            self["kept"].select(F.lit(0).alias("o"), F.lit(1).alias("k")))
+        return counts.agg(F.sum("o").alias("original_count"), F.sum("k").alias("kept_count")).select(
+            F.coalesce("original_count", F.lit(0)).alias("original_count"),
+            F.coalesce("kept_count", F.lit(0)).alias("kept_count"),
+            (F.coalesce("original_count", F.lit(0)) - F.coalesce("kept_count", F.lit(0))).alias("removed_count"),
+            (F.try_divide(F.col("kept_count").cast("double"), F.col("original_count").cast("double"))
+             * 100).alias("retention_pct"))
+
+
+def rare_filter(cleaned: DataFrame, min_freq: int = 2, positions=DEFAULT_POSITIONS,
+                key: str = "index", max_broadcast_rows: int = DEFAULT_MAX_ROWS) -> RareFilter:
+    """O-F1 + O-F2 + O-A17: the filter's outputs (``kept``, ``removed``,
+    ``freq``, ``stats``), each built when first asked for."""
+    return RareFilter(cleaned, min_freq, positions, key, max_broadcast_rows)
 
 
 def top_tags(freq: DataFrame, k: int = 10) -> DataFrame:
