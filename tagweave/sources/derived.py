@@ -143,20 +143,22 @@ def judge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     diversity = conv_id % 6 + 3 and conv_id % 4 + 4; privacy = 10 - conv_id % 5
     and 10 - conv_id % 3.
 
-    One shuffle on conv_id: the per-conversation turn numbering and the
-    pivot to columns share it.
+    The pivot to columns is a groupBy over at most three rows per
+    conversation.
     """
     from pyspark.sql import Window as W
 
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    # Running per-role turn numbers over one conv_id partitioning, so the
-    # following groupBy reuses it (no second exchange).
-    w = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, W.currentRow)
+    # First user turn and first two assistant turns. row_number() <= 2 is
+    # planned as a window group limit: every task keeps at most two rows per
+    # (conversation, role) before the exchange, so a conversation holding a
+    # large share of all turns never reaches one task whole.
+    w = W.partitionBy("conv_id", "role").orderBy("turn")
     is_user, is_asst = F.col("role") == "user", F.col("role") == "assistant"
     ranked = (conv.where(F.col("role").isin("user", "assistant"))
-              .withColumn("rn", F.when(is_user, F.count(F.when(is_user, 1)).over(w))
-                          .otherwise(F.count(F.when(is_asst, 1)).over(w)))
-              .where((is_user & (F.col("rn") == 1)) | (is_asst & (F.col("rn") <= 2))))
+              .withColumn("rn", F.row_number().over(w))
+              .where(F.col("rn") <= 2)
+              .where(is_asst | (F.col("rn") == 1)))
     pairs = ranked.groupBy("conv_id").agg(
         F.max(F.when(F.col("role") == "user", F.col("text"))).alias("prompt"),
         F.max(F.when((F.col("role") == "assistant") & (F.col("rn") == 1), F.col("text"))).alias("response1"),
