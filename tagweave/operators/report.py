@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagweave.functions.rows import posexplode_rows
+from tagweave.functions.sizing import DEFAULT_MAX_ROWS, bounded_broadcast
 from tagweave.functions.text import lower_strip
 
 
@@ -40,6 +41,21 @@ def tag_distribution(pos_tags: DataFrame, positions=(0, 1, 2, 3), key: str = "fi
             .withColumn("pct", F.col("n") * 100.0 / F.col("total")))
 
 
+def files_with_list(df: DataFrame, col: str, key: str = "file_name") -> DataFrame:
+    """Keys having at least one record whose ``col`` is a list (even empty)."""
+    return df.groupBy(key).agg(F.count_if(F.col(col).isNotNull()).alias("_n")).where(
+        F.col("_n") > 0).select(key)
+
+
+def skip_files_without(report_df: DataFrame, records: DataFrame, col: str, key: str = "file_name",
+                       max_broadcast_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    """O-A2: a file without any generated list is left out of the report
+    entirely (both sides). The file list is small and broadcast under a
+    checked bound."""
+    keep = bounded_broadcast(files_with_list(records, col, key), max_broadcast_rows)
+    return report_df.join(keep, key, "left_semi")
+
+
 def topic_top(pos_tags: DataFrame, k: int = 30, side: str = "gen", key: str = "file_name") -> DataFrame:
     """O-A3 + O-T1: topics (positions >= 4 pooled) per key: top k by count,
     ties by tag, with the pooled total and distinct count."""

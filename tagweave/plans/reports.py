@@ -18,8 +18,9 @@ def _parsed(spark, sf_dir):
 
 
 def tag_distribution(spark, sf_dir):
-    p = report.positional_tags(_parsed(spark, sf_dir), {"gen": "generated_tags", "gold": "gold"})
-    d = report.tag_distribution(p)
+    parsed = _parsed(spark, sf_dir)
+    p = report.positional_tags(parsed, {"gen": "generated_tags", "gold": "gold"})
+    d = report.skip_files_without(report.tag_distribution(p), parsed, "generated_tags")
     return d.select("file_name", "side", "pos", "tag", "n", "total", "n_distinct", r6("pct"))
 
 

@@ -60,3 +60,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir() or conf_dir
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="tagweave-ckpt-"))
     return sc.getCheckpointDir()
+
+
+def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 128 << 20) -> dict:
+    """Partition sizing for a cluster run over ``input_bytes`` of input.
+
+    Scan splits of ``target_partition_bytes`` x 2 (documents carry long
+    texts, so one split stays well within a task's memory after decoding),
+    an initial shuffle partition count that gives every shuffle partition
+    about ``target_partition_bytes`` at the input size (never fewer than two
+    waves of tasks), and AQE coalescing / skew splitting around the same
+    advisory size. Pass the result as ``extra`` to ``build_session``.
+    """
+    shuffle_parts = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(2 * target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle_parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(target_partition_bytes // 4),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    }
+

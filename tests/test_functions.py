@@ -173,3 +173,11 @@ def test_tags_to_json(spark):
     assert got[3] == '{"x":1}'
     missing = spark.createDataFrame([(1,)], "a int").select(tags_to_json(F.lit(None).cast("variant")).alias("o"))
     assert missing.first().o == "[]"
+
+
+def test_scale_conf():
+    from tagweave.session import scale_conf
+
+    c = scale_conf(100 * (1 << 40), 8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 819200
+    assert scale_conf(1 << 20, 8)["spark.sql.shuffle.partitions"] == "16"

@@ -118,3 +118,47 @@ def test_per_group_limit(spark):
     df = spark.createDataFrame([("a", i) for i in range(30)] + [("b", 1)], "g string, k int")
     out = split.per_group_limit(df, "g", [F.col("k")], 5)
     assert sorted((r.g, r.k) for r in out.collect()) == [("a", i) for i in range(5)] + [("b", 1)]
+
+
+def test_distribution_skips_file_without_generated_lists(spark):
+    df = spark.createDataFrame(
+        [("f1", [("a", "x")], [("g", "y")]), ("f2", None, [("g", "y")])],
+        "file_name string, gen array<struct<tag:string,explanation:string>>, "
+        "gold array<struct<tag:string,explanation:string>>")
+    p = report.positional_tags(df, {"gen": "gen", "gold": "gold"})
+    d = report.skip_files_without(report.tag_distribution(p), df, "gen")
+    assert {r.file_name for r in d.collect()} == {"f1"}
+
+
+def test_weight_in_unit_interval(spark):
+    import random
+
+    from tagweave.operators import export
+
+    rnd = random.Random(11)
+    rows = []
+    for _ in range(300):
+        dc, dr, pc, pr = (float(rnd.randint(0, 10)) for _ in range(4))
+        rows.append(("p", "c", "r", abs(dc - dr), pc, pr))
+    df = spark.createDataFrame(rows, "prompt string, chosen string, rejected string, diversity_gap double, "
+                                     "privacy_chosen double, privacy_rejected double")
+    w = export.dpo_weighted(df)
+    assert w.where((F.col("weight") < 0) | (F.col("weight") > 1)).count() == 0
+
+
+def test_kept_plus_removed_is_input(spark):
+    rows = [(i, [f'[{{"tag":"t{i % 7}"}},{{"tag":"u{i % 11}"}}]']) for i in range(60)]
+    out = freq.rare_filter(parse.clean_responses(gen_records(spark, rows)), min_freq=6)
+    s = out["stats"].first()
+    assert s.kept_count + s.removed_count == s.original_count == 60
+    assert out["kept"].count() == s.kept_count
+
+
+def test_tags_to_json_idempotent(spark):
+    from tagweave.operators.export import tags_to_json
+
+    rows = [('[{"tag":"a","explanation":"x"},"b",{"explanation":"only"},7]',), ('[]',)]
+    df = spark.createDataFrame(rows, "j string")
+    once = df.select(tags_to_json(F.parse_json("j")).alias("o"))
+    twice = once.select("o", tags_to_json(F.parse_json("o")).alias("t"))
+    assert all(r.o == r.t for r in twice.collect())
