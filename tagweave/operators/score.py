@@ -101,8 +101,8 @@ def failed_cases(scored: DataFrame, order_key: str, gold_names: str = "gold_name
     the window would be pushed into the scan with the whole score expression
     inlined. ``row_number() <= k`` is planned as a window group limit, so each
     task forwards at most k rows per file through the exchange (a hot file
-    does not funnel to one task), and ``text`` is reduced to its preview only
-    for the rows that survive.
+    does not funnel to one task), and ``text`` (an expression over the row,
+    e.g. the truncated input) is evaluated only for the rows that survive.
     """
     valid = F.size(F.col(gold_names)) > 0
     failed = F.col("exact_match_f1") < fail_below
@@ -112,13 +112,12 @@ def failed_cases(scored: DataFrame, order_key: str, gold_names: str = "gold_name
     if "error" in scored.columns:
         is_case = is_case & F.col("error").isNull()
     staged = scored.withColumn("_tw_case", is_case)
-    if text is not None:
-        staged = staged.withColumn("_tw_text", text)
     w = W.partitionBy(key).orderBy(F.col("_tw_case").desc(), F.col(order_key))
     out = (staged.withColumn("case_rank", F.row_number().over(w))
            .where((F.col("case_rank") <= k) & F.col("_tw_case")))
     if text is not None:
-        out = out.withColumn("input_preview", preview(F.col("_tw_text"))).drop("_tw_text")
+        # Evaluated on the surviving rows only (at most k per file).
+        out = out.withColumn("input_preview", preview(text))
     return out.drop("_tw_case")
 
 
