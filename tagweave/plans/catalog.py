@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagweave.plans import evaluation, judging, preference, reports, roundtrip, semantic, sft
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+_PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_stage_counts": evaluation.parse_stage_counts,
     "parsed_tag_rows": evaluation.parsed_tag_rows,
     "exact_prf_by_doc": evaluation.exact_prf_by_doc,
@@ -56,3 +58,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rows_per_file": reports.rows_per_file,
     "sft_targets": sft.sft_targets,
 }
+
+
+def _bigint_outputs(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Output contract of the registry: integer columns are BIGINT."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = fn(spark, sf_dir)
+        return df.select(*[F.col(f.name).cast("bigint").alias(f.name)
+                           if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)) else F.col(f.name)
+                           for f in df.schema.fields])
+    run.__name__ = getattr(fn, "__name__", "query")
+    run.__doc__ = fn.__doc__
+    return run
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _bigint_outputs(v) for k, v in _PLANS.items()}
+

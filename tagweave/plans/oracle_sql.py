@@ -116,9 +116,10 @@ SELECT file_name, total_samples, valid_samples, round(ep, 6) AS exact_match_prec
        round(er, 6) AS exact_match_recall, round(ef, 6) AS exact_match_f1, failed_cases_count FROM fm"""
 
 QUERIES["overall_macro"] = _with(DOCS, GEN_POS, GOLD_POS, PRED_POS, LISTS, FILE_METRICS) + """
-SELECT count(*) AS n_files, sum(total_samples) AS total_samples, sum(valid_samples) AS valid_samples,
+SELECT count(*) AS n_files, CAST(sum(total_samples) AS BIGINT) AS total_samples,
+       CAST(sum(valid_samples) AS BIGINT) AS valid_samples,
        round(avg(ep), 6) AS exact_match_precision, round(avg(er), 6) AS exact_match_recall,
-       round(avg(ef), 6) AS exact_match_f1, sum(failed_cases_count) AS failed_cases_count FROM fm"""
+       round(avg(ef), 6) AS exact_match_f1, CAST(sum(failed_cases_count) AS BIGINT) AS failed_cases_count FROM fm"""
 
 QUERIES["failed_cases"] = EVAL_BASE + """,
 toks AS (SELECT doc_id, text, regexp_extract_all(text, '\\S+') AS tk FROM d),
@@ -154,7 +155,7 @@ def _norm(x: str) -> str:
 # only when it is a bare or fenced JSON list), 2 = the gold JSON list.
 RESP = f"""
 resp AS (
-  SELECT doc_id AS index, file_name, 1 AS response_id, 0 AS response_pos, pos, tag AS raw_tag,
+  SELECT doc_id AS index, file_name, CAST(1 AS BIGINT) AS response_id, 0 AS response_pos, pos, tag AS raw_tag,
          {_norm('tag')} AS tag
   FROM gen_pos WHERE doc_id % 5 IN (0, 1) AND doc_id % 23 <> 0
   UNION ALL
@@ -204,14 +205,14 @@ sides AS (
 QUERIES["tag_distribution"] = _with(DOCS, GEN_POS, GOLD_POS, PRED_POS, SIDES) + """,
 c AS (SELECT file_name, side, pos, tag, count(*) AS n FROM sides WHERE pos < 4 GROUP BY ALL)
 SELECT file_name, side, pos, tag, n,
-       sum(n) OVER (PARTITION BY file_name, side, pos) AS total,
+       CAST(sum(n) OVER (PARTITION BY file_name, side, pos) AS BIGINT) AS total,
        count(*) OVER (PARTITION BY file_name, side, pos) AS n_distinct,
        round(n * 100.0 / sum(n) OVER (PARTITION BY file_name, side, pos), 6) AS pct
 FROM c"""
 
 QUERIES["topic_top30"] = _with(DOCS, GEN_POS, PRED_POS) + """,
 c AS (SELECT file_name, tag, count(*) AS n FROM pred_pos WHERE pos >= 4 GROUP BY ALL),
-r AS (SELECT *, sum(n) OVER (PARTITION BY file_name) AS total,
+r AS (SELECT *, CAST(sum(n) OVER (PARTITION BY file_name) AS BIGINT) AS total,
              count(*) OVER (PARTITION BY file_name) AS n_distinct,
              row_number() OVER (PARTITION BY file_name ORDER BY n DESC, tag) AS rank FROM c)
 SELECT file_name, rank, tag, n, total, n_distinct FROM r WHERE rank <= 30"""
@@ -519,7 +520,7 @@ QUERIES["two_temperature_responses"] = """
 SELECT doc_id, r.response_id, r.temperature,
        '[{"tag": "words' || CAST(len(regexp_extract_all(text, '\\S+')) AS VARCHAR)
        || '", "explanation": "sampled at ' || CAST(r.temperature AS VARCHAR) || '"}]' AS text
-FROM documents CROSS JOIN (VALUES (1, 0.5::DOUBLE), (2, 0.9::DOUBLE)) r(response_id, temperature)"""
+FROM documents CROSS JOIN (VALUES (1::BIGINT, 0.5::DOUBLE), (2::BIGINT, 0.9::DOUBLE)) r(response_id, temperature)"""
 
 QUERIES["jsonl_roundtrip"] = """
 SELECT source AS file_name, count(*) AS records, 2 * count(*) AS responses,
@@ -545,7 +546,7 @@ f AS (
          WHEN inter = 0 THEN 0.0
          ELSE 2 * (inter / len(ps)) * (inter / len(gs)) / (inter / len(ps) + inter / len(gs)) END AS f1
   FROM q)
-SELECT file_name, count(*) AS n, round(coalesce(avg(f1), 0.0), 6) AS mean_f1, sum(np) AS n_pred_tags
+SELECT file_name, count(*) AS n, round(coalesce(avg(f1), 0.0), 6) AS mean_f1, CAST(sum(np) AS BIGINT) AS n_pred_tags
 FROM f GROUP BY file_name"""
 
 

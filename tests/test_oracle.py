@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from scripts.oracle_check import TABLES, canon
+from scripts.oracle_check import TABLES, canon, type_mismatches
 
 SF = os.environ.get("TAGWEAVE_TEST_SF", "/root/testdata/sf0.001")
 QUERIES = E.queries()
@@ -33,6 +33,7 @@ def test_query_matches_oracle(spark, con, name):
     res = con.execute(SQL[name])
     d_cols, d_rows = [c[0] for c in res.description], res.fetchall()
     assert sorted(s_cols) == sorted(d_cols)
+    assert type_mismatches(df, con.sql(SQL[name])) == {}
     assert canon(s_cols, s_rows) == canon(d_cols, d_rows)
 
 
