@@ -118,3 +118,16 @@ def best_matches(gold, pred) -> Column:
         F.transform(g, lambda gt: F.struct(gt["tag"].alias("gold_tag"),
                                            F.lit(None).cast("string").alias("pred_tag"),
                                            F.lit(None).cast("double").alias("similarity"))))
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_bag(tag) -> Column:
+    """Stand-in tag encoder as JVM expressions: counts of the 26 letters a-z
+    in the lower-cased tag (case, spaces, underscores and punctuation do not
+    matter, so spelling variants of one tag share a vector)."""
+    t = F.lower(_c(tag))
+    return F.array(*[(F.length(t) - F.length(F.replace(t, F.lit(ch), F.lit("")))).cast("double")
+                     for ch in LETTERS])
+

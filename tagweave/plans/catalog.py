@@ -57,6 +57,7 @@ _PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_long_form": reports.report_long_form,
     "rows_per_file": reports.rows_per_file,
     "sft_targets": sft.sft_targets,
+    "semantic_doc_file_metrics": semantic.semantic_doc_file_metrics,
 }
 
 

@@ -594,3 +594,44 @@ gj AS (
                     WHEN 3 THEN 'the language' ELSE 'the topic' END} ORDER BY pos)) AS j
   FROM gold_pos GROUP BY doc_id)
 SELECT d.doc_id, coalesce(gj.j, '[]') || ' <eos>' AS target FROM d LEFT JOIN gj USING (doc_id)"""
+
+
+# Bag-of-letters vectors of the document tags (same encoder as metrics.letter_bag).
+DOC_VEC = """
+sides AS (
+  SELECT doc_id, file_name, 'gold' AS side, pos, tag FROM gold_pos
+  UNION ALL SELECT doc_id, file_name, 'pred', pos, tag FROM pred_pos),
+sv AS (SELECT *, [CAST(length(lower(tag)) - length(replace(lower(tag), 'a', '')) AS DOUBLE), CAST(length(lower(tag)) - length(replace(lower(tag), 'b', '')) AS DOUBLE), CAST(length(lower(tag)) - length(replace(lower(tag), 'c', '')) AS DOUBLE), CAST(length(lower(tag)) - length(replace(lower(tag), 'd', '')) AS DOUBLE), CAST(length(lower(tag)) - length(replace(lower(tag), 'e', '')) AS DOUBLE), CAST(length(lower(tag)) - length(replace(lower(tag), 'f', '')) AS DOUBLE), CAST(length(lower(tag)) - length(replace(lower(tag), 'g', '')) AS DOUBLE), CAST(length(lower(tag)) - length(replace(lower(tag), 'h', '')) AS DOUBLE), CAST(length(lower(tag)) - length(replace(lower(tag), 'i', '')) AS DOUBLE), CAST(length(lower(tag)) - length(replace(lower(tag), 'j', '')) AS DOUBLE), CAST(length(lower(tag)) - length(replace(lower(tag), 'k', '')) AS DOUBLE), CAST(length(lower(tag)) - length(replace(lower(tag), 'l', '')) AS DOUBLE), CAST(length(lower(tag)) - length(replace(lower(tag), 'm', '')) AS DOUBLE), CAST(length(lower(tag)) - length(replace(lower(tag), 'n', '')) AS DOUBLE), CAST(length(lower(tag)) - length(replace(lower(tag), 'o', '')) AS DOUBLE), CAST(length(lower(tag)) - length(replace(lower(tag), 'p', '')) AS DOUBLE), CAST(length(lower(tag)) - length(replace(lower(tag), 'q', '')) AS DOUBLE), CAST(length(lower(tag)) - length(replace(lower(tag), 'r', '')) AS DOUBLE), CAST(length(lower(tag)) - length(replace(lower(tag), 's', '')) AS DOUBLE), CAST(length(lower(tag)) - length(replace(lower(tag), 't', '')) AS DOUBLE), CAST(length(lower(tag)) - length(replace(lower(tag), 'u', '')) AS DOUBLE), CAST(length(lower(tag)) - length(replace(lower(tag), 'v', '')) AS DOUBLE), CAST(length(lower(tag)) - length(replace(lower(tag), 'w', '')) AS DOUBLE), CAST(length(lower(tag)) - length(replace(lower(tag), 'x', '')) AS DOUBLE), CAST(length(lower(tag)) - length(replace(lower(tag), 'y', '')) AS DOUBLE), CAST(length(lower(tag)) - length(replace(lower(tag), 'z', '')) AS DOUBLE)] AS v FROM sides),
+svn AS (SELECT *, sqrt(list_dot_product(v, v)) AS nv FROM sv),
+dsims AS (
+  SELECT g.doc_id, g.pos AS gpos, p.pos AS ppos,
+         CASE WHEN g.nv = 0 OR p.nv = 0 THEN 0.0 ELSE list_dot_product(g.v, p.v) / (g.nv * p.nv) END AS sim
+  FROM svn g JOIN svn p ON g.doc_id = p.doc_id AND g.side = 'gold' AND p.side = 'pred'),
+dh AS (
+  SELECT doc_id,
+    count(DISTINCT gpos) FILTER (WHERE sim > 0.8) AS gh, count(DISTINCT ppos) FILTER (WHERE sim > 0.8) AS ph
+  FROM dsims GROUP BY doc_id),
+dm0 AS (
+  SELECT s.doc_id, s.file_name, s.p, s.r, s.f1, len(s.gold) AS ng, len(s.pred) AS np,
+         coalesce(dh.gh, 0) AS gh, coalesce(dh.ph, 0) AS ph
+  FROM scored s LEFT JOIN dh USING (doc_id)),
+dm AS (
+  SELECT *,
+    CASE WHEN ng = 0 AND np = 0 THEN 1.0 WHEN ng = 0 OR np = 0 THEN 0.0 ELSE gh / ng END AS sa,
+    CASE WHEN ng = 0 OR np = 0 THEN 0.0 ELSE gh / ng END AS sr,
+    CASE WHEN ng = 0 OR np = 0 THEN 0.0 ELSE ph / np END AS sp
+  FROM dm0),
+dmf AS (SELECT *, CASE WHEN sp + sr > 0 THEN 2 * sp * sr / (sp + sr) ELSE 0.0 END AS sf FROM dm)"""
+
+QUERIES["semantic_doc_file_metrics"] = EVAL_BASE + "," + DOC_VEC + """
+SELECT file_name, count(*) AS total_samples, count(*) FILTER (WHERE ng > 0) AS valid_samples,
+  round(avg(p) FILTER (WHERE ng > 0), 6) AS exact_match_precision,
+  round(avg(r) FILTER (WHERE ng > 0), 6) AS exact_match_recall,
+  round(avg(f1) FILTER (WHERE ng > 0), 6) AS exact_match_f1,
+  round(avg(sa) FILTER (WHERE ng > 0), 6) AS semantic_accuracy,
+  round(avg(sf) FILTER (WHERE ng > 0), 6) AS semantic_f1,
+  round(avg(sp) FILTER (WHERE ng > 0), 6) AS semantic_precision,
+  round(avg(sr) FILTER (WHERE ng > 0), 6) AS semantic_recall,
+  count(*) FILTER (WHERE ng > 0 AND (f1 < 0.5 OR sa < 0.5)) AS failed_cases_count
+FROM dmf GROUP BY file_name HAVING count(*) FILTER (WHERE ng > 0) > 0"""
+

@@ -51,3 +51,25 @@ def semantic_file_metrics(spark, sf_dir):
     m = score.file_metrics(scored_vectors(spark, sf_dir), gold_names="gold", semantic=True)
     return m.select("file_name", "total_samples", "valid_samples",
                     *[r6(c) for c in score.EXACT + score.SEMANTIC], "failed_cases_count")
+
+
+def letter_embedder(tags):
+    """tags DataFrame[tag] -> DataFrame[tag, vec] with the bag-of-letters encoder."""
+    from tagweave.functions.metrics import letter_bag
+
+    return tags.select("tag", letter_bag(F.col("tag")).alias("vec"))
+
+
+def semantic_doc_file_metrics(spark, sf_dir):
+    """Full per-file metrics (exact + semantic) of the tags extracted from the
+    model outputs of the document records against their gold tags."""
+    from tagweave.plans.evaluation import scored_records
+
+    r = scored_records(spark, sf_dir).withColumn("rid", F.col("doc_id"))
+    v = score.attach_vectors(r.select("rid", "file_name", "pred_names", "gold_names", *score.EXACT),
+                             letter_embedder, "rid", ["gold_names", "pred_names"])
+    s = score.with_semantic(v, "gold_names_vecs", "pred_names_vecs", THRESHOLD)
+    m = score.file_metrics(s, gold_names="gold_names", semantic=True)
+    return m.select("file_name", "total_samples", "valid_samples",
+                    *[r6(c) for c in score.EXACT + score.SEMANTIC], "failed_cases_count")
+
