@@ -11,7 +11,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tagweave.functions.text import _c, strip_ws, normalize_tag
-from tagweave.schemas import TAG_LIST_DDL
 
 _END_KEY = "__tw_end"
 
@@ -68,22 +67,6 @@ def variant_str(v, key: str) -> Column:
                       F.when(has_key(v, key), F.lit("None")))
 
 
-def tag_items(arr, normalise: bool = False) -> Column:
-    """Map ARRAY<VARIANT> to ARRAY<STRUCT<tag, explanation>> keeping every element.
-
-    Objects with a ``tag`` key keep its string value (JSON null -> NULL);
-    other elements give a NULL tag and carry their JSON text in explanation
-    so positions are not lost. ``normalise`` applies O-P5 to the tag.
-    """
-    def one(x):
-        tag = F.when(has_key(x, "tag"), F.try_variant_get(x, "$.tag", "string"))
-        if normalise:
-            tag = normalize_tag(tag)
-        return F.struct(tag.alias("tag"),
-                        F.try_variant_get(x, "$.explanation", "string").alias("explanation"))
-    return F.transform(arr, one)
-
-
 def tag_items_with_flag(arr, normalise: bool = False) -> Column:
     """Like tag_items but adds ``is_tag`` (object with a ``tag`` key) and
     ``is_str`` and ``text`` (the element's string or JSON form)."""
@@ -100,7 +83,3 @@ def tag_items_with_flag(arr, normalise: bool = False) -> Column:
             F.when(is_str, F.try_variant_get(x, "$", "string")).otherwise(F.to_json(x)).alias("text"),
         )
     return F.transform(arr, one)
-
-
-def empty_tag_list() -> Column:
-    return F.expr(f"cast(array() as {TAG_LIST_DDL})")

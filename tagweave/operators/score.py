@@ -124,15 +124,6 @@ def failed_cases(scored: DataFrame, order_key: str, gold_names: str = "gold_name
 # ---------------------------------------------------------------------------
 # Semantic scoring: embeddings joined on distinct tags (O-J3, O-M6)
 
-def distinct_tags(records: DataFrame, *name_cols: str) -> DataFrame:
-    """Distinct tag names over the given name-array columns (one row per tag)."""
-    parts = [explode_rows(records, [], c, "tag") for c in name_cols]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
-
-
 VEC_LIST_DDL = "array<struct<tag:string,vec:array<double>>>"
 
 

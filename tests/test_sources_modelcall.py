@@ -149,3 +149,30 @@ def test_running_tag_counts(spark, tmp_dir):
 
     t = resume.running_tag_counts(spark, src, ck, schema, rows, table="tw_counts_test")
     assert sorted((r.pos, r.tag, r.n) for r in t.collect()) == [(0, "x", 2), (1, "y", 1)]
+
+
+def test_judge_input_containers(spark, tmp_dir):
+    write(tmp_dir, "a.jsonl", '{"index": 1}\n')
+    write(tmp_dir, "b.json", json.dumps({"meta": 1, "results": [{"index": 2}, {"index": 3}]}))
+    got = sorted(r[0] for r in readers.judge_input(spark, tmp_dir)
+                 .select(F.try_variant_get("v", "$.index", "int")).collect())
+    assert got == [1, 2, 3]
+
+
+def test_report_and_run_record_sinks(spark, tmp_dir):
+    rep = spark.createDataFrame([("f", "generated", 0, "a", 2, 100.0)],
+                                "file_name string, section string, pos int, tag string, n long, pct double")
+    sinks.write_report(rep, os.path.join(tmp_dir, "report"))
+    assert spark.read.option("header", "true").csv(os.path.join(tmp_dir, "report")).count() == 1
+    run = spark.createDataFrame([("m", 0.4, 0.6)], "model string, before_f1 double, after_f1 double")
+    sinks.append_run(run, os.path.join(tmp_dir, "runs"))
+    sinks.append_run(run, os.path.join(tmp_dir, "runs"))
+    back = spark.read.json(os.path.join(tmp_dir, "runs"))
+    assert back.count() == 2 and "recorded_at" in back.columns
+
+
+def test_responses_from_table(spark):
+    recs = spark.createDataFrame([(1, "p1"), (2, "p2")], "index long, prompt string")
+    outs = spark.createDataFrame([(1, "[]")], "index long, raw_response string")
+    got = {r["index"]: r.error for r in modelcall.responses_from_table(recs, outs, "index").collect()}
+    assert got == {1: None, 2: modelcall.GENERATION_FAILED}
