@@ -79,14 +79,21 @@ def file_metrics(scored: DataFrame, gold_names: str = "gold_names", key: str = "
     return ok.groupBy(key).agg(*aggs).where(F.col("valid_samples") > 0)
 
 
-def overall(metrics: DataFrame, semantic: bool = True) -> DataFrame:
-    """Overall summary (O-A14): unweighted mean of per-file means, sums of counts."""
+def overall(metrics: DataFrame, semantic: bool = True, micro: bool = False) -> DataFrame:
+    """Overall summary (O-A14): unweighted (macro) mean of the per-file means
+    and sums of the counts. ``micro`` weights each file's mean by its valid
+    rows instead, i.e. the mean over all valid rows."""
     metric_cols = EXACT + (SEMANTIC if semantic else [])
+    if micro:
+        means = [(F.sum(F.col(m) * F.col("valid_samples")) / F.sum("valid_samples")).alias(m)
+                 for m in metric_cols]
+    else:
+        means = [F.avg(m).alias(m) for m in metric_cols]
     return metrics.agg(
         F.count(F.lit(1)).alias("n_files"),
         F.sum("total_samples").alias("total_samples"),
         F.sum("valid_samples").alias("valid_samples"),
-        *[F.avg(m).alias(m) for m in metric_cols],
+        *means,
         F.sum("failed_cases_count").alias("failed_cases_count"))
 
 

@@ -162,3 +162,13 @@ def test_tags_to_json_idempotent(spark):
     once = df.select(tags_to_json(F.parse_json("j")).alias("o"))
     twice = once.select("o", tags_to_json(F.parse_json("o")).alias("t"))
     assert all(r.o == r.t for r in twice.collect())
+
+
+def test_overall_macro_vs_micro(spark):
+    from tagweave.operators import score
+
+    m = spark.createDataFrame([("a", 10, 10, 1.0, 1.0, 1.0, 0), ("b", 2, 2, 0.0, 0.0, 0.0, 2)],
+                              "file_name string, total_samples long, valid_samples long, exact_match_precision double, "
+                              "exact_match_recall double, exact_match_f1 double, failed_cases_count long")
+    assert score.overall(m, semantic=False).first().exact_match_f1 == pytest.approx(0.5)
+    assert score.overall(m, semantic=False, micro=True).first().exact_match_f1 == pytest.approx(10 / 12)
