@@ -37,11 +37,13 @@ def _batches(pdf: pd.DataFrame, size: int):
 def generate(df: DataFrame, text_col: str, factory: Callable[[], Callable] = lambda: word_count_tagger,
              batch_size: int = 8, out: str = "raw_response") -> DataFrame:
     """O-M1: one model output per row. A failing batch writes
-    'Generation failed' for each of its rows and sets ``error``."""
+    'Generation failed' for each of its rows (those rows are still parsed
+    and scored, as in the reference) and records the cause in
+    ``generation_error``; outputs are stripped."""
     from pyspark.sql import types as T
 
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType()),
-                                              T.StructField("error", T.StringType())])
+                                              T.StructField("generation_error", T.StringType())])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory()
@@ -50,13 +52,13 @@ def generate(df: DataFrame, text_col: str, factory: Callable[[], Callable] = lam
             for b in _batches(pdf, batch_size):
                 prompts = b[text_col].fillna("").tolist()
                 try:
-                    res = list(model(prompts))
+                    res = [(r or "").strip() for r in model(prompts)]
                     outs += res
                     errs += [None] * len(res)
                 except Exception as e:  # noqa: BLE001 - isolate the batch, as the reference does
                     outs += [GENERATION_FAILED] * len(prompts)
                     errs += [f"{type(e).__name__}: {e}"] * len(prompts)
-            yield pdf.assign(**{out: outs, "error": errs})
+            yield pdf.assign(**{out: outs, "generation_error": errs})
 
     return df.mapInPandas(run, schema)
 
@@ -185,4 +187,5 @@ def responses_from_table(df: DataFrame, responses: DataFrame, key: str, text_col
     """O-M1 default: take model outputs from an existing table by key (left
     join; a missing output is a failed generation)."""
     j = df.join(responses.select(key, F.col(text_col)), key, "left")
-    return j.withColumn("error", F.when(F.col(text_col).isNull(), F.lit(GENERATION_FAILED)))
+    return (j.withColumn("generation_error", F.when(F.col(text_col).isNull(), F.lit("missing output")))
+            .withColumn(text_col, F.coalesce(F.col(text_col), F.lit(GENERATION_FAILED))))

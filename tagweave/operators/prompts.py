@@ -29,14 +29,16 @@ def inference_text(df: DataFrame, input_col: str = "input", prompt_col: str = "p
 
 
 def build_prompts(df: DataFrame, max_tokens: int = 300, template: str = EVAL_TEMPLATE,
-                  wrap: bool = True) -> DataFrame:
-    """O-P3 + O-P2 + O-P17 on ``inference_context``: head/tail truncation,
-    template, chat markers. Adds n_tokens, truncated, truncated_input, prompt."""
+                  wrap: bool = True, stored_tokens: int = 600) -> DataFrame:
+    """O-P3 + O-P2 + O-P17 on ``inference_context``: head/tail truncation to
+    ``max_tokens`` for the prompt, template, chat markers. Adds n_tokens,
+    truncated, prompt_text, and ``truncated_input`` (the context truncated to
+    ``stored_tokens``, kept with the results for failure previews)."""
     toks = F.size(word_tokens(F.col("inference_context")))
     out = (df.withColumn("n_tokens", toks)
            .withColumn("truncated", F.col("n_tokens") > max_tokens)
-           .withColumn("truncated_input", truncate_head_tail(F.col("inference_context"), max_tokens)))
-    p = fill_template(template, text=F.col("truncated_input"))
+           .withColumn("truncated_input", truncate_head_tail(F.col("inference_context"), stored_tokens)))
+    p = fill_template(template, text=truncate_head_tail(F.col("inference_context"), max_tokens))
     return out.withColumn("prompt_text", chat_wrap(p) if wrap else p)
 
 

@@ -60,7 +60,7 @@ def overall_macro(spark, sf_dir):
 def failed_cases(spark, sf_dir):
     r = scored_records(spark, sf_dir, with_text=True)
     f = score.failed_cases(r, order_key="doc_id", semantic=False, k=5,
-                           text=truncate_head_tail(F.col("text"), 300))
+                           text=truncate_head_tail(F.col("text"), 600))
     return f.select("file_name", "case_rank", "doc_id", r6("exact_match_f1"),
                     F.array_join("pred_names", "|").alias("predicted"),
                     F.array_join("gold_names", "|").alias("ground_truth"), "input_preview")

@@ -47,17 +47,18 @@ def evaluate_files(spark: SparkSession, data_dir: str, output_dir: str,
         rows = split.per_group_limit(rows, "file_name", [F.col("index")], num_samples).drop("rn")
     src = prompts.build_prompts(prompts.inference_text(rows), max_tokens=max_tokens)
     src = src.withColumn("gold_names", variant_tag_names(F.col("parsed_tags")))
-    gen = modelcall.generate(src.drop("v", "parsed_tags", "generated_tags", "error"), "prompt_text",
+    gen = modelcall.generate(src.drop("v", "parsed_tags", "generated_tags"), "prompt_text",
                              model_factory, batch_size=batch_size)
     results_path = f"{output_dir}/results"
     sinks.write_results(gen.select("file_name", "index", "truncated_input", "gold_names", "raw_response",
-                                   "error"), results_path, run_name)
+                                   "generation_error", "error"), results_path, run_name)
     res = spark.read.schema(
         "file_name string, run string, index bigint, truncated_input string, gold_names array<string>, "
-        "raw_response string, error string").json(results_path)
+        "raw_response string, generation_error string, error string").json(results_path)
     res = res.where(F.col("run") == sinks_run(run_name)).drop("run")
     res = score.parse_generated(res, "raw_response")
-    # A row whose call failed keeps its error and stays out of the counts (O-P21).
+    # Rows whose input item carried an ``error`` stay out of the counts (O-P21);
+    # a failed model call is scored like any output ("Generation failed").
     res = res.withColumn("pred_names", tag_names(F.col("generated_tags")))
     scored = score.with_exact(res, "pred_names", "gold_names", normalise=True)
     semantic = embed is not None

@@ -124,9 +124,9 @@ SELECT count(*) AS n_files, CAST(sum(total_samples) AS BIGINT) AS total_samples,
 QUERIES["failed_cases"] = EVAL_BASE + """,
 toks AS (SELECT doc_id, text, regexp_extract_all(text, '\\S+') AS tk FROM d),
 trunc AS (
-  SELECT doc_id, CASE WHEN len(tk) <= 300 THEN text
-    ELSE array_to_string(tk[1:150], ' ') || chr(10) || chr(10) || '[Content truncated]' || chr(10) || chr(10)
-         || array_to_string(tk[len(tk) - 149:], ' ') END AS truncated_input FROM toks),
+  SELECT doc_id, CASE WHEN len(tk) <= 600 THEN text
+    ELSE array_to_string(tk[1:300], ' ') || chr(10) || chr(10) || '[Content truncated]' || chr(10) || chr(10)
+         || array_to_string(tk[len(tk) - 299:], ' ') END AS truncated_input FROM toks),
 failed AS (
   SELECT s.*, t.truncated_input,
          row_number() OVER (PARTITION BY s.file_name ORDER BY s.doc_id) AS case_rank

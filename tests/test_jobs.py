@@ -61,3 +61,23 @@ def test_curate_preferences(spark, tmp_dir):
     assert sum(outcomes.values()) == 9          # 3 records have a single response
     assert out["export"].count() == outcomes.get("kept", 0)
     assert out["filter_stats"].first().original_count == 12
+
+
+def test_failed_generation_is_still_scored(spark, tmp_dir):
+    def flaky():
+        def model(prompts):
+            if any("boom" in p for p in prompts):
+                raise RuntimeError("engine down")
+            return ['[{"tag": "ok", "explanation": "e"}]' for _ in prompts]
+        return model
+
+    data = os.path.join(tmp_dir, "data")
+    write(data, "a.jsonl", "\n".join(json.dumps(x) for x in [
+        {"index": 1, "input": "boom", "parsed_tags": [{"tag": "ok"}]},
+        {"index": 2, "input": "fine", "parsed_tags": [{"tag": "ok"}], "error": "bad source row"},
+    ]) + "\n")
+    out = jobs.evaluate_files(spark, data, os.path.join(tmp_dir, "out"), flaky, batch_size=1)
+    r = out["results"].where("index = 1").first()
+    assert r.raw_response == modelcall.GENERATION_FAILED and r.pred_names == ["General"]
+    m = out["metrics"].first()
+    assert (m.total_samples, m.valid_samples, m.exact_match_f1) == (1, 1, 0.0)  # the error row is out

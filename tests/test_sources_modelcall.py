@@ -88,7 +88,8 @@ def test_generate_batch_failure_isolated(spark):
         return model
 
     df = spark.createDataFrame([(i, "boom" if i == 3 else f"t{i}") for i in range(6)], "id int, t string").coalesce(1)
-    out = {r.id: (r.raw_response, r.error) for r in modelcall.generate(df, "t", factory, batch_size=2).collect()}
+    out = {r.id: (r.raw_response, r.generation_error)
+           for r in modelcall.generate(df, "t", factory, batch_size=2).collect()}
     assert out[0] == ("T0", None) and out[2][0] == modelcall.GENERATION_FAILED and out[3][1].startswith("RuntimeError")
     assert out[4] == ("T4", None)
 
@@ -174,5 +175,6 @@ def test_report_and_run_record_sinks(spark, tmp_dir):
 def test_responses_from_table(spark):
     recs = spark.createDataFrame([(1, "p1"), (2, "p2")], "index long, prompt string")
     outs = spark.createDataFrame([(1, "[]")], "index long, raw_response string")
-    got = {r["index"]: r.error for r in modelcall.responses_from_table(recs, outs, "index").collect()}
-    assert got == {1: None, 2: modelcall.GENERATION_FAILED}
+    got = {r["index"]: (r.raw_response, r.generation_error)
+           for r in modelcall.responses_from_table(recs, outs, "index").collect()}
+    assert got == {1: ("[]", None), 2: (modelcall.GENERATION_FAILED, "missing output")}
