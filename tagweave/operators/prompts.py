@@ -74,3 +74,15 @@ def budget_report(budget: DataFrame, key: str = "file_name") -> DataFrame:
         F.max("n_total").alias("max_total"),
         F.count_if(F.col("truncated")).alias("truncated"),
         F.count_if(F.col("no_loss")).alias("no_loss"))
+
+
+def sft_target(stored, eos: str = EOS) -> F.Column:
+    """O-P15: the training target of a stored tag list. The text is read
+    leniently (single quotes allowed, so Python-literal lists parse; never
+    evaluated as code); a single object is wrapped in a list; text that is not
+    a tag list becomes a one-element list of that text. Canonical JSON + EOS."""
+    opts = {"allowSingleQuotes": "true"}
+    tags = F.from_json(stored, "array<struct<tag:string,explanation:string>>", opts)
+    body = F.coalesce(F.to_json(tags), F.to_json(F.array(stored)))
+    return F.concat(body, F.lit(eos if not eos else " " + eos))
+

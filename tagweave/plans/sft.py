@@ -126,5 +126,4 @@ def sft_targets(spark, sf_dir):
     r = derived.tag_records(spark, sf_dir)
     js = F.to_json("gold")
     stored = F.when(F.col("doc_id") % 2 == 0, F.translate(js, '"', "'")).otherwise(js)
-    parsed = F.from_json(stored, "array<struct<tag:string,explanation:string>>", {"allowSingleQuotes": "true"})
-    return r.select("doc_id", F.concat(F.to_json(parsed), F.lit(" " + prompts.EOS)).alias("target"))
+    return r.select("doc_id", prompts.sft_target(stored).alias("target"))

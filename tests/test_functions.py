@@ -181,3 +181,12 @@ def test_scale_conf():
     c = scale_conf(100 * (1 << 40), 8000)
     assert int(c["spark.sql.shuffle.partitions"]) == 819200
     assert scale_conf(1 << 20, 8)["spark.sql.shuffle.partitions"] == "16"
+
+
+def test_sft_target(spark):
+    from tagweave.operators.prompts import sft_target
+
+    rows = [("[{'tag': 'a', 'explanation': 'x'}]",), ('{"tag": "b", "explanation": "y"}',), ("plain words",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "s string").select(sft_target(F.col("s"))).collect()]
+    assert got == ['[{"tag":"a","explanation":"x"}] <eos>', '[{"tag":"b","explanation":"y"}] <eos>',
+                   '["plain words"] <eos>']
