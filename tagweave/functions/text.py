@@ -49,15 +49,17 @@ def word_tokens(c) -> Column:
 TRUNCATION_MARKER = "\n\n[Content truncated]\n\n"
 
 
-def truncate_head_tail(c, max_tokens: int = 600) -> Column:
+def truncate_head_tail(c, max_tokens: int = 600, tokens=None) -> Column:
     """Head + tail truncation (O-P3).
 
     When the text has more than ``max_tokens`` tokens, keep the first and the
     last ``max_tokens // 2`` tokens around a marker; otherwise keep the text
-    unchanged. Token counting runs over the whole text.
+    unchanged. Token counting runs over the whole text. Pass ``tokens`` (a
+    column already holding ``word_tokens`` of the text) to tokenise once per
+    row when several truncations or counts share it.
     """
     half = max_tokens // 2
-    toks = word_tokens(c)
+    toks = word_tokens(c) if tokens is None else _c(tokens)
     n = F.size(toks)
     head = F.array_join(F.slice(toks, 1, half), " ")
     tail = F.array_join(F.slice(toks, n - half + 1, half), " ")

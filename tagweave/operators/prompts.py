@@ -34,12 +34,14 @@ def build_prompts(df: DataFrame, max_tokens: int = 300, template: str = EVAL_TEM
     ``max_tokens`` for the prompt, template, chat markers. Adds n_tokens,
     truncated, prompt_text, and ``truncated_input`` (the context truncated to
     ``stored_tokens``, kept with the results for failure previews)."""
-    toks = F.size(word_tokens(F.col("inference_context")))
-    out = (df.withColumn("n_tokens", toks)
+    ic = F.col("inference_context")
+    # The token array is staged once and shared by the count and both truncations.
+    out = (df.withColumn("_tw_tokens", word_tokens(ic))
+           .withColumn("n_tokens", F.size("_tw_tokens"))
            .withColumn("truncated", F.col("n_tokens") > max_tokens)
-           .withColumn("truncated_input", truncate_head_tail(F.col("inference_context"), stored_tokens)))
-    p = fill_template(template, text=truncate_head_tail(F.col("inference_context"), max_tokens))
-    return out.withColumn("prompt_text", chat_wrap(p) if wrap else p)
+           .withColumn("truncated_input", truncate_head_tail(ic, stored_tokens, "_tw_tokens")))
+    p = fill_template(template, text=truncate_head_tail(ic, max_tokens, "_tw_tokens"))
+    return out.withColumn("prompt_text", chat_wrap(p) if wrap else p).drop("_tw_tokens")
 
 
 def token_budget(df: DataFrame, query_col: str, target_col: str, max_len: int = 2048,

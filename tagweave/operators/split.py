@@ -41,6 +41,8 @@ def global_ordinal(df: DataFrame, order: list[Column], out: str = "ordinal") ->
     3. row counts per partition (one row per partition) and their running
        sums give each partition's offset; that table is bounded by the
        number of partitions, so it is broadcast.
+    The checkpoint holds every column of ``df``: pass only the key and the
+    order columns and join a wide payload back by key afterwards.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)

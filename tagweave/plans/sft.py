@@ -36,10 +36,11 @@ def prompt_build(spark, sf_dir):
 
 
 def truncate_head_tail(spark, sf_dir):
-    d = derived.table(spark, sf_dir, "documents")
-    n = F.size(word_tokens(F.col("text")))
+    d = derived.table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = d.withColumn("_tw_tokens", word_tokens(F.col("text")))
+    n = F.size("_tw_tokens")
     return d.select("doc_id", n.alias("n_tokens"), (n > 600).alias("truncated"),
-                    T.truncate_head_tail(F.col("text"), 600).alias("truncated_text"))
+                    T.truncate_head_tail(F.col("text"), 600, "_tw_tokens").alias("truncated_text"))
 
 
 def token_budget(spark, sf_dir):
