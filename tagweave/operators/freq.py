@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions.sizing import DEFAULT_MAX_ROWS, bounded_broadcast
 from tagweave.operators.parse import first_tags
+from tagweave.session import checkpoint_dir
 
 DEFAULT_POSITIONS = (0, 1, 2, 3)
 # Fixed position names of the first four tags.
@@ -58,7 +59,6 @@ class RareFilter:
         self.cleaned, self.min_freq, self.key = cleaned, min_freq, key
         self.positions = list(positions) if positions else list(DEFAULT_POSITIONS)
         self.max_rows = max_broadcast_rows
-        self.rows = first_tags(cleaned, 4, key)
         self._cache: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -66,11 +66,18 @@ class RareFilter:
             self._cache[name] = getattr(self, "_" + name)()
         return self._cache[name]
 
+    def _rows(self) -> DataFrame:
+        # The narrow (key, response, pos, tag) table feeds both the counts and
+        # the rare-key join: written once to the checkpoint folder so the
+        # responses are parsed once for both.
+        checkpoint_dir(self.cleaned.sparkSession)
+        return first_tags(self.cleaned, 4, self.key).checkpoint(eager=True)
+
     def _freq(self) -> DataFrame:
-        return tag_frequencies(self.rows)
+        return tag_frequencies(self["rows"])
 
     def _bad_rows(self) -> DataFrame:
-        return _checked_rare_rows(self.rows, self["freq"], self.min_freq, self.positions, self.max_rows)
+        return _checked_rare_rows(self["rows"], self["freq"], self.min_freq, self.positions, self.max_rows)
 
     def _bad_keys(self) -> DataFrame:
         # Removed samples are usually few: with a checked count they are
