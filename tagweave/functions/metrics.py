@@ -68,8 +68,26 @@ def sim_grid(gold, pred) -> Column:
     return F.transform(_c(gold), lambda g: F.transform(_c(pred), lambda p: dot(g["vec"], p["vec"])))
 
 
-def semantic_scores(gold, pred, threshold: float = 0.8) -> Column:
-    """Semantic metrics of one record (evaluation preset, strict '>').
+def grid_hits(grid, n_pred, threshold: float = 0.8) -> Column:
+    """Matched counts of a similarity grid: STRUCT<gold, pred, gold_ge, pred_ge>
+    (gold rows / predicted columns with some cell > threshold, and >=)."""
+    grid, n_p = _c(grid), _c(n_pred)
+    idx = F.sequence(F.lit(0), F.greatest(n_p - 1, F.lit(0)))
+
+    def rows(op):
+        return F.size(F.filter(grid, lambda row: F.exists(row, lambda s: op(s))))
+
+    def cols(op):
+        return F.size(F.filter(idx, lambda j: (j < n_p) & F.exists(grid, lambda row: op(F.get(row, j)))))
+
+    gt, ge = (lambda s: s > threshold), (lambda s: s >= threshold)
+    return F.struct(rows(gt).alias("gold"), cols(gt).alias("pred"),
+                    rows(ge).alias("gold_ge"), cols(ge).alias("pred_ge"))
+
+
+def scores_from_hits(hits, n_gold, n_pred) -> Column:
+    """Semantic metrics of one record from its matched counts (evaluation
+    preset, strict '>'):
 
     accuracy  : share of gold tags with some predicted tag above threshold;
                 both empty -> 1, one empty -> 0 (O-A8)
@@ -77,28 +95,26 @@ def semantic_scores(gold, pred, threshold: float = 0.8) -> Column:
                 counted; either side empty -> 0 (O-A10, O-A11)
     sft_f1    : the SFT variant with '>=' and both empty -> 1 (O-A12)
     """
-    g, p = _c(gold), _c(pred)
-    grid = sim_grid(g, p)
-    n_g, n_p = F.size(g), F.size(p)
-    gold_hit = F.size(F.filter(grid, lambda row: F.exists(row, lambda s: s > threshold)))
-    pred_idx = F.sequence(F.lit(0), F.greatest(n_p - 1, F.lit(0)))
-    pred_hit = F.size(F.filter(pred_idx, lambda j: (j < n_p) & F.exists(
-        grid, lambda row: F.get(row, j) > threshold)))
-    gold_hit_ge = F.size(F.filter(grid, lambda row: F.exists(row, lambda s: s >= threshold)))
-    pred_hit_ge = F.size(F.filter(pred_idx, lambda j: (j < n_p) & F.exists(
-        grid, lambda row: F.get(row, j) >= threshold)))
+    h, n_g, n_p = _c(hits), _c(n_gold), _c(n_pred)
     any_empty = (n_g == 0) | (n_p == 0)
     both_empty = (n_g == 0) & (n_p == 0)
-    rec = F.when(any_empty, 0.0).otherwise(_ratio(gold_hit, n_g))
-    prec = F.when(any_empty, 0.0).otherwise(_ratio(pred_hit, n_p))
-    acc = F.when(both_empty, 1.0).when(any_empty, 0.0).otherwise(_ratio(gold_hit, n_g))
-    rec_ge = _ratio(gold_hit_ge, n_g)
-    prec_ge = _ratio(pred_hit_ge, n_p)
-    sft_f1 = F.when(both_empty, 1.0).when(any_empty, 0.0).otherwise(_f1(prec_ge, rec_ge))
+    rec = F.when(any_empty, 0.0).otherwise(_ratio(h["gold"], n_g))
+    prec = F.when(any_empty, 0.0).otherwise(_ratio(h["pred"], n_p))
+    acc = F.when(both_empty, 1.0).when(any_empty, 0.0).otherwise(_ratio(h["gold"], n_g))
+    sft_f1 = F.when(both_empty, 1.0).when(any_empty, 0.0).otherwise(
+        _f1(_ratio(h["pred_ge"], n_p), _ratio(h["gold_ge"], n_g)))
     return F.struct(acc.alias("accuracy"), _f1(prec, rec).alias("f1"), prec.alias("precision"),
                     rec.alias("recall"), sft_f1.alias("sft_f1"))
 
 
+def semantic_scores(gold, pred, threshold: float = 0.8) -> Column:
+    """Semantic metrics of one record in one expression (see scores_from_hits).
+    Inside DataFrame jobs ``score.with_semantic`` stages the grid and the
+    counts as columns so the grid is computed once per record."""
+    g, p = _c(gold), _c(pred)
+    return scores_from_hits(grid_hits(sim_grid(g, p), F.size(p), threshold), F.size(g), F.size(p))
+
+
 def best_matches(gold, pred) -> Column:
     """For each gold tag, the most similar predicted tag (first on ties) and
     its similarity (O-A9): ARRAY<STRUCT<gold_tag, pred_tag, similarity>>."""

@@ -12,50 +12,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tagweave.functions.rows import posexplode_rows
-from tagweave.functions.sizing import DEFAULT_MAX_ROWS, bounded_broadcast
+from tagweave.functions.rows import explode_rows
 from tagweave.functions.text import lower_strip
 
 
 def positional_tags(df: DataFrame, side_cols: dict[str, str], key: str = "file_name") -> DataFrame:
     """(key, side, pos, tag) with raw list positions (O-P13): an element's tag,
-    NULL tags kept as their own value."""
+    NULL tags kept as their own value. Every record whose list is present
+    (even empty) also yields one marker row with pos -1, so reports can tell
+    files without any list apart in the same pass."""
     parts = []
     for side, col in side_cols.items():
-        parts.append(posexplode_rows(df.withColumn("side", F.lit(side)), [key, "side"], col, "pos", "t")
-                     .select(key, "side", "pos", F.col("t.tag").alias("tag")))
+        items = F.transform(F.col(col), lambda x, i: F.struct(i.alias("pos"), x["tag"].alias("tag")))
+        marker = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("tag")))
+        rows = F.when(F.col(col).isNotNull(), F.concat(marker, items))
+        parts.append(explode_rows(df.withColumn("side", F.lit(side)), [key, "side"], rows, "t")
+                     .select(key, "side", F.col("t.pos").alias("pos"), F.col("t.tag").alias("tag")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def tag_distribution(pos_tags: DataFrame, positions=(0, 1, 2, 3), key: str = "file_name") -> DataFrame:
+def tag_distribution(pos_tags: DataFrame, positions=(0, 1, 2, 3), key: str = "file_name",
+                     require_side: str | None = None) -> DataFrame:
     """O-A2 + O-T3: per (key, side, pos): each tag's count and share, plus the
-    position total and the number of distinct tags."""
-    counts = (pos_tags.where(F.col("pos").isin(list(positions)))
+    position total and the number of distinct tags. With ``require_side``, a
+    key without any list on that side is left out entirely (both sides), as
+    the reference skips a file without generated lists. One aggregation; the
+    windows run on the aggregated table."""
+    counts = (pos_tags.where(F.col("pos").isin([-1] + list(positions)))
               .groupBy(key, "side", "pos", "tag").agg(F.count(F.lit(1)).alias("n")))
+    if require_side is not None:
+        has = F.max(((F.col("side") == require_side) & (F.col("pos") == -1)).cast("int")).over(W.partitionBy(key))
+        counts = counts.withColumn("_tw_has", has).where(F.col("_tw_has") == 1).drop("_tw_has")
+    counts = counts.where(F.col("pos") >= 0)
     w = W.partitionBy(key, "side", "pos")
     return (counts.withColumn("total", F.sum("n").over(w))
             .withColumn("n_distinct", F.count(F.lit(1)).over(w))
             .withColumn("pct", F.col("n") * 100.0 / F.col("total")))
 
 
-def files_with_list(df: DataFrame, col: str, key: str = "file_name") -> DataFrame:
-    """Keys having at least one record whose ``col`` is a list (even empty)."""
-    return df.groupBy(key).agg(F.count_if(F.col(col).isNotNull()).alias("_n")).where(
-        F.col("_n") > 0).select(key)
-
-
-def skip_files_without(report_df: DataFrame, records: DataFrame, col: str, key: str = "file_name",
-                       max_broadcast_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    """O-A2: a file without any generated list is left out of the report
-    entirely (both sides). The file list is small and broadcast under a
-    checked bound."""
-    keep = bounded_broadcast(files_with_list(records, col, key), max_broadcast_rows)
-    return report_df.join(keep, key, "left_semi")
-
-
 def topic_top(pos_tags: DataFrame, k: int = 30, side: str = "gen", key: str = "file_name") -> DataFrame:
     """O-A3 + O-T1: topics (positions >= 4 pooled) per key: top k by count,
     ties by tag, with the pooled total and distinct count."""

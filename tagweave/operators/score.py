@@ -168,14 +168,22 @@ def attach_vectors(records: DataFrame, embed, key: str, name_cols: list[str],
 
 
 def with_semantic(df: DataFrame, gold_vecs: str, pred_vecs: str, threshold: float = 0.8) -> DataFrame:
-    """Add semantic_accuracy / f1 / precision / recall and sft_semantic_f1."""
-    s = M.semantic_scores(F.col(gold_vecs), F.col(pred_vecs), threshold)
-    return (df.withColumn("_s", s)
+    """Add semantic_accuracy / f1 / precision / recall and sft_semantic_f1.
+
+    The gold x predicted grid and its matched counts are staged as columns:
+    each is referenced several times downstream, so Catalyst keeps them
+    computed once per record instead of inlining the grid into every metric.
+    """
+    g, p = F.col(gold_vecs), F.col(pred_vecs)
+    staged = (df.withColumn("_tw_grid", M.sim_grid(g, p))
+              .withColumn("_tw_hits", M.grid_hits(F.col("_tw_grid"), F.size(p), threshold)))
+    s = M.scores_from_hits(F.col("_tw_hits"), F.size(g), F.size(p))
+    return (staged.withColumn("_s", s)
             .withColumn("semantic_accuracy", F.col("_s.accuracy"))
             .withColumn("semantic_f1", F.col("_s.f1"))
             .withColumn("semantic_precision", F.col("_s.precision"))
             .withColumn("semantic_recall", F.col("_s.recall"))
-            .withColumn("sft_semantic_f1", F.col("_s.sft_f1")).drop("_s"))
+            .withColumn("sft_semantic_f1", F.col("_s.sft_f1")).drop("_s", "_tw_grid", "_tw_hits"))
 
 
 def best_match_rows(df: DataFrame, key: str, gold_vecs: str, pred_vecs: str) -> DataFrame:

@@ -20,7 +20,7 @@ def _parsed(spark, sf_dir):
 def tag_distribution(spark, sf_dir):
     parsed = _parsed(spark, sf_dir)
     p = report.positional_tags(parsed, {"gen": "generated_tags", "gold": "gold"})
-    d = report.skip_files_without(report.tag_distribution(p), parsed, "generated_tags")
+    d = report.tag_distribution(p, require_side="gen")
     return d.select("file_name", "side", "pos", "tag", "n", "total", "n_distinct", r6("pct"))
 
 
@@ -44,7 +44,8 @@ def report_long_form(spark, sf_dir):
     0-3, and the pooled top-30 topics (pos 4)."""
     parsed = _parsed(spark, sf_dir)
     p = report.positional_tags(parsed, {"generated": "generated_tags", "ground_truth": "gold"})
-    d = report.tag_distribution(p).select("file_name", F.col("side").alias("section"), "pos", "tag", "n", "pct")
+    d = report.tag_distribution(p, require_side="generated").select(
+        "file_name", F.col("side").alias("section"), "pos", "tag", "n", "pct")
     t = report.topic_top(p.where(F.col("side") == "generated"), k=30, side="generated").select(
         "file_name", F.lit("topics").alias("section"), F.lit(4).alias("pos"), "tag", "n",
         (F.col("n") * 100.0 / F.col("total")).alias("pct"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagweave.operators import score
+from tagweave.session import checkpoint_dir
 from tagweave.sources import derived
 
 THRESHOLD = 0.8
@@ -66,8 +67,11 @@ def semantic_doc_file_metrics(spark, sf_dir):
     from tagweave.plans.evaluation import scored_records
 
     r = scored_records(spark, sf_dir).withColumn("rid", F.col("doc_id"))
-    v = score.attach_vectors(r.select("rid", "file_name", "pred_names", "gold_names", *score.EXACT),
-                             letter_embedder, "rid", ["gold_names", "pred_names"])
+    # The narrow scored table is read three times (distinct tags, explode,
+    # join back): written once to the checkpoint folder, parsed once.
+    checkpoint_dir(spark)
+    narrow = r.select("rid", "file_name", "pred_names", "gold_names", *score.EXACT).checkpoint(eager=True)
+    v = score.attach_vectors(narrow, letter_embedder, "rid", ["gold_names", "pred_names"])
     s = score.with_semantic(v, "gold_names_vecs", "pred_names_vecs", THRESHOLD)
     m = score.file_metrics(s, gold_names="gold_names", semantic=True)
     return m.select("file_name", "total_samples", "valid_samples",

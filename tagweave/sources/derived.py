@@ -57,9 +57,9 @@ def _keep_tags(*items):
 
 
 def line_count(text="text"):
-    """Lines of the whole text (newlines + 1), without materialising the lines."""
-    t = F.col(text)
-    return F.length(t) - F.length(F.regexp_replace(t, "\n", "")) + 1
+    """Lines of the whole text (newlines + 1); a single-character split is the
+    fastest form in the JVM."""
+    return F.size(F.split(F.col(text), "\n", -1))
 
 
 def tag_records(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:

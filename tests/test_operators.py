@@ -126,7 +126,7 @@ def test_distribution_skips_file_without_generated_lists(spark):
         "file_name string, gen array<struct<tag:string,explanation:string>>, "
         "gold array<struct<tag:string,explanation:string>>")
     p = report.positional_tags(df, {"gen": "gen", "gold": "gold"})
-    d = report.skip_files_without(report.tag_distribution(p), df, "gen")
+    d = report.tag_distribution(p, require_side="gen")
     assert {r.file_name for r in d.collect()} == {"f1"}
 
 
