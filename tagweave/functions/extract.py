@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tagweave.functions.jsonparse import has_key, is_object, strict_list, strict_value, variant_str
+from tagweave.functions.jsonparse import has_key, is_object, let, strict_list, strict_value, variant_str
 from tagweave.functions.text import _c, strip_ws
 from tagweave.schemas import TAG_LIST_DDL
 
@@ -158,18 +158,9 @@ def extract_tags_sft(text) -> Column:
     empty result; without a balanced prefix it falls through. Then the
     strict ``{"tag": "...", "explanation": "..."}`` pattern, then objects
     starting with ``{"tag":`` parsed one by one (flat objects only), else
-    empty.
+    empty. The stripped text, the prefix and the pattern matches are each
+    bound once (``let``), so no step is evaluated twice.
     """
-    t = strip_ws(_c(text))
-    starts = t.startswith("[")
-    whole = strict_list(t)
-    span = balanced_prefix(t)
-    span_list = strict_list(span)
-    names = F.regexp_extract_all(t, F.lit(_SFT_OBJECT), F.lit(1))
-    expls = F.regexp_extract_all(t, F.lit(_SFT_OBJECT), F.lit(2))
-    strict_objs = F.zip_with(names, expls, lambda a, b: _pair(a, b))
-    flat = F.transform(F.regexp_extract_all(t, F.lit(_SFT_FLAT_OBJECT), F.lit(0)), strict_value)
-    flat = F.filter(flat, lambda v: v.isNotNull() & is_object(v))
     empty = F.expr(f"cast(array() as {TAG_LIST_DDL})")
 
     def as_tags(arr):
@@ -177,12 +168,28 @@ def extract_tags_sft(text) -> Column:
         return F.transform(keep, lambda x: _pair(F.try_variant_get(x, "$.tag", "string"),
                                                  F.try_variant_get(x, "$.explanation", "string")))
 
-    return (F.when(t.isNull(), empty)
-            .when(starts & whole.isNotNull(), as_tags(whole))
-            .when(starts & span.isNotNull(), F.coalesce(as_tags(span_list), empty))
-            .when(F.size(strict_objs) > 0, strict_objs)
-            .when(F.size(flat) > 0, as_tags(flat))
-            .otherwise(empty))
+    def after_brackets(t):
+        def objects(m):
+            strict_objs = F.zip_with(m["names"], m["expls"], lambda a, b: _pair(a, b))
+            flat = F.filter(F.transform(F.regexp_extract_all(t, F.lit(_SFT_FLAT_OBJECT), F.lit(0)), strict_value),
+                            lambda v: v.isNotNull() & is_object(v))
+            return F.when(F.size(strict_objs) > 0, strict_objs).when(F.size(flat) > 0, as_tags(flat)).otherwise(empty)
+
+        matches = F.struct(F.regexp_extract_all(t, F.lit(_SFT_OBJECT), F.lit(1)).alias("names"),
+                           F.regexp_extract_all(t, F.lit(_SFT_OBJECT), F.lit(2)).alias("expls"))
+        return let(matches, objects)
+
+    def body(t):
+        starts = t.startswith("[")
+        whole = strict_list(t)
+        bracket = let(balanced_prefix(t), lambda span: F.when(
+            span.isNotNull(), F.coalesce(as_tags(strict_list(span)), empty)))
+        return (F.when(t.isNull(), empty)
+                .when(starts & whole.isNotNull(), as_tags(whole))
+                .when(starts & bracket.isNotNull(), bracket)
+                .otherwise(after_brackets(t)))
+
+    return let(strip_ws(_c(text)), body)
 
 
 def tag_names(arr, accept_strings: bool = True) -> Column:

@@ -19,23 +19,30 @@ def _wrap(c) -> Column:
     return F.try_parse_json(F.concat(F.lit('{"v":'), _c(c), F.lit(f',"{_END_KEY}":1}}')))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and apply ``body`` to it: a one-element
+    ``transform`` binds the value to a lambda variable, so an expensive
+    expression (a JSON parse) used twice in ``body`` is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _complete(w: Column) -> Column:
+    return F.try_variant_get(w, f"$.{_END_KEY}", "int") == 1
+
+
 def strict_valid(c) -> Column:
     """TRUE when the whole text is one JSON value, FALSE otherwise (NULL text: FALSE)."""
-    return F.coalesce(F.try_variant_get(_wrap(c), f"$.{_END_KEY}", "int") == 1, F.lit(False))
+    return F.coalesce(_complete(_wrap(c)), F.lit(False))
 
 
 def strict_value(c) -> Column:
     """The parsed VARIANT, or NULL when the text is not exactly one JSON value."""
-    w = _wrap(c)
-    return F.when(F.try_variant_get(w, f"$.{_END_KEY}", "int") == 1,
-                  F.variant_get(w, "$.v", "variant"))
+    return let(_wrap(c), lambda w: F.when(_complete(w), F.variant_get(w, "$.v", "variant")))
 
 
 def strict_list(c) -> Column:
     """ARRAY<VARIANT> when the text is exactly one JSON array, else NULL."""
-    w = _wrap(c)
-    return F.when(F.try_variant_get(w, f"$.{_END_KEY}", "int") == 1,
-                  F.try_variant_get(w, "$.v", "array<variant>"))
+    return let(_wrap(c), lambda w: F.when(_complete(w), F.try_variant_get(w, "$.v", "array<variant>")))
 
 
 def lenient_text(c) -> Column:

@@ -23,6 +23,26 @@ def _f1(p: Column, r: Column) -> Column:
     return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
 
 
+def name_set(names, normalise: bool = True) -> Column:
+    """Distinct tag names, lower-cased and stripped when ``normalise``."""
+    n = _c(names)
+    return F.array_distinct(F.transform(n, lower_strip) if normalise else n)
+
+
+def prf_from_counts(inter, n_pset, n_gset, n_pred, n_gold) -> Column:
+    """STRUCT<precision, recall, f1> from the intersection size, the set sizes
+    and the raw list sizes (emptiness rules on the raw lists)."""
+    prec = F.coalesce(_ratio(inter, n_pset), F.lit(0.0))
+    rec = F.coalesce(_ratio(inter, n_gset), F.lit(0.0))
+    both_empty = (n_pred == 0) & (n_gold == 0)
+    one_empty = (n_pred == 0) | (n_gold == 0)
+
+    def pick(v):
+        return F.when(both_empty, 1.0).when(one_empty, 0.0).otherwise(v)
+
+    return F.struct(pick(prec).alias("precision"), pick(rec).alias("recall"), pick(_f1(prec, rec)).alias("f1"))
+
+
 def exact_prf(pred, gold, normalise: bool = True) -> Column:
     """STRUCT<precision, recall, f1> over tag-name sets.
 

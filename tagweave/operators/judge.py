@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.functions.jsonparse import let
+
 OUTCOMES = ("kept", "low_diversity", "low_privacy", "failed")
 
 # Fixed patterns for the rule judge's privacy penalty.
@@ -99,10 +101,9 @@ def rule_scores(text: Column) -> Column:
     diversity = 10 * distinct words / words              (0 for no words)
     privacy   = max(0, 10 - 3 * e-mail and phone matches)
     """
-    w = _words(text)
-    n = F.size(w)
     quality = F.least(F.lit(10.0), F.floor(F.length(text) / 50).cast("double"))
-    diversity = F.when(n > 0, 10.0 * F.size(F.array_distinct(w)) / n).otherwise(F.lit(0.0))
+    diversity = let(_words(text), lambda w: F.when(
+        F.size(w) > 0, 10.0 * F.size(F.array_distinct(w)) / F.size(w)).otherwise(F.lit(0.0)))
     hits = (F.size(F.regexp_extract_all(text, F.lit(EMAIL_PATTERN), F.lit(0)))
             + F.size(F.regexp_extract_all(text, F.lit(PHONE_PATTERN), F.lit(0))))
     privacy = F.greatest(F.lit(0.0), (10 - 3 * hits).cast("double"))

@@ -44,12 +44,23 @@ def parse_generated(df: DataFrame, text_col: str = "response", out: str = "gener
 
 
 def with_exact(df: DataFrame, pred: str | Column, gold: str | Column, normalise: bool = True) -> DataFrame:
-    """Add exact_match_precision / recall / f1 for name arrays (O-A6 / O-A7)."""
-    s = M.exact_prf(pred, gold, normalise=normalise)
-    return (df.withColumn("_em", s)
+    """Add exact_match_precision / recall / f1 for name arrays (O-A6 / O-A7).
+
+    The two name sets and their intersection size are staged as columns, so
+    each is computed once per record and the three metrics are arithmetic.
+    """
+    p = F.col(pred) if isinstance(pred, str) else pred
+    g = F.col(gold) if isinstance(gold, str) else gold
+    staged = (df.withColumn("_tw_np", F.size(p)).withColumn("_tw_ng", F.size(g))
+              .withColumn("_tw_ps", M.name_set(p, normalise)).withColumn("_tw_gs", M.name_set(g, normalise))
+              .withColumn("_tw_inter", F.size(F.array_intersect("_tw_ps", "_tw_gs"))))
+    s = M.prf_from_counts(F.col("_tw_inter"), F.size("_tw_ps"), F.size("_tw_gs"),
+                          F.col("_tw_np"), F.col("_tw_ng"))
+    return (staged.withColumn("_em", s)
             .withColumn("exact_match_precision", F.col("_em.precision"))
             .withColumn("exact_match_recall", F.col("_em.recall"))
-            .withColumn("exact_match_f1", F.col("_em.f1")).drop("_em"))
+            .withColumn("exact_match_f1", F.col("_em.f1"))
+            .drop("_em", "_tw_np", "_tw_ng", "_tw_ps", "_tw_gs", "_tw_inter"))
 
 
 def names(df: DataFrame, col: str, out: str) -> DataFrame:
