@@ -29,7 +29,10 @@ def table_embedder(spark, sf_dir):
 
 
 def scored_vectors(spark, sf_dir, threshold: float = THRESHOLD):
-    recs = derived.vector_records(spark, sf_dir)
+    # Read three times by the embedding join (distinct tags, explode, join
+    # back): the narrow record table is written once to the checkpoint folder.
+    checkpoint_dir(spark)
+    recs = derived.vector_records(spark, sf_dir).checkpoint(eager=True)
     v = score.attach_vectors(recs, table_embedder(spark, sf_dir), "rec_id", ["gold", "pred"])
     v = score.with_exact(v, "pred", "gold", normalise=True)
     return score.with_semantic(v, "gold_vecs", "pred_vecs", threshold)
