@@ -13,10 +13,17 @@ import time
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
+import sys
+
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The per-partition functions below are shipped by value, so executors need
+# neither this package installed nor the driver's import path.
+register_pickle_by_value(sys.modules[__name__])
+
 # Fixed values written for failures (same strings as the reference).
 GENERATION_FAILED = "Generation failed"
 DEFAULT_TEMPERATURES = (0.5, 0.9)

@@ -178,3 +178,24 @@ def test_responses_from_table(spark):
     got = {r["index"]: (r.raw_response, r.generation_error)
            for r in modelcall.responses_from_table(recs, outs, "index").collect()}
     assert got == {1: ("[]", None), 2: (modelcall.GENERATION_FAILED, "missing output")}
+
+
+def test_model_call_query_from_another_directory(tmp_dir):
+    """Executors must not need the package on their import path."""
+    import subprocess
+    import sys as _sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import importlib.util\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        f"spec = importlib.util.spec_from_file_location('e', '{root}/__spark_entry__.py')\n"
+        "m = importlib.util.module_from_spec(spec); spec.loader.exec_module(m)\n"
+        "print(m.queries()['two_temperature_responses'](s, '/root/testdata/sf0.001').count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([_sys.executable, "-c", code], cwd=tmp_dir, env=env, capture_output=True,
+                         text=True, timeout=300)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert out.stdout.strip().splitlines()[-1] == "400"
