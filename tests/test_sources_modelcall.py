@@ -199,3 +199,19 @@ def test_model_call_query_from_another_directory(tmp_dir):
                          text=True, timeout=300)
     assert out.returncode == 0, out.stderr[-2000:]
     assert out.stdout.strip().splitlines()[-1] == "400"
+
+
+def test_resumable_generation_with_model_call(spark, tmp_dir):
+    schema = "index bigint, prompt string"
+    src, out, ck = (os.path.join(tmp_dir, x) for x in ("in", "out", "ck"))
+    write(src, "a.jsonl", "\n".join(json.dumps({"index": i, "prompt": "w " * i}) for i in [1, 2]) + "\n")
+
+    def gen(df):
+        return modelcall.sample_responses(df, "prompt")
+
+    resume.resumable_append(spark, src, out, ck, schema, "index", transform=gen)
+    write(src, "b.jsonl", "\n".join(json.dumps({"index": i, "prompt": "w " * i}) for i in [2, 3]) + "\n")
+    resume.resumable_append(spark, src, out, ck, schema, "index", transform=gen)
+    rows = spark.read.json(out).collect()
+    assert sorted(r["index"] for r in rows) == [1, 2, 3]
+    assert all(len(r.responses) == 2 for r in rows)
