@@ -95,15 +95,18 @@ class RareFilter:
                 .select(self.key, "reason_rank", "pos", "tag", "n"))
 
     def _stats(self) -> DataFrame:
-        # Counts from one union of both sides: no join between the two totals.
-        counts = self.cleaned.select(F.lit(1).alias("o"), F.lit(0).alias("k")).unionByName(
-            self["kept"].select(F.lit(0).alias("o"), F.lit(1).alias("k")))
-        return counts.agg(F.sum("o").alias("original_count"), F.sum("k").alias("kept_count")).select(
-            F.coalesce("original_count", F.lit(0)).alias("original_count"),
-            F.coalesce("kept_count", F.lit(0)).alias("kept_count"),
-            (F.coalesce("original_count", F.lit(0)) - F.coalesce("kept_count", F.lit(0))).alias("removed_count"),
-            (F.try_divide(F.col("kept_count").cast("double"), F.col("original_count").cast("double"))
-             * 100).alias("retention_pct"))
+        # original = a count of the records (no column is read), removed = the
+        # distinct bad keys (already small): one union, no join, no second
+        # pass over the records for the kept side.
+        counts = self.cleaned.select(F.lit(1).alias("o"), F.lit(0).alias("r")).unionByName(
+            self["bad_keys"].select(F.lit(0).alias("o"), F.lit(1).alias("r")))
+        agg = counts.agg(F.coalesce(F.sum("o"), F.lit(0)).alias("original_count"),
+                         F.coalesce(F.sum("r"), F.lit(0)).alias("removed_count"))
+        return agg.select(
+            "original_count", (F.col("original_count") - F.col("removed_count")).alias("kept_count"),
+            "removed_count",
+            (F.try_divide((F.col("original_count") - F.col("removed_count")).cast("double"),
+                          F.col("original_count").cast("double")) * 100).alias("retention_pct"))
 
 
 def rare_filter(cleaned: DataFrame, min_freq: int = 2, positions=DEFAULT_POSITIONS,

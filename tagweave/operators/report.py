@@ -20,18 +20,19 @@ def positional_tags(df: DataFrame, side_cols: dict[str, str], key: str = "file_n
     """(key, side, pos, tag) with raw list positions (O-P13): an element's tag,
     NULL tags kept as their own value. Every record whose list is present
     (even empty) also yields one marker row with pos -1, so reports can tell
-    files without any list apart in the same pass."""
-    parts = []
-    for side, col in side_cols.items():
-        items = F.transform(F.col(col), lambda x, i: F.struct(i.alias("pos"), x["tag"].alias("tag")))
-        marker = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("tag")))
-        rows = F.when(F.col(col).isNotNull(), F.concat(marker, items))
-        parts.append(explode_rows(df.withColumn("side", F.lit(side)), [key, "side"], rows, "t")
-                     .select(key, "side", F.col("t.pos").alias("pos"), F.col("t.tag").alias("tag")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    files without any list apart in the same pass. All sides come out of one
+    explode, so the records are read once."""
+    def side_items(side: str, col: str):
+        items = F.transform(F.col(col), lambda x, i: F.struct(
+            F.lit(side).alias("side"), i.alias("pos"), x["tag"].alias("tag")))
+        marker = F.array(F.struct(F.lit(side).alias("side"), F.lit(-1).alias("pos"),
+                                  F.lit(None).cast("string").alias("tag")))
+        empty = F.array().cast("array<struct<side:string,pos:int,tag:string>>")
+        return F.when(F.col(col).isNotNull(), F.concat(marker, items)).otherwise(empty)
+
+    rows = F.concat(*[side_items(side, col) for side, col in side_cols.items()])
+    return explode_rows(df, [key], rows, "t").select(
+        key, F.col("t.side").alias("side"), F.col("t.pos").alias("pos"), F.col("t.tag").alias("tag"))
 
 
 def tag_distribution(pos_tags: DataFrame, positions=(0, 1, 2, 3), key: str = "file_name",

@@ -108,6 +108,19 @@ def overall(metrics: DataFrame, semantic: bool = True, micro: bool = False) -> D
         F.sum("failed_cases_count").alias("failed_cases_count"))
 
 
+def compare_runs(before: DataFrame, after: DataFrame, key: str = "file_name",
+                 metrics: tuple[str, ...] = ("exact_match_f1",)) -> DataFrame:
+    """O-J5: before/after metrics of two separately computed runs joined on
+    ``key`` (model or file), with the change per metric. Both inputs are
+    per-key summaries (one row per key), so the join is small."""
+    b = before.select(key, *[F.col(m).alias(f"before_{m}") for m in metrics])
+    a = after.select(key, *[F.col(m).alias(f"after_{m}") for m in metrics])
+    out = b.join(a, key)
+    for m in metrics:
+        out = out.withColumn(f"delta_{m}", F.col(f"after_{m}") - F.col(f"before_{m}"))
+    return out
+
+
 def failed_cases(scored: DataFrame, order_key: str, gold_names: str = "gold_names",
                  text: Column | None = None, k: int = 5, key: str = "file_name",
                  semantic: bool = True, fail_below: float = 0.5) -> DataFrame:

@@ -93,16 +93,17 @@ def resume_remaining(spark, sf_dir):
 def run_delta(spark, sf_dir):
     """O-J5: per model (file), mean exact F1 before (the tags the model meant)
     and after (the tags recovered from its output), and the change."""
-    r = scored_records(spark, sf_dir)
-    after = score.file_metrics(r, semantic=False).select(
-        "file_name", F.col("exact_match_f1").alias("after_f1"))
-    b = score.with_exact(r.drop(*score.EXACT).withColumn("gen_names", tag_names(F.col("gen_raw"))),
-                         "gen_names", "gold_names")
-    before = score.file_metrics(b, semantic=False).select(
-        "file_name", F.col("exact_match_f1").alias("before_f1"))
-    j = before.join(after, "file_name")
-    return j.select("file_name", r6("before_f1"), r6("after_f1"),
-                    F.round(F.col("after_f1") - F.col("before_f1"), 6).alias("delta"))
+    r = scored_records(spark, sf_dir).withColumnRenamed("exact_match_f1", "after")
+    b = score.with_exact(r.drop("exact_match_precision", "exact_match_recall")
+                         .withColumn("gen_names", tag_names(F.col("gen_raw"))), "gen_names", "gold_names")
+    # Both models' scores are columns of the same records: one aggregation,
+    # no join between two per-file tables.
+    valid = F.size("gold_names") > 0
+    per = b.groupBy("file_name").agg(F.avg(F.when(valid, F.col("exact_match_f1"))).alias("before_f1"),
+                                     F.avg(F.when(valid, F.col("after"))).alias("after_f1"),
+                                     F.count_if(valid).alias("_v")).where(F.col("_v") > 0)
+    return per.select("file_name", r6("before_f1"), r6("after_f1"),
+                      F.round(F.col("after_f1") - F.col("before_f1"), 6).alias("delta"))
 
 
 def sft_extract_f1(spark, sf_dir):

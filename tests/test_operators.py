@@ -172,3 +172,12 @@ def test_overall_macro_vs_micro(spark):
                               "exact_match_recall double, exact_match_f1 double, failed_cases_count long")
     assert score.overall(m, semantic=False).first().exact_match_f1 == pytest.approx(0.5)
     assert score.overall(m, semantic=False, micro=True).first().exact_match_f1 == pytest.approx(10 / 12)
+
+
+def test_compare_runs(spark):
+    from tagweave.operators import score
+
+    b = spark.createDataFrame([("m1", 0.5), ("m2", 0.2)], "file_name string, exact_match_f1 double")
+    a = spark.createDataFrame([("m1", 0.75), ("m3", 0.9)], "file_name string, exact_match_f1 double")
+    r = score.compare_runs(b, a).collect()
+    assert len(r) == 1 and r[0].delta_exact_match_f1 == pytest.approx(0.25)
