@@ -116,7 +116,14 @@ def rare_filter(cleaned: DataFrame, min_freq: int = 2, positions=DEFAULT_POSITIO
     return RareFilter(cleaned, min_freq, positions, key, max_broadcast_rows)
 
 
-def top_tags(freq: DataFrame, k: int = 10) -> DataFrame:
-    """Most frequent tags per position, ties by tag (O-T1 for the filter report)."""
+def top_tags(freq: DataFrame, k: int = 10, checked=DEFAULT_POSITIONS, min_freq: int = 2) -> DataFrame:
+    """The filter report's tag table (O-T1): tags per position by count, ties
+    by tag. Checked positions list every tag with ``passes`` (n >= min_freq);
+    unchecked positions list their ``k`` most frequent tags (passes NULL).
+    The window runs over the (pos, tag) count table, not over raw rows."""
+    checked = list(checked) if checked else list(DEFAULT_POSITIONS)
     w = W.partitionBy("pos").orderBy(F.col("n").desc(), F.col("tag").asc_nulls_first())
-    return freq.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    is_checked = F.col("pos").isin(checked)
+    return (freq.withColumn("rank", F.row_number().over(w))
+            .where(is_checked | (F.col("rank") <= k))
+            .withColumn("passes", F.when(is_checked, F.col("n") >= min_freq)))

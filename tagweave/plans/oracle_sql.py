@@ -568,9 +568,9 @@ SELECT CASE WHEN chosen IS NULL THEN 'failed' WHEN abs(dc - dr) < 2.0 THEN 'low_
 FROM o GROUP BY 1"""
 
 QUERIES["filter_top_tags"] = PREF_BASE + """
-SELECT pos, rank, tag, n FROM (
+SELECT pos, rank, tag, n, CASE WHEN pos IN (0, 1, 2) THEN n >= 2 END AS passes FROM (
   SELECT pos, tag, n, row_number() OVER (PARTITION BY pos ORDER BY n DESC, tag) AS rank FROM freq)
-WHERE rank <= 10"""
+WHERE pos IN (0, 1, 2) OR rank <= 10"""
 
 QUERIES["report_long_form"] = _with(DOCS, GEN_POS, GOLD_POS, PRED_POS) + """,
 sides AS (

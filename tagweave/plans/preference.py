@@ -47,6 +47,12 @@ def rare_filter_stats(spark, sf_dir):
 
 
 def filter_top_tags(spark, sf_dir):
-    """O-T1 for the filter report: the 10 most frequent tags per checked
-    position (ties by tag)."""
-    return freq.top_tags(_filter(spark, sf_dir)["freq"], 10).select("pos", "rank", "tag", "n")
+    """O-T1 for the filter report: positions 0-2 are checked (every tag with
+    its pass flag), position 3 is not (its 10 most frequent tags)."""
+    checked = [0, 1, 2]
+    f = freq.rare_filter(preference_cleaned(spark, sf_dir), min_freq=2, positions=checked)
+    return freq.top_tags(f["freq"], 10, checked=checked, min_freq=2).select("pos", "rank", "tag", "n", "passes")
+
+
+def preference_cleaned(spark, sf_dir):
+    return cleaned_records(spark, sf_dir)
