@@ -86,26 +86,39 @@ def tags_to_json(v: Column) -> Column:
             .otherwise(F.to_json(v)))
 
 
-def training_rows(raw: DataFrame, template=None) -> DataFrame:
-    """O-P19 over rows of VARIANT columns (prompt, chosen, rejected, weight,
-    and ``has_weight`` for key presence). Keeps rows with a non-empty string
-    prompt, non-empty chosen/rejected after O-P14 and a weight that casts to
-    double (missing key -> 1.0; an explicit null or a bad value drops the
-    row). ``template`` optionally maps the prompt column to the final text."""
+def training_row_checks(raw: DataFrame) -> DataFrame:
+    """O-P19 checks over rows of VARIANT columns (prompt, chosen, rejected,
+    weight, and ``has_weight`` for key presence). Adds the converted columns
+    ``_prompt``, ``_chosen``, ``_rejected``, ``_weight`` and ``reason``: the
+    first failing check ('prompt', 'chosen', 'rejected', 'weight') or 'ok'.
+    A missing weight key means 1.0; an explicit null or a value that does not
+    cast to a number fails."""
     prompt = F.when(F.schema_of_variant(F.col("prompt")) == "STRING",
                     F.try_variant_get(F.col("prompt"), "$", "string"))
-    chosen = tags_to_json(F.col("chosen"))
-    rejected = tags_to_json(F.col("rejected"))
     w_kind = F.schema_of_variant(F.col("weight"))
     weight = (F.when(~F.col("has_weight"), F.lit(1.0))
               .when(w_kind == "VOID", F.lit(None).cast("double"))
               .otherwise(F.try_variant_get(F.col("weight"), "$", "double")))
-    out = raw.select("*", prompt.alias("_prompt"), chosen.alias("_chosen"),
-                     rejected.alias("_rejected"), weight.alias("_weight"))
-    out = out.where((F.coalesce(F.col("_prompt"), F.lit("")) != "")
-                    & (F.col("_chosen") != "") & (F.col("_rejected") != "")
-                    & F.col("_weight").isNotNull())
+    out = raw.select("*", prompt.alias("_prompt"), tags_to_json(F.col("chosen")).alias("_chosen"),
+                     tags_to_json(F.col("rejected")).alias("_rejected"), weight.alias("_weight"))
+    reason = (F.when(F.coalesce(F.col("_prompt"), F.lit("")) == "", "prompt")
+              .when(F.col("_chosen") == "", "chosen")
+              .when(F.col("_rejected") == "", "rejected")
+              .when(F.col("_weight").isNull(), "weight")
+              .otherwise("ok"))
+    return out.withColumn("reason", reason)
+
+
+def training_rows(raw: DataFrame, template=None) -> DataFrame:
+    """O-P19: the rows that pass ``training_row_checks`` with their converted
+    values. ``template`` optionally maps the prompt column to the final text."""
+    out = training_row_checks(raw).where(F.col("reason") == "ok")
     p = template(F.col("_prompt")) if template else F.col("_prompt")
     extra = [c for c in raw.columns if c not in ("prompt", "chosen", "rejected", "weight", "has_weight")]
     return out.select(*extra, p.alias("prompt"), F.col("_chosen").alias("chosen"),
                       F.col("_rejected").alias("rejected"), F.col("_weight").alias("weight"))
+
+
+def rejection_counts(raw: DataFrame) -> DataFrame:
+    """Loader outcome counts by reason ('ok' for loaded rows)."""
+    return training_row_checks(raw).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))

@@ -88,3 +88,13 @@ def sft_target(stored, eos: str = EOS) -> F.Column:
     body = F.coalesce(F.to_json(tags), F.to_json(F.array(stored)))
     return F.concat(body, F.lit(eos if not eos else " " + eos))
 
+
+def truncation_report(prompted: DataFrame, key: str = "file_name") -> DataFrame:
+    """The build_prompts job's per-file summary: rows, truncated prompts and
+    token counts of the evaluation text."""
+    return prompted.groupBy(key).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("truncated")).alias("truncated"),
+        F.avg("n_tokens").alias("mean_tokens"),
+        F.max("n_tokens").alias("max_tokens"))
+

@@ -58,6 +58,8 @@ _PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rows_per_file": reports.rows_per_file,
     "sft_targets": sft.sft_targets,
     "semantic_doc_file_metrics": semantic.semantic_doc_file_metrics,
+    "prompt_truncation_counts": sft.prompt_truncation_counts,
+    "preference_load_reasons": roundtrip.preference_load_reasons,
 }
 
 

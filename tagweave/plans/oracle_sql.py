@@ -635,3 +635,23 @@ SELECT file_name, count(*) AS total_samples, count(*) FILTER (WHERE ng > 0) AS v
   count(*) FILTER (WHERE ng > 0 AND (f1 < 0.5 OR sa < 0.5)) AS failed_cases_count
 FROM dmf GROUP BY file_name HAVING count(*) FILTER (WHERE ng > 0) > 0"""
 
+
+QUERIES["prompt_truncation_counts"] = """
+WITH src AS (
+  SELECT doc_id, source AS file_name, CASE WHEN lang = 'en' THEN text END AS input,
+         '[' || lang || '] ' || text AS prompt,
+         CASE WHEN doc_id % 2 = 0 THEN 'source ' || source ELSE '' END AS context
+  FROM documents),
+ctx AS (
+  SELECT file_name, CASE WHEN context <> '' THEN coalesce(input, prompt) || chr(10) || chr(10) || context
+                         ELSE coalesce(input, prompt) END AS ic FROM src),
+tk AS (SELECT file_name, len(regexp_extract_all(ic, '\\S+')) AS n FROM ctx)
+SELECT file_name, count(*) AS rows, count(*) FILTER (WHERE n > 300) AS truncated,
+       round(avg(n), 6) AS mean_tokens, max(n) AS max_tokens FROM tk GROUP BY file_name"""
+
+# Every eligible judged pair is written; a failed reply has no weight (JSON
+# null), which the loader rejects; the other checks pass for these rows.
+QUERIES["preference_load_reasons"] = JUDGE_BASE + """
+SELECT CASE WHEN chosen IN (1, 2) THEN 'ok' ELSE 'weight' END AS reason, count(*) AS n
+FROM oc GROUP BY 1"""
+

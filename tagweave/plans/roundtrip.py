@@ -58,3 +58,22 @@ def preference_file_load(spark, sf_dir):
         F.variant_get(F.col("v"), "$.weight", "variant").isNotNull().alias("has_weight"))
     t = export.training_rows(loaded)
     return t.select("prompt", "chosen", "rejected", F.round("weight", 6).alias("weight"))
+
+
+def preference_load_reasons(spark, sf_dir):
+    """All eligible judged pairs (kept or not) exported with their weight
+    (NULL when the judge reply was unusable) and loaded back: loader outcome
+    counts by reason (preference_rows job)."""
+    j = judge.judge(derived.judge_pairs(spark, sf_dir), 2.0, 7.0)
+    rows = j.select("prompt", F.col("chosen_text").alias("chosen"), F.col("rejected_text").alias("rejected"),
+                    export.weight_expr().alias("weight"))
+    path = _scratch(spark, "pref-all-jsonl")
+    sinks.write_jsonl(rows, path, mode="overwrite")
+    loaded = readers.tolerant_jsonl(spark, path, glob="*.json").select(
+        F.variant_get(F.col("v"), "$.prompt", "variant").alias("prompt"),
+        F.variant_get(F.col("v"), "$.chosen", "variant").alias("chosen"),
+        F.variant_get(F.col("v"), "$.rejected", "variant").alias("rejected"),
+        F.variant_get(F.col("v"), "$.weight", "variant").alias("weight"),
+        F.variant_get(F.col("v"), "$.weight", "variant").isNotNull().alias("has_weight"))
+    return export.rejection_counts(loaded)
+

@@ -129,3 +129,11 @@ def sft_targets(spark, sf_dir):
     js = F.to_json("gold")
     stored = F.when(F.col("doc_id") % 2 == 0, F.translate(js, '"', "'")).otherwise(js)
     return r.select("doc_id", prompts.sft_target(stored).alias("target"))
+
+
+def prompt_truncation_counts(spark, sf_dir):
+    """Per-file prompt summary of the evaluation inputs (build_prompts job)."""
+    p = prompts.build_prompts(prompts.inference_text(source_rows(spark, sf_dir)), max_tokens=300)
+    r = prompts.truncation_report(p)
+    return r.select("file_name", "rows", "truncated", r6("mean_tokens"), "max_tokens")
+

@@ -215,3 +215,19 @@ def test_resumable_generation_with_model_call(spark, tmp_dir):
     rows = spark.read.json(out).collect()
     assert sorted(r["index"] for r in rows) == [1, 2, 3]
     assert all(len(r.responses) == 2 for r in rows)
+
+
+def test_rejection_counts_by_reason(spark, tmp_dir):
+    lines = [
+        {"prompt": "q1", "chosen": "a", "rejected": "b"},
+        {"prompt": "", "chosen": "a", "rejected": "b"},
+        {"prompt": 5, "chosen": "a", "rejected": "b"},
+        {"prompt": "q", "chosen": "", "rejected": "b"},
+        {"prompt": "q", "chosen": "a", "rejected": ""},
+        {"prompt": "q", "chosen": "a", "rejected": "b", "weight": None},
+        {"prompt": "q", "chosen": "a", "rejected": "b", "weight": "heavy"},
+        {"prompt": "q", "chosen": "a", "rejected": "b", "weight": "0.5"},
+    ]
+    write(tmp_dir, "p.jsonl", "\n".join(json.dumps(x) for x in lines) + "\n")
+    got = {r.reason: r.n for r in export.rejection_counts(readers.preference_dir(spark, tmp_dir)).collect()}
+    assert got == {"ok": 2, "prompt": 2, "chosen": 1, "rejected": 1, "weight": 2}
