@@ -181,3 +181,20 @@ def test_compare_runs(spark):
     a = spark.createDataFrame([("m1", 0.75), ("m3", 0.9)], "file_name string, exact_match_f1 double")
     r = score.compare_runs(b, a).collect()
     assert len(r) == 1 and r[0].delta_exact_match_f1 == pytest.approx(0.25)
+
+
+def test_concat_and_multi_path_inputs(spark, tmp_dir):
+    import os
+
+    from tagweave.sources import readers
+
+    a = spark.createDataFrame([(1, "x")], "index long, prompt string")
+    b = spark.createDataFrame([(2, 0.5)], "index long, weight double")
+    c = split.concat(a, b)
+    assert c.count() == 2 and set(c.columns) == {"index", "prompt", "weight"}
+    for name, rows in (("p1", ['{"index": 1}']), ("p2", ['{"index": 2}', '{"index": 3}'])):
+        os.makedirs(os.path.join(tmp_dir, name))
+        with open(os.path.join(tmp_dir, name, "x.jsonl"), "w") as f:
+            f.write("\n".join(rows) + "\n")
+    both = readers.tolerant_jsonl(spark, [os.path.join(tmp_dir, "p1"), os.path.join(tmp_dir, "p2")])
+    assert both.count() == 3
