@@ -65,17 +65,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 128 << 20) -> dict:
+def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 128 << 20,
+               shuffle_fraction: float = 0.25, max_shuffle_partitions: int = 100_000) -> dict:
     """Partition sizing for a cluster run over ``input_bytes`` of input.
 
-    Scan splits of ``target_partition_bytes`` x 2 (documents carry long
-    texts, so one split stays well within a task's memory after decoding),
-    an initial shuffle partition count that gives every shuffle partition
-    about ``target_partition_bytes`` at the input size (never fewer than two
-    waves of tasks), and AQE coalescing / skew splitting around the same
-    advisory size. Pass the result as ``extra`` to ``build_session``.
+    * scan splits of 2 x ``target_partition_bytes`` (documents carry long
+      texts; one split stays well within a task's memory after decoding);
+    * the initial shuffle partition count sized for the data that actually
+      crosses exchanges. These jobs shuffle narrow rows (keys, counts, tag
+      rows, previews) after partial aggregation, estimated as
+      ``shuffle_fraction`` of the input, at ``target_partition_bytes`` per
+      partition, never fewer than two waves of tasks and capped so the
+      map-output bookkeeping (maps x reducers) stays manageable;
+    * AQE coalescing and skew splitting around the same advisory size.
+    Pass the result as ``extra`` to ``build_session``.
     """
-    shuffle_parts = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    wanted = -(-int(input_bytes * shuffle_fraction) // target_partition_bytes)
+    shuffle_parts = min(max(2 * total_cores, wanted), max(max_shuffle_partitions, 2 * total_cores))
     return {
         "spark.sql.files.maxPartitionBytes": str(2 * target_partition_bytes),
         "spark.sql.shuffle.partitions": str(shuffle_parts),
@@ -84,4 +90,3 @@ def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int =
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
     }
-

@@ -179,7 +179,8 @@ def test_scale_conf():
     from tagweave.session import scale_conf
 
     c = scale_conf(100 * (1 << 40), 8000)
-    assert int(c["spark.sql.shuffle.partitions"]) == 819200
+    assert int(c["spark.sql.shuffle.partitions"]) == 100_000          # capped
+    assert scale_conf(1 << 40, 8000)["spark.sql.shuffle.partitions"] == "16000"   # two waves
     assert scale_conf(1 << 20, 8)["spark.sql.shuffle.partitions"] == "16"
 
 
