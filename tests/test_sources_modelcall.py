@@ -231,3 +231,34 @@ def test_rejection_counts_by_reason(spark, tmp_dir):
     write(tmp_dir, "p.jsonl", "\n".join(json.dumps(x) for x in lines) + "\n")
     got = {r.reason: r.n for r in export.rejection_counts(readers.preference_dir(spark, tmp_dir)).collect()}
     assert got == {"ok": 2, "prompt": 2, "chosen": 1, "rejected": 1, "weight": 2}
+
+
+def test_model_call_survives_failed_task_attempts(tmp_dir):
+    """A task that dies on its first attempt is retried; the written output
+    holds every row once (task commit keeps only the successful attempt)."""
+    import subprocess
+    import sys as _sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = os.path.join(tmp_dir, "out")
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark import TaskContext
+from pyspark.sql import SparkSession
+from tagweave.operators import modelcall
+s = SparkSession.builder.master('local[2,4]').config('spark.ui.enabled', 'false').getOrCreate()
+
+def factory():
+    if TaskContext.get().attemptNumber() == 0:
+        raise RuntimeError('executor lost on first attempt')
+    return modelcall.word_count_tagger
+
+df = s.range(0, 200).selectExpr('id', "repeat('w ', cast(id % 7 as int)) as t").repartition(4)
+modelcall.generate(df, 't', factory).write.mode('overwrite').json({out!r})
+back = s.read.json({out!r})
+print(back.count(), back.select('id').distinct().count())
+"""
+    res = subprocess.run([_sys.executable, "-c", code], cwd=tmp_dir, capture_output=True, text=True, timeout=300)
+    assert res.returncode == 0, res.stderr[-2000:]
+    assert res.stdout.strip().splitlines()[-1] == "200 200"
