@@ -30,6 +30,7 @@ def test_evaluate_files(spark, tmp_dir, semantic):
     ]) + "\n")
     write(os.path.join(data, "sub"), "b.json",
           json.dumps([{"index": 1, "input": "a b c d", "context": "ctx", "parsed_tags": ["Words2 "]}]))
+    write(os.path.join(data, "sub"), "b.json.bak", json.dumps([{"index": 9, "input": "ignored"}]))
     embed = (lambda t: modelcall.embed_tags(t, lambda: modelcall.hashing_embedder(32))) if semantic else None
     out = jobs.evaluate_files(spark, data, os.path.join(tmp_dir, "out"), fixed_model, run_name="org/m",
                               embed=embed)
@@ -81,3 +82,17 @@ def test_failed_generation_is_still_scored(spark, tmp_dir):
     assert r.raw_response == modelcall.GENERATION_FAILED and r.pred_names == ["General"]
     m = out["metrics"].first()
     assert (m.total_samples, m.valid_samples, m.exact_match_f1) == (1, 1, 0.0)  # the error row is out
+
+
+def test_cli_evaluate(tmp_dir):
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    data = os.path.join(tmp_dir, "data")
+    write(data, "a.jsonl", json.dumps({"index": 1, "input": "alpha beta", "parsed_tags": ["x"]}) + "\n")
+    res = subprocess.run([sys.executable, "-m", "tagweave.cli", "evaluate", data, os.path.join(tmp_dir, "out")],
+                         cwd=root, capture_output=True, text=True, timeout=300)
+    assert res.returncode == 0, res.stderr[-2000:]
+    first = json.loads(res.stdout.strip().splitlines()[0])
+    assert first["n_files"] == 1 and first["total_samples"] == 1
