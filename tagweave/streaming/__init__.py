@@ -1,0 +1 @@
+"""Structured Streaming: resumable appends, running tag counts, running file metrics."""

@@ -75,3 +75,37 @@ def running_tag_counts(spark: SparkSession, in_path: str, checkpoint: str, schem
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.table(table)
+
+
+RESULT_DDL = ("file_name string, index bigint, raw_response string, gold_names array<string>, "
+              "error string")
+
+
+def running_file_metrics(spark: SparkSession, results_path: str, checkpoint: str,
+                         table: str = "file_metrics_running", schema: str = RESULT_DDL) -> DataFrame:
+    """O-A13 over result files as they arrive (the periodic result files of
+    O-R3): each new row is parsed and scored (stateless projection), and a
+    stateful aggregation keeps per-file sums and counts; the means are
+    derived from the sums, so they equal the batch metrics over all rows
+    seen. Runs the available files (availableNow) and returns the table."""
+    from tagweave.functions.extract import tag_names
+    from tagweave.operators import score
+
+    stream = spark.readStream.schema(schema).json(results_path)
+    rows = score.parse_generated(stream.where(F.col("error").isNull()), "raw_response")
+    rows = score.with_exact(rows.withColumn("pred_names", tag_names(F.col("generated_tags"))),
+                            "pred_names", "gold_names")
+    valid = F.size("gold_names") > 0
+    sums = rows.groupBy("file_name").agg(
+        F.count(F.lit(1)).alias("total_samples"),
+        F.count_if(valid).alias("valid_samples"),
+        *[F.sum(F.when(valid, F.col(m))).alias("sum_" + m) for m in score.EXACT],
+        F.count_if(valid & (F.col("exact_match_f1") < 0.5)).alias("failed_cases_count"))
+    q = (sums.writeStream.outputMode("complete").format("memory").queryName(table)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    t = spark.table(table)
+    return t.where(F.col("valid_samples") > 0).select(
+        "file_name", "total_samples", "valid_samples",
+        *[(F.col("sum_" + m) / F.col("valid_samples")).alias(m) for m in score.EXACT],
+        "failed_cases_count")

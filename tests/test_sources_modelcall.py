@@ -262,3 +262,28 @@ print(back.count(), back.select('id').distinct().count())
     res = subprocess.run([_sys.executable, "-c", code], cwd=tmp_dir, capture_output=True, text=True, timeout=300)
     assert res.returncode == 0, res.stderr[-2000:]
     assert res.stdout.strip().splitlines()[-1] == "200 200"
+
+
+def test_running_file_metrics_match_batch(spark, tmp_dir):
+    from tagweave.operators import score
+    from tagweave.functions.extract import tag_names
+
+    src, ck = os.path.join(tmp_dir, "res"), os.path.join(tmp_dir, "ck")
+    first = [{"file_name": "f1", "index": 1, "raw_response": '[{"tag":"a","explanation":"x"}]', "gold_names": ["a"]},
+             {"file_name": "f1", "index": 2, "raw_response": "Tag: b\nExplanation: y", "gold_names": ["a", "b"]}]
+    second = [{"file_name": "f2", "index": 1, "raw_response": "nothing", "gold_names": ["c"]},
+              {"file_name": "f1", "index": 3, "raw_response": "[]", "gold_names": []},
+              {"file_name": "f2", "index": 2, "raw_response": "x", "gold_names": ["c"], "error": "bad"}]
+    write(src, "part-1.json", "\n".join(json.dumps(r) for r in first) + "\n")
+    resume.running_file_metrics(spark, src, ck, table="rfm_test")
+    write(src, "part-2.json", "\n".join(json.dumps(r) for r in second) + "\n")
+    run = {r.file_name: r for r in resume.running_file_metrics(spark, src, ck, table="rfm_test").collect()}
+    batch_in = spark.read.schema(resume.RESULT_DDL).json(src)
+    b = score.parse_generated(batch_in, "raw_response")
+    b = score.with_exact(b.withColumn("pred_names", tag_names(F.col("generated_tags"))), "pred_names", "gold_names")
+    batch = {r.file_name: r for r in score.file_metrics(b, semantic=False).collect()}
+    assert set(run) == set(batch) == {"f1", "f2"}
+    for f in run:
+        assert run[f].total_samples == batch[f].total_samples
+        assert run[f].exact_match_f1 == pytest.approx(batch[f].exact_match_f1)
+        assert run[f].failed_cases_count == batch[f].failed_cases_count
