@@ -1,10 +1,13 @@
 """Size-checked broadcasting.
 
-A side is broadcast only after its row count is known to be under a bound.
-The side is first written to the session's checkpoint folder (which also
-cuts its lineage, so the count and the join read the same rows and nothing
-is computed twice); beyond the bound the plain DataFrame is returned and the
-join stays a shuffle join, where AQE's skew-join splitting handles hot keys.
+A side is broadcast only after its size is known to be under a bound. The
+side is first written to the session's checkpoint folder (which also cuts its
+lineage, so the checks and the join read the same rows and nothing is
+computed twice); its row count is checked, and when that passes, its size in
+bytes (measured as the length of each row's JSON text, which over-states the
+binary size, so the check is conservative). Beyond either bound the plain
+DataFrame is returned and the join stays a shuffle join, where AQE's
+skew-join splitting handles hot keys.
 """
 
 from __future__ import annotations
@@ -14,13 +17,18 @@ from pyspark.sql import functions as F
 
 from tagweave.session import checkpoint_dir
 
-# Default bound: rows of a small key table that are safe to ship to every executor.
+# Default bounds for a table shipped to every executor.
 DEFAULT_MAX_ROWS = 2_000_000
+DEFAULT_MAX_BYTES = 256 << 20
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` when df has at most ``max_rows`` rows, else ``df``."""
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
+                      max_bytes: int = DEFAULT_MAX_BYTES) -> DataFrame:
+    """``broadcast(df)`` when df has at most ``max_rows`` rows and about
+    ``max_bytes`` bytes, else ``df``."""
     checkpoint_dir(df.sparkSession)
     small = df.checkpoint(eager=True)
-    n = small.count()
-    return F.broadcast(small) if n <= max_rows else small
+    if small.count() > max_rows:
+        return small
+    size = small.select(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*small.columns)))), F.lit(0))).first()[0]
+    return F.broadcast(small) if size <= max_bytes else small

@@ -198,3 +198,26 @@ def test_concat_and_multi_path_inputs(spark, tmp_dir):
             f.write("\n".join(rows) + "\n")
     both = readers.tolerant_jsonl(spark, [os.path.join(tmp_dir, "p1"), os.path.join(tmp_dir, "p2")])
     assert both.count() == 3
+
+
+def test_bounded_broadcast_limits(spark):
+    from tagweave.functions.sizing import bounded_broadcast
+
+    df = spark.range(0, 100).selectExpr("id", "array_repeat(cast(id as double), 64) as vec")
+    small = bounded_broadcast(df)
+    big_rows = bounded_broadcast(df, max_rows=10)
+    big_bytes = bounded_broadcast(df, max_bytes=1000)
+    probe = spark.range(0, 100)
+
+    def plan(side):
+        return probe.join(side, "id")._jdf.queryExecution().executedPlan().toString()
+
+    assert "BroadcastHashJoin" in plan(small)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" not in plan(big_rows)
+        assert "BroadcastHashJoin" not in plan(big_bytes)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
