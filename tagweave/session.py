@@ -19,6 +19,9 @@ BASE_CONF = {
     # Model-call steps receive Arrow batches of records with long texts: keep
     # batches small so a batch stays far below a Python worker's memory.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
+    # Checkpoints written by size checks and ordinals are removed once the
+    # DataFrames that use them are gone.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
