@@ -54,15 +54,18 @@ def truncate_head_tail(c, max_tokens: int = 600, tokens=None) -> Column:
 
     When the text has more than ``max_tokens`` tokens, keep the first and the
     last ``max_tokens // 2`` tokens around a marker; otherwise keep the text
-    unchanged. Token counting runs over the whole text. Pass ``tokens`` (a
-    column already holding ``word_tokens`` of the text) to tokenise once per
-    row when several truncations or counts share it.
+    unchanged. The kept parts are cut from the original text at token
+    boundaries, so their own whitespace (line breaks) is preserved, like
+    decoding a slice of tokens. Token counting runs over the whole text. Pass
+    ``tokens`` (a column already holding ``word_tokens`` of the text) to
+    tokenise once per row when several truncations or counts share it.
     """
     half = max_tokens // 2
     toks = word_tokens(c) if tokens is None else _c(tokens)
     n = F.size(toks)
-    head = F.array_join(F.slice(toks, 1, half), " ")
-    tail = F.array_join(F.slice(toks, n - half + 1, half), " ")
+    first = rf"^(?:\s*\S+){{{half}}}"
+    head = F.regexp_extract(_c(c), first, 0)
+    tail = F.reverse(F.regexp_extract(F.reverse(_c(c)), first, 0))
     return F.when(n <= max_tokens, _c(c)).otherwise(
         F.concat(head, F.lit(TRUNCATION_MARKER), tail))
 

@@ -123,10 +123,7 @@ SELECT count(*) AS n_files, CAST(sum(total_samples) AS BIGINT) AS total_samples,
 
 QUERIES["failed_cases"] = EVAL_BASE + """,
 toks AS (SELECT doc_id, text, regexp_extract_all(text, '\\S+') AS tk FROM d),
-trunc AS (
-  SELECT doc_id, CASE WHEN len(tk) <= 600 THEN text
-    ELSE array_to_string(tk[1:300], ' ') || chr(10) || chr(10) || '[Content truncated]' || chr(10) || chr(10)
-         || array_to_string(tk[len(tk) - 299:], ' ') END AS truncated_input FROM toks),
+trunc AS (SELECT doc_id, {TRUNC600} AS truncated_input FROM toks),
 failed AS (
   SELECT s.*, t.truncated_input,
          row_number() OVER (PARTITION BY s.file_name ORDER BY s.doc_id) AS case_rank
@@ -414,8 +411,9 @@ _MARK = "chr(10) || chr(10) || '[Content truncated]' || chr(10) || chr(10)"
 
 def _trunc(text: str, tk: str, max_tokens: int) -> str:
     half = max_tokens // 2
-    return (f"CASE WHEN len({tk}) <= {max_tokens} THEN {text} ELSE array_to_string({tk}[1:{half}], ' ') || "
-            f"{_MARK} || array_to_string({tk}[len({tk}) - {half - 1}:], ' ') END")
+    first = f"'^(?:\\s*\\S+){{{half}}}'"
+    return (f"CASE WHEN len({tk}) <= {max_tokens} THEN {text} ELSE regexp_extract({text}, {first}, 0) || "
+            f"{_MARK} || reverse(regexp_extract(reverse({text}), {first}, 0)) END")
 
 
 _EVAL_TEMPLATE_SQL = (
@@ -655,3 +653,6 @@ QUERIES["preference_load_reasons"] = JUDGE_BASE + """
 SELECT CASE WHEN chosen IN (1, 2) THEN 'ok' ELSE 'weight' END AS reason, count(*) AS n
 FROM oc GROUP BY 1"""
 
+
+QUERIES["failed_cases"] = QUERIES["failed_cases"].replace("{TRUNC600}", _trunc("text", "tk", 600))
+

@@ -191,3 +191,11 @@ def test_sft_target(spark):
     got = [r[0] for r in spark.createDataFrame(rows, "s string").select(sft_target(F.col("s"))).collect()]
     assert got == ['[{"tag":"a","explanation":"x"}] <eos>', '[{"tag":"b","explanation":"y"}] <eos>',
                    '["plain words"] <eos>']
+
+
+def test_truncation_keeps_line_breaks(spark):
+    text = "a b\nc d e\n\nf g h\ni j"
+    got = one(spark, truncate_head_tail(F.col("t"), 4), [(text,)])[0]
+    assert got == "a b\n\n[Content truncated]\n\ni j"
+    got6 = one(spark, truncate_head_tail(F.col("t"), 6), [(text,)])[0]
+    assert got6 == "a b\nc\n\n[Content truncated]\n\nh\ni j"
