@@ -71,8 +71,11 @@ def truncate_head_tail(c, max_tokens: int = 600, tokens=None) -> Column:
 
 
 def cap_tokens(c, max_tokens: int) -> Column:
-    """Keep the first ``max_tokens`` tokens (O-P4 prompt cap)."""
-    return F.array_join(F.slice(word_tokens(c), 1, max_tokens), " ")
+    """Keep the first ``max_tokens`` tokens (O-P4), cut from the original text
+    at the token boundary (its own whitespace preserved); shorter texts are
+    kept whole."""
+    first = rf"^(?:\s*\S+){{{max_tokens}}}"
+    return F.when(F.size(word_tokens(c)) <= max_tokens, _c(c)).otherwise(F.regexp_extract(_c(c), first, 0))
 
 
 def fill_template(template: str, **fields) -> Column:

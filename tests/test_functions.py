@@ -199,3 +199,10 @@ def test_truncation_keeps_line_breaks(spark):
     assert got == "a b\n\n[Content truncated]\n\ni j"
     got6 = one(spark, truncate_head_tail(F.col("t"), 6), [(text,)])[0]
     assert got6 == "a b\nc\n\n[Content truncated]\n\nh\ni j"
+
+
+def test_cap_tokens(spark):
+    from tagweave.functions.text import cap_tokens
+
+    got = one(spark, cap_tokens(F.col("t"), 3), [("a\nb  c d e",), ("x y",)])
+    assert got == ["a\nb  c", "x y"]
