@@ -7,7 +7,7 @@ Counts come from the unfiltered data in one pass (no fixpoint). Plan shape:
      every task before the exchange,
   3. rare keys (n < min_freq) joined back to the checked rows with a
      null-safe key; the rare set is written to the checkpoint folder and
-     broadcast when its count is under a bound, otherwise the join stays a
+     broadcast when its rows and bytes are under bounds, otherwise the join stays a
      shuffle join and AQE splits the partition of a hot key,
   4. distinct bad sample keys (same size check), then a left-anti join to
      keep samples: with the keys broadcast the records are not shuffled.

@@ -167,7 +167,7 @@ def attach_vectors(records: DataFrame, embed, key: str, name_cols: list[str],
     ``embed`` maps a DataFrame[tag] of distinct tags to DataFrame[tag, vec]
     (a lookup table or a model call, O-M6), so every tag is embedded once
     (O-J3). The records are exploded once into (key, side, pos, tag); the
-    tag -> vector table is broadcast under a checked row bound (otherwise a
+    tag -> vector table is broadcast under checked row and byte bounds (otherwise a
     shuffle join, with AQE splitting hot tags); the regroup per record holds
     one record's tags, bounded by the tag-list length.
     """
