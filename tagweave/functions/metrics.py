@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tagweave.functions.jsonparse import let
 from tagweave.functions.text import _c, lower_strip
 
 
@@ -141,12 +142,16 @@ def best_matches(gold, pred) -> Column:
     g, p = _c(gold), _c(pred)
 
     def per_gold(gt):
-        sims = F.transform(p, lambda pt: dot(gt["vec"], pt["vec"]))
         start = F.struct(F.lit(-1).alias("j"), F.lit(float("-inf")).alias("s"))
-        best = F.aggregate(
-            F.sequence(F.lit(0), F.greatest(F.size(p) - 1, F.lit(0))), start,
-            lambda acc, j: F.when((j < F.size(p)) & (F.get(sims, j) > acc["s"]),
-                                  F.struct(j.alias("j"), F.get(sims, j).alias("s"))).otherwise(acc))
+
+        def best_of(sims):
+            return F.aggregate(
+                F.sequence(F.lit(0), F.greatest(F.size(p) - 1, F.lit(0))), start,
+                lambda acc, j: F.when((j < F.size(p)) & (F.get(sims, j) > acc["s"]),
+                                      F.struct(j.alias("j"), F.get(sims, j).alias("s"))).otherwise(acc))
+
+        # The similarity list of this gold tag is computed once (let).
+        best = let(F.transform(p, lambda pt: dot(gt["vec"], pt["vec"])), best_of)
         return F.struct(gt["tag"].alias("gold_tag"), F.get(p, best["j"])["tag"].alias("pred_tag"),
                         best["s"].alias("similarity"))
 
