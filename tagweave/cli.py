@@ -4,6 +4,9 @@
                                   [--num-samples N] [--max-tokens 300] [--embedder MOD:FACTORY]
   python -m tagweave.cli curate GENERATION_PATH OUT_DIR [--judge MOD:FACTORY] [--min-freq 2]
                                 [--min-gap 2.0] [--min-privacy 7.0] [--format dpo_weighted]
+  python -m tagweave.cli report RESULTS_DIR OUT_DIR
+  python -m tagweave.cli filter GENERATION_PATH OUT_DIR [--min-freq 2] [--positions 0,1,2,3]
+  python -m tagweave.cli export ANNOTATED_PATH OUT_PATH [--format dpo]
 
 A model / judge / embedder is named as ``module:function`` returning the
 callable (built once per partition on the executors). Without one, the
@@ -52,6 +55,18 @@ def main(argv=None) -> None:
     cu.add_argument("--min-gap", type=float, default=2.0)
     cu.add_argument("--min-privacy", type=float, default=7.0)
     cu.add_argument("--format", default="dpo_weighted")
+    rp = sub.add_parser("report")
+    rp.add_argument("results_dir")
+    rp.add_argument("output_dir")
+    fi = sub.add_parser("filter")
+    fi.add_argument("generation_path")
+    fi.add_argument("output_dir")
+    fi.add_argument("--min-freq", type=int, default=2)
+    fi.add_argument("--positions", default="0,1,2,3")
+    ex = sub.add_parser("export")
+    ex.add_argument("annotated_path")
+    ex.add_argument("output_path")
+    ex.add_argument("--format", default="dpo")
     args = ap.parse_args(argv)
 
     from tagweave.operators import modelcall
@@ -66,12 +81,23 @@ def main(argv=None) -> None:
                                   args.num_samples, args.max_tokens, args.batch_size)
         _print(out["overall"])
         _print(out["metrics"])
-    else:
+    elif args.cmd == "curate":
         out = jobs.curate_preferences(spark, args.generation_path, args.output_dir, _load(args.judge),
                                       args.min_freq, args.min_gap, args.min_privacy, args.format)
         _print(out["filter_stats"])
         _print(out["outcomes"])
         print(json.dumps({"exported": out["export"].count()}))
+    elif args.cmd == "report":
+        out = jobs.report_results(spark, args.results_dir, args.output_dir)
+        _print(out["quality"])
+        _print(out["compare"])
+    elif args.cmd == "filter":
+        positions = [int(p) for p in args.positions.split(",") if p.strip()]
+        out = jobs.filter_generation(spark, args.generation_path, args.output_dir, args.min_freq, positions)
+        _print(out["stats"])
+    else:
+        out = jobs.export_annotated(spark, args.annotated_path, args.output_path, args.format)
+        print(json.dumps({"exported": out.count()}))
 
 
 if __name__ == "__main__":

@@ -115,10 +115,74 @@ def curate_preferences(spark: SparkSession, generation_path: str, output_dir: st
     judged = judge.judge(spark.read.schema(judged_in.schema).json(annotated_path), min_gap, min_privacy)
     pref = judge.preference_rows(judged)
     out = export.export(pref, format_type)
+    sinks.write_jsonl(pref.select("index", "prompt", "chosen", "rejected", F.struct(
+        "quality_chosen", "quality_rejected", "diversity_chosen", "diversity_rejected", "diversity_gap",
+        "privacy_chosen", "privacy_rejected").alias("scores")), f"{output_dir}/preferences", mode="overwrite")
     sinks.write_jsonl(out, f"{output_dir}/{format_type}", mode="overwrite")
     sinks.write_jsonl(filt["stats"], f"{output_dir}/filter_stats", mode="overwrite")
     return {"cleaned": cleaned, "filter_stats": filt["stats"], "outcomes": judge.outcome_counts(judged),
             "averages": judge.kept_averages(pref), "export": out}
 
 
-__all__ = ["evaluate_files", "curate_preferences", "variant_tag_names"]
+RESULTS_DDL = ("file_name string, run string, index bigint, truncated_input string, gold_names array<string>, "
+               "raw_response string, generation_error string, error string")
+
+
+def report_results(spark: SparkSession, results_dir: str, output_dir: str) -> dict[str, DataFrame]:
+    """Reports over evaluation results: tag distributions per
+    file and position for generated and gold tags, pooled topics top 30,
+    generation quality and the position-wise comparison; the long-form
+    report is written as CSV, the others as JSON Lines."""
+    from tagweave.operators import report
+
+    res = spark.read.schema(RESULTS_DDL).json(results_dir)
+    res = score.parse_generated(res, "raw_response")
+    res = res.withColumn("gold", F.transform("gold_names", lambda n: F.struct(
+        n.alias("tag"), F.lit("").alias("explanation"))))
+    res = res.withColumn("pred_names", tag_names(F.col("generated_tags")))
+    pos = report.positional_tags(res, {"generated": "generated_tags", "ground_truth": "gold"})
+    dist = report.tag_distribution(pos, require_side="generated")
+    topics = report.topic_top(pos, k=30, side="generated")
+    quality = report.generation_quality(res, "generated_tags")
+    compare = report.position_compare(res, "pred_names", "gold_names")
+    long_form = dist.select("file_name", F.col("side").alias("section"), "pos", "tag", "n", "pct").unionByName(
+        topics.select("file_name", F.lit("topics").alias("section"), F.lit(4).alias("pos"), "tag", "n",
+                      (F.col("n") * 100.0 / F.col("total")).alias("pct")))
+    sinks.write_report(long_form, f"{output_dir}/report")
+    sinks.write_jsonl(quality, f"{output_dir}/generation_quality", mode="overwrite")
+    sinks.write_jsonl(compare, f"{output_dir}/position_compare", mode="overwrite")
+    return {"distribution": dist, "topics": topics, "quality": quality, "compare": compare,
+            "report": long_form}
+
+
+def filter_generation(spark: SparkSession, generation_path: str, output_dir: str, min_freq: int = 2,
+                      positions=None) -> dict[str, DataFrame]:
+    """Clean generation records and drop samples with rare tags (SURVEY 3.2
+    steps 2-3): kept records, removal reasons and stats as JSON Lines."""
+    recs = spark.read.schema(GENERATION_DDL).json(generation_path)
+    cleaned = parse.clean_responses(recs)
+    filt = freq.rare_filter(cleaned, min_freq=min_freq, positions=positions or freq.DEFAULT_POSITIONS)
+    sinks.write_jsonl(filt["kept"], f"{output_dir}/kept", mode="overwrite")
+    sinks.write_jsonl(filt["removed"], f"{output_dir}/removed", mode="overwrite")
+    sinks.write_jsonl(filt["stats"], f"{output_dir}/stats", mode="overwrite")
+    return {"kept": filt["kept"], "removed": filt["removed"], "stats": filt["stats"], "freq": filt["freq"]}
+
+
+PREFERENCE_FILE_DDL = (
+    "index bigint, prompt string, chosen string, rejected string, scores struct<quality_chosen:double,"
+    "quality_rejected:double,diversity_chosen:double,diversity_rejected:double,diversity_gap:double,"
+    "privacy_chosen:double,privacy_rejected:double>")
+
+
+def export_annotated(spark: SparkSession, annotated_path: str, output_path: str,
+                     format_type: str = "dpo") -> DataFrame:
+    """Annotated preference rows (JSON Lines) -> a training format (O-X4)."""
+    pref = spark.read.schema(PREFERENCE_FILE_DDL).json(annotated_path).select(
+        "index", "prompt", "chosen", "rejected", "scores.*")
+    out = export.export(pref, format_type)
+    sinks.write_jsonl(out, output_path, mode="overwrite")
+    return out
+
+
+__all__ = ["evaluate_files", "curate_preferences", "report_results", "filter_generation", "export_annotated",
+           "variant_tag_names"]

@@ -96,3 +96,29 @@ def test_cli_evaluate(tmp_dir):
     assert res.returncode == 0, res.stderr[-2000:]
     first = json.loads(res.stdout.strip().splitlines()[0])
     assert first["n_files"] == 1 and first["total_samples"] == 1
+
+
+def test_report_filter_export_jobs(spark, tmp_dir):
+    def model():
+        return lambda prompts: ['[{"tag":"Legal","explanation":"x"},{"tag":"Question","explanation":"y"}]'
+                                for _ in prompts]
+
+    data = os.path.join(tmp_dir, "data")
+    write(data, "a.jsonl", "\n".join(json.dumps({"index": i, "input": f"text {i}",
+                                                 "parsed_tags": ["legal", "Summary"]}) for i in range(4)) + "\n")
+    jobs.evaluate_files(spark, data, os.path.join(tmp_dir, "ev"), model)
+    rep = jobs.report_results(spark, os.path.join(tmp_dir, "ev", "results"), os.path.join(tmp_dir, "rep"))
+    c = rep["compare"].first()
+    assert (c.total_samples, c.partial_matches, c.match_pos0) == (4, 4, 4)
+    assert rep["quality"].first().incomplete == 4
+
+    recs = [{"index": i, "prompt": "p", "responses": [
+        {"response_id": 1, "text": json.dumps([{"tag": "A" if i else "Z"}])}]} for i in range(5)]
+    write(os.path.join(tmp_dir, "gen"), "g.jsonl", "\n".join(json.dumps(r) for r in recs) + "\n")
+    f = jobs.filter_generation(spark, os.path.join(tmp_dir, "gen"), os.path.join(tmp_dir, "flt"))
+    assert f["stats"].first().kept_count == 4
+
+    cur = jobs.curate_preferences(spark, os.path.join(tmp_dir, "gen"), os.path.join(tmp_dir, "cur"))
+    ex = jobs.export_annotated(spark, os.path.join(tmp_dir, "cur", "preferences"),
+                               os.path.join(tmp_dir, "ppo"), "ppo")
+    assert ex.count() == cur["export"].count()
