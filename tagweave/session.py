@@ -53,8 +53,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a private one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS, S3, ...)
-    and is used as is. Only a session without one (local tests) gets a fresh
-    temporary folder.
+    and is used as is; a cluster session without one is an error. Only a
+    local session without one (tests) gets a fresh temporary folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -64,6 +64,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if not sc.master.startswith("local"):
+        # A machine-local folder is not readable by other executors.
+        raise RuntimeError("spark.checkpoint.dir is not set: point it at a folder shared by the cluster")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="tagweave-ckpt-"))
     return sc.getCheckpointDir()
 
