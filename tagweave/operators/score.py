@@ -159,7 +159,7 @@ VEC_LIST_DDL = "array<struct<tag:string,vec:array<double>>>"
 
 
 def attach_vectors(records: DataFrame, embed, key: str, name_cols: list[str],
-                   max_broadcast_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+                   max_broadcast_rows: int = DEFAULT_MAX_ROWS, carry: list[str] | None = None) -> DataFrame:
     """Add ``<col>_vecs`` = ARRAY<STRUCT<tag, vec>> (unit vectors, list order)
     for each name-array column; names without a vector are dropped like a
     failed encode.
@@ -170,24 +170,46 @@ def attach_vectors(records: DataFrame, embed, key: str, name_cols: list[str],
     tag -> vector table is broadcast under checked row and byte bounds (otherwise a
     shuffle join, with AQE splitting hot tags); the regroup per record holds
     one record's tags, bounded by the tag-list length.
+
+    With ``carry`` (narrow record columns), those columns ride along the
+    exploded rows and the regroup is the only shuffle: every record also
+    yields one marker row, so records without tags survive. Without it the
+    regrouped vectors are joined back to ``records`` by key.
     """
     def tagged(side):
         return lambda x, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), x.alias("tag"))
 
     sides = F.concat(*[F.transform(F.col(c), tagged(c)) for c in name_cols])
+    tv_src = explode_rows(records, [], sides, "t").select(F.col("t.tag").alias("tag"))
+    tv = embed(tv_src.distinct()).select("tag", M.unit(F.col("vec")).alias("vec"))
+    tv = bounded_broadcast(tv, max_broadcast_rows)
+    vec_ddl = f"cast(array() as {VEC_LIST_DDL})"
+
+    def regrouped(rows, extra_aggs):
+        g = rows.groupBy(key).agg(*extra_aggs, *[
+            F.sort_array(F.collect_list(F.when((F.col("side") == c) & F.col("vec").isNotNull(),
+                                               F.struct("pos", "tag", "vec")))).alias(c + "_vecs")
+            for c in name_cols])
+        for c in name_cols:
+            g = g.withColumn(c + "_vecs", F.transform(F.col(c + "_vecs"), lambda x: F.struct(
+                x["tag"].alias("tag"), x["vec"].alias("vec"))))
+        return g
+
+    if carry is not None:
+        marker = F.array(F.struct(F.lit("_record").alias("side"), F.lit(-1).alias("pos"),
+                                  F.lit(None).cast("string").alias("tag")))
+        keep = [c for c in dict.fromkeys(list(carry) + list(name_cols)) if c != key]
+        rows = explode_rows(records, [key, *keep], F.concat(marker, sides), "t").select(
+            key, *keep, F.col("t.side").alias("side"), F.col("t.pos").alias("pos"), F.col("t.tag").alias("tag"))
+        rows = rows.join(tv, "tag", "left")
+        return regrouped(rows, [F.first(c, ignorenulls=False).alias(c) for c in keep])
+
     rows = explode_rows(records, [key], sides, "t").select(
         key, F.col("t.side").alias("side"), F.col("t.pos").alias("pos"), F.col("t.tag").alias("tag"))
-    tv = embed(rows.select("tag").distinct()).select("tag", M.unit(F.col("vec")).alias("vec"))
-    tv = bounded_broadcast(tv, max_broadcast_rows)
-    joined = rows.join(tv, "tag", "inner")
-    grouped = joined.groupBy(key).agg(*[
-        F.sort_array(F.collect_list(F.when(F.col("side") == c, F.struct("pos", "tag", "vec")))).alias(c)
-        for c in name_cols])
-    grouped = grouped.select(key, *[F.transform(F.col(c), lambda x: F.struct(
-        x["tag"].alias("tag"), x["vec"].alias("vec"))).alias(c + "_vecs") for c in name_cols])
+    grouped = regrouped(rows.join(tv, "tag", "inner"), [])
     out = records.join(grouped, key, "left")
     for c in name_cols:
-        out = out.withColumn(c + "_vecs", F.coalesce(F.col(c + "_vecs"), F.expr(f"cast(array() as {VEC_LIST_DDL})")))
+        out = out.withColumn(c + "_vecs", F.coalesce(F.col(c + "_vecs"), F.expr(vec_ddl)))
     return out
 
 

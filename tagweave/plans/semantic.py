@@ -33,7 +33,8 @@ def scored_vectors(spark, sf_dir, threshold: float = THRESHOLD):
     # back): the narrow record table is written once to the checkpoint folder.
     checkpoint_dir(spark)
     recs = derived.vector_records(spark, sf_dir).checkpoint(eager=True)
-    v = score.attach_vectors(recs, table_embedder(spark, sf_dir), "rec_id", ["gold", "pred"])
+    v = score.attach_vectors(recs, table_embedder(spark, sf_dir), "rec_id", ["gold", "pred"],
+                             carry=["file_name"])
     v = score.with_exact(v, "pred", "gold", normalise=True)
     return score.with_semantic(v, "gold_vecs", "pred_vecs", threshold)
 
@@ -74,7 +75,8 @@ def semantic_doc_file_metrics(spark, sf_dir):
     # join back): written once to the checkpoint folder, parsed once.
     checkpoint_dir(spark)
     narrow = r.select("rid", "file_name", "pred_names", "gold_names", *score.EXACT).checkpoint(eager=True)
-    v = score.attach_vectors(narrow, letter_embedder, "rid", ["gold_names", "pred_names"])
+    v = score.attach_vectors(narrow, letter_embedder, "rid", ["gold_names", "pred_names"],
+                             carry=["file_name", *score.EXACT])
     s = score.with_semantic(v, "gold_names_vecs", "pred_names_vecs", THRESHOLD)
     m = score.file_metrics(s, gold_names="gold_names", semantic=True)
     return m.select("file_name", "total_samples", "valid_samples",
