@@ -145,9 +145,36 @@ def balanced_prefix(text) -> Column:
     return F.when(res["end"] > 0, F.substring(t, 1, res["end"]))
 
 
+def tag_object_spans(text) -> Column:
+    """Balanced ``{...}`` spans that start at ``{"tag":`` (O-P10 helper): one
+    fold over the characters keeps (depth, start, spans). Scanning resumes
+    after each closed object; an object that never closes ends the scan.
+    Braces inside strings are counted naively, like the reference does.
+    Returns the span texts."""
+    t = _c(text)
+    indexed = F.transform(F.split(t, "", -1), lambda ch, i: F.struct(ch.alias("ch"), (i + 1).alias("i")))
+    state0 = F.expr("named_struct('depth', 0, 'start', 0, 'spans', cast(array() as array<struct<s:int,e:int>>))")
+
+    def step(acc, c):
+        opens_tag = F.substring(t, c["i"], len(_TAG_OBJECT_START)) == _TAG_OBJECT_START
+        start = F.struct(F.lit(1).alias("depth"), c["i"].alias("start"), acc["spans"].alias("spans"))
+        deeper = F.struct((acc["depth"] + 1).alias("depth"), acc["start"].alias("start"), acc["spans"].alias("spans"))
+        closed = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("start"), F.array_append(
+            acc["spans"], F.struct(acc["start"].alias("s"), c["i"].alias("e"))).alias("spans"))
+        shallower = F.struct((acc["depth"] - 1).alias("depth"), acc["start"].alias("start"), acc["spans"].alias("spans"))
+        return (F.when(acc["depth"] == 0, F.when(opens_tag, start).otherwise(acc))
+                .when(c["ch"] == "{", deeper)
+                .when((c["ch"] == "}") & (acc["depth"] == 1), closed)
+                .when(c["ch"] == "}", shallower)
+                .otherwise(acc))
+
+    res = F.aggregate(indexed, state0, step)
+    return F.transform(res["spans"], lambda sp: F.substring(t, sp["s"], sp["e"] - sp["s"] + 1))
+
+
 # Fixed patterns of the SFT extractor.
 _SFT_OBJECT = r'(?s)\{"tag":\s*"([^"]+)",\s*"explanation":\s*"([^"]*?)"\}'
-_SFT_FLAT_OBJECT = r'\{"tag":[^{}]*\}'
+_TAG_OBJECT_START = '{"tag":'
 
 
 def extract_tags_sft(text) -> Column:
@@ -156,9 +183,8 @@ def extract_tags_sft(text) -> Column:
     After stripping: text starting with '[' is parsed whole; if that fails,
     the balanced ``[...]`` prefix is parsed and a failure there gives an
     empty result; without a balanced prefix it falls through. Then the
-    strict ``{"tag": "...", "explanation": "..."}`` pattern, then objects
-    starting with ``{"tag":`` parsed one by one (flat objects only), else
-    empty. The stripped text, the prefix and the pattern matches are each
+    strict ``{"tag": "...", "explanation": "..."}`` pattern, then balanced
+    objects starting at ``{"tag":`` parsed one by one, else empty. The stripped text, the prefix and the pattern matches are each
     bound once (``let``), so no step is evaluated twice.
     """
     empty = F.expr(f"cast(array() as {TAG_LIST_DDL})")
@@ -171,9 +197,10 @@ def extract_tags_sft(text) -> Column:
     def after_brackets(t):
         def objects(m):
             strict_objs = F.zip_with(m["names"], m["expls"], lambda a, b: _pair(a, b))
-            flat = F.filter(F.transform(F.regexp_extract_all(t, F.lit(_SFT_FLAT_OBJECT), F.lit(0)), strict_value),
-                            lambda v: v.isNotNull() & is_object(v))
-            return F.when(F.size(strict_objs) > 0, strict_objs).when(F.size(flat) > 0, as_tags(flat)).otherwise(empty)
+            scanned = F.filter(F.transform(tag_object_spans(t), strict_value),
+                               lambda v: v.isNotNull() & is_object(v))
+            return (F.when(F.size(strict_objs) > 0, strict_objs)
+                    .when(F.size(scanned) > 0, as_tags(scanned)).otherwise(empty))
 
         matches = F.struct(F.regexp_extract_all(t, F.lit(_SFT_OBJECT), F.lit(1)).alias("names"),
                            F.regexp_extract_all(t, F.lit(_SFT_OBJECT), F.lit(2)).alias("expls"))

@@ -206,3 +206,12 @@ def test_cap_tokens(spark):
 
     got = one(spark, cap_tokens(F.col("t"), 3), [("a\nb  c d e",), ("x y",)])
     assert got == ["a\nb  c", "x y"]
+
+
+def test_extract_sft_nested_objects(spark):
+    rows = [('note {"tag": "a", "explanation": "x", "meta": {"k": 1}} and {"tag": "b", "explanation": "y", '
+             '"more": {"z": {"w": 2}}} end',),
+            ('{"tag": "open", "explanation": {"never": "closed"',)]
+    df = spark.createDataFrame(rows, "t string").select(extract_tags_sft(F.col("t")).alias("r"))
+    out = [[(x.tag, x.explanation) for x in r.r] for r in df.collect()]
+    assert out == [[("a", "x"), ("b", "y")], []]
