@@ -1,0 +1,294 @@
+"""The registered queries against brute force over the small tables."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+
+import corpus_pipeline
+from tagweave.llm import order_minhash, queries, secret_scan, simhash_dedup
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs():
+    return dict(duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet' ORDER BY doc_id").fetchall())
+
+
+def crc(i, m):
+    return zlib.crc32(str(i).encode()) % m
+
+
+def result(spark, name):
+    return queries.QUERIES[name](spark, SF).collect()
+
+
+def test_op1(spark, docs):
+    texts = list(docs.values())
+    got = {r.doc_id: r for r in result(spark, "op1_document_fingerprints")}
+    assert sorted(got) == sorted(docs)
+    for (i, text), other in zip(docs.items(), texts[1:] + texts[:1]):
+        half = len(text) // 2
+        edited = text[:len(text) - half] + other[:half]
+        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == len(text)
+        assert got[i].fingerprint == plain_fingerprint(text) and got[i].edited_fingerprint == plain_fingerprint(edited)
+        assert got[i].near_next == share(plain_fingerprint(text), plain_fingerprint(other))
+
+
+def share(a, b):
+    return sum(a[i:i + 8] == b[i:i + 8] for i in range(0, len(a), 8)) / (len(a) // 8)
+
+
+def plain_fingerprint(text, k=order_minhash.K):
+    """The definition, k-mer by k-mer, with the operator's hash functions."""
+    if not text:
+        return "0" * 8 * order_minhash.COMPONENTS
+    h = [int(order_minhash.kmers(text[i:i + k], k)[0]) for i in range(max(1, len(text) - k + 1))]
+    seen, numbered = Counter(), []
+    for x in h:
+        n = seen[x]
+        numbered.append(x if not n else int(order_minhash._mix(np.array([x ^ (n * int(order_minhash._OCCURRENCE) & (2**64 - 1))], np.uint64))[0]))
+        seen[x] += 1
+    out = []
+    for factor in order_minhash._MULTIPLIERS[:order_minhash.COMPONENTS].tolist():
+        least = sorted(range(len(h)), key=lambda i: numbered[i] * factor % 2**64)[:order_minhash.LENGTH]
+        total = np.array([order_minhash.LENGTH], np.uint64)
+        for i in sorted(least):
+            total = order_minhash._mix(total * order_minhash._BASE + np.uint64(h[i]))
+        out.append(f"{int(total[0]) >> 32:08x}")
+    return "".join(out)
+
+
+def test_likeness_follows_edit_distance():
+    rng = np.random.default_rng(3)
+    text = "".join(rng.choice(list("abcdefgh "), 4000))
+    near = [order_minhash.likeness(order_minhash.fingerprint(text, components=256), order_minhash.fingerprint(order_minhash.edited(text, text[::-1])[:0] + text[:4000 - n] + text[::-1][:n], components=256)) for n in (0, 400, 1200, 2800)]
+    assert near[0] == 1.0 and near == sorted(near, reverse=True) and near[-1] < 0.3
+    swapped = text[2000:] + text[:2000]  # the same k-mers almost everywhere, in another order
+    kept = order_minhash.likeness(order_minhash.fingerprint(text, components=256), order_minhash.fingerprint(swapped, components=256))
+    assert 0.3 < kept < 0.7
+
+
+def test_op2_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    quality = dict(duckdb.sql(f"SELECT doc_id, quality FROM '{sf}/labels.parquet'").fetchall())
+    got = queries.op2_quality_classifier(spark, sf).collect()
+    held = [r for r in got if r.held_out and r.doc_id in quality]
+    assert all(r.held_out == (crc(r.doc_id, 5) == 0) and r.predicted == (r.score >= 0.3) for r in got)
+    assert sum(r.predicted == quality[r.doc_id] for r in held) >= 0.9 * len(held)
+
+
+def test_op3(spark, docs):
+    import tiktoken
+
+    encoding = queries.bpe.make_encoding(queries.bpe.read_ranks(queries.public_tokenizers.path(queries.RANKS)), queries.public_tokenizers.PATTERN)
+    assert isinstance(encoding, tiktoken.Encoding)
+    for r in result(spark, "op3_byte_bpe"):
+        ids = encoding.encode_ordinary(docs[r.doc_id])
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
+def plain_simhash(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode()))
+    grams = [b" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def reach(prints, bits):
+    """Component of every item, by breadth-first search over all pairs."""
+    label = {}
+    for i in sorted(prints):
+        if i in label:
+            continue
+        label[i], todo = i, [i]
+        while todo:
+            a = todo.pop()
+            for b in prints:
+                if b not in label and (prints[a] ^ prints[b]).bit_count() <= bits:
+                    label[b] = i
+                    todo.append(b)
+    return label
+
+
+def test_op4(spark, docs):
+    got = {r.doc_id: r for r in result(spark, "op4_simhash_near_dedup")}
+    prints = {i: plain_simhash(t) for i, t in docs.items()}
+    assert {i: int(r.fingerprint, 16) for i, r in got.items()} == prints
+    assert {i: r.component_id for i, r in got.items()} == reach(prints, 2)
+
+
+def test_dense_groups_lose_no_link(spark):
+    """Fingerprints crowded around few centres, far more than a list's pairwise limit, and chains of links."""
+    rng = np.random.default_rng(9)
+    centres = rng.integers(0, 2**63, 4).tolist()
+    prints = {int(c) ^ sum(1 << int(b) for b in rng.choice(20, int(rng.integers(0, 7)), replace=False)) for c in centres for _ in range(250)}
+    chain = 0
+    for b in range(0, 60, 2):
+        chain |= 3 << b
+        prints.add(chain)
+    ordered = {i: p for i, p in enumerate(sorted(prints))}
+    df = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in ordered.items()], "doc_id long, fingerprint long")
+    got = {(r.fingerprint & (1 << 64) - 1): r.component_id for r in simhash_dedup.classes(df).collect()}
+    assert {i: got[p] for i, p in ordered.items()} == reach(ordered, 2)
+
+
+def test_op5_meets_targets(spark):
+    rows = result(spark, "op5_mix_sources")
+    assert all(r.rate >= 0 and r.copies in (math.floor(r.rate), math.ceil(r.rate)) for r in rows)
+    model = queries.soft_mixing.fit(queries.table(spark, SF, "documents"), queries.labelled_domains(spark, SF))
+    rated = queries.soft_mixing.rates(queries.table(spark, SF, "documents"), model, queries.MIX_TARGETS).collect()
+    totals = sum(r.rate * r.n_tokens * np.array(r.posterior) for r in rated)
+    want = np.array([queries.MIX_TARGETS.get(d, 0) for d in model["domains"]])
+    assert np.abs(totals / totals.sum() - want / want.sum()).max() < 1e-3
+    assert abs(totals.sum() / sum(r.n_tokens for r in rated) - 1) < 1e-3
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_op6(spark, docs, order):
+    words = {i: re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower()) + ["end"] for i, t in docs.items()}
+    counts = Counter()
+    for i, w in words.items():
+        if crc(i, 5) != 1:
+            w = ["start", *w]
+            counts[("start",)] += 1
+            counts.update(tuple(w[j - n + 1:j + 1]) for j in range(1, len(w)) for n in range(1, order + 1) if j - n + 1 >= 0)
+    single = {k: c for k, c in counts.items() if len(k) == 1 and k != ("start",)}
+    total, mu = sum(single.values()), queries.ngram_lm.MU
+    mass = total + 0.5 * (len(single) + 1)
+
+    def p(context, w):
+        if not context:
+            return (counts[(w,)] + 0.5) / mass
+        lower = p(context[1:], w)
+        return (counts[(*context, w)] + mu * lower) / (counts[context] + mu) if counts[context] else lower
+
+    rows = queries.ngram_lm.score(queries.table(spark, SF, "documents"), queries.id_bucket("doc_id", 5) != 1, order=order, block_bytes=1 << 17, bucket_rows=1 << 12)
+    for r in rows.collect():
+        w = ["start", *words[r.doc_id]]
+        assert (r.n_tokens, r.train_tokens, r.held_out) == (len(w) - 1, total, crc(r.doc_id, 5) == 1)
+        assert r.n_known == sum((x,) in single for x in w[1:])
+        assert r.base_score == pytest.approx(sum(math.log10((counts[(x,)] + 0.5) / mass) for x in w[1:]))
+        assert r.score == pytest.approx(sum(math.log10(p(tuple(w[max(0, j - order + 1):j]), w[j])) for j in range(1, len(w))))
+
+
+def test_automaton_is_a_distribution(spark, docs):
+    """After any word, the probabilities of all known words and one unknown add up to one."""
+    lm = queries.ngram_lm
+    texts = list(docs.values())[:20]
+    words, counts, tables = lm.distinct_grams(texts, np.ones(len(texts), bool), 2)
+    totals = [t[1] for t in tables]
+    known = np.unique(words)
+    size = totals[0].sum() - len(texts) + 0.5 * (len(known) + 1)
+    model = lm.Automaton(words, counts, tables, totals, size, lm.MU)
+    for first in (words[5], words[77]):
+        every = np.concatenate([known, [np.uint64(12345)]])
+        pairs = np.stack([np.full(len(every), first), every], axis=1).ravel()
+        both = model.score(pairs, np.full(len(every), 2))
+        assert (10 ** (both - model.score(np.array([first]), np.array([1]))[0])).sum() == pytest.approx(1)
+
+
+def test_op7(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+    want = sorted(con.execute(queries.ORACLE_SQL["op7_chat_formatting"]).fetchall())
+    assert sorted(tuple(r) for r in result(spark, "op7_chat_formatting")) == want
+
+
+def test_op8_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    lang = dict(duckdb.sql(f"SELECT doc_id, lang FROM '{sf}/documents.parquet'").fetchall())
+    got = queries.op8_language_id(spark, sf).collect()
+    held = [r for r in got if r.held_out]
+    assert all(r.held_out == (crc(r.doc_id, 3) == 1) and 0 <= r.score <= 1 for r in got)
+    assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.98 * len(held)
+    assert sum(r.rejected for r in got) <= 0.005 * len(got)
+
+
+def test_kneser_ney_is_a_distribution():
+    ki = queries.lang_id
+    text = "the cat sat on the mat the cat ran "
+    codes = np.frombuffer(("   " + text).encode("utf-32-le"), "<u4")
+    windows = np.lib.stride_tricks.sliding_window_view(codes, 4)
+    grams, n = np.unique(windows, axis=0, return_counts=True)
+    model = ki.kneser_ney({"en": (grams, n)}, 4)
+    letters = sorted(set(text)) + ["\u4e00"]
+    for context in (" th", "cat", "zzz", "at "):
+        p = sum(math.exp(ki.log_probabilities(model, np.frombuffer((context + c).encode("utf-32-le"), "<u4"))[-1, 0]) for c in letters)
+        assert p == pytest.approx(1, abs=1e-5)
+
+
+def test_op9_recall(spark):
+    sf = "/root/testdata/sf0.1"
+    ids, vectors = zip(*duckdb.sql(f"SELECT vec_id, embedding FROM '{sf}/embeddings.parquet' ORDER BY vec_id").fetchall())
+    ids, x = np.array(ids), np.array(vectors, float)
+    got = {}
+    for r in queries.op9_nearest_neighbours(spark, sf).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    asked = [i for i in ids.tolist() if i % 20 == 0]
+    assert sorted(got) == asked
+    hits = 0
+    for q in asked:
+        score = x @ x[ids == q][0]
+        best = [i for i in ids[np.lexsort((ids, -score))].tolist() if i != q][:20]
+        own = sorted(got[q])
+        assert [r for r, _, _ in own] == list(range(1, 21)) and [(-s, v) for _, v, s in own] == sorted((-s, v) for _, v, s in own)
+        assert all(s == pytest.approx(float(score[ids == v][0]), abs=1e-12) for _, v, s in own)
+        hits += len({v for _, v, _ in own} & set(best))
+    assert hits >= 0.95 * 20 * len(asked)
+
+
+def test_op10(spark, docs):
+    for r in result(spark, "op10_secret_scans"):
+        spans = plain_base(docs[r.doc_id])
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(s.startswith(k) for s in spans) for k in ("assign", "access", "hex")]
+        assert r.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
+        assert set(spans) <= set(filter(None, r.spans.split(",")))
+
+
+def plain_base(text):
+    found = []
+    for kind, pattern, group, least in (
+            ("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+            ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24)):
+        found += [(m.start(), ("assign", "access", "hex").index(kind), f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text) if len(m[group]) >= least]
+    return [s for _, _, s in sorted(found)]
+
+
+def test_ownership_separates_copied_from_specific(spark):
+    live, copied = "ghp_" + "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6", "ghp_" + "Z9y8X7w6V5u4T3s2R1q0P9o8N7m6L5k4"
+    rows = [(i, f"{'é' * i} use {copied} here", f"s{i}") for i in range(6)] + [(9, f"mine: {live} and password = hunter22", "s9"), (10, None, None)]
+    got = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[9].spans == ["vendor:6:42", "assign:47:66"] and got[9].base == ["assign:47:66"] and got[9].n_owner_specific == 2
+    assert got[3].spans == [] and got[10].spans == []
+    clean = {r.doc_id: r.text for r in secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert clean[9] == "mine: [vendor] and [assign]" and clean[3] == rows[3][1] and clean[10] is None
+
+
+def test_pipeline(spark, docs):
+    docs_df = queries.table(spark, SF, "documents")
+    columns = docs_df.columns
+    kept = corpus_pipeline.identify_language(spark, docs_df, SF)
+    assert kept.columns == columns and kept.count() == len(docs)  # the table holds no text without letters
+    one = corpus_pipeline.drop_near_duplicates(spark, docs_df, SF)
+    label = reach({i: plain_simhash(t) for i, t in docs.items()}, 2)
+    assert sorted(r.doc_id for r in one.collect()) == sorted(set(label.values()))
+    clean = {r.doc_id: r for r in corpus_pipeline.redact_secrets(spark, docs_df, SF).collect()}
+    assert len(clean) == len(docs)
+    for i, text in docs.items():
+        if plain_base(text):
+            assert clean[i].text != text and clean[i].n_chars == len(clean[i].text) and not [s for s in plain_base(clean[i].text) if s in plain_base(text)]
+        elif "[" not in clean[i].text:
+            assert clean[i].text == text
+    mixed = corpus_pipeline.mix_domains(spark, docs_df, SF)
+    assert mixed.columns == columns and {r.doc_id for r in mixed.select("doc_id").collect()} == set(docs)
+    done = corpus_pipeline.run(spark, SF)
+    assert {r.doc_id for r in done.collect()} == set(label.values())
