@@ -34,10 +34,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tagweave.llm.common import cut, parallelism
+from tagweave.llm.common import cut, map_rows, parallelism
 
 ORDER = 2
 MU = 100.0
@@ -74,7 +76,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts in a row, an end token after each, and the
     number of tokens of each text. Hashes are polynomials over the bytes of a
     word, taken from one running sum over the batch."""
@@ -101,7 +103,7 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     size = 0
     for text in texts:
-        part.append((text or "").encode().lower())
+        part.append(text.lower())  # of bytes: A-Z only
         size += len(part[-1]) + 1
         if size >= HASH_BYTES:
             flush()
@@ -133,9 +135,11 @@ def grams(words: np.ndarray, counts: np.ndarray, order: int) -> list[tuple[np.nd
     return made
 
 
-def distinct_grams(texts: list[str], training: np.ndarray, order: int):
-    """tokens, their numbers, and per length the sorted distinct hashes, their
-    training counts and a token position that shows each (START: -1)."""
+def distinct_grams(texts: list[bytes], training: np.ndarray, order: int):
+    """The numbers of tokens of the texts, and per length a table: the sorted
+    distinct hashes, their training counts, a token position that shows each
+    (START: -1) and, for each token, the place of the n-gram that ends there
+    (-1: none)."""
     words, counts = tokens(texts)
     learned = np.repeat(training, counts)
     tables = []
@@ -143,13 +147,15 @@ def distinct_grams(texts: list[str], training: np.ndarray, order: int):
         at = np.flatnonzero(there)
         keys, first, inverse = np.unique(h[at], return_index=True, return_inverse=True)
         held = np.bincount(inverse[learned[at]], minlength=len(keys))
-        first = at[first]
+        first, place = at[first], np.full(len(words), -1, np.int32)
+        place[at] = inverse
         if n == 1 and len(counts):
             spot = np.searchsorted(keys, START)
             keys, first = np.insert(keys, spot, START), np.insert(first, spot, -1)
             held = np.insert(held, spot, int(training.sum()))
-        tables.append((keys, held, first))
-    return words, counts, tables
+            place[place >= spot] += 1
+        tables.append((keys, held, first, place))
+    return counts, tables
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -181,9 +187,9 @@ def bucket_edges(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([np.searchsorted(keys, bounds), [len(keys)]])
 
 
-def list_block(block: int, texts: list[str], training: np.ndarray, order: int, bits: int, widths: list[int]) -> list[tuple]:
+def list_block(block: int, texts: list[bytes], training: np.ndarray, order: int, bits: int, widths: list[int]) -> list[tuple]:
     rows = []
-    for n, (keys, held, _) in enumerate(distinct_grams(texts, training, order)[2], 1):
+    for n, (keys, held, _, _) in enumerate(distinct_grams(texts, training, order)[1], 1):
         edges = bucket_edges(keys, bits)
         for b in range(1 << bits):
             at = slice(edges[b], edges[b + 1])
@@ -220,81 +226,71 @@ def add_up(bucket: int, listed: list[tuple], bits: int, widths: list[int]) -> li
 class Automaton:
     """States, arcs and failure arcs of the n-grams of one block.
 
-    ``arcs[k]``: sorted hashes of the k-grams with arcs and their log10
-    weights. ``fails[k]``: sorted hashes of the states with k words and the
-    log10 weights of their failure arcs.
+    An arc is numbered by its n-gram's place in the block's table of that
+    length, a state likewise by its words. ``arcs[k - 1]`` holds the log10
+    weights of the k-grams' arcs (-inf: no such arc), ``fails[k - 1]`` those of
+    the failure arcs of states with k words; both end with an entry for n-grams
+    that the table does not have (place -1).
     """
 
-    def __init__(self, words, counts, tables, totals, size: float, mu: float):
-        self.order, self.size = len(tables), size
-        self.unknown = math.log10(ADD / size)
-        made = grams(words, counts, self.order)
+    def __init__(self, counts: np.ndarray, tables: list, totals: list[np.ndarray], size: float, mu: float):
+        self.keys = [t[0] for t in tables]
+        self.order, self.unknown = len(tables), math.log10(ADD / size)
+        self.start = int(np.searchsorted(self.keys[0], START)) if len(self.keys[0]) else -1
         self.arcs, self.fails = [], []
-        for k, ((keys, _, first), total) in enumerate(zip(tables, totals, strict=True), 1):
-            seen = total > 0
-            keys, total, first = keys[seen], total[seen].astype(np.float64), first[seen]
+        begins = np.zeros(int(counts.sum()) + 1, bool)
+        begins[(np.cumsum(counts) - counts)] = True
+        for k, ((_, _, first, _), total) in enumerate(zip(tables, totals, strict=True), 1):
+            total = total.astype(np.float64)
+            seen = np.flatnonzero(total > 0)
+            weight, fail = np.full(len(total) + 1, -np.inf), np.zeros(len(total) + 1)
             if k == 1:
-                weight = np.log10((total + ADD) / size)
-                context_keys, context_totals = keys, total
-                arc = keys != START
-                self.arcs.append((keys[arc], weight[arc]))
+                weight[seen] = np.log10((total[seen] + ADD) / size)
             else:
-                context = np.full(len(first), START)
-                inner = first > 0
-                context[inner] = made[k - 2][0][first[inner] - 1]
-                begins = np.cumsum(counts) - counts
-                if k == 2:
-                    context[np.isin(first, begins)] = START
-                held = context_totals[np.searchsorted(context_keys, context)]
-                lower_keys, lower = self.arcs[-1]
-                shorter = lower[np.searchsorted(lower_keys, made[k - 2][0][first])]
-                self.arcs.append((keys, np.log10((total + mu * 10.0 ** shorter) / (held + mu))))
-                context_keys, context_totals = keys, total
-            if k < self.order:
-                self.fails.append((keys, np.log10(mu / (total + mu))))
-
-    @staticmethod
-    def find(table, keys):
-        """Whether each key is in the sorted table, and its weight there."""
-        known, weights = table
-        if not len(known):
-            return np.zeros(len(keys), bool), np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return known[at] == keys, weights[at]
-
-    def score(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 probability of every text; the texts walk side by side."""
+                at, shorter = first[seen], tables[k - 2][3]
+                context = np.where(begins[at] if k == 2 else False, self.start, shorter[at - 1])
+                weight[seen] = np.log10((total[seen] + mu * 10.0 ** self.arcs[-1][shorter[at]]) / (totals[k - 2][context] + mu))
+            fail[seen] = np.log10(mu / (total[seen] + mu))
+            self.arcs.append(weight)
+            self.fails.append(fail)
+        if self.start >= 0:
+            self.starts, self.arcs[0][self.start] = totals[0][self.start] > 0, -np.inf  # a context, never a word
+
+    def places(self, words: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+        """For any texts the places of the n-grams that end at each token."""
+        out = []
+        for keys, (h, there) in zip(self.keys, grams(words, counts, self.order), strict=True):
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            out.append(np.where(there & (keys[at] == h), at, -1))
+        return out
+
+    def score(self, places: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
+        """log10 probability of every text, the texts walking side by side from
+        left to right; ``length`` is the number of words of the state."""
         by_length = np.argsort(-counts, kind="stable")
         begin, left = (np.cumsum(counts) - counts)[by_length], counts[by_length]
         total = np.zeros(len(counts))
         n_left = np.searchsorted(-left, -np.arange(1, int(left[0]) + 1), side="right") if len(left) else []
-        states = np.zeros((self.order - 1, len(counts)), np.uint64)  # the last k words, by k
-        length = np.zeros(len(counts), np.int64)  # of the state: words it stands for
-        if self.order > 1 and len(counts):
-            states[0] = START
-            length[:] = int(self.find(self.fails[0], states[0, :1])[0][0])
+        length = np.full(len(counts), int(self.order > 1 and self.start >= 0 and self.starts))
         for step, alive in enumerate(n_left):
-            word = words[begin[:alive] + step]
-            at, gained, now = length[:alive].copy(), np.zeros(alive), np.full(alive, -1)
+            token = begin[:alive] + step
+            at, now, gained = length[:alive].copy(), np.full(alive, -1), np.zeros(alive)
             for k in range(self.order, 1, -1):
                 here = np.flatnonzero((now < 0) & (at == k - 1))
                 if not len(here):
                     continue
-                hit, weight = self.find(self.arcs[k - 1], extend(states[k - 2, here], word[here]))
-                gained[here[hit]] += weight[hit]
+                weight = self.arcs[k - 1][places[k - 1][token[here]]]
+                hit = weight > -np.inf
+                state = places[k - 2][token[here] - 1] if step else self.start
+                gained[here] += np.where(hit, weight, self.fails[k - 2][state])
                 now[here[hit]] = k
-                miss = here[~hit]  # follow the failure arc
-                gained[miss] += self.find(self.fails[k - 2], states[k - 2, miss])[1]
-                at[miss] = k - 2
+                at[here[~hit]] = k - 2  # along the failure arc
             here = np.flatnonzero(now < 0)
-            hit, weight = self.find(self.arcs[0], word[here])
+            weight = self.arcs[0][places[0][token[here]]]
+            hit = weight > -np.inf
             gained[here] += np.where(hit, weight, self.unknown)
             now[here] = hit
             total[:alive] += gained
-            for k in range(self.order - 1, 1, -1):
-                states[k - 1, :alive] = extend(states[k - 2, :alive], word)
-            if self.order > 1:
-                states[0, :alive] = word
             length[:alive] = np.minimum(now, self.order - 1)
         out = np.empty(len(counts))
         out[by_length] = total
@@ -314,12 +310,23 @@ def score(df: DataFrame, training, doc: str = "doc_id", text: str = "text", orde
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(parallelism(spark) if size > block_bytes else 1, math.ceil(size / block_bytes))
     bits = max(0, math.ceil(math.log2(max(1.0, size * order / 6 / bucket_rows))))
-    wide = min(8, math.ceil((math.log2(size + 2) + 20 - bits) / 8))
+    wide = min(8, math.ceil((math.log2(size / 6 + 2) + 20 - bits) / 8))
     widths = [8] + [wide] * (order - 1)
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n_blocks)).cast("int"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n_blocks)).cast("int"))
+
+    def pack_texts():
+        press = zstandard.ZstdCompressor(level=3)
+        return lambda piece: [pa.array([press.compress((t or "").encode()) for t in piece.column(1).to_pylist()], pa.binary())]
+
+    # Texts are shuffled twice, compressed better than the shuffle would.
+    blocks = map_rows(dealt, [T.StructField("packed", T.BinaryType())], pack_texts, keep=["doc_id", "training", "block"])
+
+    def unpack_texts(held) -> list[bytes]:
+        press = zstandard.ZstdDecompressor()
+        return [press.decompress(t) for t in held["packed"].to_pylist()]
 
     def ask(key, held):
-        listed = list_block(key[0].as_py(), held["text"].to_pylist(), held["training"].to_numpy(), order, bits, widths)
+        listed = list_block(key[0].as_py(), unpack_texts(held), held["training"].to_numpy(), order, bits, widths)
         return pa.table(dict(zip(("bucket", "block", "n", "size", "keys", "held"), map(list, zip(*listed, strict=True)), strict=True)),
                         schema=asked_schema)
 
@@ -339,24 +346,23 @@ def score(df: DataFrame, training, doc: str = "doc_id", text: str = "text", orde
     mass = n_tokens + ADD * (n_types + 1)
 
     def walk(key, held, told):
-        texts, learn = held["text"].to_pylist(), held["training"].to_numpy()
-        words, counts, tables = distinct_grams(texts, learn, order)
+        learn = held["training"].to_numpy()
+        counts, tables = distinct_grams(unpack_texts(held), learn, order)
         parts: dict[int, list] = {}
         for n, bucket, many, totals in zip(*[told[c].to_pylist() for c in ("n", "bucket", "size", "totals")], strict=True):
             parts.setdefault(n, []).append((bucket, unpack(totals, many)))
         totals = [np.concatenate([t.astype(np.int64) for _, t in sorted(parts.get(n, []), key=lambda p: p[0])] or [np.empty(0, np.int64)])
                   for n in range(1, order + 1)]
-        keys = tables[0][0]
-        known = totals[0][np.searchsorted(keys, words)]
+        places = [t[3] for t in tables]
+        known = totals[0][places[0]]
         begin = np.cumsum(counts) - counts
-        model = Automaton(words, counts, tables, totals, mass, mu)
-        n = len(texts)
+        model = Automaton(counts, tables, totals, mass, mu)
         return pa.table({
             "doc_id": held["doc_id"], "held_out": pa.array(~learn), "n_tokens": pa.array(counts.astype(np.int64)),
             "n_known": pa.array(np.add.reduceat((known > 0).astype(np.int64), begin)),
-            "train_tokens": pa.array(np.full(n, n_tokens, np.int64)),
+            "train_tokens": pa.array(np.full(len(counts), n_tokens, np.int64)),
             "base_score": pa.array(np.add.reduceat(np.log10((known + ADD) / mass), begin)),
-            "score": pa.array(model.score(words, counts))})
+            "score": pa.array(model.score(places, counts))})
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
     return (blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
