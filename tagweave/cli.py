@@ -31,12 +31,17 @@ def _load(spec: str | None):
 
 
 def _print(df, limit: int = 1000) -> None:
-    for row in df.limit(limit).toJSON().collect():
+    """Print the first ``limit`` rows of a summary, and say so if there are more."""
+    rows = df.limit(limit + 1).toJSON().collect()
+    for row in rows[:limit]:
         print(row)
+    if len(rows) > limit:
+        print(json.dumps({"more_rows": f"only the first {limit} are printed; all are in the output folder"}))
 
 
 def main(argv=None) -> None:
     ap = argparse.ArgumentParser(prog="tagweave")
+    ap.add_argument("--checkpoint-dir", help="folder shared by driver and executors (spark.checkpoint.dir)")
     sub = ap.add_subparsers(dest="cmd", required=True)
     ev = sub.add_parser("evaluate")
     ev.add_argument("data_dir")
@@ -72,7 +77,7 @@ def main(argv=None) -> None:
     from tagweave.operators import modelcall
     from tagweave.plans import jobs
 
-    spark = build_session()
+    spark = build_session(extra={"spark.checkpoint.dir": args.checkpoint_dir} if args.checkpoint_dir else None)
     if args.cmd == "evaluate":
         model = _load(args.model) or (lambda: modelcall.word_count_tagger)
         emb_factory = _load(args.embedder)

@@ -25,6 +25,7 @@ from tagweave.schemas import TAG_LIST_DDL
 DEFAULT_TAG = "General"
 DEFAULT_EXPLANATION = "Unable to parse"
 
+# Fixed patterns of the evaluation extractor.
 _LAST_LIST = r"(?s)\[.*?\]"
 _OBJECT = r'\{[^{}]*"tag"[^{}]*"explanation"[^{}]*\}'
 
@@ -83,7 +84,9 @@ def line_fallback(text) -> Column:
 
 def eval_stages(text) -> dict[str, Column]:
     """The intermediate values of the evaluation extractor, to be staged as
-    columns (``last_list``, ``objects``, ``lines``) before ``eval_result``."""
+    columns (``last_list``, ``objects``, ``lines``) before ``eval_result``;
+    ``score.parse_generated`` computes the later ones only where the earlier
+    ones found nothing."""
     t = _c(text)
     last = F.try_element_at(F.regexp_extract_all(t, F.lit(_LAST_LIST), F.lit(0)), F.lit(-1))
     return {"last_list": strict_list(last),
@@ -127,49 +130,53 @@ def balanced_prefix(text) -> Column:
     """Text up to the point where the bracket depth first returns to zero,
     counting from the first character (O-P10 helper), or NULL.
 
-    One fold over the characters keeps (depth, end); brackets inside strings
-    are counted naively, like the reference does.
+    One fold over the brackets and the stretches between them keeps (depth,
+    position, end); brackets inside strings are counted naively, like the
+    reference does.
     """
     t = _c(text)
-    indexed = F.transform(F.split(t, "", -1), lambda ch, i: F.struct(ch.alias("ch"), (i + 1).alias("i")))
-    state0 = F.expr("named_struct('depth', 0, 'end', 0)")
+    pieces = F.regexp_extract_all(t, F.lit(r"[\[\]]|[^\[\]]+"), F.lit(0))
+    state0 = F.expr("named_struct('depth', 0, 'at', 0, 'end', 0)")
 
-    def step(acc, c):
-        depth = (F.when(c["ch"] == "[", acc["depth"] + 1)
-                 .when(c["ch"] == "]", acc["depth"] - 1).otherwise(acc["depth"]))
-        end = F.when((c["ch"] == "]") & (depth == 0), c["i"]).otherwise(F.lit(0))
-        return F.when(acc["end"] > 0, acc).otherwise(
-            F.struct(depth.alias("depth"), end.alias("end")))
+    def step(acc, piece):
+        depth = acc["depth"] + F.when(piece == "[", 1).when(piece == "]", -1).otherwise(0)
+        at = acc["at"] + F.length(piece)
+        return F.when(acc["end"] > 0, acc).otherwise(F.struct(
+            depth.alias("depth"), at.alias("at"), F.when((piece == "]") & (depth == 0), at).otherwise(0).alias("end")))
 
-    res = F.aggregate(indexed, state0, step)
-    return F.when(res["end"] > 0, F.substring(t, 1, res["end"]))
+    res = F.aggregate(pieces, state0, step)
+    return let(res["end"], lambda end: F.when(end > 0, F.substring(t, F.lit(1), end)))
 
 
 def tag_object_spans(text) -> Column:
     """Balanced ``{...}`` spans that start at ``{"tag":`` (O-P10 helper): one
-    fold over the characters keeps (depth, start, spans). Scanning resumes
+    fold over the braces and the stretches between them keeps (depth,
+    position, start, spans), so time grows with the text. Scanning resumes
     after each closed object; an object that never closes ends the scan.
-    Braces inside strings are counted naively, like the reference does.
-    Returns the span texts."""
+    Braces inside strings are counted naively, like the reference does. Texts
+    without the start are not scanned. Returns the span texts."""
     t = _c(text)
-    indexed = F.transform(F.split(t, "", -1), lambda ch, i: F.struct(ch.alias("ch"), (i + 1).alias("i")))
-    state0 = F.expr("named_struct('depth', 0, 'start', 0, 'spans', cast(array() as array<struct<s:int,e:int>>))")
-
-    def step(acc, c):
-        opens_tag = F.substring(t, c["i"], len(_TAG_OBJECT_START)) == _TAG_OBJECT_START
-        start = F.struct(F.lit(1).alias("depth"), c["i"].alias("start"), acc["spans"].alias("spans"))
-        deeper = F.struct((acc["depth"] + 1).alias("depth"), acc["start"].alias("start"), acc["spans"].alias("spans"))
-        closed = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("start"), F.array_append(
-            acc["spans"], F.struct(acc["start"].alias("s"), c["i"].alias("e"))).alias("spans"))
-        shallower = F.struct((acc["depth"] - 1).alias("depth"), acc["start"].alias("start"), acc["spans"].alias("spans"))
-        return (F.when(acc["depth"] == 0, F.when(opens_tag, start).otherwise(acc))
-                .when(c["ch"] == "{", deeper)
-                .when((c["ch"] == "}") & (acc["depth"] == 1), closed)
-                .when(c["ch"] == "}", shallower)
-                .otherwise(acc))
+    pieces = F.regexp_extract_all(t, F.lit(r'\{"tag":|[{}]|[^{}]+'), F.lit(0))
+    state0 = F.expr("named_struct('depth', 0, 'at', 0, 'start', 0, 'spans', cast(array() as array<struct<s:int,n:int>>))")
+
+    def step(acc, piece):
+        at = acc["at"] + F.length(piece)
+
+        def state(depth, start, spans):
+            return F.struct(depth.alias("depth"), at.alias("at"), start.alias("start"), spans.alias("spans"))
+
+        outside = state(F.lit(0), F.lit(0), acc["spans"])
+        closed = state(F.lit(0), F.lit(0), F.array_append(
+            acc["spans"], F.struct((acc["start"] + 1).alias("s"), (at - acc["start"]).alias("n"))))
+        opens = (piece == "{") | (piece == _TAG_OBJECT_START)
+        return (F.when(acc["depth"] == 0, F.when(piece == _TAG_OBJECT_START, state(F.lit(1), acc["at"], acc["spans"])).otherwise(outside))
+                .when(opens, state(acc["depth"] + 1, acc["start"], acc["spans"]))
+                .when((piece == "}") & (acc["depth"] == 1), closed)
+                .when(piece == "}", state(acc["depth"] - 1, acc["start"], acc["spans"]))
+                .otherwise(state(acc["depth"], acc["start"], acc["spans"])))
 
-    res = F.aggregate(indexed, state0, step)
-    return F.transform(res["spans"], lambda sp: F.substring(t, sp["s"], sp["e"] - sp["s"] + 1))
+    spans = F.transform(F.aggregate(pieces, state0, step)["spans"], lambda sp: F.substring(t, sp["s"], sp["n"]))
+    return F.when(F.instr(t, _TAG_OBJECT_START) > 0, spans).otherwise(F.array().cast("array<string>"))
 
 
 # Fixed patterns of the SFT extractor.
@@ -190,17 +197,15 @@ def extract_tags_sft(text) -> Column:
     empty = F.expr(f"cast(array() as {TAG_LIST_DDL})")
 
     def as_tags(arr):
-        keep = F.filter(arr, lambda x: is_object(x))
+        keep = F.filter(arr, lambda x: x.isNotNull() & is_object(x))
         return F.transform(keep, lambda x: _pair(F.try_variant_get(x, "$.tag", "string"),
                                                  F.try_variant_get(x, "$.explanation", "string")))
 
     def after_brackets(t):
         def objects(m):
             strict_objs = F.zip_with(m["names"], m["expls"], lambda a, b: _pair(a, b))
-            scanned = F.filter(F.transform(tag_object_spans(t), strict_value),
-                               lambda v: v.isNotNull() & is_object(v))
-            return (F.when(F.size(strict_objs) > 0, strict_objs)
-                    .when(F.size(scanned) > 0, as_tags(scanned)).otherwise(empty))
+            scanned = F.transform(tag_object_spans(t), strict_value)
+            return F.when(F.size(strict_objs) > 0, strict_objs).otherwise(as_tags(scanned))
 
         matches = F.struct(F.regexp_extract_all(t, F.lit(_SFT_OBJECT), F.lit(1)).alias("names"),
                            F.regexp_extract_all(t, F.lit(_SFT_OBJECT), F.lit(2)).alias("expls"))
@@ -219,7 +224,7 @@ def extract_tags_sft(text) -> Column:
     return let(strip_ws(_c(text)), body)
 
 
-def tag_names(arr, accept_strings: bool = True) -> Column:
+def tag_names(arr) -> Column:
     """Tag names from a tag list (O-P11): struct tags that are not NULL.
 
     ``arr`` is ARRAY<STRUCT<tag, ...>>; elements without a tag are dropped,

@@ -40,6 +40,22 @@ def strict_value(c) -> Column:
     return let(_wrap(c), lambda w: F.when(_complete(w), F.variant_get(w, "$.v", "variant")))
 
 
+def record_value(c) -> Column:
+    """The parsed VARIANT of a stored record, or NULL when the text is not one
+    JSON value. Takes what Python's reader takes: of repeated keys the last
+    one counts (``allow_repeated_keys``), NaN and Infinity are numbers, and a
+    string may be as long as a VARIANT holds (128 MiB)."""
+    text = F.concat(F.lit('{"v":'), _c(c), F.lit(f',"{_END_KEY}":1}}'))
+    options = {"allowNonNumericNumbers": "true", "maxStringLen": str(2**31 - 1)}
+    wrapped = F.coalesce(F.try_parse_json(text), F.from_json(text, "variant", options))
+    return let(wrapped, lambda w: F.when(_complete(w), F.variant_get(w, "$.v", "variant")))
+
+
+def allow_repeated_keys(spark) -> None:
+    """Let JSON objects with a repeated key parse, the last occurrence winning."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def strict_list(c) -> Column:
     """ARRAY<VARIANT> when the text is exactly one JSON array, else NULL."""
     return let(_wrap(c), lambda w: F.when(_complete(w), F.try_variant_get(w, "$.v", "array<variant>")))

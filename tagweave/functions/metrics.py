@@ -86,7 +86,12 @@ def unit(vec) -> Column:
 
 def sim_grid(gold, pred) -> Column:
     """gold x pred cosine grid: ARRAY<ARRAY<DOUBLE>> (rows = gold)."""
-    return F.transform(_c(gold), lambda g: F.transform(_c(pred), lambda p: dot(g["vec"], p["vec"])))
+    return F.transform(_c(gold), lambda g: F.transform(_c(pred), lambda p: similarity(g, p)))
+
+
+def similarity(g, p) -> Column:
+    """Cosine of two tags' unit vectors; 0 when one of them has no vector."""
+    return F.coalesce(dot(g["vec"], p["vec"]), F.lit(0.0))
 
 
 def grid_hits(grid, n_pred, threshold: float = 0.8) -> Column:
@@ -151,7 +156,7 @@ def best_matches(gold, pred) -> Column:
                                       F.struct(j.alias("j"), F.get(sims, j).alias("s"))).otherwise(acc))
 
         # The similarity list of this gold tag is computed once (let).
-        best = let(F.transform(p, lambda pt: dot(gt["vec"], pt["vec"])), best_of)
+        best = let(F.transform(p, lambda pt: similarity(gt, pt)), best_of)
         return F.struct(gt["tag"].alias("gold_tag"), F.get(p, best["j"])["tag"].alias("pred_tag"),
                         best["s"].alias("similarity"))
 

@@ -109,6 +109,20 @@ class RareFilter:
                           F.col("original_count").cast("double")) * 100).alias("retention_pct"))
 
 
+    def _settings(self) -> DataFrame:
+        """The filter's settings, one row (O-K6)."""
+        spark = self.cleaned.sparkSession
+        return spark.createDataFrame([(self.min_freq, self.positions)], "min_freq int, positions array<int>")
+
+    def _first_removed(self) -> DataFrame:
+        """The first 50 removed keys in order (O-K6, O-T2)."""
+        return self["bad_keys"].orderBy(self.key).limit(50)
+
+    def _first_reasons(self) -> DataFrame:
+        """The first 20 removal reasons by key and rank (O-K6, O-T2)."""
+        return self["removed"].orderBy(self.key, "reason_rank").limit(20)
+
+
 def rare_filter(cleaned: DataFrame, min_freq: int = 2, positions=DEFAULT_POSITIONS,
                 key: str = "index", max_broadcast_rows: int = DEFAULT_MAX_ROWS) -> RareFilter:
     """O-F1 + O-F2 + O-A17: the filter's outputs (``kept``, ``removed``,

@@ -73,7 +73,7 @@ def preference_rows(judged: DataFrame, key: str = "id") -> DataFrame:
     return judged.where(F.col("outcome") == "kept").select(
         F.col(key).alias("index"), "prompt",
         F.col("chosen_text").alias("chosen"), F.col("rejected_text").alias("rejected"),
-        "quality_chosen", "quality_rejected", "diversity_chosen", "diversity_rejected",
+        *[c for c in ("reasoning",) if c in judged.columns], "quality_chosen", "quality_rejected", "diversity_chosen", "diversity_rejected",
         "diversity_gap", "privacy_chosen", "privacy_rejected")
 
 

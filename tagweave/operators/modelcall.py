@@ -59,9 +59,10 @@ def generate(df: DataFrame, text_col: str, factory: Callable[[], Callable] = lam
             for b in _batches(pdf, batch_size):
                 prompts = b[text_col].fillna("").tolist()
                 try:
-                    res = [(r or "").strip() for r in model(prompts)]
-                    outs += res
-                    errs += [None] * len(res)
+                    res = [str(r or "").strip() for r in model(prompts)][:len(prompts)]
+                    short = len(prompts) - len(res)  # a reply list shorter than the batch
+                    outs += res + [GENERATION_FAILED] * short
+                    errs += [None] * len(res) + ["no output for this prompt"] * short
                 except Exception as e:  # noqa: BLE001 - isolate the batch, as the reference does
                     outs += [GENERATION_FAILED] * len(prompts)
                     errs += [f"{type(e).__name__}: {e}"] * len(prompts)
@@ -96,10 +97,12 @@ def sample_responses(df: DataFrame, text_col: str, factory: Callable[[], Callabl
                 for i, t in enumerate(temperatures):
                     stamp = datetime.now(timezone.utc).isoformat()
                     try:
-                        texts, err = list(model(prompts, t)), None
+                        texts = [str(x or "") for x in model(prompts, t)][:len(prompts)]
+                        errors = [None] * len(texts)
                     except Exception as e:  # noqa: BLE001
-                        texts, err = [""] * len(prompts), f"{type(e).__name__}: {e}"
-                    for j, txt in enumerate(texts):
+                        texts, errors = [""] * len(prompts), [f"{type(e).__name__}: {e}"] * len(prompts)
+                    short = len(prompts) - len(texts)
+                    for j, (txt, err) in enumerate(zip(texts + [""] * short, errors + ["no output for this prompt"] * short)):
                         per_row[start + j].append({"response_id": i + 1, "temperature": float(t),
                                                    "text": txt, "error": err, "generated_at": stamp})
                     if pause_s:
@@ -109,6 +112,22 @@ def sample_responses(df: DataFrame, text_col: str, factory: Callable[[], Callabl
     return df.mapInPandas(run, schema)
 
 
+def generation_records(df: DataFrame, original: list[str], prompt: str, model: str, responses: str = "responses",
+                       index: str = "index") -> DataFrame:
+    """O-M3: generation records: the tagging prompt, the input row as JSON, the
+    responses, and metadata; a row all of whose calls failed keeps ``index``,
+    ``error`` and ``original_data`` only."""
+    r = F.col(responses)
+    failed = (F.size(r) > 0) & F.forall(r, lambda x: x["error"].isNotNull())
+    fine = lambda c: F.when(~failed, c)
+    return df.select(
+        F.col(index).alias("index"), F.to_json(F.struct(*original)).alias("original_data"),
+        fine(F.col(prompt)).alias("tagging_prompt"), fine(r).alias("responses"),
+        fine(F.struct(F.lit(model).alias("model"), F.size(r).alias("n_responses"),
+                      F.transform(r, lambda x: x["temperature"]).alias("temperatures"))).alias("metadata"),
+        F.when(failed, F.get(r, 0)["error"]).alias("error"))
+
+
 JUDGEMENT_COLUMNS = ("chosen int, reasoning string, q1 double, d1 double, p1 double, "
                      "q2 double, d2 double, p2 double")
 
@@ -137,10 +156,22 @@ def judge_pairs(df: DataFrame, factory: Callable[[], Callable], prompt: str = "p
     def flat(reply):
         if not isinstance(reply, dict):
             return [None] * 8
-        s = reply.get("scores") or {}
-        one, two = s.get("response1") or {}, s.get("response2") or {}
-        return [reply.get("chosen"), reply.get("reasoning"), one.get("quality"), one.get("diversity"),
-                one.get("privacy"), two.get("quality"), two.get("diversity"), two.get("privacy")]
+        s = inner(reply, "scores")
+        one, two = inner(s, "response1"), inner(s, "response2")
+        chosen, reasoning = number(reply.get("chosen")), reply.get("reasoning")
+        return [int(chosen) if chosen in (1.0, 2.0) else None, None if reasoning is None else str(reasoning),
+                *[number(part.get(k)) for part in (one, two) for k in ("quality", "diversity", "privacy")]]
+
+    def inner(part, key):
+        found = part.get(key)
+        return found if isinstance(found, dict) else {}
+
+    def number(value):
+        """A reply's field as a number; anything else is a missing score."""
+        try:
+            return None if isinstance(value, bool) else float(value)
+        except (TypeError, ValueError):
+            return None
 
     names = [f.name for f in extra.fields]
 
@@ -148,7 +179,9 @@ def judge_pairs(df: DataFrame, factory: Callable[[], Callable], prompt: str = "p
         judge = factory()
         for pdf in it:
             rows = [flat(call(judge, p, a, b)) for p, a, b in zip(pdf[prompt], pdf[r1], pdf[r2])]
-            cols = pd.DataFrame(rows, columns=names, index=pdf.index)
+            cols = pd.DataFrame(rows, columns=names, index=pdf.index, dtype=object)
+            cols["chosen"] = cols["chosen"].astype("Int32")
+            cols[names[2:]] = cols[names[2:]].astype("float64")
             yield pd.concat([pdf, cols], axis=1)
 
     return df.mapInPandas(run, schema)

@@ -14,6 +14,18 @@ EVAL_TEMPLATE = (
     "then topics.\n\nText:\n{text}\n\nTags:"
 )
 SFT_TEMPLATE = "Tag this query.\nQuery: {query}\nTags:"
+GENERATION_TEMPLATE = (
+    "Read the query and tag it. Give a JSON list of objects with \"tag\" and \"explanation\": first the domain, then "
+    "the task type, the difficulty and the language, then one tag for each topic.\nQuery:\n{query}\nTags:"
+)
+PREFERENCE_TEMPLATE = "Query to tag:\n{query}\nTag list:\n{tags}"
+JUDGE_TEMPLATE = (
+    "Two tag lists were written for one query. Score each from 0 to 10 for quality, diversity and privacy and say "
+    "which is better. Answer with a JSON object holding chosen (1 or 2), reasoning, and scores for response1 and response2.\n"
+    "Query:\n{query}\nFirst list:\n{first}\nSecond list:\n{second}"
+)
+TEMPLATES = {"evaluation": EVAL_TEMPLATE, "sft": SFT_TEMPLATE, "generation": GENERATION_TEMPLATE,
+             "preference": PREFERENCE_TEMPLATE, "judge": JUDGE_TEMPLATE}
 EOS = "<eos>"
 
 
@@ -81,11 +93,18 @@ def budget_report(budget: DataFrame, key: str = "file_name") -> DataFrame:
 def sft_target(stored, eos: str = EOS) -> F.Column:
     """O-P15: the training target of a stored tag list. The text is read
     leniently (single quotes allowed, so Python-literal lists parse; never
-    evaluated as code); a single object is wrapped in a list; text that is not
-    a tag list becomes a one-element list of that text. Canonical JSON + EOS."""
-    opts = {"allowSingleQuotes": "true"}
-    tags = F.from_json(stored, "array<struct<tag:string,explanation:string>>", opts)
-    body = F.coalesce(F.to_json(tags), F.to_json(F.array(stored)))
+    evaluated as code); objects keep all their keys, in their order, and lists
+    of other values stay as they are; a single object is wrapped in a list;
+    text that is no JSON becomes a one-element list of that text. Compact
+    JSON + EOS."""
+    opts = {"allowSingleQuotes": "true", "mode": "FAILFAST"}
+    first = F.substring(F.ltrim(stored), 1, 1)
+    value = F.from_json(stored, "variant", {"allowSingleQuotes": "true"})
+    kinds = F.schema_of_variant(value)
+    objects = F.when((first == "[") & kinds.startswith("ARRAY<OBJECT"), F.from_json(stored, "array<map<string,variant>>", opts))
+    single = F.when((first == "{") & kinds.startswith("OBJECT"), F.from_json(stored, "map<string,variant>", opts))
+    other = F.when((first == "[") & kinds.startswith("ARRAY"), F.to_json(value))
+    body = F.coalesce(F.to_json(objects), F.concat(F.lit("["), F.to_json(single), F.lit("]")), other, F.to_json(F.array(stored)))
     return F.concat(body, F.lit(eos if not eos else " " + eos))
 
 

@@ -8,12 +8,14 @@ one (file, side, position), never the raw rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tagweave.functions.jsonparse import has_key
 from tagweave.functions.rows import explode_rows
 from tagweave.functions.text import lower_strip
+from tagweave.session import checkpoint_dir
 
 
 def positional_tags(df: DataFrame, side_cols: dict[str, str], key: str = "file_name") -> DataFrame:
@@ -21,10 +23,12 @@ def positional_tags(df: DataFrame, side_cols: dict[str, str], key: str = "file_n
     NULL tags kept as their own value. Every record whose list is present
     (even empty) also yields one marker row with pos -1, so reports can tell
     files without any list apart in the same pass. All sides come out of one
-    explode, so the records are read once."""
+    explode, so the records are read once. A side may also be a list of VARIANT
+    elements: an object gives its tag, a string itself, anything else its JSON."""
     def side_items(side: str, col: str):
+        stored = df.schema[col].dataType.elementType.simpleString() == "variant"
         items = F.transform(F.col(col), lambda x, i: F.struct(
-            F.lit(side).alias("side"), i.alias("pos"), x["tag"].alias("tag")))
+            F.lit(side).alias("side"), i.alias("pos"), (element_tag(x) if stored else x["tag"]).alias("tag")))
         marker = F.array(F.struct(F.lit(side).alias("side"), F.lit(-1).alias("pos"),
                                   F.lit(None).cast("string").alias("tag")))
         empty = F.array().cast("array<struct<side:string,pos:int,tag:string>>")
@@ -35,23 +39,36 @@ def positional_tags(df: DataFrame, side_cols: dict[str, str], key: str = "file_n
         key, F.col("t.side").alias("side"), F.col("t.pos").alias("pos"), F.col("t.tag").alias("tag"))
 
 
+def element_tag(x) -> Column:
+    """Tag of a VARIANT list element (O-P13): an object's ``tag``, a string
+    itself, any other value as JSON."""
+    kind = F.schema_of_variant(x)
+    return (F.when(has_key(x, "tag"), F.coalesce(F.try_variant_get(x, "$.tag", "string"), F.lit("null")))
+            .when(kind == "STRING", F.try_variant_get(x, "$", "string")).otherwise(F.to_json(x)))
+
+
 def tag_distribution(pos_tags: DataFrame, positions=(0, 1, 2, 3), key: str = "file_name",
                      require_side: str | None = None) -> DataFrame:
     """O-A2 + O-T3: per (key, side, pos): each tag's count and share, plus the
     position total and the number of distinct tags. With ``require_side``, a
     key without any list on that side is left out entirely (both sides), as
-    the reference skips a file without generated lists. One aggregation; the
-    windows run on the aggregated table."""
+    the reference skips a file without generated lists. Totals are a second,
+    smaller aggregate joined back, so no task holds all tags of a file."""
     counts = (pos_tags.where(F.col("pos").isin([-1] + list(positions)))
               .groupBy(key, "side", "pos", "tag").agg(F.count(F.lit(1)).alias("n")))
+    # The counts feed the totals and the result: written once to the checkpoint
+    # folder (one row per distinct tag), so the records are read once.
+    checkpoint_dir(pos_tags.sparkSession)
+    counts = counts.checkpoint(eager=True)
+    totals = counts.groupBy(F.col(key).alias("_tw_key"), F.col("side").alias("_tw_side"), F.col("pos").alias("_tw_at")).agg(
+        F.sum("n").alias("total"), F.count(F.lit(1)).alias("n_distinct"))
+    listed = counts.where(F.col("pos") >= 0)
+    out = listed.join(totals, listed[key].eqNullSafe(totals["_tw_key"]) & (listed["side"] == totals["_tw_side"])
+                      & (listed["pos"] == totals["_tw_at"])).drop("_tw_key", "_tw_side", "_tw_at")
     if require_side is not None:
-        has = F.max(((F.col("side") == require_side) & (F.col("pos") == -1)).cast("int")).over(W.partitionBy(key))
-        counts = counts.withColumn("_tw_has", has).where(F.col("_tw_has") == 1).drop("_tw_has")
-    counts = counts.where(F.col("pos") >= 0)
-    w = W.partitionBy(key, "side", "pos")
-    return (counts.withColumn("total", F.sum("n").over(w))
-            .withColumn("n_distinct", F.count(F.lit(1)).over(w))
-            .withColumn("pct", F.col("n") * 100.0 / F.col("total")))
+        having = totals.where((F.col("_tw_side") == require_side) & (F.col("_tw_at") == -1)).select("_tw_key")
+        out = out.join(having, out[key].eqNullSafe(having["_tw_key"]), "left_semi")
+    return out.withColumn("pct", F.col("n") * 100.0 / F.col("total"))
 
 
 def topic_top(pos_tags: DataFrame, k: int = 30, side: str = "gen", key: str = "file_name") -> DataFrame:
@@ -59,12 +76,12 @@ def topic_top(pos_tags: DataFrame, k: int = 30, side: str = "gen", key: str = "f
     ties by tag, with the pooled total and distinct count."""
     counts = (pos_tags.where((F.col("side") == side) & (F.col("pos") >= 4))
               .groupBy(key, "tag").agg(F.count(F.lit(1)).alias("n")))
-    w_all = W.partitionBy(key)
-    w_rank = W.partitionBy(key).orderBy(F.col("n").desc(), F.col("tag").asc_nulls_first())
-    return (counts.withColumn("total", F.sum("n").over(w_all))
-            .withColumn("n_distinct", F.count(F.lit(1)).over(w_all))
-            .withColumn("rank", F.row_number().over(w_rank))
-            .where(F.col("rank") <= k))
+    # The totals are an aggregate of their own, so the rank's group limit runs
+    # before the exchange: every task forwards at most k topics per key.
+    totals = counts.groupBy(F.col(key).alias("_tw_key")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n_distinct"))
+    w = W.partitionBy(key).orderBy(F.col("n").desc(), F.col("tag").asc_nulls_first())
+    top = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top.join(totals, top[key].eqNullSafe(totals["_tw_key"])).drop("_tw_key")
 
 
 def generation_quality(df: DataFrame, tags_col: str, key: str = "file_name") -> DataFrame:
@@ -85,16 +102,19 @@ def generation_quality(df: DataFrame, tags_col: str, key: str = "file_name") ->
 
 
 def position_compare(df: DataFrame, gen_names: str, gold_names: str, key: str = "file_name",
-                     max_pos: int = 5) -> DataFrame:
+                     max_pos: int = 5, gen_list: str | None = None, gold_list: str | None = None) -> DataFrame:
     """O-A5: generated vs gold names position by position (lower + strip,
     first min(len, len, 5)); exact when matches == number of gold names,
     partial when > 0, else none. Records with an empty side are skipped but
-    stay in the denominator (total_samples)."""
+    stay in the denominator (total_samples). Emptiness is that of the stored
+    lists where ``gen_list`` and ``gold_list`` name them (a list without any
+    name is not empty), else of the names. ``rate_pos<i>`` is the share of all
+    records, in percent, that match at the position."""
     g = F.transform(F.col(gen_names), lower_strip)
     t = F.transform(F.col(gold_names), lower_strip)
     eq = F.zip_with(F.slice(g, 1, max_pos), F.slice(t, 1, max_pos),
                     lambda a, b: F.coalesce(a == b, F.lit(False)))
-    skip = (F.size(F.col(gen_names)) == 0) | (F.size(F.col(gold_names)) == 0)
+    skip = (F.size(F.col(gen_list or gen_names)) <= 0) | (F.size(F.col(gold_list or gold_names)) <= 0)
     matches = F.size(F.filter(eq, lambda x: x))
     scored = df.select(key, skip.alias("skip"), matches.alias("m"),
                        F.size(F.col(gold_names)).alias("ng"), eq.alias("eq"))
@@ -104,7 +124,8 @@ def position_compare(df: DataFrame, gen_names: str, gold_names: str, key: str =
             F.count_if(~F.col("skip") & (F.col("m") != F.col("ng")) & (F.col("m") == 0)).alias("no_matches")]
     aggs += [F.count_if(~F.col("skip") & F.coalesce(F.get(F.col("eq"), i), F.lit(False))).alias(f"match_pos{i}")
              for i in range(max_pos)]
-    return scored.groupBy(key).agg(*aggs)
+    counts = scored.groupBy(key).agg(*aggs)
+    return counts.select("*", *[(F.col(f"match_pos{i}") * 100.0 / F.col("total_samples")).alias(f"rate_pos{i}") for i in range(max_pos)])
 
 
 def rows_per_file(df: DataFrame, key: str = "file_name") -> DataFrame:

@@ -33,9 +33,11 @@ def parse_generated(df: DataFrame, text_col: str = "response", out: str = "gener
     inlining (and re-evaluating) the parse in every consumer.
     """
     st = eval_stages(F.col(text_col))
+    # The object and line stages run only where the stages before found nothing.
+    nothing = F.col("_tw_lst").isNull()
     staged = (df.withColumn("_tw_lst", st["last_list"])
-              .withColumn("_tw_objs", st["objects"])
-              .withColumn("_tw_lines", st["lines"]))
+              .withColumn("_tw_objs", F.when(nothing, st["objects"]))
+              .withColumn("_tw_lines", F.when(nothing & (F.size("_tw_objs") == 0), st["lines"])))
     res = eval_result(F.col(text_col), F.col("_tw_lst"), F.col("_tw_objs"), F.col("_tw_lines"))
     return (staged.withColumn("_tw_res", res)
             .withColumn(out, F.col("_tw_res.tags"))
@@ -161,8 +163,8 @@ VEC_LIST_DDL = "array<struct<tag:string,vec:array<double>>>"
 def attach_vectors(records: DataFrame, embed, key: str, name_cols: list[str],
                    max_broadcast_rows: int = DEFAULT_MAX_ROWS, carry: list[str] | None = None) -> DataFrame:
     """Add ``<col>_vecs`` = ARRAY<STRUCT<tag, vec>> (unit vectors, list order)
-    for each name-array column; names without a vector are dropped like a
-    failed encode.
+    for each name-array column. A name without a vector (a failed encode)
+    keeps its place with a NULL vector: it matches nothing and still counts.
 
     ``embed`` maps a DataFrame[tag] of distinct tags to DataFrame[tag, vec]
     (a lookup table or a model call, O-M6), so every tag is embedded once
@@ -187,8 +189,7 @@ def attach_vectors(records: DataFrame, embed, key: str, name_cols: list[str],
 
     def regrouped(rows, extra_aggs):
         g = rows.groupBy(key).agg(*extra_aggs, *[
-            F.sort_array(F.collect_list(F.when((F.col("side") == c) & F.col("vec").isNotNull(),
-                                               F.struct("pos", "tag", "vec")))).alias(c + "_vecs")
+            F.sort_array(F.collect_list(F.when(F.col("side") == c, F.struct("pos", "tag", "vec")))).alias(c + "_vecs")
             for c in name_cols])
         for c in name_cols:
             g = g.withColumn(c + "_vecs", F.transform(F.col(c + "_vecs"), lambda x: F.struct(
@@ -206,7 +207,7 @@ def attach_vectors(records: DataFrame, embed, key: str, name_cols: list[str],
 
     rows = explode_rows(records, [key], sides, "t").select(
         key, F.col("t.side").alias("side"), F.col("t.pos").alias("pos"), F.col("t.tag").alias("tag"))
-    grouped = regrouped(rows.join(tv, "tag", "inner"), [])
+    grouped = regrouped(rows.join(tv, "tag", "left"), [])
     out = records.join(grouped, key, "left")
     for c in name_cols:
         out = out.withColumn(c + "_vecs", F.coalesce(F.col(c + "_vecs"), F.expr(vec_ddl)))
@@ -216,6 +217,9 @@ def attach_vectors(records: DataFrame, embed, key: str, name_cols: list[str],
 def with_semantic(df: DataFrame, gold_vecs: str, pred_vecs: str, threshold: float = 0.8) -> DataFrame:
     """Add semantic_accuracy / f1 / precision / recall and sft_semantic_f1.
 
+    A record none of whose names could be encoded has no similarities: its
+    sft_semantic_f1 falls back to the exact F1 of the raw names (O-A6).
+
     The gold x predicted grid and its matched counts are staged as columns:
     each is referenced several times downstream, so Catalyst keeps them
     computed once per record instead of inlining the grid into every metric.
@@ -229,7 +233,19 @@ def with_semantic(df: DataFrame, gold_vecs: str, pred_vecs: str, threshold: floa
             .withColumn("semantic_f1", F.col("_s.f1"))
             .withColumn("semantic_precision", F.col("_s.precision"))
             .withColumn("semantic_recall", F.col("_s.recall"))
-            .withColumn("sft_semantic_f1", F.col("_s.sft_f1")).drop("_s", "_tw_grid", "_tw_hits"))
+            .withColumn("sft_semantic_f1", F.when(_unencoded(g, p), M.exact_prf(_tags(p), _tags(g), normalise=False)["f1"])
+                        .otherwise(F.col("_s.sft_f1"))).drop("_s", "_tw_grid", "_tw_hits"))
+
+
+def _tags(vecs: Column) -> Column:
+    return F.transform(vecs, lambda t: t["tag"])
+
+
+def _unencoded(g: Column, p: Column) -> Column:
+    def some(vecs):
+        return F.exists(vecs, lambda t: t["vec"].isNotNull())
+
+    return (F.size(g) + F.size(p) > 0) & ~some(g) & ~some(p)
 
 
 def best_match_rows(df: DataFrame, key: str, gold_vecs: str, pred_vecs: str) -> DataFrame:

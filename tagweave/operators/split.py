@@ -15,20 +15,17 @@ from pyspark.sql import functions as F
 
 from tagweave.session import checkpoint_dir
 
-# Fixed multiplier of the key hash used by hash splits and seeded samples.
-HASH_PRIME = 7919
+def key_hash(key: str, seed: int = 0) -> Column:
+    """Hash of a key of any type as 32 hex digits (MD5 of 'seed:key'), the
+    same in every engine; a null key hashes as the empty text."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
 
 
-def key_hash(key: str, buckets: int = 1000, seed: int = 0) -> Column:
-    """Deterministic bucket of an integer key: pmod(key * prime + seed, buckets)."""
-    return F.pmod(F.col(key) * HASH_PRIME + seed, F.lit(buckets))
-
-
-def hash_split(df: DataFrame, key: str, eval_fraction: float = 0.2, buckets: int = 1000) -> DataFrame:
-    """O-U2 (scalable form): train/eval by key hash; no shuffle, stable under
-    re-computation and data growth."""
-    cut = int(round((1 - eval_fraction) * buckets))
-    return df.withColumn("split", F.when(key_hash(key, buckets) < cut, "train").otherwise("eval"))
+def hash_split(df: DataFrame, key: str, eval_fraction: float = 0.2, seed: int = 0) -> DataFrame:
+    """O-U2 (scalable form): train/eval by the first eight hex digits of the key
+    hash; no shuffle, stable under re-computation and data growth."""
+    cut = f"{min(round((1 - eval_fraction) * 2**32), 2**32 - 1):08x}"
+    return df.withColumn("split", F.when(F.substring(key_hash(key, seed), 1, 8) < cut, "train").otherwise("eval"))
 
 
 def global_ordinal(df: DataFrame, order: list[Column], out: str = "ordinal") -> DataFrame:
@@ -80,7 +77,7 @@ def top_fraction(df: DataFrame, score: str, key: str, ratio: float) -> DataFrame
 def seeded_sample(df: DataFrame, key: str, n: int = 50, seed: int = 0) -> DataFrame:
     """O-U3: min(n, rows) rows chosen by key hash (seeded, reproducible).
     Planned as a distributed top-n (each task keeps n rows)."""
-    return df.orderBy(key_hash(key, 1_000_003, seed), F.col(key)).limit(n)
+    return df.orderBy(key_hash(key, seed), F.col(key)).limit(n)
 
 
 def per_group_limit(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagweave.plans import evaluation, judging, preference, reports, roundtrip, semantic, sft
+from tagweave.plans import evaluation, files, judging, preference, reports, roundtrip, semantic, sft
 
 _PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_stage_counts": evaluation.parse_stage_counts,
@@ -27,6 +27,10 @@ _PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topic_top30": reports.topic_top30,
     "generation_quality": reports.generation_quality,
     "position_compare": reports.position_compare,
+    **{f.__name__: f for f in (
+        files.json_document_rows, files.tolerant_reader_rows, files.tolerant_reader_rejects, files.judge_input_rows,
+        files.row_range_rows, files.concat_counts, files.evaluate_files_metrics, files.resume_twice,
+        files.running_tag_counts, files.generation_record_rows, files.sft_run_record)},
     "judge_outcomes": judging.judge_outcomes,
     "judge_kept_scores": judging.judge_kept_scores,
     "judge_averages": judging.judge_averages,

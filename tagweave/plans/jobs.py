@@ -18,9 +18,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.functions.extract import tag_names
+from tagweave.functions import metrics as M
+from tagweave.functions.extract import extract_tags_sft, tag_names
 from tagweave.functions.jsonparse import has_key, is_object
 from tagweave.operators import export, freq, judge, modelcall, parse, prompts, score, split
+from tagweave.session import checkpoint_dir, path_exists
 from tagweave.sources import readers, sinks
 
 
@@ -56,6 +58,10 @@ def evaluate_files(spark: SparkSession, data_dir: str, output_dir: str,
         "file_name string, run string, index bigint, truncated_input string, gold_names array<string>, "
         "raw_response string, generation_error string, error string").json(results_path)
     res = res.where(F.col("run") == sinks_run(run_name)).drop("run")
+    # Every result row gets a key of its own; the copy in the checkpoint folder
+    # fixes it, so the explode and the regroup below see the same keys.
+    checkpoint_dir(spark)
+    res = res.withColumn("_rid", F.monotonically_increasing_id()).checkpoint(eager=True)
     res = score.parse_generated(res, "raw_response")
     # Rows whose input item carried an ``error`` stay out of the counts (O-P21);
     # a failed model call is scored like any output ("Generation failed").
@@ -63,16 +69,18 @@ def evaluate_files(spark: SparkSession, data_dir: str, output_dir: str,
     scored = score.with_exact(res, "pred_names", "gold_names", normalise=True)
     semantic = embed is not None
     if semantic:
-        # Records are keyed by (file_name, index): a deterministic key, so the
-        # explode and the join back see the same ids.
-        rid = F.concat(F.col("file_name"), F.lit("#"), F.coalesce(F.col("index"), F.lit(-1)).cast("string"))
-        withv = score.attach_vectors(scored.withColumn("_rid", rid), embed, "_rid", ["gold_names", "pred_names"])
+        withv = score.attach_vectors(scored, embed, "_rid", ["gold_names", "pred_names"])
         scored = score.with_semantic(withv, "gold_names_vecs", "pred_names_vecs", threshold)
+        scored = scored.withColumn("best_matches", M.best_matches(F.col("gold_names_vecs"), F.col("pred_names_vecs")))
     metrics = score.file_metrics(scored, semantic=semantic)
     overall = score.overall(metrics, semantic=semantic)
     failed = score.failed_cases(scored, order_key="index", semantic=semantic, k=5,
                                 text=F.col("truncated_input"))
     sinks.write_summary(overall, metrics, f"{output_dir}/summary")
+    # Failed cases keep the best match of every gold tag where there are similarities.
+    sinks.write_failed_cases(failed.select(
+        "file_name", "index", "case_rank", "input_preview", "gold_names", "pred_names", *score.EXACT,
+        *([*score.SEMANTIC, "best_matches"] if semantic else [])), f"{output_dir}/failed_cases")
     return {"results": scored, "metrics": metrics, "overall": overall, "failed_cases": failed}
 
 
@@ -90,10 +98,11 @@ GENERATION_DDL = ("index bigint, prompt string, responses array<struct<response_
 def curate_preferences(spark: SparkSession, generation_path: str, output_dir: str,
                        judge_factory: Callable[[], Callable] | None = None, min_freq: int = 2,
                        min_gap: float = 2.0, min_privacy: float = 7.0,
-                       format_type: str = "dpo_weighted") -> dict[str, DataFrame]:
+                       format_type: str = "dpo_weighted", resume: bool = True) -> dict[str, DataFrame]:
     """O-S8 -> O-P7 -> O-A1/F1 -> O-F4 -> O-M4 or O-M5 (written) -> O-P18 ->
     O-F3 -> O-A15/A16 -> O-X1..X4 -> O-K1. Without ``judge_factory`` the rule
-    judge scores the pairs."""
+    judge scores the pairs. With ``resume``, pairs that the annotated rows
+    already hold are not judged again (O-J1); without, all are judged anew."""
     recs = spark.read.schema(GENERATION_DDL).json(generation_path)
     cleaned = parse.clean_responses(recs)
     filt = freq.rare_filter(cleaned, min_freq=min_freq)
@@ -106,16 +115,19 @@ def curate_preferences(spark: SparkSession, generation_path: str, output_dir: st
     pairs = kept.select(F.col("index").alias("id"), "prompt", F.get(canon, 0).alias("response1"),
                         F.get(canon, 1).alias("response2"))
     pairs = judge.eligible(pairs)
+    annotated_path = f"{output_dir}/annotated"
+    earlier = resume and path_exists(spark, annotated_path)
+    if earlier:
+        pairs = pairs.join(spark.read.schema(pairs.select("id").schema).json(annotated_path).distinct(), "id", "left_anti")
     if judge_factory is None:
-        judged_in = judge.rule_judge(pairs)
+        judged_in = judge.rule_judge(pairs).withColumn("reasoning", F.lit(None).cast("string"))
     else:
-        judged_in = modelcall.judge_pairs(pairs, judge_factory).drop("reasoning")
-    annotated_path = f"{output_dir}/annotated"
-    judged_in.write.mode("overwrite").json(annotated_path)  # model replies: written once
+        judged_in = modelcall.judge_pairs(pairs, judge_factory)
+    judged_in.write.mode("append" if earlier else "overwrite").json(annotated_path)  # model replies: written once
     judged = judge.judge(spark.read.schema(judged_in.schema).json(annotated_path), min_gap, min_privacy)
     pref = judge.preference_rows(judged)
     out = export.export(pref, format_type)
-    sinks.write_jsonl(pref.select("index", "prompt", "chosen", "rejected", F.struct(
+    sinks.write_jsonl(pref.select("index", "prompt", "chosen", "rejected", "reasoning", F.struct(
         "quality_chosen", "quality_rejected", "diversity_chosen", "diversity_rejected", "diversity_gap",
         "privacy_chosen", "privacy_rejected").alias("scores")), f"{output_dir}/preferences", mode="overwrite")
     sinks.write_jsonl(out, f"{output_dir}/{format_type}", mode="overwrite")
@@ -124,6 +136,38 @@ def curate_preferences(spark: SparkSession, generation_path: str, output_dir: st
             "averages": judge.kept_averages(pref), "export": out}
 
 
+def sft_run(spark: SparkSession, path: str, output_dir: str, before: Callable[[], Callable], after: Callable[[], Callable],
+            run_name: str = "sft", eval_fraction: float = 0.2, batch_size: int = 8) -> DataFrame:
+    """The SFT data job: tagging records (JSON Lines of prompt and
+    parsed_tags) -> train / eval by key hash -> training targets and budgets,
+    written -> the eval part answered by a model before and after tuning,
+    written -> SFT extraction and mean exact F1 of both -> one run record
+    appended to ``runs`` and returned."""
+    rows = readers.source_fields(readers.tolerant_jsonl(spark, path, "*.{jsonl,json}"))
+    rows = split.hash_split(rows.withColumn("key", F.md5(F.to_json("v"))), "key", eval_fraction)
+    stored = F.to_json("parsed_tags")
+    train = rows.where("split = 'train'").select("index", "prompt", prompts.sft_target(stored).alias("target"))
+    budget = prompts.token_budget(train, "prompt", "target", eos="")
+    sinks.write_jsonl(budget, f"{output_dir}/train", mode="overwrite")
+    held = rows.where("split = 'eval'").select("index", F.coalesce("prompt", F.lit("")).alias("prompt"),
+                                                variant_tag_names(F.col("parsed_tags")).alias("gold_names"))
+    answers = modelcall.generate(modelcall.generate(held, "prompt", before, batch_size, "before").drop("generation_error"),
+                                 "prompt", after, batch_size, "after")
+    sinks.write_jsonl(answers, f"{output_dir}/eval", mode="overwrite")  # model outputs: written once
+    told = spark.read.schema(answers.schema).json(f"{output_dir}/eval")
+    scores = [M.exact_prf(tag_names(extract_tags_sft(F.col(c))), F.col("gold_names"), normalise=False)["f1"].alias(f"{c}_f1")
+              for c in ("before", "after")]
+    mean = told.select(*scores).agg(F.count(F.lit(1)).alias("n_eval"), *[
+        F.coalesce(F.avg(f"{c}_f1"), F.lit(0.0)).alias(f"{c}_f1") for c in ("before", "after")])
+    trained = spark.read.schema(budget.schema).json(f"{output_dir}/train").agg(
+        F.count(F.lit(1)).alias("n_train"), F.coalesce(F.sum(F.col("truncated").cast("int")), F.lit(0)).alias("n_truncated"))
+    record = trained.unionByName(mean, allowMissingColumns=True).agg(*[
+        F.max(c).alias(c) for c in ("n_train", "n_truncated", "n_eval", "before_f1", "after_f1")])
+    record = record.withColumn("run", F.lit(run_name)).withColumn("eval_fraction", F.lit(eval_fraction))
+    sinks.append_run(record, f"{output_dir}/runs")
+    return record.select("run", "n_train", "n_truncated", "n_eval", "before_f1", "after_f1")
+
+
 RESULTS_DDL = ("file_name string, run string, index bigint, truncated_input string, gold_names array<string>, "
                "raw_response string, generation_error string, error string")
 
@@ -165,6 +209,8 @@ def filter_generation(spark: SparkSession, generation_path: str, output_dir: str
     sinks.write_jsonl(filt["kept"], f"{output_dir}/kept", mode="overwrite")
     sinks.write_jsonl(filt["removed"], f"{output_dir}/removed", mode="overwrite")
     sinks.write_jsonl(filt["stats"], f"{output_dir}/stats", mode="overwrite")
+    for name in ("settings", "first_removed", "first_reasons"):
+        sinks.write_jsonl(filt[name], f"{output_dir}/{name}", mode="overwrite")
     return {"kept": filt["kept"], "removed": filt["removed"], "stats": filt["stats"], "freq": filt["freq"]}
 
 

@@ -16,24 +16,25 @@ def r6(c):
     return F.round(F.col(c), 6).alias(c)
 
 
-def judged(spark, sf_dir, min_gap=2.0, min_privacy=7.0):
-    return judge.judge(derived.judge_pairs(spark, sf_dir), min_gap, min_privacy)
+def judged(spark, sf_dir, min_gap=2.0, min_privacy=7.0, texts=True):
+    """Judged pairs; without ``texts`` lengths stand in for them (scores only)."""
+    return judge.judge(derived.judge_pairs(spark, sf_dir, texts), min_gap, min_privacy)
 
 
-def preference(spark, sf_dir):
-    return judge.preference_rows(judged(spark, sf_dir))
+def preference(spark, sf_dir, texts=True):
+    return judge.preference_rows(judged(spark, sf_dir, texts=texts))
 
 
 def judge_outcomes(spark, sf_dir):
-    return judge.outcome_counts(judged(spark, sf_dir))
+    return judge.outcome_counts(judged(spark, sf_dir, texts=False))
 
 
 def judge_kept_scores(spark, sf_dir):
-    return preference(spark, sf_dir).select("index", *SCORE_COLS)
+    return preference(spark, sf_dir, texts=False).select("index", *SCORE_COLS)
 
 
 def judge_averages(spark, sf_dir):
-    a = judge.kept_averages(preference(spark, sf_dir))
+    a = judge.kept_averages(preference(spark, sf_dir, texts=False))
     return a.select("kept", r6("avg_diversity_gap"), r6("avg_privacy_chosen"), r6("avg_privacy_rejected"))
 
 
@@ -59,7 +60,7 @@ def loss_table(pref):
 
 
 def weighted_loss(spark, sf_dir):
-    r = export.weighted_loss(loss_table(preference(spark, sf_dir)))
+    r = export.weighted_loss(loss_table(preference(spark, sf_dir, texts=False)))
     return r.select("n", r6("mean_weighted_loss"), r6("loss_times_mean_weight"))
 
 

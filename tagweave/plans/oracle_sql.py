@@ -240,24 +240,26 @@ SELECT file_name, count(*) AS total_samples,
        count(*) FILTER (WHERE NOT skip AND m <> ng AND m = 0) AS no_matches,
        count(*) FILTER (WHERE NOT skip AND h0) AS match_pos0, count(*) FILTER (WHERE NOT skip AND h1) AS match_pos1,
        count(*) FILTER (WHERE NOT skip AND h2) AS match_pos2, count(*) FILTER (WHERE NOT skip AND h3) AS match_pos3,
-       count(*) FILTER (WHERE NOT skip AND h4) AS match_pos4
+       count(*) FILTER (WHERE NOT skip AND h4) AS match_pos4,
+       round(count(*) FILTER (WHERE NOT skip AND h0) * 100.0 / count(*), 6) AS rate_pos0,
+       round(count(*) FILTER (WHERE NOT skip AND h1) * 100.0 / count(*), 6) AS rate_pos1,
+       round(count(*) FILTER (WHERE NOT skip AND h2) * 100.0 / count(*), 6) AS rate_pos2,
+       round(count(*) FILTER (WHERE NOT skip AND h3) * 100.0 / count(*), 6) AS rate_pos3,
+       round(count(*) FILTER (WHERE NOT skip AND h4) * 100.0 / count(*), 6) AS rate_pos4
 FROM per_doc GROUP BY file_name"""
 
 
 # --- judging and exports ----------------------------------------------------
 
 PAIRS = """
-numbered AS (
-  SELECT conv_id, turn, role, text,
-         row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS rn
-  FROM conversations WHERE role IN ('user', 'assistant')),
-pairs0 AS (
-  SELECT conv_id AS id,
-         max(text) FILTER (WHERE role = 'user' AND rn = 1) AS prompt,
-         max(text) FILTER (WHERE role = 'assistant' AND rn = 1) AS response1,
-         max(text) FILTER (WHERE role = 'assistant' AND rn = 2) AS response2
-  FROM numbered GROUP BY conv_id),
-pairs AS (SELECT * FROM pairs0 WHERE prompt IS NOT NULL AND response1 IS NOT NULL)"""
+answers AS (
+  SELECT conv_id, turn, text AS response1, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS response2
+  FROM conversations WHERE role = 'assistant'),
+pairs AS (
+  SELECT u.conv_id * 100000 + u.turn AS id, u.text AS prompt, a.response1, a.response2
+  FROM (SELECT * FROM conversations WHERE role = 'user' AND text IS NOT NULL) u
+  ASOF JOIN answers a ON u.conv_id = a.conv_id AND u.turn < a.turn
+  WHERE a.response1 IS NOT NULL)"""
 
 JUDGED = """
 j AS (
@@ -469,14 +471,14 @@ SELECT doc_id, file_name, rn FROM (
   FROM documents) WHERE rn <= 10"""
 
 QUERIES["hash_split"] = """
-SELECT doc_id, CASE WHEN (doc_id * 7919) % 1000 < 800 THEN 'train' ELSE 'eval' END AS split FROM documents"""
+SELECT doc_id, CASE WHEN substr(md5('0:' || CAST(doc_id AS VARCHAR)), 1, 8) < 'cccccccd' THEN 'train' ELSE 'eval' END AS split FROM documents"""
 
 QUERIES["prefix_split"] = """
 SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) - 1 < CAST(floor(0.8 * count(*) OVER ()) AS BIGINT)
                     THEN 'train' ELSE 'eval' END AS split FROM documents"""
 
 QUERIES["eval_sample"] = """
-SELECT doc_id FROM documents ORDER BY (doc_id * 7919) % 1000003, doc_id LIMIT 50"""
+SELECT doc_id FROM documents ORDER BY md5('0:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 50"""
 
 QUERIES["difference_score_top"] = """
 WITH s AS (SELECT doc_id, -(n_chars % 97) / 10.0 - -(n_chars % 89) / 10.0 AS d FROM documents),
@@ -656,3 +658,47 @@ FROM oc GROUP BY 1"""
 
 QUERIES["failed_cases"] = QUERIES["failed_cases"].replace("{TRUNC600}", _trunc("text", "tk", 600))
 
+
+
+# --- files, jobs and streams ----------------------------------------------
+
+QUERIES["json_document_rows"] = """
+SELECT doc_id, n_chars, length(text) AS text_length FROM documents"""
+
+QUERIES["tolerant_reader_rows"] = "SELECT doc_id AS index FROM documents WHERE doc_id % 8 IN (4, 5, 7)"
+
+QUERIES["tolerant_reader_rejects"] = """
+SELECT CASE doc_id % 8 WHEN 0 THEN 'blank' WHEN 2 THEN 'empty_object' WHEN 3 THEN 'not_object' ELSE 'invalid' END AS reason,
+       count(*) AS n
+FROM documents WHERE doc_id % 8 IN (0, 1, 2, 3, 6) GROUP BY reason"""
+
+QUERIES["judge_input_rows"] = "SELECT doc_id AS index, n_chars AS second_item FROM documents"
+
+QUERIES["row_range_rows"] = """
+SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal FROM documents ORDER BY doc_id LIMIT 50 OFFSET 100"""
+
+QUERIES["concat_counts"] = """
+SELECT 'documents' AS origin, count(*) AS n, count(lang) AS with_lang, CAST(0 AS BIGINT) AS with_role,
+       CAST(sum(length(text)) AS BIGINT) AS chars FROM documents
+UNION ALL SELECT 'conversations', count(*), 0, count(role), CAST(sum(length(text)) AS BIGINT) FROM conversations"""
+
+QUERIES["evaluate_files_metrics"] = """
+SELECT count(*) AS total_samples, count(*) AS valid_samples,
+       round(avg(CASE WHEN n_chars % 2 = 0 THEN 1.0 ELSE 0.0 END), 6) AS exact_match_f1,
+       count(*) FILTER (WHERE n_chars % 2 <> 0) AS failed_cases_count
+FROM documents WHERE doc_id % 7 <> 0"""
+
+QUERIES["resume_twice"] = "SELECT doc_id, n_chars FROM documents"
+
+QUERIES["running_tag_counts"] = """
+SELECT CAST(pos AS BIGINT) AS pos, tag, count(*) AS n
+FROM (SELECT 0 AS pos, lang AS tag FROM documents UNION ALL SELECT 1, source FROM documents) GROUP BY pos, tag"""
+
+QUERIES["generation_record_rows"] = """
+SELECT doc_id AS index, '{"index":' || doc_id || ',"lang":"' || lang || '"}' AS original_data,
+       length(text) AS prompt_chars, CAST(2 AS BIGINT) AS n_responses,
+       '[{"tag": "words' || len(regexp_extract_all(text, '\\S+')) || '", "explanation": "sampled at 0.9"}]' AS second_text,
+       CAST(NULL AS VARCHAR) AS error
+FROM documents"""
+
+QUERIES["sft_run_record"] = "SELECT 'sft' AS run, count(*) AS rows, true AS same FROM documents"

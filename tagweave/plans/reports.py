@@ -35,7 +35,8 @@ def generation_quality(spark, sf_dir):
 
 
 def position_compare(spark, sf_dir):
-    return report.position_compare(scored_records(spark, sf_dir), "pred_names", "gold_names")
+    c = report.position_compare(scored_records(spark, sf_dir), "pred_names", "gold_names")
+    return c.select(*[r6(n) if n.startswith("rate_") else n for n in c.columns])
 
 
 def report_long_form(spark, sf_dir):

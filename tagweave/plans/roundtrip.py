@@ -4,12 +4,10 @@ O-S1, O-P7), and the preference-file loader (O-S5, O-P14, O-P19)."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tagweave.operators import export, judge, modelcall, parse
-from tagweave.session import checkpoint_dir
+from tagweave.session import scratch_folder
 from tagweave.sources import derived, readers, sinks
 
 
@@ -19,14 +17,10 @@ def two_temperature_responses(spark, sf_dir):
     return s.select("doc_id", F.inline("responses")).select("doc_id", "response_id", "temperature", "text")
 
 
-def _scratch(spark, name):
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def jsonl_roundtrip(spark, sf_dir):
     """Write generation records as JSON Lines, read them back with the
     tolerant reader, clean the responses and count per source file."""
-    path = _scratch(spark, "generation-jsonl")
+    path = scratch_folder(spark, "generation-jsonl")
     sinks.write_jsonl(derived.generation_records(spark, sf_dir), path, mode="overwrite")
     rows = readers.tolerant_jsonl(spark, path, glob="*.json")
     typed = rows.select(
@@ -46,17 +40,9 @@ def preference_file_load(spark, sf_dir):
     preference-directory loader and apply the training-row checks."""
     pairs = judge.judge(derived.judge_pairs(spark, sf_dir), 2.0, 7.0)
     rows = export.dpo_weighted(judge.preference_rows(pairs))
-    path = _scratch(spark, "pref-jsonl")
+    path = scratch_folder(spark, "pref-jsonl")
     sinks.write_jsonl(rows, path, mode="overwrite")
-    # Spark names its part files *.json, so the loader is pointed at that glob.
-    loaded = readers.tolerant_jsonl(spark, path, glob="*.json").select(
-        "file_name",
-        F.variant_get(F.col("v"), "$.prompt", "variant").alias("prompt"),
-        F.variant_get(F.col("v"), "$.chosen", "variant").alias("chosen"),
-        F.variant_get(F.col("v"), "$.rejected", "variant").alias("rejected"),
-        F.variant_get(F.col("v"), "$.weight", "variant").alias("weight"),
-        F.variant_get(F.col("v"), "$.weight", "variant").isNotNull().alias("has_weight"))
-    t = export.training_rows(loaded)
+    t = export.training_rows(readers.preference_dir(spark, path))
     return t.select("prompt", "chosen", "rejected", F.round("weight", 6).alias("weight"))
 
 
@@ -67,7 +53,7 @@ def preference_load_reasons(spark, sf_dir):
     j = judge.judge(derived.judge_pairs(spark, sf_dir), 2.0, 7.0)
     rows = j.select("prompt", F.col("chosen_text").alias("chosen"), F.col("rejected_text").alias("rejected"),
                     export.weight_expr().alias("weight"))
-    path = _scratch(spark, "pref-all-jsonl")
+    path = scratch_folder(spark, "pref-all-jsonl")
     sinks.write_jsonl(rows, path, mode="overwrite")
     loaded = readers.tolerant_jsonl(spark, path, glob="*.json").select(
         F.variant_get(F.col("v"), "$.prompt", "variant").alias("prompt"),

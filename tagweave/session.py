@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import atexit
 import tempfile
+import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 # Settings every job relies on: AQE re-plans joins and coalesces partitions at
@@ -31,13 +33,12 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
                   app_name: str = "tagweave", extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the settings above.
 
-    ``master`` defaults to ``local[$BENCH_CPUS or *]``; on a cluster pass
-    ``None`` through spark-submit and the cluster manager decides.
+    Without ``master`` the one that was submitted counts (spark-submit, or
+    ``local[*]`` where nothing was).
     """
     builder = SparkSession.builder.appName(app_name)
-    if master is None:
-        master = f"local[{os.environ.get('BENCH_CPUS', '*')}]"
-    builder = builder.master(master)
+    if master is not None:
+        builder = builder.master(master)
     conf = dict(BASE_CONF)
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -71,6 +72,40 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _file_system(sc: SparkContext, path: str):
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(sc._jsc.hadoopConfiguration()), where
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there; a store that cannot be reached raises."""
+    fs, where = _file_system(spark.sparkContext, path)
+    return fs.exists(where)
+
+
+def remove_path(sc: SparkContext, path: str) -> None:
+    fs, where = _file_system(sc, path)
+    fs.delete(where, True)
+
+
+_scratch: list[str] = []
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared checkpoint folder for files that a job
+    writes and reads back; removed when the program ends."""
+    if not _scratch:
+        atexit.register(_remove_scratch)
+    _scratch.append(f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def _remove_scratch() -> None:
+    sc = SparkContext._active_spark_context
+    for path in _scratch if sc is not None and sc._jsc is not None else []:
+        remove_path(sc, path)
+
+
 def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 128 << 20,
                shuffle_fraction: float = 0.25, max_shuffle_partitions: int = 100_000) -> dict:
     """Partition sizing for a cluster run over ``input_bytes`` of input.

@@ -135,45 +135,42 @@ def generation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.col("doc_id").alias("index"), "file_name", resp.alias("responses"))
 
 
-def judge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Response pairs with a rule-derived judgement, one row per conversation.
-
-    prompt = first user turn, response1/2 = first two assistant turns
-    (response2 NULL when there is only one). The judgement columns stand in
-    for the judge model: chosen 0 (a failed reply) when conv_id % 19 = 0,
-    otherwise the longer response (1 on ties); quality = length % 11;
-    diversity = conv_id % 6 + 3 and conv_id % 4 + 4; privacy = 10 - conv_id % 5
-    and 10 - conv_id % 3.
-
-    The pivot to columns is a groupBy over at most three rows per
-    conversation.
+def judge_pairs(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
+    """Response pairs with a rule-derived judgement, one row per user turn.
+
+    prompt = a user turn, response1/2 = the next two assistant turns of the
+    conversation (response2 NULL when there is only one; user turns that no
+    assistant turn follows give no pair); id = conv_id * 100000 + turn. The
+    judgement columns stand in for the judge model: chosen 0 (a failed reply)
+    when id % 19 = 0, otherwise the longer response (1 on ties); quality =
+    length % 11; diversity = id % 6 + 3 and id % 4 + 4; privacy = 10 - id % 5
+    and 10 - id % 3.
+
+    One exchange by conversation: both windows share its sort. Without
+    ``texts``, for plans that only need scores, lengths take the texts' place
+    before the exchange.
     """
     from pyspark.sql import Window as W
 
-    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    # First user turn and first two assistant turns. row_number() <= 2 is
-    # planned as a window group limit: every task keeps at most two rows per
-    # (conversation, role) before the exchange, so a conversation holding a
-    # large share of all turns never reaches one task whole.
-    w = W.partitionBy("conv_id", "role").orderBy("turn")
-    is_user, is_asst = F.col("role") == "user", F.col("role") == "assistant"
-    ranked = (conv.where(F.col("role").isin("user", "assistant"))
-              .withColumn("rn", F.row_number().over(w))
-              .where(F.col("rn") <= 2)
-              .where(is_asst | (F.col("rn") == 1)))
-    pairs = ranked.groupBy("conv_id").agg(
-        F.max(F.when(F.col("role") == "user", F.col("text"))).alias("prompt"),
-        F.max(F.when((F.col("role") == "assistant") & (F.col("rn") == 1), F.col("text"))).alias("response1"),
-        F.max(F.when((F.col("role") == "assistant") & (F.col("rn") == 2), F.col("text"))).alias("response2"),
-    ).where(F.col("prompt").isNotNull() & F.col("response1").isNotNull())
-    cid = F.col("conv_id")
-    l1, l2 = F.length("response1"), F.length("response2")
+    said = F.col("text") if texts else F.length("text").cast("string")
+    conv = (table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
+            .select("conv_id", "turn", "role", said.alias("text")))
+    after = W.partitionBy("conv_id").orderBy(F.col("turn").desc()).rowsBetween(W.unboundedPreceding, -1)
+    answer = F.when(F.col("role") == "assistant", F.struct("text"))
+    chained = conv.withColumn("a1", F.last(answer, ignorenulls=True).over(after))
+    both = F.when(F.col("role") == "assistant", F.struct(F.col("text").alias("r1"), F.col("a1.text").alias("r2")))
+    pairs = (chained.withColumn("a", F.last(both, ignorenulls=True).over(after))
+             .where((F.col("role") == "user") & F.col("a.r1").isNotNull() & F.col("text").isNotNull())
+             .select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), F.col("text").alias("prompt"),
+                     F.col("a.r1").alias("response1"), F.col("a.r2").alias("response2")))
+    i = F.col("id")
+    l1, l2 = (F.length(c) if texts else F.col(c).cast("int") for c in ("response1", "response2"))
     return pairs.select(
-        cid.alias("id"), "prompt", "response1", "response2",
-        F.when(cid % 19 == 0, 0).when(l1 >= l2, 1).when(l2.isNull(), 1).otherwise(2).alias("chosen"),
+        "id", "prompt", "response1", "response2",
+        F.when(i % 19 == 0, 0).when(l1 >= l2, 1).when(l2.isNull(), 1).otherwise(2).alias("chosen"),
         (l1 % 11).cast("double").alias("q1"), (l2 % 11).cast("double").alias("q2"),
-        (cid % 6 + 3).cast("double").alias("d1"), (cid % 4 + 4).cast("double").alias("d2"),
-        (10 - cid % 5).cast("double").alias("p1"), (10 - cid % 3).cast("double").alias("p2"),
+        (i % 6 + 3).cast("double").alias("d1"), (i % 4 + 4).cast("double").alias("d2"),
+        (10 - i % 5).cast("double").alias("p1"), (10 - i % 3).cast("double").alias("p2"),
     )
 
 

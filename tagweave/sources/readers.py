@@ -10,12 +10,22 @@ typed columns for the rest; nothing is collected.
 
 from __future__ import annotations
 
+import json
+import re
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.functions.jsonparse import is_object, strict_value
+from tagweave.functions.jsonparse import allow_repeated_keys, has_key, is_object, record_value
 from tagweave.functions.rows import explode_rows
 
+# The document splitter runs in Python workers that need not have this package.
+register_pickle_by_value(sys.modules[__name__])
+
 # Fixed container keys of the judge loader, in lookup order.
 CONTAINER_KEYS = ["data", "results", "items", "samples"]
 
@@ -33,9 +43,10 @@ def _text_lines(spark: SparkSession, path, glob: str | None = None, recursive: b
 
 def jsonl_variant(spark: SparkSession, path, glob: str | None = "*.jsonl",
                   recursive: bool = False) -> DataFrame:
-    """Each line parsed strictly: (file_name, line, v VARIANT or NULL when invalid)."""
+    """Each line parsed as one record: (file_name, line, v VARIANT or NULL when invalid)."""
+    allow_repeated_keys(spark)
     lines = _text_lines(spark, path, glob, recursive)
-    return lines.withColumn("v", strict_value(F.col("line")))
+    return lines.withColumn("v", record_value(F.col("line")))
 
 
 def tolerant_jsonl(spark: SparkSession, path, glob: str | None = "*.jsonl",
@@ -47,31 +58,107 @@ def tolerant_jsonl(spark: SparkSession, path, glob: str | None = "*.jsonl",
     return df.where(ok).select("file_name", "v")
 
 
-def json_documents(spark: SparkSession, path, glob: str | None = "*.json",
-                   recursive: bool = False) -> DataFrame:
-    """O-S3: whole-file JSON documents: a top-level list gives one row per
-    element, a single object gives one row; an unparseable file gives none.
-    Each file is one task (a JSON document cannot be split), rows are then
-    spread by the explode."""
+def jsonl_rejects(spark: SparkSession, path, glob: str | None = "*.jsonl", recursive: bool = False) -> DataFrame:
+    """What ``tolerant_jsonl`` skips, counted per file: blank lines, lines that
+    are not one JSON value (invalid), values other than objects, empty objects."""
+    df = jsonl_variant(spark, path, glob, recursive)
+    reason = (F.when(F.trim("line") == "", "blank").when(df.v.isNull(), "invalid")
+              .when(~is_object(df.v), "not_object").when(F.schema_of_variant(df.v) == "OBJECT<>", "empty_object"))
+    return df.select("file_name", reason.alias("reason")).where(F.col("reason").isNotNull()).groupBy(
+        "file_name", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SPACE = re.compile(r"[ \t\n\r]*")
+
+
+def document_values(text: str, lines: bool = False) -> Iterator[tuple[str, str]]:
+    """The records of a JSON document, one after the other: ``item`` for the
+    elements of a top-level list, ``value`` for a single top-level value, and
+    ``line`` for several top-level values (JSON Lines, or ``lines``). What
+    cannot be read ends the file with an ``error``."""
+    decoder, at = json.JSONDecoder(), _SPACE.match(text, 1 if text[:1] == "\ufeff" else 0).end()
+    try:
+        while at < len(text):
+            if text[at] == "[":
+                at = _SPACE.match(text, at + 1).end()
+                while text[at] != "]":
+                    value, at = decoder.raw_decode(text, at)
+                    yield "item", json.dumps(value, ensure_ascii=False)
+                    at = _SPACE.match(text, at).end()
+                    if text[at] == ",":
+                        at = _SPACE.match(text, at + 1).end()
+                        if text[at] == "]":
+                            raise ValueError("a comma before the end of a list")
+                    elif text[at] != "]":
+                        raise ValueError("no comma between elements")
+                at = _SPACE.match(text, at + 1).end()
+            else:
+                value, at = decoder.raw_decode(text, at)
+                at = _SPACE.match(text, at).end()
+                lines = lines or at < len(text)
+                yield "line" if lines else "value", json.dumps(value, ensure_ascii=False)
+    except (ValueError, IndexError, RecursionError) as error:
+        yield "error", f"{type(error).__name__}: {error}"
+
+
+def document_rows(spark: SparkSession, path, glob: str | None = "*.json", recursive: bool = False) -> DataFrame:
+    """(file_name, kind, v, error) of every record of the JSON documents under
+    ``path``. A document is read as a stream of its elements, so only single
+    elements are bounded by the size of a VARIANT (one that exceeds it is an
+    error row); a file is one task and at most 2 GiB, as Spark reads it whole."""
+    allow_repeated_keys(spark)
     r = spark.read.format("binaryFile")
     if glob:
         r = r.option("pathGlobFilter", glob)
     if recursive:
         r = r.option("recursiveFileLookup", "true")
-    files = r.load(path).select(F.col("path").alias("file_name"),
-                                F.decode(F.col("content"), "UTF-8").alias("doc"))
-    v = strict_value(F.col("doc"))
-    arr = F.try_variant_get(v, "$", "array<variant>")
-    rows = F.when(arr.isNotNull(), arr).when(is_object(v), F.array(v))
-    return explode_rows(files, ["file_name"], rows, "v")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                name, held, size = batch.column(0)[i].as_py(), [], 0
+                part = name.rpartition("/")[2].startswith("part-")  # what Spark's writers name JSON Lines
+                for kind, value in document_values(batch.column(1)[i].as_py().decode("utf-8", "replace"), part):
+                    held.append((kind, value))
+                    size += len(value)
+                    if size > 1 << 22:
+                        yield record(name, held)
+                        held, size = [], 0
+                if held:
+                    yield record(name, held)
+
+    def record(name, held):
+        return pa.RecordBatch.from_pydict({"file_name": [name] * len(held), "kind": [k for k, _ in held], "doc": [v for _, v in held]})
+
+    rows = r.load(path).select(F.col("path").alias("file_name"), "content").mapInArrow(split, "file_name string, kind string, doc string")
+    failed = F.col("kind") == "error"
+    v = F.when(~failed, record_value(F.col("doc")))
+    return rows.withColumn("v", v).select(
+        "file_name", F.when(F.col("v").isNull(), "error").otherwise(F.col("kind")).alias("kind"), "v",
+        F.when(failed, F.col("doc")).when(F.col("v").isNull(), "element too large").alias("error"))
+
+
+def json_documents(spark: SparkSession, path, glob: str | None = "*.json",
+                   recursive: bool = False) -> DataFrame:
+    """O-S3: JSON documents: a top-level list gives one row per element, a
+    single object one row, JSON Lines (this library's own output) one row per
+    object. What cannot be read is left to ``document_rejects``."""
+    rows = document_rows(spark, path, glob, recursive)
+    return rows.where((F.col("kind") == "item") | (F.col("kind").isin("value", "line") & is_object(F.col("v")))).select("file_name", "v")
+
+
+def document_rejects(spark: SparkSession, path: str, glob: str | None = "*.json", recursive: bool = False) -> DataFrame:
+    """(file_name, error) of every document, or element, that cannot be read."""
+    return document_rows(spark, path, glob, recursive).where(F.col("kind") == "error").select("file_name", "error")
 
 
 def strict_jsonl(spark: SparkSession, path, glob: str | None = "*.jsonl") -> DataFrame:
     """O-S4 (line form): every non-blank line must be one JSON value; the
     first bad line fails the job when it is read (``raise_error``), it is
     never skipped. Returns (file_name, v)."""
+    allow_repeated_keys(spark)
     lines = _text_lines(spark, path, glob).where(F.trim(F.col("line")) != "")
-    v = strict_value(F.col("line"))
+    v = record_value(F.col("line"))
     msg = F.concat(F.lit("invalid JSON line in "), F.col("file_name"))
     return lines.select("file_name", F.coalesce(v, F.raise_error(msg)).alias("v"))
 
@@ -81,18 +168,19 @@ def judge_input(spark: SparkSession, path: str) -> DataFrame:
     object whose first list-valued key among data / results / items /
     samples holds the rows. A document without such a list fails the job."""
     lines = strict_jsonl(spark, path, "*.jsonl")
-    docs = container_rows(json_documents(spark, path, "*.json"))
+    docs = container_rows(document_rows(spark, path, "*.json"))
     return lines.unionByName(docs)
 
 
 def container_rows(docs: DataFrame) -> DataFrame:
-    """O-S4 container form: a document that is an object yields the first of
-    data / results / items / samples that is a list; a list yields its
-    elements. Input rows (file_name, v) from ``json_documents`` before explode
-    are expected; here we accept exploded objects and unwrap containers."""
-    lists = [F.try_variant_get(F.col("v"), f"$.{k}", "array<variant>") for k in CONTAINER_KEYS]
-    inner = F.coalesce(*lists)
-    return explode_rows(docs, ["file_name"], F.when(inner.isNotNull(), inner).otherwise(F.array(F.col("v"))), "v")
+    """O-S4 container form over ``document_rows``: a document that is an object
+    yields the first of data / results / items / samples that is a list, a list
+    its elements as they are, whatever keys they own, JSON Lines their rows. A
+    document without such a list, or one that cannot be read, fails the job."""
+    inner = F.coalesce(*[F.try_variant_get(F.col("v"), f"$.{k}", "array<variant>") for k in CONTAINER_KEYS])
+    fail = F.raise_error(F.concat(F.lit("no rows in "), F.col("file_name"), F.lit(": "), F.coalesce("error", F.lit("no list in the document"))))
+    rows = F.when(F.col("kind").isin("item", "line"), F.array("v")).when(inner.isNotNull(), inner).otherwise(fail.cast("array<variant>"))
+    return explode_rows(docs, ["file_name"], rows, "v")
 
 
 def positional_record(v) -> F.Column:
@@ -114,10 +202,11 @@ def positional_record(v) -> F.Column:
 
 
 def preference_dir(spark: SparkSession, path: str) -> DataFrame:
-    """O-S5: non-recursive ``*.jsonl`` of preference rows: (file_name, prompt,
+    """O-S5: non-recursive JSON Lines of preference rows (``*.jsonl``, or the
+    ``*.json`` parts that ``sinks.write_jsonl`` leaves): (file_name, prompt,
     chosen, rejected, weight VARIANT, has_weight). Raises when no valid row
     loads (checked with one ``limit(1)``)."""
-    rows = tolerant_jsonl(spark, path, "*.jsonl", recursive=False)
+    rows = tolerant_jsonl(spark, path, "*.{jsonl,json}", recursive=False)
     out = rows.select(
         "file_name",
         F.variant_get(F.col("v"), "$.prompt", "variant").alias("prompt"),
@@ -151,4 +240,5 @@ def source_fields(rows: DataFrame) -> DataFrame:
         s("prompt").alias("prompt"), s("input").alias("input"), s("context").alias("context"),
         F.variant_get(v, "$.parsed_tags", "variant").alias("parsed_tags"),
         F.variant_get(v, "$.generated_tags", "variant").alias("generated_tags"),
-        s("error").alias("error"), v.alias("v"))
+        # A present key counts as an error, whatever its value.
+        F.coalesce(s("error"), F.when(has_key(v, "error"), F.lit("null"))).alias("error"), v.alias("v"))

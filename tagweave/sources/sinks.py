@@ -24,9 +24,17 @@ def run_name(model_path: Column) -> Column:
 
 
 def write_results(df: DataFrame, path: str, run: str) -> None:
-    """O-K3: per-input results under run / file_name partitions."""
+    """O-K3: the results of a run, in the run's partition, ``file_name`` as a
+    column (a folder per input file would take one file from every task). A
+    run that is repeated replaces its partition and no other."""
     out = df.withColumn("run", run_name(F.lit(run)))
-    write_jsonl(out, path, mode="append", partition_by=["run", "file_name"])
+    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false")
+     .partitionBy("run").json(path))
+
+
+def write_failed_cases(cases: DataFrame, path: str) -> None:
+    """O-F5: the failed cases of a run, one object per line."""
+    write_jsonl(cases, path, mode="overwrite")
 
 
 def write_summary(overall: DataFrame, per_file: DataFrame, path: str) -> None:

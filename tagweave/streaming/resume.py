@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.functions.sizing import bounded_broadcast
+from tagweave.session import path_exists
 
 
 def remaining(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -27,10 +28,9 @@ def _existing_keys(spark: SparkSession, out_path: str, key_field) -> DataFrame:
     from pyspark.sql import types as T
 
     schema = T.StructType([key_field])
-    try:
+    if path_exists(spark, out_path):
         return spark.read.schema(schema).json(out_path)
-    except Exception:  # noqa: BLE001 - no output yet
-        return spark.createDataFrame([], schema)
+    return spark.createDataFrame([], schema)
 
 
 def resumable_append(spark: SparkSession, in_path: str, out_path: str, checkpoint: str, schema,
@@ -64,25 +64,33 @@ def resumable_append(spark: SparkSession, in_path: str, out_path: str, checkpoin
 
 
 def running_tag_counts(spark: SparkSession, in_path: str, checkpoint: str, schema,
-                       tag_rows: Callable[[DataFrame], DataFrame], table: str = "tag_counts"):
+                       tag_rows: Callable[[DataFrame], DataFrame], out_path: str) -> DataFrame:
     """O-R4: running (pos, tag) counts over arriving files; no watermark
     because counts never close (the aggregation state keeps one row per
-    (pos, tag)). Results land in a memory table (complete mode) for local
-    use; on a cluster write the update-mode stream to a real table instead."""
+    (pos, tag)). The table is written as Parquet by the executors; a run that
+    finds no new files leaves the last one. Nothing is held on the driver."""
     stream = spark.readStream.schema(schema).json(in_path)
     counts = tag_rows(stream).groupBy("pos", "tag").agg(F.count(F.lit(1)).alias("n"))
-    q = (counts.writeStream.outputMode("complete").format("memory").queryName(table)
+    return _running_table(spark, counts, out_path, checkpoint)
+
+
+def _running_table(spark: SparkSession, totals: DataFrame, out_path: str, checkpoint: str) -> DataFrame:
+    """Run the available files through a streaming aggregation whose whole
+    result replaces the table at ``out_path`` with every batch; a replayed batch
+    writes the same table again."""
+    q = (totals.writeStream.outputMode("complete")
+         .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out_path))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(table)
+    return spark.read.schema(totals.schema).parquet(out_path)
 
 
 RESULT_DDL = ("file_name string, index bigint, raw_response string, gold_names array<string>, "
               "error string")
 
 
-def running_file_metrics(spark: SparkSession, results_path: str, checkpoint: str,
-                         table: str = "file_metrics_running", schema: str = RESULT_DDL) -> DataFrame:
+def running_file_metrics(spark: SparkSession, results_path: str, checkpoint: str, out_path: str,
+                         schema: str = RESULT_DDL) -> DataFrame:
     """O-A13 over result files as they arrive (the periodic result files of
     O-R3): each new row is parsed and scored (stateless projection), and a
     stateful aggregation keeps per-file sums and counts; the means are
@@ -101,10 +109,7 @@ def running_file_metrics(spark: SparkSession, results_path: str, checkpoint: str
         F.count_if(valid).alias("valid_samples"),
         *[F.sum(F.when(valid, F.col(m))).alias("sum_" + m) for m in score.EXACT],
         F.count_if(valid & (F.col("exact_match_f1") < 0.5)).alias("failed_cases_count"))
-    q = (sums.writeStream.outputMode("complete").format("memory").queryName(table)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-    t = spark.table(table)
+    t = _running_table(spark, sums, out_path, checkpoint)
     return t.where(F.col("valid_samples") > 0).select(
         "file_name", "total_samples", "valid_samples",
         *[(F.col("sum_" + m) / F.col("valid_samples")).alias(m) for m in score.EXACT],

@@ -236,11 +236,11 @@ def test_attach_vectors_carry_equals_join_back(spark):
         return tags.join(vecs, "tag")
 
     def as_dict(df):
-        return {r.rid: (r.file_name, [(x.tag, tuple(x.vec)) for x in r.gold_vecs],
-                        [(x.tag, tuple(x.vec)) for x in r.pred_vecs]) for r in df.collect()}
+        return {r.rid: (r.file_name, [(x.tag, tuple(x.vec or ())) for x in r.gold_vecs],
+                        [(x.tag, tuple(x.vec or ())) for x in r.pred_vecs]) for r in df.collect()}
 
     joined = as_dict(score.attach_vectors(recs, embed, "rid", ["gold", "pred"]))
     carried = as_dict(score.attach_vectors(recs, embed, "rid", ["gold", "pred"], carry=["file_name"]))
     assert joined == carried
-    assert carried[2] == ("f", [], []) and carried[3][2] == []          # unknown tag dropped
+    assert carried[2] == ("f", [], []) and carried[3][2] == [("zz", ())]  # no vector, place kept
     assert carried[1][1] == [("a", (1.0, 0.0)), ("b", (0.0, 1.0))]      # unit vectors, list order

@@ -4,17 +4,21 @@ model-call queries, pruned scans and pushed filters."""
 import pytest
 
 import __spark_entry__ as E
+from tagweave.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-PYTHON_OK = {"two_temperature_responses"}
-SIDE_EFFECTS = {"jsonl_roundtrip", "preference_file_load", "prefix_split", "difference_score_top"}
+# Model calls, and the splitter of JSON documents.
+PYTHON_OK = {"two_temperature_responses", "generation_record_rows", "sft_run_record", "json_document_rows", "judge_input_rows",
+             "evaluate_files_metrics"}
+SIDE_EFFECTS = {"jsonl_roundtrip", "preference_file_load", "prefix_split", "difference_score_top", "resume_twice",
+                "running_tag_counts"}
 
 
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - SIDE_EFFECTS))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - SIDE_EFFECTS))
 def test_no_cartesian_no_python(spark, name):
     p = plan_of(E.queries()[name](spark, SF))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
@@ -29,9 +33,15 @@ def test_scan_reads_only_needed_columns(spark):
 
 def test_parse_computed_once(spark):
     # The line count of a document must be derived once per row, not re-inlined.
-    for name in ["parsed_tag_rows", "tag_distribution", "generation_quality", "exact_prf_by_doc"]:
+    for name in ["parsed_tag_rows", "generation_quality", "exact_prf_by_doc"]:
         p = E.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert p.count("split(text") <= 2, name
+    # Totals are joined back to the counts: both read one exchange, so the documents are scanned once.
+    df = E.queries()["topic_top30"](spark, SF)
+    df.collect()
+    final = plan_of(df).partition("Initial Plan")[0]
+    assert final.count("Scan parquet") == 1 and "ReusedExchange" in final
+    assert "Scan parquet" not in plan_of(E.queries()["tag_distribution"](spark, SF))  # reads its counts only
 
 
 def test_top_k_uses_window_group_limit(spark):
@@ -44,7 +54,8 @@ def test_skew_safe_shapes(spark):
     fm = plan_of(q["file_metrics_exact"](spark, SF))
     assert "partial_avg" in fm or "partial_count" in fm          # pre-aggregated before the exchange
     assert "WindowGroupLimit" in plan_of(q["failed_cases"](spark, SF))
-    assert "WindowGroupLimit" in plan_of(q["judge_outcomes"](spark, SF))
+    assert "WindowGroupLimit" in plan_of(q["topic_top30"](spark, SF))
+    assert plan_of(q["judge_kept_scores"](spark, SF)).count("Exchange hashpartitioning") == 1
     kept = plan_of(q["rare_filter_kept"](spark, SF))
     assert "BroadcastHashJoin" in kept and "LeftAnti" in kept      # records not shuffled for the anti join
     tf = plan_of(q["tag_freq"](spark, SF))

@@ -31,7 +31,11 @@ def test_json_documents_and_containers(spark, tmp_dir):
     write(tmp_dir, "bad.json", "{oops")
     docs = readers.json_documents(spark, tmp_dir)
     assert docs.count() == 3
-    rows = readers.container_rows(docs)
+    rejects = readers.document_rejects(spark, tmp_dir).collect()
+    assert len(rejects) == 1 and rejects[0].file_name.endswith("bad.json")
+    with pytest.raises(Exception, match="no rows in .*bad.json"):
+        readers.container_rows(readers.document_rows(spark, tmp_dir)).collect()
+    rows = readers.container_rows(readers.document_rows(spark, tmp_dir, "[lo]*.json"))
     vals = sorted(r[0] for r in rows.select(F.try_variant_get("v", "$.a", "int")).collect())
     assert vals == [1, 2, 3]
 
@@ -148,7 +152,7 @@ def test_running_tag_counts(spark, tmp_dir):
     def rows(df):
         return df.select(F.posexplode("tags").alias("pos", "tag"))
 
-    t = resume.running_tag_counts(spark, src, ck, schema, rows, table="tw_counts_test")
+    t = resume.running_tag_counts(spark, src, ck, schema, rows, os.path.join(tmp_dir, "out"))
     assert sorted((r.pos, r.tag, r.n) for r in t.collect()) == [(0, "x", 2), (1, "y", 1)]
 
 
@@ -268,16 +272,16 @@ def test_running_file_metrics_match_batch(spark, tmp_dir):
     from tagweave.operators import score
     from tagweave.functions.extract import tag_names
 
-    src, ck = os.path.join(tmp_dir, "res"), os.path.join(tmp_dir, "ck")
+    src, ck, out = (os.path.join(tmp_dir, n) for n in ("res", "ck", "out"))
     first = [{"file_name": "f1", "index": 1, "raw_response": '[{"tag":"a","explanation":"x"}]', "gold_names": ["a"]},
              {"file_name": "f1", "index": 2, "raw_response": "Tag: b\nExplanation: y", "gold_names": ["a", "b"]}]
     second = [{"file_name": "f2", "index": 1, "raw_response": "nothing", "gold_names": ["c"]},
               {"file_name": "f1", "index": 3, "raw_response": "[]", "gold_names": []},
               {"file_name": "f2", "index": 2, "raw_response": "x", "gold_names": ["c"], "error": "bad"}]
     write(src, "part-1.json", "\n".join(json.dumps(r) for r in first) + "\n")
-    resume.running_file_metrics(spark, src, ck, table="rfm_test")
+    resume.running_file_metrics(spark, src, ck, out)
     write(src, "part-2.json", "\n".join(json.dumps(r) for r in second) + "\n")
-    run = {r.file_name: r for r in resume.running_file_metrics(spark, src, ck, table="rfm_test").collect()}
+    run = {r.file_name: r for r in resume.running_file_metrics(spark, src, ck, out).collect()}
     batch_in = spark.read.schema(resume.RESULT_DDL).json(src)
     b = score.parse_generated(batch_in, "raw_response")
     b = score.with_exact(b.withColumn("pred_names", tag_names(F.col("generated_tags"))), "pred_names", "gold_names")
