@@ -39,8 +39,9 @@ from tagweave.llm.common import cut, map_rows, parallelism
 
 PIVOTS = 128
 NEAR = 64
-# Share of each block that is reranked, and the least number of vectors.
-SHARE = 0.3
+# Share of a block's different vectors that is reranked, and their least number. A
+# cluster of near-copies ranks as one, so the share exceeds a third.
+SHARE = 0.4
 LEAST = 512
 BLOCK_ROWS = 16384
 QUERY_ROWS = 4096
@@ -83,32 +84,41 @@ def matrix(column) -> np.ndarray:
 
 
 def search_block(ids, x, lists, query_ids, q, query_lists, n_pivots: int, k: int, share: float, least: int):
-    """(query, id, score) of the k best reranked vectors of a block for each query."""
+    """(query, id, score) of the k best reranked vectors of a block for each query.
+
+    Copies of a vector are posted and ranked once, so they take one place in the
+    reranked share; no query needs more than the k + 1 smallest ids of each."""
     order = np.argsort(ids, kind="stable")
-    ids, x, lists = ids[order], x[order], lists[order]
+    ids, x, lists = ids[order], np.ascontiguousarray(x[order]) + 0.0, lists[order]  # -0.0 becomes 0.0
+    _, first, which = np.unique(x.view(np.void(x.itemsize * x.shape[1]).dtype).ravel() if len(x) else np.empty(0), return_index=True, return_inverse=True)
+    by_vector = np.argsort(which, kind="stable")
+    begin = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(first)))]).astype(int)
+    x, lists, n = x[first], lists[first], len(first)
     near = lists.shape[1]
-    posted = np.zeros((n_pivots, len(ids)), np.int16)
-    posted[lists.T, np.arange(len(ids))] = np.arange(near, 0, -1, dtype=np.int16)[:, None]
-    take = min(len(ids), max(least, 2 * k, math.ceil(share * len(ids))))
+    posted = np.zeros((n_pivots, n), np.int16)
+    posted[lists.T, np.arange(n)] = np.arange(near, 0, -1, dtype=np.int16)[:, None]
+    take = min(n, max(least, 2 * k, math.ceil(share * n)))
     out = []
     for query, vector, its in zip(query_ids, q, query_lists, strict=True):
-        shared = np.zeros(len(ids), np.int32)
+        shared = np.zeros(n, np.int32)
         for place, pivot in enumerate(its):
             shared += np.minimum(posted[pivot], np.int16(near - place))
-        shared[ids == query] = -1
-        if take < len(ids):
-            bar = np.partition(shared, len(ids) - take)[len(ids) - take]
+        if take < n:
+            bar = np.partition(shared, n - take)[n - take]
             above = np.flatnonzero(shared > bar)
             chosen = np.concatenate([above, np.flatnonzero(shared == bar)[:take - len(above)]])
         else:
-            chosen = np.arange(len(ids))
-        chosen = chosen[ids[chosen] != query]
+            chosen = np.arange(n)
         score = (x[chosen] * vector).sum(axis=1)
-        if len(chosen) > k:
-            some = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+        if len(chosen) > k + 1:  # one may be the query's own vector
+            some = np.flatnonzero(score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1])
             chosen, score = chosen[some], score[some]
-        best = np.lexsort((ids[chosen], -score))[:k]
-        out.append((np.full(len(best), query), ids[chosen[best]], score[best]))
+        copies = [by_vector[begin[c]:begin[c + 1]][:k + 1] for c in chosen]
+        score = np.repeat(score, [len(c) for c in copies])
+        held = ids[np.concatenate(copies)] if copies else ids[:0]
+        score, held = score[held != query], held[held != query]
+        best = np.lexsort((held, -score))[:k]
+        out.append((np.full(len(best), query), held[best], score[best]))
     if not out:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
