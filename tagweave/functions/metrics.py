@@ -166,6 +166,23 @@ def best_matches(gold, pred) -> Column:
                                            F.lit(None).cast("double").alias("similarity"))))
 
 
+def best_from_grid(gold, pred, grid) -> Column:
+    """``best_matches`` of name lists from their similarity grid."""
+    g, p, rows = _c(gold), _c(pred), _c(grid)
+
+    def per_gold(name, i):
+        def best_of(sims):
+            start = F.struct(F.lit(-1).alias("j"), F.lit(float("-inf")).alias("s"))
+            at = F.transform(sims, lambda s, j: F.struct(j.alias("j"), s.alias("s")))
+            return F.aggregate(at, start, lambda acc, x: F.when(x["s"] > acc["s"], x).otherwise(acc))
+
+        best = let(F.get(rows, i), best_of)
+        return F.struct(name.alias("gold_tag"), F.get(p, best["j"]).alias("pred_tag"),
+                        F.when(F.size(p) > 0, best["s"]).alias("similarity"))
+
+    return F.transform(g, per_gold)
+
+
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 

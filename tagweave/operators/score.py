@@ -248,10 +248,64 @@ def _unencoded(g: Column, p: Column) -> Column:
     return (F.size(g) + F.size(p) > 0) & ~some(g) & ~some(p)
 
 
-def best_match_rows(df: DataFrame, key: str, gold_vecs: str, pred_vecs: str) -> DataFrame:
-    """One row per gold tag with its best predicted tag (O-A9)."""
-    bm = M.best_matches(F.col(gold_vecs), F.col(pred_vecs))
-    return (df.where(F.size(F.col(pred_vecs)) > 0)
+def attach_grid(records: DataFrame, embed, key: str, gold: str, pred: str, keep: list[str] | None = None,
+                max_broadcast_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    """Add ``grid`` (similarities of gold x predicted names) and ``encoded``
+    (whether any pair of the record has one), with the columns ``keep``.
+
+    ``key`` identifies a record. Vectors never meet the records: every distinct
+    pair of names of the whole table gets its cosine once, and the scalar is
+    joined back to the records' pairs, so what is shuffled does not depend on
+    the vectors' size. A pair without a vector on both sides has similarity 0.
+    Wide columns ride on one marker row per record, which also keeps records
+    without pairs; the regroup holds the pairs of one record.
+    """
+    keep = [c for c in dict.fromkeys([*(keep or []), gold, pred]) if c != key]
+    g, p = F.col(gold), F.col(pred)
+    pairs = F.flatten(F.transform(g, lambda a, i: F.transform(p, lambda b, j: F.struct(
+        i.alias("i"), j.alias("j"), a.alias("g"), b.alias("p")))))
+    distinct = explode_rows(records, [], pairs, "x").select("x.g", "x.p").distinct()
+    names = distinct.select(F.col("g").alias("tag")).union(distinct.select("p")).distinct()
+    vectors = bounded_broadcast(embed(names).select("tag", M.unit(F.col("vec")).alias("vec")), max_broadcast_rows)
+    one, two = (vectors.select(F.col("tag").alias(c), F.col("vec").alias("v" + c)) for c in ("g", "p"))
+    sims = bounded_broadcast(distinct.join(one, "g").join(two, "p").select("g", "p", M.dot(F.col("vg"), F.col("vp")).alias("s")),
+                             max_broadcast_rows)
+    marker = F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(None).cast("string").alias("g"),
+                              F.lit(None).cast("string").alias("p")))
+    rows = explode_rows(records, [key, *keep], F.concat(marker, F.coalesce(pairs, F.array().cast(
+        "array<struct<i:int,j:int,g:string,p:string>>"))), "x")
+    rows = rows.select(key, F.col("x.i").alias("_tw_i"), F.col("x.j").alias("_tw_j"), F.col("x.g").alias("g"), F.col("x.p").alias("p"),
+                       F.when(F.col("x.i") < 0, F.struct(*keep)).alias("_tw_kept"))
+    found = rows.join(sims, ["g", "p"], "left").groupBy(key).agg(
+        F.first("_tw_kept", ignorenulls=True).alias("_tw_kept"),
+        F.map_from_entries(F.collect_list(F.when(F.col("s").isNotNull(), F.struct(
+            (F.col("_tw_i") * GRID_WIDTH + F.col("_tw_j")).alias("at"), "s")))).alias("_tw_sims"))
+    cells = F.transform(F.col("_tw_kept")[gold], lambda a, i: F.transform(F.col("_tw_kept")[pred], lambda b, j: F.coalesce(
+        F.col("_tw_sims")[i * GRID_WIDTH + j], F.lit(0.0))))
+    return found.select(key, *[F.col("_tw_kept")[c].alias(c) for c in keep], cells.alias("grid"),
+                        (F.size("_tw_sims") > 0).alias("encoded"))
+
+
+# More names than one record's list ever holds, so that a cell has one number.
+GRID_WIDTH = 1 << 15
+
+
+def with_semantic_grid(df: DataFrame, gold: str, pred: str, threshold: float = 0.8) -> DataFrame:
+    """``with_semantic`` over name lists and the ``grid`` of ``attach_grid``."""
+    g, p = F.col(gold), F.col(pred)
+    staged = df.withColumn("_tw_hits", M.grid_hits(F.col("grid"), F.size(p), threshold))
+    out = staged.withColumn("_s", M.scores_from_hits(F.col("_tw_hits"), F.size(g), F.size(p)))
+    failed = ~F.col("encoded") & (F.size(g) > 0) & (F.size(p) > 0)
+    return (out.withColumn("semantic_accuracy", F.col("_s.accuracy")).withColumn("semantic_f1", F.col("_s.f1"))
+            .withColumn("semantic_precision", F.col("_s.precision")).withColumn("semantic_recall", F.col("_s.recall"))
+            .withColumn("sft_semantic_f1", F.when(failed, M.exact_prf(p, g, normalise=False)["f1"]).otherwise(F.col("_s.sft_f1")))
+            .drop("_s", "_tw_hits"))
+
+
+def best_match_rows(df: DataFrame, key: str, gold: str, pred: str) -> DataFrame:
+    """One row per gold tag with its best predicted tag (O-A9), from the ``grid``."""
+    bm = M.best_from_grid(F.col(gold), F.col(pred), F.col("grid"))
+    return (df.where(F.size(F.col(pred)) > 0)
             .transform(lambda d: posexplode_rows(d, [key], bm, "gold_pos", "m"))
             .select(key, "gold_pos", F.col("m.gold_tag").alias("gold_tag"),
                     F.col("m.pred_tag").alias("pred_tag"), F.col("m.similarity").alias("similarity")))

@@ -28,8 +28,9 @@ def hash_split(df: DataFrame, key: str, eval_fraction: float = 0.2, seed: int =
     return df.withColumn("split", F.when(F.substring(key_hash(key, seed), 1, 8) < cut, "train").otherwise("eval"))
 
 
-def global_ordinal(df: DataFrame, order: list[Column], out: str = "ordinal") -> DataFrame:
-    """0-based position of every row in a total order (the caller breaks ties).
+def global_ordinal(df: DataFrame, order: list[Column], out: str = "ordinal", total: str | None = None) -> DataFrame:
+    """0-based position of every row in a total order (the caller breaks ties);
+    ``total`` names a column for the number of all rows.
 
     1. range-partitioned sort; each row records its partition id and its
        monotonically increasing id (partition id << 33 | row in partition),
@@ -49,7 +50,9 @@ def global_ordinal(df: DataFrame, order: list[Column], out: str = "ordinal") ->
     ordered = ordered.checkpoint(eager=True)
     counts = ordered.groupBy("_tw_pid").agg(F.count(F.lit(1)).alias("_tw_n"))
     w = W.orderBy("_tw_pid").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
-    offsets = counts.select("_tw_pid", F.coalesce(F.sum("_tw_n").over(w), F.lit(0)).alias("_tw_off"))
+    every = W.partitionBy(F.lit(0))
+    offsets = counts.select("_tw_pid", F.coalesce(F.sum("_tw_n").over(w), F.lit(0)).alias("_tw_off"),
+                            *([F.sum("_tw_n").over(every).alias(total)] if total else []))
     local = F.col("_tw_mid") - F.shiftleft(F.col("_tw_pid").cast("long"), 33)
     return (ordered.join(F.broadcast(offsets), "_tw_pid")
             .withColumn(out, F.col("_tw_off") + local)
@@ -59,19 +62,16 @@ def global_ordinal(df: DataFrame, order: list[Column], out: str = "ordinal") ->
 def prefix_split(df: DataFrame, key: str, eval_fraction: float = 0.2) -> DataFrame:
     """O-U2 (exact form): the first int((1 - eval_fraction) * n) rows by key
     are train, the rest eval."""
-    n = df.count()
-    cut = int((1 - eval_fraction) * n)
-    ranked = global_ordinal(df, [F.col(key)])
-    return ranked.withColumn("split", F.when(F.col("ordinal") < cut, "train").otherwise("eval"))
+    ranked = global_ordinal(df, [F.col(key)], total="_tw_total")
+    cut = F.floor(F.lit(1 - eval_fraction) * F.col("_tw_total"))
+    return ranked.withColumn("split", F.when(F.col("ordinal") < cut, "train").otherwise("eval")).drop("_tw_total")
 
 
 def top_fraction(df: DataFrame, score: str, key: str, ratio: float) -> DataFrame:
     """O-F6: keep the top ``ratio`` share of rows by score (ties by key):
     exactly floor(ratio * n) rows."""
-    n = df.count()
-    k = int(ratio * n)
-    ranked = global_ordinal(df, [F.col(score).desc(), F.col(key).asc()])
-    return ranked.where(F.col("ordinal") < k)
+    ranked = global_ordinal(df, [F.col(score).desc(), F.col(key).asc()], total="_tw_total")
+    return ranked.where(F.col("ordinal") < F.floor(F.lit(ratio) * F.col("_tw_total"))).drop("_tw_total")
 
 
 def seeded_sample(df: DataFrame, key: str, n: int = 50, seed: int = 0) -> DataFrame:

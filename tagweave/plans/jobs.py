@@ -69,9 +69,10 @@ def evaluate_files(spark: SparkSession, data_dir: str, output_dir: str,
     scored = score.with_exact(res, "pred_names", "gold_names", normalise=True)
     semantic = embed is not None
     if semantic:
-        withv = score.attach_vectors(scored, embed, "_rid", ["gold_names", "pred_names"])
-        scored = score.with_semantic(withv, "gold_names_vecs", "pred_names_vecs", threshold)
-        scored = scored.withColumn("best_matches", M.best_matches(F.col("gold_names_vecs"), F.col("pred_names_vecs")))
+        grids = score.attach_grid(scored.select("_rid", "gold_names", "pred_names"), embed, "_rid", "gold_names", "pred_names")
+        scored = scored.drop("gold_names", "pred_names").join(grids, "_rid")
+        scored = score.with_semantic_grid(scored, "gold_names", "pred_names", threshold)
+        scored = scored.withColumn("best_matches", M.best_from_grid(F.col("gold_names"), F.col("pred_names"), F.col("grid")))
     metrics = score.file_metrics(scored, semantic=semantic)
     overall = score.overall(metrics, semantic=semantic)
     failed = score.failed_cases(scored, order_key="index", semantic=semantic, k=5,

@@ -33,10 +33,9 @@ def scored_vectors(spark, sf_dir, threshold: float = THRESHOLD):
     # back): the narrow record table is written once to the checkpoint folder.
     checkpoint_dir(spark)
     recs = derived.vector_records(spark, sf_dir).checkpoint(eager=True)
-    v = score.attach_vectors(recs, table_embedder(spark, sf_dir), "rec_id", ["gold", "pred"],
-                             carry=["file_name"])
+    v = score.attach_grid(recs, table_embedder(spark, sf_dir), "rec_id", "gold", "pred", keep=["file_name"])
     v = score.with_exact(v, "pred", "gold", normalise=True)
-    return score.with_semantic(v, "gold_vecs", "pred_vecs", threshold)
+    return score.with_semantic_grid(v, "gold", "pred", threshold)
 
 
 def semantic_by_record(spark, sf_dir):
@@ -48,7 +47,7 @@ def semantic_by_record(spark, sf_dir):
 
 def semantic_best_match(spark, sf_dir):
     s = scored_vectors(spark, sf_dir)
-    b = score.best_match_rows(s, "rec_id", "gold_vecs", "pred_vecs")
+    b = score.best_match_rows(s, "rec_id", "gold", "pred")
     return b.select("rec_id", "gold_pos", "gold_tag", "pred_tag", r6("similarity"))
 
 
@@ -75,9 +74,8 @@ def semantic_doc_file_metrics(spark, sf_dir):
     # join back): written once to the checkpoint folder, parsed once.
     checkpoint_dir(spark)
     narrow = r.select("rid", "file_name", "pred_names", "gold_names", *score.EXACT).checkpoint(eager=True)
-    v = score.attach_vectors(narrow, letter_embedder, "rid", ["gold_names", "pred_names"],
-                             carry=["file_name", *score.EXACT])
-    s = score.with_semantic(v, "gold_names_vecs", "pred_names_vecs", THRESHOLD)
+    v = score.attach_grid(narrow, letter_embedder, "rid", "gold_names", "pred_names", keep=["file_name", *score.EXACT])
+    s = score.with_semantic_grid(v, "gold_names", "pred_names", THRESHOLD)
     m = score.file_metrics(s, gold_names="gold_names", semantic=True)
     return m.select("file_name", "total_samples", "valid_samples",
                     *[r6(c) for c in score.EXACT + score.SEMANTIC], "failed_cases_count")

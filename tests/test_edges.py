@@ -75,6 +75,15 @@ def test_names_without_vectors_count(spark):
         assert s[1].semantic_accuracy == 0.25 and s[1].semantic_recall == 0.25 and s[1].semantic_precision == 1.0
         assert s[2].semantic_accuracy == 0.0 and s[2].sft_semantic_f1 == 1.0  # nothing encoded: exact F1
         assert s[3].sft_semantic_f1 == 0.0
+    for rows in (10, 0):  # broadcast and shuffle joins
+        v = score.attach_grid(df, lambda t: t.join(known, "tag"), "k", "gold", "pred", max_broadcast_rows=rows)
+        s = {r.k: r for r in score.with_semantic_grid(v, "gold", "pred").collect()}
+        assert s[1].semantic_accuracy == 0.25 and s[1].semantic_precision == 1.0 and s[1].grid == [[1.0], [0.0], [0.0], [0.0]]
+        assert s[2].semantic_accuracy == 0.0 and s[2].sft_semantic_f1 == 1.0 and s[3].sft_semantic_f1 == 0.0
+    empty = spark.createDataFrame([(1, [], []), (2, ["a"], []), (3, None, ["a"])], "k int, gold array<string>, pred array<string>")
+    v = score.attach_grid(empty, lambda t: t.join(known, "tag"), "k", "gold", "pred")
+    assert {r.k: r.semantic_accuracy for r in score.with_semantic_grid(v.where("k < 3"), "gold", "pred").collect()} == {1: 1.0, 2: 0.0}
+    assert v.count() == 3
 
 
 def yes(prompts):
