@@ -29,8 +29,12 @@ _PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "position_compare": reports.position_compare,
     **{f.__name__: f for f in (
         files.json_document_rows, files.tolerant_reader_rows, files.tolerant_reader_rejects, files.judge_input_rows,
+        files.preference_dir_rows, files.positional_record_rows,
         files.row_range_rows, files.concat_counts, files.evaluate_files_metrics, files.resume_twice,
         files.running_tag_counts, files.generation_record_rows, files.sft_run_record)},
+    "judge_model_outcomes": judging.judge_model_outcomes,
+    "semantic_missing_vectors": semantic.semantic_missing_vectors,
+    "encoded_tags": semantic.encoded_tags,
     "judge_outcomes": judging.judge_outcomes,
     "judge_kept_scores": judging.judge_kept_scores,
     "judge_averages": judging.judge_averages,

@@ -65,6 +65,36 @@ def judge_input_rows(spark, sf_dir):
         F.try_variant_get("v", "$.index", "bigint").alias("index"), F.try_variant_get("v", "$.items[1]", "bigint").alias("second_item"))
 
 
+def preference_dir_rows(spark, sf_dir):
+    """Preference rows read from a folder (O-S5) whose files hold bad, blank and weightless lines, by doc_id % 4."""
+    d = derived.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    k = F.col("doc_id") % 4
+    row = F.to_json(F.struct(F.col("doc_id").cast("string").alias("prompt"), F.col("lang").alias("chosen"), F.col("source").alias("rejected"),
+                             F.when(k == 3, F.col("n_chars")).alias("weight")))
+    line = F.when(k == 0, "").when(k == 1, F.concat(F.lit("not json "), row)).otherwise(row)
+    path = scratch_folder(spark, "preference-dir")
+    d.select(line.alias("value")).write.text(path)
+    rows = readers.preference_dir(spark, path, glob="*.txt")
+    text = {c: F.try_variant_get(c, "$", "string").alias(c) for c in ("prompt", "chosen", "rejected")}
+    return rows.select(*text.values(), F.try_variant_get("weight", "$", "bigint").alias("weight"), "has_weight")
+
+
+def positional_record_rows(spark, sf_dir):
+    """Records stored as lists, as objects and as neither (O-S7), by doc_id % 3."""
+    d = derived.table(spark, sf_dir, "documents").select("doc_id", "text", F.array("lang", "source").alias("parsed_tags"))
+    i, k = F.col("doc_id").cast("string"), F.col("doc_id") % 3
+    quoted = F.to_json(F.array("text"))
+    listed = F.concat(F.lit("["), i, F.lit(","), F.substring(quoted, F.lit(2), F.length(quoted) - 2), F.lit(","), F.to_json("parsed_tags"), F.lit("]"))
+    line = (F.when(k == 0, listed).when(k == 1, F.to_json(F.struct(F.col("doc_id").alias("index"), F.col("text").alias("prompt"), "parsed_tags")))
+            .otherwise(F.concat(F.lit("["), i, F.lit("]"))))
+    path = scratch_folder(spark, "positional")
+    d.select(line.alias("value")).write.text(path)
+    v = readers.jsonl_variant(spark, path, glob="*.txt").select(readers.positional_record(F.col("v")).alias("r"))
+    return v.where("r IS NOT NULL").select(
+        "r.index", F.length("r.prompt").alias("prompt_chars"), F.try_variant_get("r.parsed_tags", "$[0]", "string").alias("first_tag"),
+        F.try_variant_get("r.parsed_tags", "$[1]", "string").alias("second_tag"))
+
+
 def row_range_rows(spark, sf_dir):
     """Rows 100 to 150 in key order (O-S9)."""
     d = derived.table(spark, sf_dir, "documents").select("doc_id")

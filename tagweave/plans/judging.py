@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tagweave.operators import export, judge
+from tagweave.operators import export, judge, modelcall
 from tagweave.sources import derived
 
 SCORE_COLS = ["quality_chosen", "quality_rejected", "diversity_chosen", "diversity_rejected",
@@ -90,3 +90,24 @@ def labelled_judgements(spark, sf_dir):
         (10 - 6 * t).cast("double").alias("p1"), F.lit(9.0).alias("p2"))
     j = judge.judge(judge.attach_judgements(pairs, replies, "id"), 2.0, 7.0)
     return judge.outcome_counts(j)
+
+
+def length_judge():
+    """Stand-in judge model: prefers the longer response; some calls fail, some
+    replies name no response or leave a score out."""
+    def call(prompt, first, second):
+        a, b = len(first), len(second)
+        if (a + b) % 19 == 0:
+            raise TimeoutError("no reply")
+        scores = {f"response{i}": {"quality": n % 11, "diversity": str(n % 8), "privacy": 10 - n % 5} for i, n in ((1, a), (2, b))}
+        return {"chosen": "neither" if (a + b) % 17 == 0 else 1 if a >= b else 2, "reasoning": "the longer one", "scores": scores}
+
+    return call
+
+
+def judge_model_outcomes(spark, sf_dir):
+    """O-M4: response pairs judged by a model call, with retries and odd replies."""
+    pairs = judge.eligible(derived.judge_pairs(spark, sf_dir).select("id", "prompt", "response1", "response2"))
+    j = judge.judge(modelcall.judge_pairs(pairs, lambda: length_judge(), max_retries=2, backoff_s=0.0), 2.0, 7.0)
+    return j.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.count("reasoning").alias("with_reasoning"),
+                                    F.round(F.avg("diversity_gap"), 6).alias("avg_gap"))

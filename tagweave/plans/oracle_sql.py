@@ -702,3 +702,38 @@ SELECT doc_id AS index, '{"index":' || doc_id || ',"lang":"' || lang || '"}' AS
 FROM documents"""
 
 QUERIES["sft_run_record"] = "SELECT 'sft' AS run, count(*) AS rows, true AS same FROM documents"
+
+QUERIES["preference_dir_rows"] = """
+SELECT CAST(doc_id AS VARCHAR) AS prompt, lang AS chosen, source AS rejected,
+       CASE WHEN doc_id % 4 = 3 THEN n_chars END AS weight, doc_id % 4 = 3 AS has_weight
+FROM documents WHERE doc_id % 4 >= 2"""
+
+QUERIES["positional_record_rows"] = """
+SELECT doc_id AS index, length(text) AS prompt_chars, lang AS first_tag, source AS second_tag
+FROM documents WHERE doc_id % 3 < 2"""
+
+QUERIES["judge_model_outcomes"] = _with(PAIRS) + """,
+called AS (
+  SELECT *, length(response1) AS a, length(response2) AS b FROM pairs WHERE response2 IS NOT NULL),
+replied AS (
+  SELECT a, b, (a + b) % 19 <> 0 AS reply, (a + b) % 19 <> 0 AND (a + b) % 17 <> 0 AS usable,
+         abs(a % 8 - b % 8) AS gap, least(10 - a % 5, 10 - b % 5) AS privacy FROM called)
+SELECT CASE WHEN NOT usable THEN 'failed' WHEN gap < 2 THEN 'low_diversity' WHEN privacy < 7 THEN 'low_privacy' ELSE 'kept' END AS outcome,
+       count(*) AS n, count(*) FILTER (WHERE reply) AS with_reasoning, round(avg(CASE WHEN usable THEN gap END), 6) AS avg_gap
+FROM replied GROUP BY 1"""
+
+# The vectors of some names are missing: their pairs have similarity 0, and
+# records without any pair of vectors fall back to the exact F1.
+_KNOWN = "(({0} % 3 <> 0) AND ({0} // 8 % 5 <> 0))"
+QUERIES["semantic_missing_vectors"] = _with(VEC.replace(" AS sim\n", f" * CAST({_KNOWN.format('g.vec_id')} AND {_KNOWN.format('p.vec_id')} AS INTEGER) AS sim,"
+    f" {_KNOWN.format('g.vec_id')} AND {_KNOWN.format('p.vec_id')} AS known\n")) + """,
+enc AS (SELECT rec_id, bool_or(known) AS encoded FROM sims GROUP BY rec_id)
+SELECT m.rec_id, coalesce(encoded, false) AS encoded, round(sa, 6) AS semantic_accuracy, round(sf, 6) AS semantic_f1,
+       round(CASE WHEN ng > 0 AND np > 0 AND NOT coalesce(encoded, false) THEN ef ELSE sft END, 6) AS sft_semantic_f1
+FROM m LEFT JOIN enc USING (rec_id)"""
+
+QUERIES["encoded_tags"] = _with(DOCS, GEN_POS) + """,
+t AS (SELECT DISTINCT tag FROM gen_pos),
+c AS (SELECT tag, list_transform(['a', 'e', 'i', 'o', 'u'], lambda v: CAST(length(tag) - length(replace(tag, v, '')) AS DOUBLE)) AS n FROM t),
+u AS (SELECT tag, n, sqrt(list_sum(list_transform(n, lambda x: x * x))) AS len FROM c)
+SELECT tag, """ + ", ".join(f"round(CASE WHEN len > 0 THEN n[{i + 1}] / len ELSE 0 END, 6) AS v{i}" for i in range(5)) + " FROM u"

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tagweave.operators import score
+from tagweave.operators import modelcall, score
 from tagweave.session import checkpoint_dir
 from tagweave.sources import derived
 
@@ -28,12 +28,12 @@ def table_embedder(spark, sf_dir):
     return lambda tags: tags.join(e, "tag", "inner")
 
 
-def scored_vectors(spark, sf_dir, threshold: float = THRESHOLD):
+def scored_vectors(spark, sf_dir, threshold: float = THRESHOLD, embedder=None):
     # Read three times by the embedding join (distinct tags, explode, join
     # back): the narrow record table is written once to the checkpoint folder.
     checkpoint_dir(spark)
     recs = derived.vector_records(spark, sf_dir).checkpoint(eager=True)
-    v = score.attach_grid(recs, table_embedder(spark, sf_dir), "rec_id", "gold", "pred", keep=["file_name"])
+    v = score.attach_grid(recs, embedder or table_embedder(spark, sf_dir), "rec_id", "gold", "pred", keep=["file_name"])
     v = score.with_exact(v, "pred", "gold", normalise=True)
     return score.with_semantic_grid(v, "gold", "pred", threshold)
 
@@ -80,3 +80,25 @@ def semantic_doc_file_metrics(spark, sf_dir):
     return m.select("file_name", "total_samples", "valid_samples",
                     *[r6(c) for c in score.EXACT + score.SEMANTIC], "failed_cases_count")
 
+
+def semantic_missing_vectors(spark, sf_dir):
+    """Scores when the encoder fails for every third name and for all names of
+    every fifth record: such names count and match nothing, records without any
+    vector fall back to the exact F1 (O-A12)."""
+    known = table_embedder(spark, sf_dir)
+    number = F.substring("tag", 2, 20).cast("bigint")
+    some = (number % 3 != 0) & (F.floor(number / 8) % 5 != 0)
+    s = scored_vectors(spark, sf_dir, embedder=lambda tags: known(tags.where(some)))
+    return s.select("rec_id", "encoded", r6("semantic_accuracy"), r6("semantic_f1"), r6("sft_semantic_f1"))
+
+
+def vowel_encoder():
+    """Stand-in sentence encoder: how often each vowel stands in a name."""
+    return lambda names: [[n.count(v) for v in "aeiou"] for n in names]
+
+
+def encoded_tags(spark, sf_dir):
+    """O-M6: every distinct generated tag encoded once by a model call, as a unit vector."""
+    tags = derived.tag_records(spark, sf_dir).select(F.explode("gen_raw.tag").alias("tag")).distinct()
+    e = modelcall.embed_tags(tags, lambda: vowel_encoder())
+    return e.select("tag", *[F.round(F.col("vec")[i], 6).alias(f"v{i}") for i in range(5)])

@@ -201,12 +201,12 @@ def positional_record(v) -> F.Column:
             .when(is_object(v) & has, from_obj))
 
 
-def preference_dir(spark: SparkSession, path: str) -> DataFrame:
+def preference_dir(spark: SparkSession, path: str, glob: str = "*.{jsonl,json}") -> DataFrame:
     """O-S5: non-recursive JSON Lines of preference rows (``*.jsonl``, or the
     ``*.json`` parts that ``sinks.write_jsonl`` leaves): (file_name, prompt,
     chosen, rejected, weight VARIANT, has_weight). Raises when no valid row
     loads (checked with one ``limit(1)``)."""
-    rows = tolerant_jsonl(spark, path, "*.{jsonl,json}", recursive=False)
+    rows = tolerant_jsonl(spark, path, glob, recursive=False)
     out = rows.select(
         "file_name",
         F.variant_get(F.col("v"), "$.prompt", "variant").alias("prompt"),
