@@ -9,7 +9,7 @@ from tagweave.plans import catalog
 SF = "/root/testdata/sf0.001"
 # Model calls, and the splitter of JSON documents.
 PYTHON_OK = {"two_temperature_responses", "generation_record_rows", "sft_run_record", "json_document_rows", "judge_input_rows",
-             "evaluate_files_metrics"}
+             "evaluate_files_metrics", "judge_model_outcomes", "encoded_tags"}
 SIDE_EFFECTS = {"jsonl_roundtrip", "preference_file_load", "prefix_split", "difference_score_top", "resume_twice",
                 "running_tag_counts"}
 
