@@ -38,11 +38,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated until their domains come as near the target
-    weights as a quarter more tokens allow. No rate is below one: every
-    document stays."""
+    """Documents are repeated until their domains have the target weights. No
+    rate is below one: every document stays, and the tokens grow as much as
+    the domain furthest above its target makes them."""
     model = soft_mixing.fit(docs, queries.labelled_domains(spark, sf_dir))
-    return soft_mixing.mix(docs, model, queries.MIX_TARGETS, floor=1.0, epochs=1.25)
+    return soft_mixing.mix(docs, model, queries.MIX_TARGETS, floor=1.0, epochs=None)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

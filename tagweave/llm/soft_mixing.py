@@ -12,6 +12,14 @@ steps so far on its own documents and returns partial sums. In the metric of
 the documents' tokens the step length is 1 whatever the data, as the
 posteriors of a document add up to one.
 
+A floor under the rates keeps a domain that holds more than its share of the
+budget above its target. Without ``epochs`` the budget therefore comes from the
+data: it begins as the largest ratio of the tokens that a domain keeps at the
+floor to its target, and where the steps end short of the targets (a document
+added for one domain is also partly of others) it is raised to the largest
+ratio reached, until the targets are met. Steps that end elsewhere warn, with
+the weights reached.
+
 The classifier is a multinomial logistic regression on the presence of learned
 words and on shares of character classes, fitted on about ``max_docs``
 labelled documents drawn by hash; the words are those whose document
@@ -31,6 +39,7 @@ the first domain in order; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +56,10 @@ MAX_WORDS = 512
 MIN_DOCS = 5
 STEPS = 60
 TOLERANCE = 1e-4
+# Difference of weights up to which targets count as met when totals stand still.
+MET = 1e-3
+# Times STEPS that the steps may go on while the budget is raised.
+RAISES = 8
 CLASSES = (rb"[A-Z]", rb"[a-z]", rb"[0-9]", rb"[\x20\x09-\x0D]", rb"[.,;:!?'\"()-]", rb"[\x80-\xff]", rb"[^\x00-\x20A-Za-z0-9.,;:!?'\"()\x80-\xff-]")
 _CLASS_OF = np.zeros((256, len(CLASSES)), np.float64)
 for _i, _pattern in enumerate(CLASSES):
@@ -165,12 +178,15 @@ def replay(p: np.ndarray, gradients: list[np.ndarray], floor: float) -> tuple[np
     return rate, ahead
 
 
-def solve(narrow: DataFrame, domains: list[str], targets: dict[str, float], floor: float = 0.0, epochs: float = 1.0,
+def solve(narrow: DataFrame, domains: list[str], targets: dict[str, float], floor: float = 0.0, epochs: float | None = 1.0,
           steps: int = STEPS, tolerance: float = TOLERANCE) -> list[np.ndarray]:
     """The gradients of the projected steps. ``narrow`` has n_tokens and
-    posterior; the budget is ``epochs`` times the tokens there are. Under a
-    floor the targets may be out of reach: the steps then end at the least
-    squares rates, when the domains' totals stand still."""
+    posterior; the budget is ``epochs`` times the tokens there are, or, if None,
+    as large as the targets need. Under a floor and a given budget the targets
+    may be out of reach: the steps then end, with a warning, at the least
+    squares rates, when the domains' totals stand still. So they do where a
+    larger budget brings the targets no nearer (a domain that has tokens and no
+    target, or posteriors that do not tell domains apart)."""
     many = len(domains)
 
     def totals(gradients: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -195,21 +211,35 @@ def solve(narrow: DataFrame, domains: list[str], targets: dict[str, float], floo
     if not want.sum():
         return []
     want /= want.sum()
-    budget = epochs * have.sum()
+    aims = want > 0
+    budget = have.sum() * epochs if epochs is not None else max(have.sum(), (floor * have[aims] / want[aims]).max())
     unit = np.where(have > 0, have, 1.0)
     gradients: list[np.ndarray] = []
-    before = np.zeros(many)
-    for _ in range(steps):
+    before, last, settled = np.zeros(many), np.inf, None
+    for _ in range(steps if epochs is not None else RAISES * steps):
         at, ahead = totals(gradients)
-        if min(np.abs(at - budget * want).max(), np.abs(at - before).max()) <= tolerance * budget:
+        off = np.abs(at / budget - want).max()
+        if off <= tolerance:
             break
+        if np.abs(at - before).max() <= tolerance * budget:
+            if epochs is None and off > 0.9 * last:  # the last raise was in vain
+                gradients, at = settled
+                off = last
+                break
+            raised = (at[aims] / want[aims]).max()
+            if epochs is not None or off <= MET or raised <= budget:
+                break
+            last, settled, budget = off, (list(gradients), at), raised
         before = at
         gradients.append((ahead - budget * want) / unit)
+    if off > MET:
+        reached = {d: round(float(x), 4) for d, x in zip(domains, at / max(at.sum(), 1e-300), strict=True)}
+        warnings.warn(f"mixing ends at weights {reached}, not at the targets", stacklevel=2)
     return gradients
 
 
 def rates(df: DataFrame, model: dict, targets: dict[str, float], doc: str = "doc_id", text: str = "text", floor: float = 0.0,
-          epochs: float = 1.0) -> DataFrame:
+          epochs: float | None = 1.0) -> DataFrame:
     """One row per document: its id, n_tokens, domain (the likeliest), posterior and rate."""
     narrow = cut(predict(df.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")), model, keep=["doc_id"]))
     gradients = solve(narrow, model["domains"], targets, floor, epochs)
@@ -233,7 +263,7 @@ def copies(rate, *key, seed: int = 17):
 
 
 def mix(df: DataFrame, model: dict, targets: dict[str, float], doc: str = "doc_id", text: str = "text", floor: float = 0.0,
-        epochs: float = 1.0) -> DataFrame:
+        epochs: float | None = 1.0) -> DataFrame:
     """The mixture: every row of ``df`` as often as its rate says. The
     posteriors are computed once to solve for the rates and once more on the
     way through, so texts are not shuffled."""

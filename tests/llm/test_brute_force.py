@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tagweave.llm import order_minhash, queries, secret_scan, simhash_dedup
@@ -152,6 +153,43 @@ def test_op5_meets_targets(spark):
     assert abs(totals.sum() / sum(r.n_tokens for r in rated) - 1) < 1e-3
 
 
+@pytest.mark.parametrize("hot", [1, 8])
+def test_pipeline_mixture_meets_targets(spark, hot):
+    """Also with texts of one domain repeated until they are several times its target."""
+    mixing, docs_df = queries.soft_mixing, queries.table(spark, SF, "documents")
+    model = mixing.fit(docs_df, queries.labelled_domains(spark, SF))
+    at = model["domains"].index("q1t1")
+    repeats = F.when(F.col("posterior")[at] > 0.5, hot).otherwise(1)
+    skewed = mixing.predict(docs_df, model).withColumn("k", F.explode(F.array_repeat(F.lit(0), repeats))).select(*docs_df.columns)
+    want = np.array([queries.MIX_TARGETS[d] for d in model["domains"]])
+
+    def weights(mixed):
+        rows = mixing.predict(mixed, model).select("n_tokens", "posterior").collect()
+        totals = sum(r.n_tokens * np.array(r.posterior) for r in rows)
+        return totals / totals.sum()
+
+    assert weights(skewed)[at] > (0.09 if hot == 1 else 0.3)
+    rated = mixing.rates(skewed, model, queries.MIX_TARGETS, floor=1.0, epochs=None).collect()
+    assert min(r.rate for r in rated) >= 1
+    totals = sum(r.rate * r.n_tokens * np.array(r.posterior) for r in rated)
+    assert np.abs(totals / totals.sum() - want).max() < 2e-3
+    if hot == 1:  # repeated rows are copied alike, so whole copies of few texts stray further
+        assert np.abs(weights(corpus_pipeline.mix_domains(spark, skewed, SF)) - want).max() < 0.02
+
+
+def test_mixing_out_of_reach_is_told(spark):
+    """A floor of 1 and a fixed budget cannot reach these weights; posteriors that are all alike cannot either."""
+    mixing = queries.soft_mixing
+    rows = [(1, [1.0, 0.0])] * 9 + [(1, [0.0, 1.0])]
+    narrow = spark.createDataFrame(rows, "n_tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="not at the targets"):
+        mixing.solve(narrow, ["a", "b"], {"a": 0.5, "b": 0.5}, 1.0, 1.25)
+    alike = spark.createDataFrame([(1, [0.5, 0.5])] * 9, "n_tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="not at the targets"):
+        gradients = mixing.solve(alike, ["a", "b"], {"a": 0.9, "b": 0.1}, 1.0, None)
+    assert mixing.replay(np.array([[0.5, 0.5]]), gradients, 1.0)[0][0] < 6  # no budget is spent in vain
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_op6(spark, docs, order):
     words = {i: re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower()) + ["end"] for i, t in docs.items()}
