@@ -49,10 +49,15 @@ MORE = {
     "jwt": re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     "vendor": re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{30,})"),
     "url": re.compile(r"[a-z][a-z0-9+]{1,15}://[^\s:/@]{1,64}:([^\s:/@]{6,128})@"),
-    "key_block": re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    "key_block": re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),  # see key_end
     "entropy": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])"),
 }
 KINDS = BASE + tuple(MORE)
+KEY_END = re.compile(r"-----END [A-Z ]{0,40}PRIVATE KEY-----")
+# Lines of a key without an END line, line ends written out or escaped: headers, whole lines, a short last one.
+_BREAK = r"(?:\s|\\[nr])"
+KEY_LINES = re.compile(rf"(?:{_BREAK}+(?:Proc-Type|DEK-Info): [^\n\\]*)*(?:(?:{_BREAK}+[A-Za-z0-9+/]{{64,}}={{0,2}}(?![^\s\\\"']))+"
+                       rf"(?:{_BREAK}+[A-Za-z0-9+/]+={{0,2}}(?=\x20*(?:[\r\n\\\"']|\Z)))?|{_BREAK}+[A-Za-z0-9+/]+={{0,2}}(?={_BREAK}*\Z))?")
 PLACEHOLDER = re.compile(r"example|sample|dummy|changeme|placeholder|your[_-]|xxxx|1234567|abcdef", re.IGNORECASE)
 # Bits per character from which a string without a known format counts as random.
 MIN_ENTROPY = 3.5
@@ -71,6 +76,24 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
+def key_end(text: str, at: int) -> int:
+    """Where the key ends whose header ends at ``at``: after its END line if no
+    other block begins before that, else after the lines of a key that follow
+    (a text may end in one)."""
+    stop = text.find("-----BEGIN ", at)
+    stop = len(text) if stop < 0 else stop
+    return (KEY_END.search(text, at, stop) or KEY_LINES.match(text, at, stop)).end()
+
+
+def held_value(kind: str, found: str) -> str:
+    """What owners are counted by: of a key block its body without white space,
+    written out or escaped (the header alone where there is no body)."""
+    if kind != "key_block":
+        return found
+    body = KEY_END.sub("", MORE[kind].sub("", found))
+    return re.sub(r"\s|\\[nr]", "", body) or found
+
+
 def looks_live(kind: str, value: str) -> bool:
     if PLACEHOLDER.search(value) or len(set(value)) < 6:
         return kind == "key_block"
@@ -95,11 +118,12 @@ def candidates(text: str) -> list[dict]:
         starts, reach = [s[1] for s in found], list(accumulate((s[2] for s in found), max))
         for m in pattern.finditer(text):
             group = 1 if m.re.groups else 0
-            before = bisect_right(starts, m.start(group))
-            if not before or reach[before - 1] < m.end(group):  # else an earlier kind holds it already
-                found.append((KINDS.index(kind), m.start(group), m.end(group), m[group]))
+            begin, end = m.start(group), key_end(text, m.end()) if kind == "key_block" else m.end(group)
+            before = bisect_right(starts, begin)
+            if not before or reach[before - 1] < end:  # else an earlier kind holds it already
+                found.append((KINDS.index(kind), begin, end, text[begin:end]))
     return [{"kind": k, "start": a, "end": b, "live": looks_live(KINDS[k], v),
-             "value": int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "big", signed=True)}
+             "value": int.from_bytes(hashlib.blake2b(held_value(KINDS[k], v).encode(), digest_size=8).digest(), "big", signed=True)}
             for k, a, b, v in sorted(found, key=lambda s: (s[1], s[0]))]
 
 

@@ -1,5 +1,6 @@
 """The registered queries against brute force over the small tables."""
 
+import base64
 import hashlib
 import math
 import re
@@ -313,6 +314,34 @@ def test_ownership_separates_copied_from_specific(spark):
     assert clean[9] == "mine: [vendor] and [assign]" and clean[3] == rows[3][1] and clean[10] is None
 
 
+def private_key(seed, lines=5):
+    """A private key's body, the last line short."""
+    raw = b"".join(hashlib.sha512(f"{seed} {i}".encode()).digest() for i in range(lines))
+    body = base64.b64encode(raw).decode()[:64 * lines - 45]
+    return "\n".join(body[i:i + 64] for i in range(0, len(body), 64))
+
+
+def test_private_keys_are_owned_and_removed_whole(spark):
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    whole = lambda body: f"{begin}\n{body}\n{end}"
+    rows = [(i, f"é key {whole(private_key(i))} kept", f"s{i}") for i in range(5)]
+    copied = private_key("copied")
+    rows += [(10, whole(copied), "s0"), (11, whole(copied).replace("\n", "\r\n  "), "s1"), (12, whole(copied).replace("\n", "\\n"), "s2")]
+    rows += [(20, f"cut off {begin}\n{private_key('cut')}", "s3"), (21, f"two {whole(private_key(21))} and {whole(private_key(22))}.", "s4"),
+             (22, f"the line {begin} opens a key. Then prose goes on.\n{whole(private_key(23))}", "s5"),
+             (23, f"encrypted {begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,A0\n\n{private_key(24)}\n{end} kept", "s6"),
+             (24, f"{begin}\n{private_key(25)}\nProse goes on", "s7"), (25, f"Look for {begin} in files.", "s8")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    clean = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    assert [clean[i] for i in range(5)] == ["é key [key_block] kept"] * 5
+    assert [clean[i] for i in (10, 11, 12)] == [rows[i][1] for i in (5, 6, 7)]  # three sources hold this one
+    assert clean[20] == "cut off [key_block]" and clean[21] == "two [key_block] and [key_block]."
+    assert clean[22] == "the line [key_block] opens a key. Then prose goes on.\n[key_block]" and clean[23] == "encrypted [key_block] kept"
+    assert clean[24] == "[key_block]\nProse goes on" and clean[25] == "Look for [key_block] in files."
+    got = {r.doc_id: r for r in secret_scan.scan(df).collect()}
+    assert got[0].n_owner_specific == 1 and got[10].spans == []
+
+
 def test_pipeline(spark, docs):
     docs_df = queries.table(spark, SF, "documents")
     columns = docs_df.columns
