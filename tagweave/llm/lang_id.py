@@ -15,8 +15,11 @@ the root of the text's length.
 
 Only text and language are learned from. The models are fitted on at most
 about ``per_language`` texts of each of the ``max_languages`` most frequent
-languages, drawn by hash, and keep at most ``max_ngrams`` n-grams: these bound
-what reaches the driver and what is broadcast. Every text is scored whole.
+languages, drawn by hash, and keep all n-grams of the texts they learn from:
+these texts bound what reaches the driver and what is broadcast. Where they
+hold more than ``max_ngrams`` n-grams, the languages with the most learn from
+fewer texts, but not from fewer than about ``least_texts``. Every text is
+scored whole.
 
 Cases: null texts and texts without a letter are ``und`` with score 0 and
 rejected; with nothing to learn from, every text is ``und``, with score 0, and
@@ -38,6 +41,7 @@ ORDER = 4
 PER_LANGUAGE = 2000
 MAX_LANGUAGES = 200
 MAX_NGRAMS = 2_000_000
+LEAST_TEXTS = 100
 UNDETERMINED = "und"
 MARGIN = 1.5
 SHORT = 200
@@ -176,17 +180,35 @@ def entropies(model: dict, texts: list[str | None], letters: np.ndarray) -> tupl
     return out, sizes
 
 
+def level(sizes: list[int], most: int) -> float:
+    """The greatest share of each that keeps their sum within ``most``: smaller
+    sizes stay whole and leave the rest to the others."""
+    left = float(most)
+    for i, size in enumerate(sorted(sizes)):
+        if size * (len(sizes) - i) > left:
+            return left / (len(sizes) - i)
+        left -= size
+    return float("inf")
+
+
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc: str = "doc_id", order: int = ORDER,
-        per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES, max_ngrams: int = MAX_NGRAMS) -> dict:
+        per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES, max_ngrams: int = MAX_NGRAMS,
+        least_texts: int = LEAST_TEXTS) -> dict:
     """The models of the languages in ``df``; ``doc`` only serves to draw the texts."""
     rows = df.select(F.col(text).alias("text"), F.col(lang).alias("lang"),
                      F.xxhash64(doc, text).alias("draw")).filter("lang IS NOT NULL AND text IS NOT NULL")
     found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     if not found:
         return {"languages": []}
-    share = F.create_map(*[x for r in found for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))])
-    drawn = cut(rows.filter((F.pmod("draw", F.lit(1 << 20)) / (1 << 20)) < F.coalesce(share[F.col("lang")], F.lit(0.0)))
-                .withColumn("calibrate", F.pmod(F.shiftright("draw", 24), F.lit(8)) == 0).drop("draw"))
+    shares = {r["lang"]: min(1.0, per_language / r["count"]) for r in found}
+    least = {r["lang"]: min(shares[r["lang"]], least_texts / r["count"]) for r in found}
+
+    def within(shares: dict[str, float]):
+        share = F.create_map(*[F.lit(x) for item in shares.items() for x in item])
+        return F.col("draw") < F.coalesce(share[F.col("lang")], F.lit(0.0))
+
+    drawn = cut(rows.withColumn("calibrate", F.pmod(F.shiftright("draw", 24), F.lit(8)) == 0)
+                .withColumn("draw", F.pmod("draw", F.lit(1 << 20)) / (1 << 20)).filter(within(shares)))
 
     def count(batches):
         letters = letter_table()
@@ -203,8 +225,16 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc: str = "doc_i
                 yield pa.RecordBatch.from_pydict({"lang": [x] * len(n), "gram": [grams[i:i + order] for i in range(0, len(grams), order)],
                                                   "n": n.astype(np.int64)})
 
-    counted = (drawn.filter("NOT calibrate").select("text", "lang").mapInArrow(count, "lang string, gram string, n long")
-               .groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "gram").limit(max_ngrams).toArrow())
+    while True:
+        counted = cut(drawn.filter("NOT calibrate").filter(within(shares)).select("text", "lang")
+                      .mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+        sizes = {r["lang"]: r["count"] for r in counted.groupBy("lang").count().collect()}
+        most = level(list(sizes.values()), max_ngrams)
+        fewer = {x: max(least[x], shares[x] * 0.9 * most / n) for x, n in sizes.items() if n > most and shares[x] > least[x]}
+        if not fewer:
+            break
+        shares |= fewer
+    counted = counted.orderBy("lang", "gram").toArrow()
     if not counted.num_rows:
         return {"languages": []}
     codes = np.frombuffer("".join(counted["gram"].to_pylist()).encode("utf-32-le", "replace"), "<u4").reshape(-1, order)

@@ -267,6 +267,28 @@ def test_kneser_ney_is_a_distribution():
         assert p == pytest.approx(1, abs=1e-5)
 
 
+def test_every_language_keeps_its_ngrams(spark):
+    """Two languages alike but for their letters: a bound takes texts from them, never n-grams, and from neither more than the other."""
+    ki, rng = queries.lang_id, np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghijklm"), rng.integers(2, 8))) for _ in range(400)]
+    texts = [" ".join(rng.choice(words, 30)) for _ in range(400)]
+    late = str.maketrans("abcdefghijklm", "nopqrstuvwxyz")
+    rows = [(i, t, "aa") for i, t in enumerate(texts)] + [(1000 + i, t.translate(late), "zz") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").cache()
+    whole = ki.fit(df)
+    total = len(whole["grams"][4])
+    few = ki.fit(df, max_ngrams=total // 20)  # below what the least number of texts holds
+    some = ki.fit(df, max_ngrams=total * 3 // 4, least_texts=2)
+    assert total // 20 < len(few["grams"][4]) < total and total // 3 < len(some["grams"][4]) <= total * 3 // 4
+    for model in (whole, few, some):
+        assert model["languages"] == ["aa", "zz"]
+        own = [np.exp(-ki.entropies(model, [" ".join(words).translate(t)], ki.letter_table())[0][0]).max() for t in ({}, late)]
+        assert own[0] == pytest.approx(own[1], rel=0.15)
+        weights = np.exp(model["weights"][4])  # singletons are there, so the discount is not at its least
+        assert all((weights[:, x] > 0.3).mean() > 0.02 for x in (0, 1))
+    assert ki.level([5, 100, 100], 105) == 50 and ki.level([5, 7], 12) == float("inf") and ki.level([9, 9, 9], 9) == 3
+
+
 def test_op9_recall(spark):
     sf = "/root/testdata/sf0.1"
     ids, vectors = zip(*duckdb.sql(f"SELECT vec_id, embedding FROM '{sf}/embeddings.parquet' ORDER BY vec_id").fetchall())
