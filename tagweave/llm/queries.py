@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm import (bpe, byte_cnn, chat_format, lang_id, ngram_lm, order_minhash, permutation_index, secret_scan,
-                          simhash_dedup, soft_mixing)
+from tagweave.llm import (bpe, byte_cnn, chat_format, filter_audit, lang_id, ngram_lm, order_minhash, permutation_index,
+                          secret_scan, simhash_dedup, soft_mixing, walsh_codes)
 from tagweave.llm.common import id_bucket, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -86,9 +86,17 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join("spans", ",").alias("spans"), "n_owner_specific", "n_widely_copied")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walsh_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_document_fingerprints, op2_quality_classifier, op3_byte_bpe, op4_simhash_near_dedup, op5_mix_sources, op6_lm_scoring,
-    op7_chat_formatting, op8_language_id, op9_nearest_neighbours, op10_secret_scans)}
+    op7_chat_formatting, op8_language_id, op9_nearest_neighbours, op10_secret_scans, op12_vector_codes, op13_filter_audit)}
 
 _CHAT_SQL = r"""
 WITH turns AS (
@@ -110,4 +118,78 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
-ORACLE_SQL = {"op7_chat_formatting": _CHAT_SQL}
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Plain product quantisation, one pair of tables for each round."""
+    sql = [f"""
+WITH cells AS MATERIALIZED (
+    SELECT vec_id, label, CAST((i - 1) // w AS INTEGER) AS part, CAST((i - 1) % w AS INTEGER) AS j,
+        CAST(floor(CAST(embedding[i] AS DOUBLE) * 4096) AS BIGINT) AS x
+    FROM (SELECT *, len(embedding) // {parts} AS w, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0)
+), firsts AS (
+    SELECT vec_id, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS entry
+    FROM (SELECT DISTINCT vec_id FROM cells) ORDER BY vec_id LIMIT {entries}
+), book0 AS MATERIALIZED (SELECT part, entry, j, x AS c FROM cells JOIN firsts USING (vec_id))"""]
+    for r in range(rounds + 1):
+        sql.append(f"""near{r} AS MATERIALIZED (
+    SELECT vec_id, label, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+        SELECT vec_id, label, part, entry, CAST(sum((x - c) * (x - c)) AS BIGINT) AS d
+        FROM cells JOIN book{r} USING (part, j) GROUP BY ALL) GROUP BY ALL
+)""")
+        if r < rounds:
+            sql.append(f"""book{r + 1} AS MATERIALIZED (
+    SELECT part, entry, j, coalesce(m, c) AS c FROM book{r} LEFT JOIN (
+        SELECT part, entry, j, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS m
+        FROM (SELECT part, entry, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM cells JOIN near{r} USING (vec_id, part) GROUP BY ALL)
+    ) USING (part, entry, j)
+)""")
+    sql.append(f"""coded AS (
+    SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error
+    FROM near{rounds} GROUP BY vec_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+    (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, j)) FROM book{rounds}) AS codebooks_sha256
+FROM coded""")
+    return ", ".join(sql)
+
+
+_AUDIT_SQL = r"""
+WITH words AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), flags AS MATERIALIZED (
+    SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+        100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+        coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), FALSE) AS e,
+        coalesce(l.good, FALSE) AS good, coalesce(l.toxic, FALSE) AS toxic
+    FROM words LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1) l USING (doc_id)
+), masks AS MATERIALIZED (
+    SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, good, toxic, count(*) AS n FROM flags GROUP BY ALL
+), letters AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f
+), orders AS (
+    SELECT v.f || w.f || x.f || y.f || z.f AS o FROM letters v, letters w, letters x, letters y, letters z
+    WHERE len(list_distinct([v.f, w.f, x.f, y.f, z.f])) = 5
+), steps AS (
+    SELECT o AS filter_order, k AS step, substr(o, k, 1) AS f, 1 << (ascii(substr(o, k, 1)) - 65) AS own,
+        list_sum(list_transform(range(1, k), lambda i: 1 << (ascii(substr(o, i, 1)) - 65))) AS earlier
+    FROM orders, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS k)
+), effects AS (
+    SELECT part, filter_order, step, f, own,
+        coalesce(sum(n) FILTER (mask & (own | coalesce(earlier, 0)::INT) = 0), 0) AS kept,
+        coalesce(sum(n) FILTER (mask & own <> 0 AND mask & coalesce(earlier, 0)::INT = 0), 0) AS removed,
+        coalesce(sum(n) FILTER (mask & own <> 0 AND mask & coalesce(earlier, 0)::INT <> 0), 0) AS redundant,
+        coalesce(sum(n) FILTER (mask = own), 0) AS unique_fails,
+        coalesce(sum(n) FILTER (good AND mask & own <> 0 AND mask & coalesce(earlier, 0)::INT = 0), 0) AS good_lost,
+        coalesce(sum(n) FILTER (toxic AND mask & own <> 0 AND mask & coalesce(earlier, 0)::INT = 0), 0) AS toxic_lost
+    FROM masks, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+    CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM effects
+"""
+
+ORACLE_SQL = {"op7_chat_formatting": _CHAT_SQL, "op12_vector_codes": _codes_sql(), "op13_filter_audit": _AUDIT_SQL}
