@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm import (bpe, byte_cnn, chat_format, filter_audit, lang_id, ngram_lm, order_minhash, permutation_index,
-                          secret_scan, simhash_dedup, soft_mixing, walsh_codes)
+from tagweave.llm import (bpe, byte_cnn, chat_format, filter_audit, grouped_prefix_join, lang_id, ngram_lm, order_minhash,
+                          permutation_index, secret_scan, simhash_dedup, soft_mixing, walsh_codes)
 from tagweave.llm.common import id_bucket, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -86,6 +86,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join("spans", ",").alias("spans"), "n_owner_specific", "n_widely_copied")
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouped_prefix_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walsh_codes.compress(table(spark, sf_dir, "embeddings"))
 
@@ -96,7 +100,8 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_document_fingerprints, op2_quality_classifier, op3_byte_bpe, op4_simhash_near_dedup, op5_mix_sources, op6_lm_scoring,
-    op7_chat_formatting, op8_language_id, op9_nearest_neighbours, op10_secret_scans, op12_vector_codes, op13_filter_audit)}
+    op7_chat_formatting, op8_language_id, op9_nearest_neighbours, op10_secret_scans, op11_ngram_jaccard_join,
+    op12_vector_codes, op13_filter_audit)}
 
 _CHAT_SQL = r"""
 WITH turns AS (
@@ -192,4 +197,23 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
 FROM effects
 """
 
-ORACLE_SQL = {"op7_chat_formatting": _CHAT_SQL, "op12_vector_codes": _codes_sql(), "op13_filter_audit": _AUDIT_SQL}
+_JACCARD_SQL = r"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS MATERIALIZED (
+    SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM worded
+), grams AS MATERIALIZED (
+    SELECT doc_id, len(s) AS n, unnest(s) AS gram FROM sets
+), links AS MATERIALIZED (
+    SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b USING (gram) WHERE a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+    SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT y, root FROM reach JOIN links ON x = node
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id
+FROM sets JOIN (SELECT node AS doc_id, min(root) AS component_id FROM reach GROUP BY 1) USING (doc_id)
+"""
+
+ORACLE_SQL = {"op7_chat_formatting": _CHAT_SQL, "op11_ngram_jaccard_join": _JACCARD_SQL, "op12_vector_codes": _codes_sql(), "op13_filter_audit": _AUDIT_SQL}
