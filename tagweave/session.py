@@ -83,6 +83,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none where it is not there."""
+    fs, where = _file_system(spark.sparkContext, path)
+    return [x.getPath().getName() for x in fs.listStatus(where) if x.isDirectory()] if fs.exists(where) else []
+
+
 def remove_path(sc: SparkContext, path: str) -> None:
     fs, where = _file_system(sc, path)
     fs.delete(where, True)
