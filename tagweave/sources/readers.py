@@ -10,27 +10,23 @@ typed columns for the rest; nothing is collected.
 
 from __future__ import annotations
 
-import json
-import re
-import sys
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.functions.jsonparse import allow_repeated_keys, has_key, is_object, record_value
 from tagweave.functions.rows import explode_rows
-
-# The document splitter runs in Python workers that need not have this package.
-register_pickle_by_value(sys.modules[__name__])
+from tagweave.sources.documents import document_texts
 
 # Fixed container keys of the judge loader, in lookup order.
 CONTAINER_KEYS = ["data", "results", "items", "samples"]
+# Bytes of a VARIANT, at most.
+MAX_VARIANT = 128 << 20
 
 
-def _text_lines(spark: SparkSession, path, glob: str | None = None, recursive: bool = False) -> DataFrame:
+def _text_lines(spark: SparkSession, path, glob: str | None = None, recursive: bool = False, position: bool = False) -> DataFrame:
+    """Lines with their file and, if asked for, their place in it (``pos``): the
+    start of the byte range that Spark reads and the row's number in the task.
+    In a file, ``pos`` ascends as the lines do."""
     r = spark.read.format("text")
     if glob:
         r = r.option("pathGlobFilter", glob)
@@ -38,24 +34,26 @@ def _text_lines(spark: SparkSession, path, glob: str | None = None, recursive: b
         r = r.option("recursiveFileLookup", "true")
     paths = path if isinstance(path, (list, tuple)) else [path]
     df = r.load(list(paths))
-    return df.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_name"))
+    return df.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_name"), *(
+        [F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("pos")] if position else []))
 
 
 def jsonl_variant(spark: SparkSession, path, glob: str | None = "*.jsonl",
-                  recursive: bool = False) -> DataFrame:
+                  recursive: bool = False, position: bool = False) -> DataFrame:
     """Each line parsed as one record: (file_name, line, v VARIANT or NULL when invalid)."""
     allow_repeated_keys(spark)
-    lines = _text_lines(spark, path, glob, recursive)
+    lines = _text_lines(spark, path, glob, recursive, position)
     return lines.withColumn("v", record_value(F.col("line")))
 
 
 def tolerant_jsonl(spark: SparkSession, path, glob: str | None = "*.jsonl",
-                   recursive: bool = False) -> DataFrame:
+                   recursive: bool = False, position: bool = False) -> DataFrame:
     """O-S1 / O-S2: keep lines that parse to a non-empty JSON object; blank,
-    broken and non-object lines are skipped. Returns (file_name, v)."""
-    df = jsonl_variant(spark, path, glob, recursive)
+    broken and non-object lines are skipped. Returns (file_name, v), and the
+    source position ``pos`` if asked for."""
+    df = jsonl_variant(spark, path, glob, recursive, position)
     ok = df.v.isNotNull() & is_object(df.v) & (F.schema_of_variant(df.v) != "OBJECT<>")
-    return df.where(ok).select("file_name", "v")
+    return df.where(ok).select("file_name", "v", *(["pos"] if position else []))
 
 
 def jsonl_rejects(spark: SparkSession, path, glob: str | None = "*.jsonl", recursive: bool = False) -> DataFrame:
@@ -68,83 +66,30 @@ def jsonl_rejects(spark: SparkSession, path, glob: str | None = "*.jsonl", recur
         "file_name", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-_SPACE = re.compile(r"[ \t\n\r]*")
-
-
-def document_values(text: str, lines: bool = False) -> Iterator[tuple[str, str]]:
-    """The records of a JSON document, one after the other: ``item`` for the
-    elements of a top-level list, ``value`` for a single top-level value, and
-    ``line`` for several top-level values (JSON Lines, or ``lines``). What
-    cannot be read ends the file with an ``error``."""
-    decoder, at = json.JSONDecoder(), _SPACE.match(text, 1 if text[:1] == "\ufeff" else 0).end()
-    try:
-        while at < len(text):
-            if text[at] == "[":
-                at = _SPACE.match(text, at + 1).end()
-                while text[at] != "]":
-                    value, at = decoder.raw_decode(text, at)
-                    yield "item", json.dumps(value, ensure_ascii=False)
-                    at = _SPACE.match(text, at).end()
-                    if text[at] == ",":
-                        at = _SPACE.match(text, at + 1).end()
-                        if text[at] == "]":
-                            raise ValueError("a comma before the end of a list")
-                    elif text[at] != "]":
-                        raise ValueError("no comma between elements")
-                at = _SPACE.match(text, at + 1).end()
-            else:
-                value, at = decoder.raw_decode(text, at)
-                at = _SPACE.match(text, at).end()
-                lines = lines or at < len(text)
-                yield "line" if lines else "value", json.dumps(value, ensure_ascii=False)
-    except (ValueError, IndexError, RecursionError) as error:
-        yield "error", f"{type(error).__name__}: {error}"
-
-
 def document_rows(spark: SparkSession, path, glob: str | None = "*.json", recursive: bool = False) -> DataFrame:
-    """(file_name, kind, v, error) of every record of the JSON documents under
-    ``path``. A document is read as a stream of its elements, so only single
-    elements are bounded by the size of a VARIANT (one that exceeds it is an
-    error row); a file is one task and at most 2 GiB, as Spark reads it whole."""
+    """(file_name, kind, v, error, pos) of every record of the JSON documents under
+    ``path``. A document is read by as many tasks as it has byte ranges
+    (``documents.document_texts``), so only a record is bounded by the size of
+    a VARIANT; one that exceeds it or is not one JSON value is an error row,
+    and the others of its document are kept."""
     allow_repeated_keys(spark)
-    r = spark.read.format("binaryFile")
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    if recursive:
-        r = r.option("recursiveFileLookup", "true")
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                name, held, size = batch.column(0)[i].as_py(), [], 0
-                part = name.rpartition("/")[2].startswith("part-")  # what Spark's writers name JSON Lines
-                for kind, value in document_values(batch.column(1)[i].as_py().decode("utf-8", "replace"), part):
-                    held.append((kind, value))
-                    size += len(value)
-                    if size > 1 << 22:
-                        yield record(name, held)
-                        held, size = [], 0
-                if held:
-                    yield record(name, held)
-
-    def record(name, held):
-        return pa.RecordBatch.from_pydict({"file_name": [name] * len(held), "kind": [k for k, _ in held], "doc": [v for _, v in held]})
-
-    rows = r.load(path).select(F.col("path").alias("file_name"), "content").mapInArrow(split, "file_name string, kind string, doc string")
+    rows = document_texts(spark, path, glob, recursive)
     failed = F.col("kind") == "error"
-    v = F.when(~failed, record_value(F.col("doc")))
+    v = F.when(~failed, record_value(F.trim(F.regexp_replace("doc", r"^[\r\n\t]+|[\r\n\t]+$", ""))))
+    why = F.when(F.octet_length("doc") > MAX_VARIANT, "element too large").otherwise("element is not one JSON value")
     return rows.withColumn("v", v).select(
         "file_name", F.when(F.col("v").isNull(), "error").otherwise(F.col("kind")).alias("kind"), "v",
-        F.when(failed, F.col("doc")).when(F.col("v").isNull(), "element too large").alias("error"))
+        F.when(failed, F.col("doc")).when(F.col("v").isNull(), why).alias("error"), F.struct("block", "row").alias("pos"))
 
 
 def json_documents(spark: SparkSession, path, glob: str | None = "*.json",
-                   recursive: bool = False) -> DataFrame:
+                   recursive: bool = False, position: bool = False) -> DataFrame:
     """O-S3: JSON documents: a top-level list gives one row per element, a
     single object one row, JSON Lines (this library's own output) one row per
     object. What cannot be read is left to ``document_rejects``."""
     rows = document_rows(spark, path, glob, recursive)
-    return rows.where((F.col("kind") == "item") | (F.col("kind").isin("value", "line") & is_object(F.col("v")))).select("file_name", "v")
+    return rows.where((F.col("kind") == "item") | (F.col("kind").isin("value", "line") & is_object(F.col("v")))).select(
+        "file_name", "v", *(["pos"] if position else []))
 
 
 def document_rejects(spark: SparkSession, path: str, glob: str | None = "*.json", recursive: bool = False) -> DataFrame:
@@ -221,9 +166,10 @@ def preference_dir(spark: SparkSession, path: str, glob: str = "*.{jsonl,json}")
 
 def evaluation_rows(spark: SparkSession, path: str) -> DataFrame:
     """O-S6 + O-S2 + O-S3: every ``.json`` / ``.jsonl`` under ``path``
-    (recursive), rows as (file_name, v)."""
-    lines = tolerant_jsonl(spark, path, "*.jsonl", recursive=True)
-    docs = json_documents(spark, path, "*.json", recursive=True)
+    (recursive), rows as (file_name, v, pos): ``pos`` orders the rows of a file
+    as the file does."""
+    lines = tolerant_jsonl(spark, path, "*.jsonl", recursive=True, position=True)
+    docs = json_documents(spark, path, "*.json", recursive=True, position=True)
     return lines.unionByName(docs.where(is_object(F.col("v"))))
 
 
@@ -241,4 +187,5 @@ def source_fields(rows: DataFrame) -> DataFrame:
         F.variant_get(v, "$.parsed_tags", "variant").alias("parsed_tags"),
         F.variant_get(v, "$.generated_tags", "variant").alias("generated_tags"),
         # A present key counts as an error, whatever its value.
-        F.coalesce(s("error"), F.when(has_key(v, "error"), F.lit("null"))).alias("error"), v.alias("v"))
+        F.coalesce(s("error"), F.when(has_key(v, "error"), F.lit("null"))).alias("error"), v.alias("v"),
+        *(["pos"] if "pos" in rows.columns else []))

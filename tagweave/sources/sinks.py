@@ -5,6 +5,9 @@ executor re-runs its task without duplicating committed output."""
 
 from __future__ import annotations
 
+import re
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +29,10 @@ def run_name(model_path: Column) -> Column:
 def write_results(df: DataFrame, path: str, run: str) -> None:
     """O-K3: the results of a run, in the run's partition, ``file_name`` as a
     column (a folder per input file would take one file from every task). A
-    run that is repeated replaces its partition and no other."""
-    out = df.withColumn("run", run_name(F.lit(run)))
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false")
-     .partitionBy("run").json(path))
+    run that is repeated replaces its partition and no other, also by a run
+    without rows."""
+    folder = quote(re.sub(r"[/\\]", "_", run), safe=" -_.~@+,()")
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/run={folder}")
 
 
 def write_failed_cases(cases: DataFrame, path: str) -> None:
