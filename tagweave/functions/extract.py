@@ -49,37 +49,34 @@ def _items_with_both_keys(arr: Column) -> Column:
 
 
 def line_fallback(text) -> Column:
-    """Line scan (O-P9) as one fold over all lines of the text.
+    """Line scan (O-P9), in time linear in the text.
 
     Returns the tags found (possibly an empty list; the caller adds the
-    default tag). The state is (out, current tag, current explanation).
+    default tag). Lines with "tag" and a colon cut the non-blank lines into
+    segments, one tag each. A segment's explanation is what its last
+    "explanation" line says or, where that is empty or there is none, the first
+    other line after it that is not. Segments are cut by one split: stripped
+    lines are not blank and hold no line break, so an empty line can stand
+    before every tag line and nowhere else.
     """
-    state0 = F.expr(
-        f"named_struct('out', cast(array() as {TAG_LIST_DDL}), "
-        "'tag', cast(null as string), 'ex', cast(null as string))")
-
-    def flushed(acc):
-        return F.when(_truthy(acc["tag"]) & _truthy(acc["ex"]),
-                      F.array_append(acc["out"], _pair(acc["tag"], acc["ex"]))
-                      ).otherwise(acc["out"])
-
-    def step(acc, raw):
-        line = strip_ws(raw)
-        low = F.lower(line)
-        colon = F.instr(line, ":")
-        after = _strip_quotes(strip_ws(F.substring(line, colon + 1, 1 << 30)))
-        null_s = F.lit(None).cast("string")
-        new_tag = F.struct(flushed(acc).alias("out"), after.alias("tag"), null_s.alias("ex"))
-        new_ex = F.struct(acc["out"].alias("out"), acc["tag"].alias("tag"), after.alias("ex"))
-        cont = F.struct(acc["out"].alias("out"), acc["tag"].alias("tag"),
-                        _strip_quotes(line).alias("ex"))
-        return (F.when(line == "", acc)
-                .when((F.instr(low, "tag") > 0) & (colon > 0), new_tag)
-                .when((F.instr(low, "explanation") > 0) & (colon > 0), new_ex)
-                .when(_truthy(acc["tag"]) & ~_truthy(acc["ex"]), cont)
-                .otherwise(acc))
-
-    return F.aggregate(F.split(_c(text), "\n", -1), state0, step, flushed)
+    def says(line, word):
+        return (F.instr(F.lower(line), word) > 0) & (F.instr(line, ":") > 0)
+
+    def after(line):
+        return _strip_quotes(strip_ws(F.substring(line, F.instr(line, ":") + 1, 1 << 30)))
+
+    lines = F.filter(F.transform(F.split(_c(text), "\n", -1), strip_ws), lambda x: x != "")
+    marked = F.transform(lines, lambda x: F.when(says(x, "tag"), F.concat(F.lit("\n"), x)).otherwise(x))
+    segments = F.split(F.concat(F.lit("\n"), F.array_join(marked, "\n")), "\n\n", -1)
+
+    def pair(segment):
+        return let(F.split(segment, "\n", -1), lambda own: let(
+            F.coalesce(F.array_max(F.transform(own, lambda x, i: F.when((i > 0) & says(x, "explanation"), i))), F.lit(0)),
+            lambda last: let(F.when(last > 0, after(F.get(own, last))), lambda said: _pair(
+                after(F.get(own, 0)),
+                F.when(_truthy(said), said).otherwise(F.get(F.filter(F.transform(F.slice(own, last + 2, F.lit(1 << 30)), _strip_quotes), _truthy), 0))))))
+
+    return F.filter(F.transform(F.slice(segments, 2, 1 << 30), pair), lambda x: _truthy(x["tag"]) & _truthy(x["explanation"]))
 
 
 def eval_stages(text) -> dict[str, Column]:

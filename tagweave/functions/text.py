@@ -46,6 +46,18 @@ def word_tokens(c) -> Column:
     return F.regexp_extract_all(_c(c), F.lit(r"\S+"), F.lit(0))
 
 
+def token_pieces(c) -> Column:
+    """The whitespace tokens, each with the white space after it: the text from
+    its first token on. One pass, whatever the text holds."""
+    return F.regexp_extract_all(_c(c), F.lit(r"\S+\s*"), F.lit(0))
+
+
+def _head(c, pieces: Column, n: int) -> Column:
+    """The text up to the end of its n-th token."""
+    kept = F.array_join(F.slice(pieces, 1, n), "")
+    return F.concat(F.regexp_extract(_c(c), r"^\s*", 0), F.regexp_replace(kept, r"(?<!\s)\s+\z", ""))
+
+
 TRUNCATION_MARKER = "\n\n[Content truncated]\n\n"
 
 
@@ -57,25 +69,24 @@ def truncate_head_tail(c, max_tokens: int = 600, tokens=None) -> Column:
     unchanged. The kept parts are cut from the original text at token
     boundaries, so their own whitespace (line breaks) is preserved, like
     decoding a slice of tokens. Token counting runs over the whole text. Pass
-    ``tokens`` (a column already holding ``word_tokens`` of the text) to
+    ``tokens`` (a column already holding ``token_pieces`` of the text) to
     tokenise once per row when several truncations or counts share it.
     """
     half = max_tokens // 2
-    toks = word_tokens(c) if tokens is None else _c(tokens)
-    n = F.size(toks)
-    first = rf"^(?:\s*\S+){{{half}}}"
-    head = F.regexp_extract(_c(c), first, 0)
-    tail = F.reverse(F.regexp_extract(F.reverse(_c(c)), first, 0))
+    pieces = token_pieces(c) if tokens is None else _c(tokens)
+    n = F.size(pieces)
+    tail = F.array_join(F.slice(pieces, F.greatest(n - half + 1, F.lit(1)), F.lit(half)), "")
     return F.when(n <= max_tokens, _c(c)).otherwise(
-        F.concat(head, F.lit(TRUNCATION_MARKER), tail))
+        F.concat(_head(c, pieces, half), F.lit(TRUNCATION_MARKER), tail))
 
 
 def cap_tokens(c, max_tokens: int) -> Column:
     """Keep the first ``max_tokens`` tokens (O-P4), cut from the original text
     at the token boundary (its own whitespace preserved); shorter texts are
     kept whole."""
-    first = rf"^(?:\s*\S+){{{max_tokens}}}"
-    return F.when(F.size(word_tokens(c)) <= max_tokens, _c(c)).otherwise(F.regexp_extract(_c(c), first, 0))
+    # Bound once, as the pieces are used twice.
+    return F.get(F.transform(F.array(token_pieces(c)), lambda p: F.when(F.size(p) <= max_tokens, _c(c)).otherwise(
+        _head(c, p, max_tokens))), 0)
 
 
 def fill_template(template: str, **fields) -> Column:
