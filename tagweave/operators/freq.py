@@ -22,11 +22,10 @@ from pyspark.sql import functions as F
 
 from tagweave.functions.sizing import DEFAULT_MAX_ROWS, bounded_broadcast
 from tagweave.operators.parse import first_tags
+from tagweave.operators.split import grouped_ordinal
 from tagweave.session import checkpoint_dir
 
 DEFAULT_POSITIONS = (0, 1, 2, 3)
-# Fixed position names of the first four tags.
-POSITION_NAMES = ["Domain", "Task Type", "Difficulty", "Language"]
 
 
 def tag_frequencies(tag_rows: DataFrame) -> DataFrame:
@@ -134,10 +133,11 @@ def top_tags(freq: DataFrame, k: int = 10, checked=DEFAULT_POSITIONS, min_freq:
     """The filter report's tag table (O-T1): tags per position by count, ties
     by tag. Checked positions list every tag with ``passes`` (n >= min_freq);
     unchecked positions list their ``k`` most frequent tags (passes NULL).
-    The window runs over the (pos, tag) count table, not over raw rows."""
+    A checked position may hold every distinct tag of the data, so ranks come
+    from a range-partitioned sort (``split.grouped_ordinal``), not from a window
+    by position."""
     checked = list(checked) if checked else list(DEFAULT_POSITIONS)
-    w = W.partitionBy("pos").orderBy(F.col("n").desc(), F.col("tag").asc_nulls_first())
     is_checked = F.col("pos").isin(checked)
-    return (freq.withColumn("rank", F.row_number().over(w))
-            .where(is_checked | (F.col("rank") <= k))
+    ranked = grouped_ordinal(freq, "pos", [F.col("n").desc(), F.col("tag").asc_nulls_first()], "rank")
+    return (ranked.withColumn("rank", (F.col("rank") + 1).cast("int")).where(is_checked | (F.col("rank") <= k))
             .withColumn("passes", F.when(is_checked, F.col("n") >= min_freq)))

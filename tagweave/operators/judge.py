@@ -73,10 +73,14 @@ def preference_rows(judged: DataFrame, key: str = "id") -> DataFrame:
     return judged.where(F.col("outcome") == "kept").select(
         F.col(key).alias("index"), "prompt",
         F.col("chosen_text").alias("chosen"), F.col("rejected_text").alias("rejected"),
-        *[c for c in ("reasoning",) if c in judged.columns], "quality_chosen", "quality_rejected", "diversity_chosen", "diversity_rejected",
+        *[c for c in ("reasoning", "annotation") if c in judged.columns], "quality_chosen", "quality_rejected", "diversity_chosen", "diversity_rejected",
         "diversity_gap", "privacy_chosen", "privacy_rejected")
 
 
+# Fixed outcome names, in the order in which they are decided.
+OUTCOMES = ["failed", "low_diversity", "low_privacy", "kept"]
+
+
 def outcome_counts(judged: DataFrame) -> DataFrame:
     """O-A15: processed rows by outcome."""
     return judged.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))

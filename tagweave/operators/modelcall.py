@@ -2,24 +2,33 @@
 
 A model is a plain Python callable; the client is built once per partition
 (``factory``) and called on batches, never per row through a row UDF. Spark
-decides the parallelism; batch size is an option. Model output is
-non-deterministic: write it to a table before anything reads it twice.
+decides how many partitions run; in a partition up to ``max_in_flight`` calls
+are under way at a time (a service answers them side by side; the callable must
+then be safe to call from several threads), replies come back in the rows'
+order, starts can be paced, and a call that takes longer than ``deadline_s`` is a
+failed call. Model output is non-deterministic: write it to a table before
+anything reads it twice.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import sys
+import threading
 import time
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime, timezone
-
-import sys
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.session import checkpoint_dir, path_exists
+
 # The per-partition functions below are shipped by value, so executors need
 # neither this package installed nor the driver's import path.
 register_pickle_by_value(sys.modules[__name__])
@@ -41,8 +50,51 @@ def _batches(pdf: pd.DataFrame, size: int):
         yield pdf.iloc[i:i + size]
 
 
+class _Call(threading.Thread):
+    """One call under way. A daemon: a call that never ends does not keep the worker."""
+
+    def __init__(self, work: Callable, item):
+        super().__init__(daemon=True)
+        self.work, self.item, self.value, self.error, self.began = work, item, None, None, time.monotonic()
+        self.start()
+
+    def run(self):
+        try:
+            self.value = self.work(self.item)
+        except Exception as e:  # noqa: BLE001 - told to the caller
+            self.error = e
+
+    def outcome(self, deadline_s: float | None):
+        self.join(None if deadline_s is None else max(0.0, self.began + deadline_s - time.monotonic()))
+        if self.is_alive():
+            return None, TimeoutError(f"no reply within {deadline_s:g} s")
+        return self.value, self.error
+
+
+def in_flight(work: Callable, items: Iterable, width: int = 1, pause_s: float = 0.0, deadline_s: float | None = None) -> Iterator[tuple]:
+    """(value, error) of ``work(item)`` for every item, in the items' order. At
+    most ``width`` calls are waited for at a time, starts are ``pause_s`` apart,
+    and a call beyond its deadline is given up (its thread is left behind)."""
+    under_way: deque[_Call] = deque()
+    for n, item in enumerate(items):
+        if n and pause_s:
+            time.sleep(pause_s)
+        if width == 1 and deadline_s is None:
+            try:
+                yield work(item), None
+            except Exception as e:  # noqa: BLE001
+                yield None, e
+            continue
+        if len(under_way) >= width:
+            yield under_way.popleft().outcome(deadline_s)
+        under_way.append(_Call(work, item))
+    while under_way:
+        yield under_way.popleft().outcome(deadline_s)
+
+
 def generate(df: DataFrame, text_col: str, factory: Callable[[], Callable] = lambda: word_count_tagger,
-             batch_size: int = 8, out: str = "raw_response") -> DataFrame:
+             batch_size: int = 8, out: str = "raw_response", max_in_flight: int = 1, pause_s: float = 0.0,
+             deadline_s: float | None = None) -> DataFrame:
     """O-M1: one model output per row. A failing batch writes
     'Generation failed' for each of its rows (those rows are still parsed
     and scored, as in the reference) and records the cause in
@@ -56,14 +108,14 @@ def generate(df: DataFrame, text_col: str, factory: Callable[[], Callable] = lam
         model = factory()
         for pdf in it:
             outs, errs = [], []
-            for b in _batches(pdf, batch_size):
-                prompts = b[text_col].fillna("").tolist()
-                try:
-                    res = [str(r or "").strip() for r in model(prompts)][:len(prompts)]
+            asked = [b[text_col].fillna("").tolist() for b in _batches(pdf, batch_size)]
+            call = lambda prompts: [str(r or "").strip() for r in model(prompts)][:len(prompts)]
+            for prompts, (res, e) in zip(asked, in_flight(call, asked, max_in_flight, pause_s, deadline_s)):
+                if e is None:
                     short = len(prompts) - len(res)  # a reply list shorter than the batch
                     outs += res + [GENERATION_FAILED] * short
                     errs += [None] * len(res) + ["no output for this prompt"] * short
-                except Exception as e:  # noqa: BLE001 - isolate the batch, as the reference does
+                else:  # the batch alone fails, as in the reference
                     outs += [GENERATION_FAILED] * len(prompts)
                     errs += [f"{type(e).__name__}: {e}"] * len(prompts)
             yield pdf.assign(**{out: outs, "generation_error": errs})
@@ -76,8 +128,8 @@ RESPONSES_DDL = ("array<struct<response_id:int,temperature:double,text:string,"
 
 
 def sample_responses(df: DataFrame, text_col: str, factory: Callable[[], Callable] = lambda: word_count_tagger,
-                     temperatures=DEFAULT_TEMPERATURES, batch_size: int = 8,
-                     pause_s: float = 0.0) -> DataFrame:
+                     temperatures=DEFAULT_TEMPERATURES, batch_size: int = 8, pause_s: float = 0.0,
+                     max_in_flight: int = 1, deadline_s: float | None = None) -> DataFrame:
     """O-M2 + O-M3: n responses per prompt, one per temperature, ids 1..n,
     kept in an array on the same row (no explode / regroup shuffle). A failed
     call gives text '' and an error for that response only."""
@@ -92,53 +144,57 @@ def sample_responses(df: DataFrame, text_col: str, factory: Callable[[], Callabl
         model = factory()
         for pdf in it:
             per_row = [[] for _ in range(len(pdf))]
-            for start in range(0, len(pdf), batch_size):
-                prompts = pdf[text_col].iloc[start:start + batch_size].fillna("").tolist()
-                for i, t in enumerate(temperatures):
-                    stamp = datetime.now(timezone.utc).isoformat()
-                    try:
-                        texts = [str(x or "") for x in model(prompts, t)][:len(prompts)]
-                        errors = [None] * len(texts)
-                    except Exception as e:  # noqa: BLE001
-                        texts, errors = [""] * len(prompts), [f"{type(e).__name__}: {e}"] * len(prompts)
-                    short = len(prompts) - len(texts)
-                    for j, (txt, err) in enumerate(zip(texts + [""] * short, errors + ["no output for this prompt"] * short)):
-                        per_row[start + j].append({"response_id": i + 1, "temperature": float(t),
-                                                   "text": txt, "error": err, "generated_at": stamp})
-                    if pause_s:
-                        time.sleep(pause_s)
+            texts = pdf[text_col].fillna("").tolist()
+            asked = [(start, i, t) for start in range(0, len(pdf), batch_size) for i, t in enumerate(temperatures)]
+
+            def call(ask):
+                stamp = datetime.now(timezone.utc).isoformat()
+                return stamp, [str(x or "") for x in model(texts[ask[0]:ask[0] + batch_size], ask[2])]
+
+            for (start, i, t), (reply, e) in zip(asked, in_flight(call, asked, max_in_flight, pause_s, deadline_s)):
+                stamp, found = reply or (datetime.now(timezone.utc).isoformat(), [])
+                missing = f"{type(e).__name__}: {e}" if e else "no output for this prompt"
+                for j in range(len(texts[start:start + batch_size])):
+                    there = j < len(found)
+                    per_row[start + j].append({"response_id": i + 1, "temperature": float(t), "text": found[j] if there else "",
+                                               "error": None if there else missing, "generated_at": stamp})
             yield pdf.assign(responses=per_row)
 
     return df.mapInPandas(run, schema)
 
 
-def generation_records(df: DataFrame, original: list[str], prompt: str, model: str, responses: str = "responses",
-                       index: str = "index") -> DataFrame:
-    """O-M3: generation records: the tagging prompt, the input row as JSON, the
-    responses, and metadata; a row all of whose calls failed keeps ``index``,
-    ``error`` and ``original_data`` only."""
+def generation_records(df: DataFrame, original, prompt: str, model: str, responses: str = "responses",
+                       index: str = "index", keep: tuple[str, ...] = ()) -> DataFrame:
+    """O-M3: generation records: the tagging prompt, the input row as JSON
+    (``original``: a column that holds it, or the columns to make it of), the
+    responses, and metadata with the time of processing; a row all of whose
+    calls failed keeps ``index``, ``error``, ``original_data`` and the columns
+    of ``keep`` only."""
     r = F.col(responses)
     failed = (F.size(r) > 0) & F.forall(r, lambda x: x["error"].isNotNull())
     fine = lambda c: F.when(~failed, c)
+    source = F.col(original) if isinstance(original, str) else F.to_json(F.struct(*original))
     return df.select(
-        F.col(index).alias("index"), F.to_json(F.struct(*original)).alias("original_data"),
+        *keep, F.col(index).alias("index"), source.alias("original_data"),
         fine(F.col(prompt)).alias("tagging_prompt"), fine(r).alias("responses"),
         fine(F.struct(F.lit(model).alias("model"), F.size(r).alias("n_responses"),
-                      F.transform(r, lambda x: x["temperature"]).alias("temperatures"))).alias("metadata"),
+                      F.transform(r, lambda x: x["temperature"]).alias("temperatures"),
+                      F.array_max(F.transform(r, lambda x: x["generated_at"])).alias("processed_at"))).alias("metadata"),
         F.when(failed, F.get(r, 0)["error"]).alias("error"))
 
 
 JUDGEMENT_COLUMNS = ("chosen int, reasoning string, q1 double, d1 double, p1 double, "
-                     "q2 double, d2 double, p2 double")
+                     "q2 double, d2 double, p2 double, annotation string")
 
 
 def judge_pairs(df: DataFrame, factory: Callable[[], Callable], prompt: str = "prompt",
-                r1: str = "response1", r2: str = "response2", max_retries: int = 3,
-                backoff_s: float = 1.0) -> DataFrame:
+                r1: str = "response1", r2: str = "response2", max_retries: int = 3, backoff_s: float = 1.0,
+                max_in_flight: int = 1, pause_s: float = 0.0, deadline_s: float | None = None) -> DataFrame:
     """O-M4: call a pairwise judge per row with retries (back-off 1 s, 2 s, ...).
     The judge returns the reply dict (chosen, reasoning, scores.response1/2
-    .quality/diversity/privacy); after the last failure the columns are NULL
-    and the judge step counts the row as failed."""
+    .quality/diversity/privacy), which ``annotation`` keeps whole as JSON;
+    after the last failure the columns are NULL and the judge step counts the
+    row as failed. A deadline holds for a row's tries together."""
     from pyspark.sql import types as T
 
     extra = T._parse_datatype_string(JUDGEMENT_COLUMNS)
@@ -155,12 +211,13 @@ def judge_pairs(df: DataFrame, factory: Callable[[], Callable], prompt: str = "p
 
     def flat(reply):
         if not isinstance(reply, dict):
-            return [None] * 8
+            return [None] * 9
         s = inner(reply, "scores")
         one, two = inner(s, "response1"), inner(s, "response2")
         chosen, reasoning = number(reply.get("chosen")), reply.get("reasoning")
         return [int(chosen) if chosen in (1.0, 2.0) else None, None if reasoning is None else str(reasoning),
-                *[number(part.get(k)) for part in (one, two) for k in ("quality", "diversity", "privacy")]]
+                *[number(part.get(k)) for part in (one, two) for k in ("quality", "diversity", "privacy")],
+                json.dumps(reply, ensure_ascii=False, default=str)]
 
     def inner(part, key):
         found = part.get(key)
@@ -178,34 +235,83 @@ def judge_pairs(df: DataFrame, factory: Callable[[], Callable], prompt: str = "p
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = factory()
         for pdf in it:
-            rows = [flat(call(judge, p, a, b)) for p, a, b in zip(pdf[prompt], pdf[r1], pdf[r2])]
+            asked = in_flight(lambda pair: call(judge, *pair), zip(pdf[prompt], pdf[r1], pdf[r2]), max_in_flight, pause_s, deadline_s)
+            rows = [flat(reply) for reply, _ in asked]
             cols = pd.DataFrame(rows, columns=names, index=pdf.index, dtype=object)
             cols["chosen"] = cols["chosen"].astype("Int32")
-            cols[names[2:]] = cols[names[2:]].astype("float64")
+            cols[names[2:-1]] = cols[names[2:-1]].astype("float64")
             yield pd.concat([pdf, cols], axis=1)
 
     return df.mapInPandas(run, schema)
 
 
-def embed_tags(tags: DataFrame, factory: Callable[[], Callable], batch_size: int = 64) -> DataFrame:
-    """O-M6: embed each distinct tag once (the caller passes distinct tags),
-    in batches, unit-normalised: (tag, vec ARRAY<DOUBLE>)."""
+def text_judge(factory: Callable[[], Callable], template: str) -> Callable[[], Callable]:
+    """A judge for ``judge_pairs`` from a model that answers prompts: the
+    judge template is filled with the query and both answers, and the reply's
+    JSON object is the judgement. A reply without one is a failed call."""
+    def build():
+        model = factory()
+
+        def judge(query, first, second):
+            fields = {"query": query or "", "first": first or "", "second": second or ""}
+            reply = model([re.sub(r"\{(\w+)\}", lambda m: fields[m[1]], template)])[0]
+            return json.loads(reply[reply.index("{"):reply.rindex("}") + 1])
+
+        return judge
+
+    return build
+
+
+def embed_tags(tags: DataFrame, factory: Callable[[], Callable], batch_size: int = 64, max_in_flight: int = 1,
+               deadline_s: float | None = None) -> DataFrame:
+    """O-M6: embed each distinct tag once (the caller passes distinct tags), in
+    batches, unit-normalised: (tag, vec ARRAY<DOUBLE>). The tags of a batch that
+    fails, or has another number of vectors, get NULL vectors: names without one
+    score 0."""
     import numpy as np
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory()
+
+        def encode(names):
+            m = np.asarray(model(names), dtype="float64")
+            if m.ndim != 2 or len(m) != len(names):
+                raise ValueError(f"{m.shape} vectors for {len(names)} tags")
+            norm = np.linalg.norm(m, axis=1, keepdims=True)
+            return list(np.divide(m, norm, out=np.zeros_like(m), where=norm > 0))
+
         for pdf in it:
+            asked = [b["tag"].tolist() for b in _batches(pdf, batch_size)]
             vecs = []
-            for b in _batches(pdf, batch_size):
-                m = np.asarray(model(b["tag"].tolist()), dtype="float64")
-                norm = np.linalg.norm(m, axis=1, keepdims=True)
-                m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-                vecs += [list(r) for r in m]
+            for names, (made, e) in zip(asked, in_flight(encode, asked, max_in_flight, 0.0, deadline_s)):
+                vecs += made if e is None else [None] * len(names)
             yield pd.DataFrame({"tag": pdf["tag"].values, "vec": vecs})
 
     return tags.select("tag").mapInPandas(run, "tag string, vec array<double>")
 
 
+def cached_vectors(embed: Callable[[DataFrame], DataFrame], path: str, encoder: str) -> Callable[[DataFrame], DataFrame]:
+    """O-J3: ``embed`` behind a table of vectors that outlives the run: Parquet
+    under ``path/encoder=<encoder>``. Only tags without a vector there are
+    encoded (an anti join on the tag column alone), and what comes back is
+    appended; tags whose batch failed are not kept and are encoded again by the
+    next run. Two runs at a time may both append a tag; readers take one."""
+    folder = f"{path.rstrip('/')}/encoder={quote(encoder, safe=' -_.~@+,()')}"
+
+    def run(tags: DataFrame) -> DataFrame:
+        spark = tags.sparkSession
+        checkpoint_dir(spark)
+        wanted = tags.select("tag").where("tag IS NOT NULL").distinct().checkpoint(eager=True)
+        schema = "tag string, vec array<double>"
+        held = spark.read.schema(schema).parquet(folder) if path_exists(spark, folder) else spark.createDataFrame([], schema)
+        made = embed(wanted.join(held.select("tag"), "tag", "left_anti")).select("tag", "vec").checkpoint(eager=True)
+        found = held.join(wanted, "tag", "left_semi").dropDuplicates(["tag"]).unionByName(made).checkpoint(eager=True)
+        made.where("vec IS NOT NULL").write.mode("append").parquet(folder)
+        return found
+
+    return run
+
+
 def hashing_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
     """Stand-in encoder: character-trigram hashing into ``dim`` buckets."""
     import zlib

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.functions.text import cap_tokens, chat_wrap, fill_template, truncate_head_tail, word_tokens
+from tagweave.functions.text import cap_tokens, chat_wrap, fill_template, token_pieces, truncate_head_tail, word_tokens
 
 # Our own template texts (fixed values).
 EVAL_TEMPLATE = (
@@ -48,7 +48,7 @@ def build_prompts(df: DataFrame, max_tokens: int = 300, template: str = EVAL_TEM
     ``stored_tokens``, kept with the results for failure previews)."""
     ic = F.col("inference_context")
     # The token array is staged once and shared by the count and both truncations.
-    out = (df.withColumn("_tw_tokens", word_tokens(ic))
+    out = (df.withColumn("_tw_tokens", token_pieces(ic))
            .withColumn("n_tokens", F.size("_tw_tokens"))
            .withColumn("truncated", F.col("n_tokens") > max_tokens)
            .withColumn("truncated_input", truncate_head_tail(ic, stored_tokens, "_tw_tokens")))
@@ -69,9 +69,12 @@ def token_budget(df: DataFrame, query_col: str, target_col: str, max_len: int =
     target = F.concat(F.col(target_col), F.lit(" " + eos))
     n_prompt = F.size(word_tokens(prompt))
     n_total = n_prompt + F.size(word_tokens(target))
-    return (df.withColumn("n_prompt", n_prompt)
-            .withColumn("n_total", n_total)
-            .withColumn("n_kept", F.least(F.col("n_total"), F.lit(max_len)))
+    return budget_columns(df.withColumn("n_prompt", n_prompt).withColumn("n_total", n_total), max_len)
+
+
+def budget_columns(counted: DataFrame, max_len: int) -> DataFrame:
+    """The columns of a sequence budget that follow from n_prompt and n_total."""
+    return (counted.withColumn("n_kept", F.least(F.col("n_total"), F.lit(max_len)))
             .withColumn("n_loss", F.greatest(F.col("n_kept") - F.col("n_prompt"), F.lit(0)))
             .withColumn("truncated", F.col("n_total") > max_len)
             .withColumn("no_loss", F.col("n_loss") == 0))

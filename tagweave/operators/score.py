@@ -157,97 +157,6 @@ def failed_cases(scored: DataFrame, order_key: str, gold_names: str = "gold_name
 # ---------------------------------------------------------------------------
 # Semantic scoring: embeddings joined on distinct tags (O-J3, O-M6)
 
-VEC_LIST_DDL = "array<struct<tag:string,vec:array<double>>>"
-
-
-def attach_vectors(records: DataFrame, embed, key: str, name_cols: list[str],
-                   max_broadcast_rows: int = DEFAULT_MAX_ROWS, carry: list[str] | None = None) -> DataFrame:
-    """Add ``<col>_vecs`` = ARRAY<STRUCT<tag, vec>> (unit vectors, list order)
-    for each name-array column. A name without a vector (a failed encode)
-    keeps its place with a NULL vector: it matches nothing and still counts.
-
-    ``embed`` maps a DataFrame[tag] of distinct tags to DataFrame[tag, vec]
-    (a lookup table or a model call, O-M6), so every tag is embedded once
-    (O-J3). The records are exploded once into (key, side, pos, tag); the
-    tag -> vector table is broadcast under checked row and byte bounds (otherwise a
-    shuffle join, with AQE splitting hot tags); the regroup per record holds
-    one record's tags, bounded by the tag-list length.
-
-    With ``carry`` (narrow record columns), those columns ride along the
-    exploded rows and the regroup is the only shuffle: every record also
-    yields one marker row, so records without tags survive. Without it the
-    regrouped vectors are joined back to ``records`` by key.
-    """
-    def tagged(side):
-        return lambda x, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), x.alias("tag"))
-
-    sides = F.concat(*[F.transform(F.col(c), tagged(c)) for c in name_cols])
-    tv_src = explode_rows(records, [], sides, "t").select(F.col("t.tag").alias("tag"))
-    tv = embed(tv_src.distinct()).select("tag", M.unit(F.col("vec")).alias("vec"))
-    tv = bounded_broadcast(tv, max_broadcast_rows)
-    vec_ddl = f"cast(array() as {VEC_LIST_DDL})"
-
-    def regrouped(rows, extra_aggs):
-        g = rows.groupBy(key).agg(*extra_aggs, *[
-            F.sort_array(F.collect_list(F.when(F.col("side") == c, F.struct("pos", "tag", "vec")))).alias(c + "_vecs")
-            for c in name_cols])
-        for c in name_cols:
-            g = g.withColumn(c + "_vecs", F.transform(F.col(c + "_vecs"), lambda x: F.struct(
-                x["tag"].alias("tag"), x["vec"].alias("vec"))))
-        return g
-
-    if carry is not None:
-        marker = F.array(F.struct(F.lit("_record").alias("side"), F.lit(-1).alias("pos"),
-                                  F.lit(None).cast("string").alias("tag")))
-        keep = [c for c in dict.fromkeys(list(carry) + list(name_cols)) if c != key]
-        rows = explode_rows(records, [key, *keep], F.concat(marker, sides), "t").select(
-            key, *keep, F.col("t.side").alias("side"), F.col("t.pos").alias("pos"), F.col("t.tag").alias("tag"))
-        rows = rows.join(tv, "tag", "left")
-        return regrouped(rows, [F.first(c, ignorenulls=False).alias(c) for c in keep])
-
-    rows = explode_rows(records, [key], sides, "t").select(
-        key, F.col("t.side").alias("side"), F.col("t.pos").alias("pos"), F.col("t.tag").alias("tag"))
-    grouped = regrouped(rows.join(tv, "tag", "left"), [])
-    out = records.join(grouped, key, "left")
-    for c in name_cols:
-        out = out.withColumn(c + "_vecs", F.coalesce(F.col(c + "_vecs"), F.expr(vec_ddl)))
-    return out
-
-
-def with_semantic(df: DataFrame, gold_vecs: str, pred_vecs: str, threshold: float = 0.8) -> DataFrame:
-    """Add semantic_accuracy / f1 / precision / recall and sft_semantic_f1.
-
-    A record none of whose names could be encoded has no similarities: its
-    sft_semantic_f1 falls back to the exact F1 of the raw names (O-A6).
-
-    The gold x predicted grid and its matched counts are staged as columns:
-    each is referenced several times downstream, so Catalyst keeps them
-    computed once per record instead of inlining the grid into every metric.
-    """
-    g, p = F.col(gold_vecs), F.col(pred_vecs)
-    staged = (df.withColumn("_tw_grid", M.sim_grid(g, p))
-              .withColumn("_tw_hits", M.grid_hits(F.col("_tw_grid"), F.size(p), threshold)))
-    s = M.scores_from_hits(F.col("_tw_hits"), F.size(g), F.size(p))
-    return (staged.withColumn("_s", s)
-            .withColumn("semantic_accuracy", F.col("_s.accuracy"))
-            .withColumn("semantic_f1", F.col("_s.f1"))
-            .withColumn("semantic_precision", F.col("_s.precision"))
-            .withColumn("semantic_recall", F.col("_s.recall"))
-            .withColumn("sft_semantic_f1", F.when(_unencoded(g, p), M.exact_prf(_tags(p), _tags(g), normalise=False)["f1"])
-                        .otherwise(F.col("_s.sft_f1"))).drop("_s", "_tw_grid", "_tw_hits"))
-
-
-def _tags(vecs: Column) -> Column:
-    return F.transform(vecs, lambda t: t["tag"])
-
-
-def _unencoded(g: Column, p: Column) -> Column:
-    def some(vecs):
-        return F.exists(vecs, lambda t: t["vec"].isNotNull())
-
-    return (F.size(g) + F.size(p) > 0) & ~some(g) & ~some(p)
-
-
 def attach_grid(records: DataFrame, embed, key: str, gold: str, pred: str, keep: list[str] | None = None,
                 max_broadcast_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
     """Add ``grid`` (similarities of gold x predicted names) and ``encoded``

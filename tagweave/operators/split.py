@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tagweave.functions.sizing import bounded_broadcast
 from tagweave.session import checkpoint_dir
 
 def key_hash(key: str, seed: int = 0) -> Column:
@@ -59,6 +60,17 @@ def global_ordinal(df: DataFrame, order: list[Column], out: str = "ordinal", tot
             .drop("_tw_pid", "_tw_mid", "_tw_off"))
 
 
+def grouped_ordinal(df: DataFrame, group: str, order: list[Column], out: str = "ordinal") -> DataFrame:
+    """0-based position of every row within its group: its place in one sort by
+    group and ``order``, less the place of the group's first row. The sort cuts
+    groups over tasks by range, so a group may hold any share of the rows; the
+    first places are one number for each group (joined back under a size check)."""
+    placed = global_ordinal(df, [F.col(group).asc_nulls_first(), *order], out)
+    first = placed.groupBy(F.col(group).alias("_tw_group")).agg(F.min(out).alias("_tw_first"))
+    return (placed.join(bounded_broadcast(first), F.col(group).eqNullSafe(F.col("_tw_group")))
+            .withColumn(out, F.col(out) - F.col("_tw_first")).drop("_tw_group", "_tw_first"))
+
+
 def prefix_split(df: DataFrame, key: str, eval_fraction: float = 0.2) -> DataFrame:
     """O-U2 (exact form): the first int((1 - eval_fraction) * n) rows by key
     are train, the rest eval."""
