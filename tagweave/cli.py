@@ -52,6 +52,8 @@ def main(argv=None) -> None:
     ev.add_argument("--num-samples", type=int)
     ev.add_argument("--max-tokens", type=int, default=300)
     ev.add_argument("--batch-size", type=int, default=8)
+    ev.add_argument("--max-in-flight", type=int, default=1)
+    ev.add_argument("--vector-cache", help="folder that keeps the embedder's vectors over runs")
     cu = sub.add_parser("curate")
     cu.add_argument("generation_path")
     cu.add_argument("output_dir")
@@ -60,6 +62,7 @@ def main(argv=None) -> None:
     cu.add_argument("--min-gap", type=float, default=2.0)
     cu.add_argument("--min-privacy", type=float, default=7.0)
     cu.add_argument("--format", default="dpo_weighted")
+    cu.add_argument("--max-in-flight", type=int, default=1)
     rp = sub.add_parser("report")
     rp.add_argument("results_dir")
     rp.add_argument("output_dir")
@@ -68,6 +71,25 @@ def main(argv=None) -> None:
     fi.add_argument("output_dir")
     fi.add_argument("--min-freq", type=int, default=2)
     fi.add_argument("--positions", default="0,1,2,3")
+    ge = sub.add_parser("generate")
+    ge.add_argument("input_path")
+    ge.add_argument("output_dir")
+    ge.add_argument("--model", required=True)
+    ge.add_argument("--model-name", default="model")
+    ge.add_argument("--temperatures", default="0.5,0.9")
+    ge.add_argument("--start", type=int, default=0)
+    ge.add_argument("--end", type=int)
+    ge.add_argument("--limit", type=int)
+    ge.add_argument("--batch-size", type=int, default=8)
+    ge.add_argument("--max-in-flight", type=int, default=1)
+    sf = sub.add_parser("sft")
+    sf.add_argument("input_path")
+    sf.add_argument("output_dir")
+    sf.add_argument("--before", required=True)
+    sf.add_argument("--after", required=True)
+    sf.add_argument("--run", default="sft")
+    sf.add_argument("--eval-fraction", type=float, default=0.2)
+    sf.add_argument("--batch-size", type=int, default=8)
     ex = sub.add_parser("export")
     ex.add_argument("annotated_path")
     ex.add_argument("output_path")
@@ -83,12 +105,14 @@ def main(argv=None) -> None:
         emb_factory = _load(args.embedder)
         embed = (lambda t: modelcall.embed_tags(t, emb_factory)) if emb_factory else None
         out = jobs.evaluate_files(spark, args.data_dir, args.output_dir, model, args.run, embed,
-                                  args.num_samples, args.max_tokens, args.batch_size)
+                                  args.num_samples, args.max_tokens, args.batch_size, max_in_flight=args.max_in_flight,
+                                  vector_cache=args.vector_cache, encoder=args.embedder or "encoder")
         _print(out["overall"])
         _print(out["metrics"])
     elif args.cmd == "curate":
         out = jobs.curate_preferences(spark, args.generation_path, args.output_dir, _load(args.judge),
-                                      args.min_freq, args.min_gap, args.min_privacy, args.format)
+                                      args.min_freq, args.min_gap, args.min_privacy, args.format,
+                                      max_in_flight=args.max_in_flight)
         _print(out["filter_stats"])
         _print(out["outcomes"])
         print(json.dumps({"exported": out["export"].count()}))
@@ -100,6 +124,14 @@ def main(argv=None) -> None:
         positions = [int(p) for p in args.positions.split(",") if p.strip()]
         out = jobs.filter_generation(spark, args.generation_path, args.output_dir, args.min_freq, positions)
         _print(out["stats"])
+    elif args.cmd == "generate":
+        temperatures = tuple(float(t) for t in args.temperatures.split(",") if t.strip())
+        out = jobs.generate_records(spark, args.input_path, args.output_dir, _load(args.model), args.model_name, temperatures, args.start,
+                                    args.end, args.limit, args.batch_size, max_in_flight=args.max_in_flight)
+        print(json.dumps({"records": out.count()}))
+    elif args.cmd == "sft":
+        _print(jobs.sft_run(spark, args.input_path, args.output_dir, _load(args.before), _load(args.after), args.run,
+                            args.eval_fraction, args.batch_size))
     else:
         out = jobs.export_annotated(spark, args.annotated_path, args.output_path, args.format)
         print(json.dumps({"exported": out.count()}))

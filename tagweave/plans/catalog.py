@@ -31,7 +31,9 @@ _PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         files.json_document_rows, files.tolerant_reader_rows, files.tolerant_reader_rejects, files.judge_input_rows,
         files.preference_dir_rows, files.positional_record_rows,
         files.row_range_rows, files.concat_counts, files.evaluate_files_metrics, files.resume_twice,
-        files.running_tag_counts, files.generation_record_rows, files.sft_run_record)},
+        files.running_tag_counts, files.generation_record_rows, files.sft_run_record,
+        files.resume_failed_rounds, files.generation_job, files.first_failed_cases, sft.subword_truncation, sft.subword_budget,
+        sft.template_prompts, roundtrip.concurrent_responses, semantic.embedding_cache_reuse)},
     "judge_model_outcomes": judging.judge_model_outcomes,
     "semantic_missing_vectors": semantic.semantic_missing_vectors,
     "encoded_tags": semantic.encoded_tags,

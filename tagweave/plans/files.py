@@ -10,7 +10,7 @@ from tagweave.operators import modelcall, score, split
 from tagweave.plans import jobs
 from tagweave.session import scratch_folder
 from tagweave.sources import derived, readers, sinks
-from tagweave.streaming import resume
+from tagweave.streaming import ledger, resume
 
 
 def r6(c):
@@ -113,6 +113,10 @@ def _yes(prompts):
     return ['[{"tag": "Yes", "explanation": "always"}]' for _ in prompts]
 
 
+def _no(prompts):
+    return ['[{"tag": "No", "explanation": "always"}]' for _ in prompts]
+
+
 def evaluate_files_metrics(spark, sf_dir):
     """The evaluation job run twice into one folder (O-K3): the second run replaces the first."""
     d = derived.table(spark, sf_dir, "documents").select(
@@ -134,7 +138,51 @@ def resume_twice(spark, sf_dir):
     for rows in (d.where("doc_id % 2 = 0"), d):
         sinks.write_jsonl(rows, f"{path}/in")
         resume.resumable_append(spark, f"{path}/in", f"{path}/out", f"{path}/progress", d.schema, "doc_id", glob="*.json")
-    return spark.read.schema(d.schema).json(f"{path}/out")
+    return ledger.results(spark, f"{path}/out", d.schema)
+
+
+def resume_failed_rounds(spark, sf_dir):
+    """Three rounds of a resumable run (O-R1 .. O-R3): half of the rows, all of them, no new ones. Every seventh row
+    has no key, and in each round a third of the rows fail; failed rows are asked again by the next round."""
+    d = derived.table(spark, sf_dir, "documents").select(
+        F.when(F.col("doc_id") % 7 > 0, F.col("doc_id")).alias("key"), F.col("doc_id").cast("string").alias("body"), "n_chars")
+    path = scratch_folder(spark, "resume-rounds")
+    for n, rows in enumerate((d.where("body % 2 = 0"), d, d.limit(0)), 1):
+        sinks.write_jsonl(rows, f"{path}/in")
+        resume.resumable_append(spark, f"{path}/in", f"{path}/out", f"{path}/progress", d.schema, "key",
+                                lambda t: t.withColumn("round", F.lit(n)), "*.json", (F.col("n_chars") + F.lit(n)) % 3 != 0)
+    return ledger.results(spark, f"{path}/out", "key bigint, body string, n_chars bigint, round int")
+
+
+def generation_job(spark, sf_dir):
+    """The generation job (O-S9, O-P2, O-M2, O-M3, O-R2) run twice over all documents: prompts of odd length fail the first time."""
+    d = derived.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("index"), F.col("text").alias("prompt"), "n_chars")
+    path = scratch_folder(spark, "generation-job")
+    sinks.write_jsonl(d, f"{path}/in")
+
+    def model(n):
+        def answer(prompts_, temperature):
+            if n == 1 and any(len(p) % 2 for p in prompts_):
+                raise RuntimeError("service down")
+            return [f"round {n}" for _ in prompts_]
+        return lambda: answer
+
+    for n in (1, 2):
+        records = jobs.generate_records(spark, f"{path}/in", f"{path}/out", model(n), "stand-in", end=None if n == 1 else 0, batch_size=1)
+    return records.select("index", F.length("prompt").alias("prompt_chars"), F.length("tagging_prompt").alias("tagging_chars"), "metadata.model",
+                          "metadata.n_responses", F.get("responses", 1)["text"].alias("second_text"),
+                          F.col("metadata.processed_at").isNotNull().alias("timed"), "error")
+
+
+def first_failed_cases(spark, sf_dir):
+    """First failed cases in source order (O-F5): files by source, rows by id, none with an index."""
+    d = derived.table(spark, sf_dir, "documents").select(
+        F.concat_ws(" ", F.col("doc_id").cast("string"), F.col("lang")).alias("input"), "source", "doc_id",
+        F.array(F.struct(F.when(F.col("n_chars") % 3 == 0, "yes").otherwise("no").alias("tag"))).alias("parsed_tags"))
+    path = scratch_folder(spark, "source-order")
+    (d.repartition("source").sortWithinPartitions("source", "doc_id").drop("doc_id").write.partitionBy("source").json(f"{path}/data"))
+    out = jobs.evaluate_files(spark, f"{path}/data", f"{path}/out", lambda: _yes, run_name="m", batch_size=512)
+    return out["failed_cases"].select(F.regexp_extract("file_name", "source=([^/]*)", 1).alias("source"), "case_rank", "truncated_input")
 
 
 def running_tag_counts(spark, sf_dir):
@@ -157,11 +205,11 @@ def generation_record_rows(spark, sf_dir):
 
 
 def sft_run_record(spark, sf_dir):
-    """The SFT data job over all documents: a model that always says yes, before one that says no."""
+    """The SFT data job over all documents: a model that always says yes before tuning, and no after it."""
     d = derived.table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("index"), F.col("text").alias("prompt"),
         F.array(F.struct(F.when(F.col("n_chars") % 2 == 0, "Yes").otherwise("No").alias("tag"), F.lit("x").alias("explanation"))).alias("parsed_tags"))
     path = scratch_folder(spark, "sft-run")
     sinks.write_jsonl(d, f"{path}/in")
-    r = jobs.sft_run(spark, f"{path}/in", f"{path}/out", lambda: _yes, lambda: _yes)
-    return r.select("run", (F.col("n_train") + F.col("n_eval")).alias("rows"), (F.col("before_f1") == F.col("after_f1")).alias("same"))
+    r = jobs.sft_run(spark, f"{path}/in", f"{path}/out", lambda: _yes, lambda: _no, key="index", batch_size=512)
+    return r.select("run", "n_train", "n_eval", r6("before_f1"), r6("after_f1"))

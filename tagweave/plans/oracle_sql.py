@@ -7,6 +7,10 @@ list functions), so it does not share code paths with the Spark jobs.
 
 from __future__ import annotations
 
+import re
+
+from tagweave.operators.prompts import TEMPLATES
+
 # Derived tag records (same rules as tagweave.sources.derived).
 DOCS = """
 d AS (
@@ -353,10 +357,10 @@ sims AS (
   FROM vt g JOIN vt p ON g.rec_id = p.rec_id AND g.side = 'gold' AND p.side = 'pred'),
 hits AS (
   SELECT r.rec_id, r.file_name, r.ng, r.np,
-    (SELECT count(DISTINCT gid) FROM sims s WHERE s.rec_id = r.rec_id AND s.sim > 0.8) AS gh,
-    (SELECT count(DISTINCT pid) FROM sims s WHERE s.rec_id = r.rec_id AND s.sim > 0.8) AS ph,
-    (SELECT count(DISTINCT gid) FROM sims s WHERE s.rec_id = r.rec_id AND s.sim >= 0.8) AS gh2,
-    (SELECT count(DISTINCT pid) FROM sims s WHERE s.rec_id = r.rec_id AND s.sim >= 0.8) AS ph2,
+    (SELECT count(DISTINCT gid) FROM sims s WHERE s.rec_id = r.rec_id AND s.sim > 0.25) AS gh,
+    (SELECT count(DISTINCT pid) FROM sims s WHERE s.rec_id = r.rec_id AND s.sim > 0.25) AS ph,
+    (SELECT count(DISTINCT gid) FROM sims s WHERE s.rec_id = r.rec_id AND s.sim >= 0.25) AS gh2,
+    (SELECT count(DISTINCT pid) FROM sims s WHERE s.rec_id = r.rec_id AND s.sim >= 0.25) AS ph2,
     (SELECT count(*) FROM sims s WHERE s.rec_id = r.rec_id AND s.gid = s.pid) AS inter
   FROM recs r),
 m0 AS (
@@ -701,7 +705,64 @@ SELECT doc_id AS index, '{"index":' || doc_id || ',"lang":"' || lang || '"}' AS
        CAST(NULL AS VARCHAR) AS error
 FROM documents"""
 
-QUERIES["sft_run_record"] = "SELECT 'sft' AS run, count(*) AS rows, true AS same FROM documents"
+QUERIES["sft_run_record"] = """
+WITH s AS (SELECT n_chars % 2 = 0 AS yes, substr(md5('0:' || doc_id), 1, 8) >= 'cccccccd' AS held FROM documents)
+SELECT 'sft' AS run, count(*) FILTER (WHERE NOT held) AS n_train, count(*) FILTER (WHERE held) AS n_eval,
+       round(coalesce(avg(CAST(yes AS INTEGER)) FILTER (WHERE held), 0), 6) AS before_f1,
+       round(coalesce(avg(CAST(NOT yes AS INTEGER)) FILTER (WHERE held), 0), 6) AS after_f1 FROM s"""
+
+QUERIES["resume_failed_rounds"] = """
+WITH f AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS first FROM documents)
+SELECT CASE WHEN doc_id % 7 > 0 THEN doc_id END AS key, CAST(doc_id AS VARCHAR) AS body, n_chars,
+       CAST(first + CASE WHEN (n_chars + first) % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS round FROM f"""
+
+QUERIES["generation_job"] = f"""
+SELECT doc_id AS index, length(text) AS prompt_chars, length(text) + {len(TEMPLATES['generation']) - len('{query}')} AS tagging_chars,
+       'stand-in' AS model, CAST(2 AS BIGINT) AS n_responses,
+       CASE WHEN length(text) % 2 = 0 THEN 'round 1' ELSE 'round 2' END AS second_text, true AS timed, CAST(NULL AS VARCHAR) AS error
+FROM documents"""
+
+QUERIES["first_failed_cases"] = """
+SELECT source, case_rank, truncated_input FROM (
+  SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS case_rank, doc_id || ' ' || lang AS truncated_input
+  FROM documents WHERE n_chars % 3 <> 0)
+WHERE case_rank <= 5"""
+
+PIECES = r"""'[^\x20\x09-\x0D]{1,3}|[\x20\x09-\x0D]'"""
+
+QUERIES["subword_truncation"] = f"""
+WITH t AS (SELECT doc_id, text, regexp_extract_all(text, {PIECES}) AS tk FROM documents)
+SELECT doc_id, len(tk) AS n_tokens, md5(CASE WHEN len(tk) <= 600 THEN text ELSE array_to_string(tk[1:300], '')
+    || chr(10) || chr(10) || '[Content truncated]' || chr(10) || chr(10) || array_to_string(tk[len(tk) - 299:len(tk)], '') END) AS truncated_md5
+FROM t"""
+
+QUERIES["subword_budget"] = f"""
+WITH t AS (SELECT doc_id, lang || ' ' || source AS target, array_to_string(regexp_extract_all(text, {PIECES})[1:1800], '') AS query FROM documents),
+p AS (SELECT doc_id, target, 'Tag this query.' || chr(10) || 'Query: ' || query || chr(10) || 'Tags:' AS prompt FROM t),
+n AS (SELECT doc_id, len(regexp_extract_all(prompt, {PIECES})) AS n_prompt,
+             len(regexp_extract_all(prompt || target || ' <eos>', {PIECES})) AS n_total FROM p),
+k AS (SELECT *, least(n_total, 2048) AS n_kept FROM n)
+SELECT *, greatest(n_kept - n_prompt, 0) AS n_loss, n_total > 2048 AS truncated, greatest(n_kept - n_prompt, 0) = 0 AS no_loss FROM k"""
+
+
+def _filled(template: str, **fields: str) -> str:
+    """A template as a SQL concatenation."""
+    quoted = ["'" + x.replace("'", "''").replace(chr(10), "' || chr(10) || '") + "'" if i % 2 == 0 else fields[x]
+              for i, x in enumerate(re.split(r"\{(\w+)\}", template))]
+    return " || ".join(quoted)
+
+
+QUERIES["template_prompts"] = "SELECT doc_id, " + ", ".join(
+    f"md5({_filled(TEMPLATES[n], query='text', tags='lang', first='lang', second='source')}) AS {n}_md5"
+    for n in ("generation", "preference", "judge")) + " FROM documents"
+
+QUERIES["concurrent_responses"] = QUERIES["two_temperature_responses"]
+
+QUERIES["embedding_cache_reuse"] = """
+WITH t AS (SELECT source || '-' || lang || '-' || (n_chars % 50) AS tag, min(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END) AS mark
+           FROM documents GROUP BY 1)
+SELECT tag, round(length(tag) / sqrt(length(tag) * length(tag) + mark * mark), 6) AS v0,
+       round(mark / sqrt(length(tag) * length(tag) + mark * mark), 6) AS v1 FROM t"""
 
 QUERIES["preference_dir_rows"] = """
 SELECT CAST(doc_id AS VARCHAR) AS prompt, lang AS chosen, source AS rejected,

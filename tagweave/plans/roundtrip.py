@@ -17,6 +17,13 @@ def two_temperature_responses(spark, sf_dir):
     return s.select("doc_id", F.inline("responses")).select("doc_id", "response_id", "temperature", "text")
 
 
+def concurrent_responses(spark, sf_dir):
+    """``two_temperature_responses`` with several calls in flight in every task."""
+    d = derived.table(spark, sf_dir, "documents").select("doc_id", "text")
+    s = modelcall.sample_responses(d, "text", max_in_flight=4, deadline_s=60.0)
+    return s.select("doc_id", F.inline("responses")).select("doc_id", "response_id", "temperature", "text")
+
+
 def jsonl_roundtrip(spark, sf_dir):
     """Write generation records as JSON Lines, read them back with the
     tolerant reader, clean the responses and count per source file."""

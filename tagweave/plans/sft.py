@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions.extract import tag_names
 from tagweave.functions import text as T
-from tagweave.functions.text import word_tokens
-from tagweave.operators import prompts, score, split
+from tagweave.operators import prompts, score, split, tokens
 from tagweave.plans.evaluation import scored_records
 from tagweave.sources import derived
 
@@ -37,7 +36,7 @@ def prompt_build(spark, sf_dir):
 
 def truncate_head_tail(spark, sf_dir):
     d = derived.table(spark, sf_dir, "documents").select("doc_id", "text")
-    d = d.withColumn("_tw_tokens", word_tokens(F.col("text")))
+    d = d.withColumn("_tw_tokens", T.token_pieces(F.col("text")))
     n = F.size("_tw_tokens")
     return d.select("doc_id", n.alias("n_tokens"), (n > 600).alias("truncated"),
                     T.truncate_head_tail(F.col("text"), 600, "_tw_tokens").alias("truncated_text"))
@@ -50,6 +49,27 @@ def token_budget(spark, sf_dir):
     return rep.select("file_name", "rows", r6("p50_len"), r6("p90_len"), "max_total", "truncated", "no_loss")
 
 
+def subword_truncation(spark, sf_dir):
+    """Head and tail truncation on the ids of a subword tokenizer (O-P3)."""
+    d = derived.table(spark, sf_dir, "documents").select("doc_id", "text")
+    t = tokens.truncate_ids(d, "text", tokens.PieceTokenizer, 600)
+    return t.select("doc_id", "n_tokens", F.md5("truncated_text").alias("truncated_md5"))
+
+
+def subword_budget(spark, sf_dir):
+    """Sequence budgets in the tokens of a subword tokenizer (O-P4, O-P16)."""
+    d = derived.table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws(" ", "lang", "source").alias("target"))
+    b = tokens.token_budget(d, "text", "target", tokens.PieceTokenizer, max_len=2048, prompt_cap=1800)
+    return b.select("doc_id", "n_prompt", "n_total", "n_kept", "n_loss", "truncated", "no_loss")
+
+
+def template_prompts(spark, sf_dir):
+    """The generation, preference and judge prompts (O-P2) of every document."""
+    d = derived.table(spark, sf_dir, "documents")
+    fields = {"query": F.col("text"), "tags": F.col("lang"), "first": F.col("lang"), "second": F.col("source")}
+    return d.select("doc_id", *[F.md5(T.fill_template(prompts.TEMPLATES[n], **fields)).alias(f"{n}_md5") for n in ("generation", "preference", "judge")])
+
+
 def per_file_limit(spark, sf_dir):
     d = derived.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("file_name"))
     return split.per_group_limit(d, "file_name", [F.col("doc_id")], 10)
