@@ -11,7 +11,7 @@ from tagweave.functions.extract import balanced_prefix, tag_object_spans
 from tagweave.operators import freq, modelcall, prompts, report, score, split
 from tagweave.plans import jobs
 from tagweave.sources import readers, sinks
-from tagweave.streaming import resume
+from tagweave.streaming import ledger
 
 
 def write(path, name, text):
@@ -39,15 +39,65 @@ def test_own_output_is_read_back(spark, tmp_dir):
     assert readers.preference_dir(spark, pref).count() == 1
 
 
-def test_documents_are_read_element_by_element(spark, tmp_dir):
-    row = {"index": 1, "text": "x" * 1_000_000}
-    text = "[" + ",\n".join(json.dumps(row | {"index": i}) for i in range(140)) + "]"
-    kinds = [k for k, _ in readers.document_values(text)]  # more than a VARIANT holds
-    assert kinds == ["item"] * 140
-    write(tmp_dir, "big.json", "[" + ",\n".join(json.dumps(row | {"index": i}) for i in range(20)) + "]")
-    assert ints(readers.json_documents(spark, tmp_dir)) == list(range(20))
-    for bad in ("[1, 2", "[1,]", "[1 2]", "{oops", "[1] x"):
-        assert [k for k, _ in readers.document_values(bad)][-1] == "error"
+def odd_value(rng, depth=0):
+    kind = rng.random()
+    if depth > 2 or kind < 0.3:
+        return rng.choice(["a,b", 'x"y', "\\", '\\"', ",", "[", "]", "{}", "\U0001f600", "", 5, -1.5, None, True])
+    if kind < 0.65:
+        return {rng.choice(["k", '"q', "[z", ",c"]): odd_value(rng, depth + 1) for _ in range(rng.randint(0, 4))}
+    return [odd_value(rng, depth + 1) for _ in range(rng.randint(0, 4))]
+
+
+def test_documents_are_cut_at_any_byte(spark, tmp_dir):
+    """Lists, objects and lines, read in ranges of 64 bytes as in one range; (block, row) is the file's order."""
+    import random
+
+    rng = random.Random(3)
+    wanted = {}
+    for i in range(6):
+        wanted[f"l{i}.json"] = [("item", odd_value(rng)) for _ in range(rng.randint(0, 40))]
+        text = json.dumps([v for _, v in wanted[f"l{i}.json"]], ensure_ascii=bool(i % 2), indent=[None, 1][i % 2])
+        write(tmp_dir, f"l{i}.json", ("\ufeff" if i == 0 else "") + text)
+    one = {f"k{j}": odd_value(rng) for j in range(15)}
+    write(tmp_dir, "o.json", json.dumps(one, indent=2))
+    wanted["o.json"] = [("value", one)]
+    lines = [{"k": odd_value(rng)} for _ in range(8)]
+    for name, between in (("n.json", "\n"), ("m.json", " ")):
+        write(tmp_dir, name, between.join(map(json.dumps, lines)))
+        wanted[name] = [("line", x) for x in lines]
+    bad = {"b1.json": "[1, 2", "b2.json": "[1,]", "b3.json": "[1 2]", "b4.json": "{oops", "b5.json": "[1] x", "b6.json": '{"a":1},{"b":2}'}
+    for name, text in {**bad, "e1.json": "[]", "e2.json": "  ", "e3.json": "", "s.json": '["\\ud800", 2, 3]'}.items():
+        write(tmp_dir, name, text)
+    setting = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(setting), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("64", "100000000"):
+            spark.conf.set(setting, size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            found = {}
+            rows = readers.document_rows(spark, tmp_dir).select("file_name", "kind", F.to_json("v").alias("v"), "pos")
+            for r in sorted(rows.collect(), key=lambda r: (r.file_name, r.pos.block, r.pos.row if r.pos.row is not None else 1 << 60)):
+                found.setdefault(r.file_name.rpartition("/")[2], []).append((r.kind, None if r.v is None else json.loads(r.v)))
+            assert {n: found.get(n, []) for n in wanted} == wanted
+            assert all(found[n][-1][0] == "error" for n in bad) and not {"e1.json", "e2.json", "e3.json"} & set(found)
+            assert [k for k, _ in found["s.json"]] == ["item"] * 3 and found["s.json"][1:] == [("item", 2), ("item", 3)]
+    finally:
+        spark.conf.set(setting, before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_one_list_is_read_by_many_tasks(spark, tmp_dir):
+    row = {"index": 1, "text": "x, y" * 25_000}
+    write(tmp_dir, "big.json", "[" + ",\n".join(json.dumps(row | {"index": i}) for i in range(60)) + "]")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 20))
+    try:
+        rows = readers.json_documents(spark, tmp_dir, position=True)
+        found = rows.select(F.try_variant_get("v", "$.index", "int").alias("i"), "pos").collect()
+        assert [r.i for r in sorted(found, key=lambda r: (r.pos.block, r.pos.row))] == list(range(60))
+        assert len({r.pos.block for r in found}) >= 5  # one file, several ranges
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_container_rows_unwrap_documents_only(spark, tmp_dir):
@@ -69,12 +119,6 @@ def test_names_without_vectors_count(spark):
     df = spark.createDataFrame([(1, ["a", "b", "c", "d"], ["a"]), (2, ["x"], ["x"]), (3, ["x"], ["y"])],
                                "k int, gold array<string>, pred array<string>")
     known = spark.createDataFrame([("a", [1.0, 0.0])], "tag string, vec array<double>")
-    for carry in (None, []):
-        v = score.attach_vectors(df, lambda t: t.join(known, "tag"), "k", ["gold", "pred"], carry=carry)
-        s = {r.k: r for r in score.with_semantic(v, "gold_vecs", "pred_vecs").collect()}
-        assert s[1].semantic_accuracy == 0.25 and s[1].semantic_recall == 0.25 and s[1].semantic_precision == 1.0
-        assert s[2].semantic_accuracy == 0.0 and s[2].sft_semantic_f1 == 1.0  # nothing encoded: exact F1
-        assert s[3].sft_semantic_f1 == 0.0
     for rows in (10, 0):  # broadcast and shuffle joins
         v = score.attach_grid(df, lambda t: t.join(known, "tag"), "k", "gold", "pred", max_broadcast_rows=rows)
         s = {r.k: r for r in score.with_semantic_grid(v, "gold", "pred").collect()}
@@ -161,11 +205,11 @@ def test_curation_resumes(spark, tmp_dir):
     assert {r["index"]: r.reasoning for r in rows} == {0: "first", 1: "first", 2: "first", 3: "second", 4: "second"}
 
 
-def test_existing_keys_do_not_hide_errors(spark, tmp_dir):
-    field = spark.createDataFrame([], "k int").schema["k"]
-    assert resume._existing_keys(spark, os.path.join(tmp_dir, "none"), field).count() == 0
+def test_a_ledger_out_of_reach_is_an_error(spark, tmp_dir):
+    ids = spark.createDataFrame([("a",)], "id string")
+    assert ledger.KeyLedger(spark, os.path.join(tmp_dir, "none")).known(ids, "b").count() == 0
     with pytest.raises(Exception):
-        resume._existing_keys(spark, "nosuchscheme://host/path", field)
+        ledger.KeyLedger(spark, "nosuchscheme://host/path")
 
 
 def test_sft_target_keeps_lists_and_keys(spark):

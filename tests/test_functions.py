@@ -215,3 +215,23 @@ def test_extract_sft_nested_objects(spark):
     df = spark.createDataFrame(rows, "t string").select(extract_tags_sft(F.col("t")).alias("r"))
     out = [[(x.tag, x.explanation) for x in r.r] for r in df.collect()]
     assert out == [[("a", "x"), ("b", "y")], []]
+
+
+def test_cuts_of_long_and_odd_texts(spark):
+    """No regular expression that recurses or scans a run again: long texts, long runs of white space."""
+    from tagweave.functions.text import cap_tokens, truncate_head_tail
+
+    texts = ["  a b\n\nc  d ", "", "   ", "w " * 50_000, "a" + " " * 300_000 + "b c d", "\n a" + "\t" * 200_000, "\u00e9 b c d e f"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    rows = df.select("i", cap_tokens(F.col("t"), 2).alias("cap"), truncate_head_tail(F.col("t"), 2).alias("cut")).collect()
+    marker = "\n\n[Content truncated]\n\n"
+    for r in rows:
+        t, words = texts[r.i], texts[r.i].split()
+        if len(words) <= 2:
+            assert r.cap == r.cut == t
+            continue
+        second = t.index(words[1], t.index(words[0]) + len(words[0])) + len(words[1])
+        assert r.cap == t[:second]
+        assert r.cut == t[:t.index(words[0]) + len(words[0])] + marker + t[t.rindex(words[-1]):]
+    long = spark.createDataFrame([("word " * 100_000,)], "t string").select(F.length(cap_tokens(F.col("t"), 50_000)).alias("n"))
+    assert long.first().n == 5 * 50_000 - 1

@@ -221,26 +221,3 @@ def test_bounded_broadcast_limits(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
-
-
-def test_attach_vectors_carry_equals_join_back(spark):
-    from tagweave.operators import score
-
-    recs = spark.createDataFrame(
-        [(1, "f", ["a", "b"], ["b"]), (2, "f", [], []), (3, "g", ["c"], ["zz"])],
-        "rid long, file_name string, gold array<string>, pred array<string>")
-    vecs = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0]), ("c", [3.0, 4.0])],
-                                 "tag string, vec array<double>")
-
-    def embed(tags):
-        return tags.join(vecs, "tag")
-
-    def as_dict(df):
-        return {r.rid: (r.file_name, [(x.tag, tuple(x.vec or ())) for x in r.gold_vecs],
-                        [(x.tag, tuple(x.vec or ())) for x in r.pred_vecs]) for r in df.collect()}
-
-    joined = as_dict(score.attach_vectors(recs, embed, "rid", ["gold", "pred"]))
-    carried = as_dict(score.attach_vectors(recs, embed, "rid", ["gold", "pred"], carry=["file_name"]))
-    assert joined == carried
-    assert carried[2] == ("f", [], []) and carried[3][2] == [("zz", ())]  # no vector, place kept
-    assert carried[1][1] == [("a", (1.0, 0.0)), ("b", (0.0, 1.0))]      # unit vectors, list order

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tagweave.operators import export, modelcall
 from tagweave.sources import readers, sinks
-from tagweave.streaming import resume
+from tagweave.streaming import ledger, resume
 
 
 def write(path, name, text):
@@ -140,7 +140,7 @@ def test_resumable_append_each_key_once(spark, tmp_dir):
     resume.resumable_append(spark, src, out, ck, schema, "index")
     write(src, "b.jsonl", "\n".join(json.dumps({"index": i, "text": f"t{i}"}) for i in [3, 4, 5]) + "\n")
     resume.resumable_append(spark, src, out, ck, schema, "index")
-    got = sorted(r["index"] for r in spark.read.json(out).collect())
+    got = sorted(r["index"] for r in ledger.results(spark, out, schema).collect())
     assert got == [1, 2, 3, 4, 5]
 
 
@@ -217,7 +217,7 @@ def test_resumable_generation_with_model_call(spark, tmp_dir):
     write(src, "b.jsonl", "\n".join(json.dumps({"index": i, "prompt": "w " * i}) for i in [2, 3]) + "\n")
     resume.resumable_append(spark, src, out, ck, schema, "index", transform=gen)
     rows = spark.read.json(out).collect()
-    assert sorted(r["index"] for r in rows) == [1, 2, 3]
+    assert sorted(r["index"] for r in rows) == [1, 2, 3] and {r.ok for r in rows} == {True}
     assert all(len(r.responses) == 2 for r in rows)
 
 
