@@ -65,10 +65,12 @@ def map_rows(df: DataFrame, fields: list[T.StructField], make: Callable, rows: i
 
     ``make()`` runs once per task and returns a function from a slice (a
     RecordBatch with the columns of ``df``) to a list of arrays, one per
-    field. ``keep`` names the columns of ``df`` to keep (all by default).
+    field. ``keep`` names the columns of ``df`` to keep (all by default); one
+    that has the name of a field is replaced by it.
     """
     small_batches(df.sparkSession)
-    kept = list(df.columns) if keep is None else keep
+    made_names = {f.name.lower() for f in fields}
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in made_names]
     at = [df.columns.index(c) for c in kept]
     schema = T.StructType([df.schema.fields[i] for i in at] + fields)
 

@@ -52,15 +52,17 @@ def test_byte_cnn(spark, wide, empty):
     none = byte_cnn.fit(wide, labels(spark, [], "label"))
     assert {r.p for r in byte_cnn.score(wide, none, out="p").collect()} == {0.5}
     some = byte_cnn.fit(wide, labels(spark, [(3, 1), (3, 0), (6, 1), (99, 0), (None, 1), (8, None)], "label"))
-    got = byte_cnn.score(wide, some, out="p").collect()
-    assert len(got) == len(ROWS) and all(0 <= r.p <= 1 for r in got)
-    assert byte_cnn.score(empty, some, out="p").count() == 0
+    got = byte_cnn.score(wide, some).collect()  # takes the place of the input's score
+    assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got) and byte_cnn.score(wide, some).columns.count("score") == 1
+    assert byte_cnn.score(empty, some).count() == 0
 
 
 def test_bpe(wide, empty):
     got = bpe.decode(bpe.encode(wide, RANKS, PATTERN, ids="own"), RANKS, PATTERN, ids="own").collect()
     assert [bytes(r.decoded) for r in got] == [(r[1] or "").encode() for r in ROWS] and got[0].ids == "y"
     assert bpe.encode(empty, RANKS, PATTERN).count() == 0
+    got = bpe.decode(bpe.encode(wide, RANKS, PATTERN), RANKS, PATTERN)  # ids replaced
+    assert got.columns.count("ids") == 1 and [bytes(r.decoded) for r in got.collect()] == [(r[1] or "").encode() for r in ROWS]
 
 
 def test_simhash(spark, wide, empty):
@@ -113,6 +115,9 @@ def test_language_id(spark, wide, empty):
     nothing = lang_id.annotate(wide, lang_id.fit(empty), prefix="p_").collect()
     assert {r.p_lang_pred for r in nothing} == {"und"} and not any(r.p_rejected for r in nothing if r.doc_id == 3)
     assert lang_id.annotate(empty, model).count() == 0
+    named = lang_id.annotate(wide, model)
+    assert named.columns.count("lang_pred") == 1 and named.columns.count("score") == 1
+    assert {r.lang_pred for r in named.select("doc_id", "lang_pred").collect() if r.doc_id in (1, 2, 7)} == {"und"}
 
 
 def test_nearest(spark):
@@ -130,6 +135,17 @@ def test_secrets(wide, empty):
     assert len(got) == len(ROWS) and all(r.spans == [] for r in got)
     assert secret_scan.scan(empty).count() == 0 and secret_scan.redact(empty).count() == 0
     assert secret_scan.redact(wide).columns == wide.columns
+    found = secret_scan.find_candidates(wide)
+    assert found.columns.count("candidates") == 1 and all(r.candidates == [] for r in found.collect())
+
+
+def test_other_results_replace_columns_of_their_names(wide):
+    prints = order_minhash.fingerprints(wide)
+    assert prints.columns.count("fingerprint") == 1 and len(prints.first().fingerprint) == 8 * order_minhash.COMPONENTS
+    assert simhash_dedup.fingerprints(wide).select("fingerprint").first().fingerprint == 0
+    model = soft_mixing.fit(wide, labels(wide.sparkSession, [(3, "a"), (6, "b"), (8, "b")], "domain"))
+    told = soft_mixing.predict(wide, model)
+    assert told.columns.count("posterior") == 1 and told.columns.count("n_tokens") == 1 and len(told.first().posterior) == 2
 
 
 def test_long_runs_split_as_one_text(spark):
