@@ -8,15 +8,17 @@ mean of a text's chunk responses go through one logistic unit to a
 probability.
 
 Training fits all weights by gradient descent on a bounded sample of labelled
-documents (about ``max_docs``, drawn by hash) of each of which at most
-``max_chunks`` chunks, spread over the whole text, are looked at. The fitted
-weights are a few thousand numbers. Scoring reads every byte of every text.
+documents, drawn by hash: about ``max_docs`` of them, fewer where those hold more than
+``max_bytes`` bytes (the first one drawn is taken in any case). Of a drawn document
+every chunk is learned from. The fitted weights are a few thousand numbers.
+Scoring reads every byte of every text.
 
 Cases: a null text counts as empty; an empty text is scored as padding; labels
 that are null or belong to no document are not learned from, repeated labels of a
 document count once (the smallest); with no labels, or one value only, the
 score is the smoothed share of label 1; texts of any length are worked
-through in segments of bounded size; an empty table gives an empty result.
+through in segments of bounded size; a column that has the name of the result
+is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,18 +30,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagweave.functions.sizing import bounded_broadcast
-from tagweave.llm.common import map_rows, slices
+from tagweave.llm.common import cut, map_rows
 
 TAPS = 6
 FILTERS = 16
 CHUNK, STRIDE = 512, 384
 MAX_DOCS = 2000
-MAX_CHUNKS = 8
+MAX_BYTES = 16 << 20
 EPOCHS = 12
 THRESHOLD = 0.3
 SEED = 11
-# Bytes of a text worked through at once.
+# Bytes of a text worked through at once, and chunks in training.
 SEGMENT = STRIDE * 256
+STEP_CHUNKS = 256
 
 
 def chunk_starts(n: int) -> np.ndarray:
@@ -90,8 +93,22 @@ def constant(labels: np.ndarray) -> dict:
             "out": np.zeros(2 * FILTERS), "out_bias": float(np.log(share / (1 - share)))}
 
 
-def train(chunks: np.ndarray, held: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> dict:
-    """Fit on chunks (docs, chunks, bytes), how many each document has, and labels."""
+def peaks(raw: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of chunks (chunks, bytes): where each filter responds most, and how much."""
+    where, most = np.empty((len(raw), FILTERS), np.int64), np.empty((len(raw), FILTERS), np.float32)
+    places = raw.shape[1] - TAPS + 1
+    for at in range(0, len(raw), STEP_CHUNKS):
+        own = raw[at:at + STEP_CHUNKS]
+        act = tables[0][own[:, :places]]
+        for tap in range(1, TAPS):
+            act += tables[tap][own[:, tap:tap + places]]
+        here = act.argmax(axis=1)
+        where[at:at + STEP_CHUNKS], most[at:at + STEP_CHUNKS] = here, np.take_along_axis(act, here[:, None, :], 1)[:, 0]
+    return where, most
+
+
+def train(chunks: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> dict:
+    """Fit on the chunks of each document (chunks, bytes) and the labels."""
     if len(set(labels.tolist())) < 2:
         return constant(labels)
     rng = np.random.default_rng(seed)
@@ -105,15 +122,11 @@ def train(chunks: np.ndarray, held: np.ndarray, labels: np.ndarray, epochs: int
         order = rng.permutation(len(labels))
         for at in range(0, len(order), size):
             docs = order[at:at + size]
-            many = held[docs]
-            raw = np.concatenate([chunks[d, :n] for d, n in zip(docs, many, strict=True)])
+            raw = np.concatenate([chunks[d] for d in docs])
+            many = np.array([len(chunks[d]) for d in docs])
             begin = np.cumsum(many) - many
-            places = raw.shape[1] - TAPS + 1
-            act = p["tables"][0][raw[:, :places]]
-            for tap in range(1, TAPS):
-                act += p["tables"][tap][raw[:, tap:tap + places]]
-            where = act.argmax(axis=1)  # (chunks, filters)
-            peak = np.take_along_axis(act, where[:, None, :], 1)[:, 0] + p["bias"]
+            where, peak = peaks(raw, p["tables"])
+            peak = peak + p["bias"]
             live = np.maximum(peak, 0)
             most = np.maximum.reduceat(live, begin, axis=0)
             mean = np.add.reduceat(live, begin, axis=0) / many[:, None]
@@ -136,36 +149,29 @@ def train(chunks: np.ndarray, held: np.ndarray, labels: np.ndarray, epochs: int
 
 
 def fit(df: DataFrame, labelled: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "label",
-        max_docs: int = MAX_DOCS, max_chunks: int = MAX_CHUNKS) -> dict:
+        max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> dict:
     """The network's weights. ``labelled`` has the columns ``doc`` and ``label`` (0 or 1)."""
     labels = (labelled.select(F.col(doc).alias("id"), F.col(label).cast("int").alias("y")).dropna()
               .groupBy("id").agg(F.min("y").alias("y")).withColumn("draw", F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / (1 << 20)))
     share = min(1.0, max_docs / max(labels.count(), 1))
-    drawn = bounded_broadcast(labels.filter(F.col("draw") < share).select("id", "y"), max_rows=2 * max_docs)
-    texts = df.select(F.col(doc).alias("id"), F.col(text).alias("text")).join(drawn, "id").select("id", "y", "text")
-
-    def pick(batches):
-        for piece in slices(batches):
-            rows = {"id": piece.column(0), "y": piece.column(1), "held": [], "chunks": []}
-            for t in piece.column(2).to_pylist():
-                raw = to_bytes(t)
-                starts = chunk_starts(len(raw))
-                if len(starts) > max_chunks:
-                    starts = starts[np.linspace(0, len(starts) - 1, max_chunks).round().astype(int)]
-                rows["held"].append(len(starts))
-                rows["chunks"].append(b"".join(raw[s:s + CHUNK].tobytes().ljust(CHUNK, b"\0") for s in starts))
-            yield pa.RecordBatch.from_pydict(rows)
-
-    id_type = texts.schema["id"].dataType.simpleString()
-    sample = texts.mapInArrow(pick, f"id {id_type}, y int, held long, chunks binary").dropDuplicates(["id", "chunks"]).toArrow()
+    drawn = bounded_broadcast(labels.filter(F.col("draw") < share).select("id", "y", "draw"), max_rows=2 * max_docs)
+    texts = cut(df.select(F.col(doc).alias("id"), F.col(text).alias("text")).join(drawn, "id")
+                .select("draw", "y", F.coalesce("text", F.lit("")).alias("text")).distinct())
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > max_bytes:
+        first = texts.agg(F.min("draw")).first()[0]
+        texts = texts.filter((F.col("draw") < share * max_bytes / size) | (F.col("draw") == first))
+    sample = texts.orderBy("draw", "text").select("y", "text").toArrow()  # bounded by max_docs and max_bytes
     if not sample.num_rows:
         return constant(np.empty(0))
-    sample = sample.sort_by([("id", "ascending"), ("chunks", "ascending")])
-    held = sample["held"].to_numpy()
-    chunks = np.zeros((len(held), max_chunks, CHUNK), np.uint8)
-    for i, data in enumerate(sample["chunks"].to_pylist()):
-        chunks[i, :held[i]] = np.frombuffer(data, np.uint8).reshape(-1, CHUNK)
-    return train(chunks, held, sample["y"].to_numpy().astype(np.float64))
+    return train([chunked(to_bytes(t)) for t in sample["text"].to_pylist()], sample["y"].to_numpy().astype(np.float64))
+
+
+def chunked(raw: np.ndarray) -> np.ndarray:
+    """All chunks of a text as rows, zeros after its end."""
+    starts = chunk_starts(len(raw))
+    padded = np.concatenate([raw, np.zeros(starts[-1] + CHUNK - len(raw) if starts[-1] + CHUNK > len(raw) else 0, np.uint8)])
+    return np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[starts]
 
 
 def score(df: DataFrame, model: dict, text: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:
