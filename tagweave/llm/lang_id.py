@@ -8,23 +8,27 @@ contexts with their interpolation weights, for n-grams that no language has
 seen. A text gets the language whose model gives the lowest cross-entropy per
 character.
 
-Rejection is calibrated on labelled texts kept out of the counts: a text is
-rejected if its cross-entropy exceeds, for its predicted language, the mean of
-those by more than any of them does, with a margin; the allowance falls with
-the root of the text's length.
-
-Only text and language are learned from. The models are fitted on at most
-about ``per_language`` texts of each of the ``max_languages`` most frequent
-languages, drawn by hash, and keep all n-grams of the texts they learn from:
-these texts bound what reaches the driver and what is broadcast. Where they
-hold more than ``max_ngrams`` n-grams, the languages with the most learn from
-fewer texts, but not from fewer than about ``least_texts``. Every text is
-scored whole.
+Rejection is calibrated on labelled texts kept out of the counts (an eighth of
+those of a language that has at least ``CALIBRATE`` of them; a language with fewer
+learns from all): a text is rejected if its cross-entropy exceeds the mean of its
+predicted language by more than an allowance. That is twice a high quantile of
+what the language's calibration texts of that length class exceed it by, no
+less than a value that falls with the root of the text's length; where a
+language has few such texts, the quantile over all languages counts.
+
+Only text and language are learned from. Every language that has a text has a
+model. It is fitted on at most about ``per_language`` texts of each, drawn by
+hash, and keeps all n-grams of the texts it learns from: these labelled rows
+bound what reaches the driver and what is broadcast. Where they hold more
+than ``max_ngrams`` n-grams, or more than ``max_cells`` numbers for all languages
+together, the languages with the most learn from fewer texts, down to a single
+one. Every text is scored whole.
 
 Cases: null texts and texts without a letter are ``und`` with score 0 and
 rejected; with nothing to learn from, every text is ``und``, with score 0, and
 none but those is rejected; ties go to the first language in order; repeated
-rows give equal rows; an empty table gives an empty result.
+rows give equal rows; columns that have the names of the result are replaced;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,12 +43,18 @@ from tagweave.llm.common import cut, map_rows, slices
 
 ORDER = 4
 PER_LANGUAGE = 2000
-MAX_LANGUAGES = 200
 MAX_NGRAMS = 2_000_000
-LEAST_TEXTS = 100
+# Numbers of the models, n-grams times languages: the arrays' size in memory.
+MAX_CELLS = 40_000_000
 UNDETERMINED = "und"
-MARGIN = 1.5
-SHORT = 200
+# Texts of a language from which an eighth is kept for calibration, and calibration texts
+# that a quantile takes; least letters of the length classes.
+CALIBRATE = 40
+ENOUGH = 30
+CLASSES = (0, 64, 256, 1024)
+QUANTILE, MARGIN, SLACK = 0.995, 2.0, 0.15
+# Least allowance: nats per character, by the root of the number of letters and up to a length.
+BY_ROOT, LONGEST = 8.0, 1024
 SPACE = 32
 # Powers of the multiplier of the n-gram hash.
 POWERS = [np.uint64(pow(0xD1342543DE82EF95, k, 1 << 64)) for k in range(16)]
@@ -192,23 +202,27 @@ def level(sizes: list[int], most: int) -> float:
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc: str = "doc_id", order: int = ORDER,
-        per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES, max_ngrams: int = MAX_NGRAMS,
-        least_texts: int = LEAST_TEXTS) -> dict:
+        per_language: int = PER_LANGUAGE, max_ngrams: int = MAX_NGRAMS, max_cells: int = MAX_CELLS) -> dict:
     """The models of the languages in ``df``; ``doc`` only serves to draw the texts."""
     rows = df.select(F.col(text).alias("text"), F.col(lang).alias("lang"),
                      F.xxhash64(doc, text).alias("draw")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    rows = rows.withColumn("calibrate", F.pmod(F.shiftright("draw", 24), F.lit(8))).withColumn("draw", F.pmod("draw", F.lit(1 << 20)) / (1 << 20))
+    # One row for each language; the text drawn first is always learned from.
+    found = {r["lang"]: r for r in rows.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("draw", "calibrate")).alias("first")).collect()}
     if not found:
         return {"languages": []}
-    shares = {r["lang"]: min(1.0, per_language / r["count"]) for r in found}
-    least = {r["lang"]: min(shares[r["lang"]], least_texts / r["count"]) for r in found}
+    shares = {x: min(1.0, per_language / r["n"]) for x, r in found.items()}
+
+    def of_language(values: dict):
+        return F.create_map(*[F.lit(x) for item in values.items() for x in item])[F.col("lang")]
 
     def within(shares: dict[str, float]):
-        share = F.create_map(*[F.lit(x) for item in shares.items() for x in item])
-        return F.col("draw") < F.coalesce(share[F.col("lang")], F.lit(0.0))
+        return (F.col("draw") < of_language(shares)) | (F.col("draw") == of_language({x: r["first"]["draw"] for x, r in found.items()}))
 
-    drawn = cut(rows.withColumn("calibrate", F.pmod(F.shiftright("draw", 24), F.lit(8)) == 0)
-                .withColumn("draw", F.pmod("draw", F.lit(1 << 20)) / (1 << 20)).filter(within(shares)))
+    # The eighth that the first text is in is learned from.
+    apart = of_language({x: (r["first"]["calibrate"] + 1) % 8 if r["n"] >= CALIBRATE else -1 for x, r in found.items()})
+    drawn = cut(rows.withColumn("calibrate", F.col("calibrate") == apart).filter(within(shares)))
 
     def count(batches):
         letters = letter_table()
@@ -229,8 +243,8 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc: str = "doc_i
         counted = cut(drawn.filter("NOT calibrate").filter(within(shares)).select("text", "lang")
                       .mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
         sizes = {r["lang"]: r["count"] for r in counted.groupBy("lang").count().collect()}
-        most = level(list(sizes.values()), max_ngrams)
-        fewer = {x: max(least[x], shares[x] * 0.9 * most / n) for x, n in sizes.items() if n > most and shares[x] > least[x]}
+        most = level(list(sizes.values()), min(max_ngrams, max_cells // max(1, len(sizes))))
+        fewer = {x: shares[x] * 0.9 * most / n for x, n in sizes.items() if n > most and shares[x] * found[x]["n"] > 0.5}
         if not fewer:
             break
         shares |= fewer
@@ -240,24 +254,39 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc: str = "doc_i
     codes = np.frombuffer("".join(counted["gram"].to_pylist()).encode("utf-32-le", "replace"), "<u4").reshape(-1, order)
     langs, n = np.array(counted["lang"].to_pylist(), object), counted["n"].to_numpy()
     model = kneser_ney({x: (codes[langs == x], n[langs == x]) for x in set(langs)}, order)
-    tried = annotate(drawn.filter("calibrate"), model | {"allow": None}, "text")
-    own = tried.filter("lang = lang_pred").withColumn("long", F.col("n_letters") >= SHORT).cache()
-    mean = {r["lang"]: r["m"] for r in own.groupBy("lang").agg(F.avg("cross_entropy").alias("m")).collect()}
-    centre = F.create_map(*[x for k, v in mean.items() for x in (F.lit(k), F.lit(v))])[F.col("lang")] if mean else F.lit(0.0)
-    over = own.withColumn("over", F.col("cross_entropy") - centre)
-    worst = over.agg(F.max(F.when(F.col("long"), F.col("over"))).alias("a"),
-                     F.max(F.when(~F.col("long"), F.col("over") * F.sqrt("n_letters"))).alias("b")).first()
-    own.unpersist()
-    overall = max(mean.values()) if mean else float("inf")
-    model["allow"] = {"mean": [mean.get(x, overall) for x in model["languages"]],
-                      "a": max(MARGIN * (worst["a"] or 0), 0.3), "b": max(MARGIN * (worst["b"] or 0), 10.0)}
+    model["allow"] = calibrated(annotate(drawn.filter("calibrate").select("lang", "text"), model, "text"), model["languages"])
     return model
 
 
+def calibrated(tried: DataFrame, languages: list[str]) -> dict:
+    """Mean cross-entropy of each language's calibration texts that it is
+    predicted for, and what a text of each length class may exceed it by."""
+    own = cut(tried.filter("lang = lang_pred").select("lang", "cross_entropy", "n_letters"))
+    mean = {r["lang"]: r["m"] for r in own.groupBy("lang").agg(F.avg("cross_entropy").alias("m")).collect()}
+    if not mean:
+        return {"mean": [float("inf")] * len(languages), "over": [[float("inf")] * len(CLASSES)] * len(languages)}
+    centre = F.create_map(*[x for k, v in mean.items() for x in (F.lit(k), F.lit(v))])[F.col("lang")]
+    length = sum(((F.col("n_letters") >= c).cast("int") for c in CLASSES[1:]), F.lit(0))
+    over = own.select("lang", length.alias("c"), (F.col("cross_entropy") - centre).alias("over"))
+    high = F.percentile_approx("over", QUANTILE).alias("q"), F.count(F.lit(1)).alias("n")
+    by_class = {r["c"]: r["q"] for r in over.groupBy("c").agg(*high).collect()}
+    by_both = {(r["lang"], r["c"]): r["q"] for r in over.groupBy("lang", "c").agg(*high).collect() if r["n"] >= ENOUGH}
+    allowed = []
+    for x in languages:
+        row, least = [], 0.0
+        for c in reversed(range(len(CLASSES))):  # a shorter text is never allowed less
+            q = by_both.get((x, c), by_class.get(c))
+            least = max(least, MARGIN * max(q or 0.0, 0.0) + SLACK)
+            row.append(least)
+        allowed.append(row[::-1])
+    # A language without calibration texts is measured by the least predictable one.
+    return {"mean": [mean.get(x, max(mean.values())) for x in languages], "over": allowed}
+
+
 def annotate(df: DataFrame, model: dict, text: str = "text", prefix: str = "") -> DataFrame:
     """Add lang_pred, score (posterior of texts of at most 50 characters, 0 to
     1), cross_entropy, n_letters and rejected to every row."""
-    sent = df.sparkSession.sparkContext.broadcast(model)  # bounded by max_ngrams and max_languages
+    sent = df.sparkSession.sparkContext.broadcast(model)  # bounded by max_ngrams and max_cells
     at = df.columns.index(text)
     names = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("cross_entropy", T.DoubleType()),
              ("n_letters", T.LongType()), ("rejected", T.BooleanType())]
@@ -279,9 +308,9 @@ def annotate(df: DataFrame, model: dict, text: str = "text", prefix: str = "") -
                 score = np.where(sizes > 0, 1 / odds.sum(axis=1), 0.0)
                 rejected = sizes == 0
                 if model.get("allow"):
-                    allow = model["allow"]
-                    limit = np.array(allow["mean"])[best] + allow["a"] + allow["b"] / np.sqrt(np.maximum(sizes, 1))
-                    rejected |= entropy > limit
+                    allow, few = model["allow"], np.minimum(np.maximum(sizes, 1), LONGEST)
+                    over = np.array(allow["over"])[best, np.searchsorted(CLASSES, sizes, side="right").clip(1) - 1]
+                    rejected |= entropy > np.array(allow["mean"])[best] + np.maximum(over, BY_ROOT / np.sqrt(few))
                 best = np.where(sizes > 0, best, len(languages) - 1)
             return [pa.array(languages[best].tolist(), pa.string()), pa.array(score), pa.array(entropy),
                     pa.array(sizes.astype(np.int64)), pa.array(rejected)]
