@@ -5,7 +5,8 @@ which are always reported, and further kinds that are reported only if they
 look alive and belong to few owners. Every candidate's value is hashed; the
 hashes are aggregated over the whole corpus by distinct owner (the source of a
 document) and distinct repository (the document). A value that more owners
-hold than ``max_owners`` is a widely copied example; a rarer one that is not a
+than ``max_owners`` hold, or more repositories than ``max_repositories`` (an example
+that one owner copies everywhere), is widely copied; a rarer one that is not a
 placeholder is owner-specific.
 
 ``redact`` replaces every reported span of the documents by its kind.
@@ -17,7 +18,10 @@ value, so a value held by a third of all rows is a partial sum in every task.
 
 Cases: a null text counts as empty; a null owner is an owner of its own;
 documents without candidates are returned with no spans; repeated rows give
-equal rows (one repository, counted once); a document id may be null.
+equal rows (one repository, counted once); a document id may be null; only id,
+owner and text are read (``redact`` keeps all columns), and a column that has the
+name of ``find_candidates``' result is replaced; an empty table gives an empty
+result. All patterns take time linear in the text.
 """
 
 from __future__ import annotations
@@ -46,7 +50,7 @@ BASE = ("assign", "access", "hex")
 # Further kinds: formats of well-known credentials, and bare high-entropy strings.
 MORE = {
     "bearer": re.compile(r"[Bb]earer\x20+([A-Za-z0-9._~+/=-]{20,})"),
-    "jwt": re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    "jwt": re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     "vendor": re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{30,})"),
     "url": re.compile(r"[a-z][a-z0-9+]{1,15}://[^\s:/@]{1,64}:([^\s:/@]{6,128})@"),
     "key_block": re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),  # see key_end
@@ -61,8 +65,9 @@ KEY_LINES = re.compile(rf"(?:{_BREAK}+(?:Proc-Type|DEK-Info): [^\n\\]*)*(?:(?:{_
 PLACEHOLDER = re.compile(r"example|sample|dummy|changeme|placeholder|your[_-]|xxxx|1234567|abcdef", re.IGNORECASE)
 # Bits per character from which a string without a known format counts as random.
 MIN_ENTROPY = 3.5
-# Owners up to which a value is owner-specific.
+# Owners and repositories up to which a value is owner-specific.
 MAX_OWNERS = 2
+MAX_REPOSITORIES = 20
 
 CANDIDATE = T.ArrayType(T.StructType([
     T.StructField("kind", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
@@ -147,7 +152,7 @@ def ownership(found: DataFrame, repository: str, owner: str) -> DataFrame:
 
 
 def scan(df: DataFrame, doc: str = "doc_id", text: str = "text", owner: str = "source",
-         max_owners: int = MAX_OWNERS) -> DataFrame:
+         max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """One row per document: ``doc``, ``base`` and ``spans`` (arrays of
     kind:start:end, as strings in order), counts by base kind, and how many
     spans hold owner-specific and widely copied values."""
@@ -155,13 +160,14 @@ def scan(df: DataFrame, doc: str = "doc_id", text: str = "text", owner: str = "s
     found = cut(find_candidates(rows, keep=["doc_id", "owner"]).withColumn("row", F.monotonically_increasing_id()))
     counts = ownership(found, "doc_id", "owner")
     each = found.select("row", F.explode("candidates").alias("c")).select("row", "c.*")
-    judged = (each.join(counts, "value")
-              .withColumn("specific", F.col("live") & (F.col("owners") <= max_owners))
+    wide = (F.col("owners") > max_owners) | (F.col("repositories") > max_repositories)
+    judged = (each.join(counts.withColumn("wide", wide), "value")
+              .withColumn("specific", F.col("live") & ~F.col("wide"))
               .filter((F.col("kind") < len(BASE)) | F.col("specific"))
               .groupBy("row").agg(
                   F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("s"),
                   F.count_if("specific").alias("n_owner_specific"),
-                  F.count_if(F.col("owners") > max_owners).alias("n_widely_copied")))
+                  F.count_if("wide").alias("n_widely_copied")))
     names = F.array(*[F.lit(k) for k in KINDS])
     label = lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))
     spans = F.coalesce("s", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))
@@ -176,7 +182,7 @@ def scan(df: DataFrame, doc: str = "doc_id", text: str = "text", owner: str = "s
 
 
 def redact(df: DataFrame, doc: str = "doc_id", text: str = "text", owner: str = "source", length: str | None = None,
-           max_owners: int = MAX_OWNERS) -> DataFrame:
+           max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """The rows of ``df`` with every reported span replaced by ``[kind]``.
 
     ``length`` names a column that holds the text's length, kept in step. Only
@@ -187,7 +193,7 @@ def redact(df: DataFrame, doc: str = "doc_id", text: str = "text", owner: str =
     marked = df.withColumn(at, F.xxhash64(text))
     id_name = free_name("__doc", df)
     keyed = marked.select(F.struct(doc, at).alias("key"), F.col(owner).alias("owner"), F.col(text).alias("text"))
-    spans = (scan(keyed, "key", "text", "owner", max_owners).filter(F.size("spans") > 0)
+    spans = (scan(keyed, "key", "text", "owner", max_owners, max_repositories).filter(F.size("spans") > 0)
              .select(F.col("doc_id")[doc].alias(id_name), F.col("doc_id")[at].alias("__h"), F.col("spans").alias(mark))
              .dropDuplicates([id_name, "__h"]))
     small = bounded_broadcast(spans, max_rows=500_000, max_bytes=32 << 20)
