@@ -1,14 +1,17 @@
 """Approximate nearest neighbours by a permutation index.
 
 Every vector is represented by its nearest pivots in order of nearness. The
-vectors are dealt into blocks; in a block each pivot has an inverted file with
-the weight (list length less place) that the pivot has in each vector's list,
-zero where it isn't on the list, stored dense because a list of half the
-pivots posts half the vectors. A query adds up over its own pivots what the
-inverted files share with it: the footrule distance of two lists is a constant
-less twice the sum of the smaller weights. The best share of a block by that
-distance is then reranked by the inner product of the original vectors in
-double precision, and the blocks' lists are merged.
+vectors are dealt into blocks; in a block each pivot has an inverted file of the
+vectors on whose list it is, with its weight there (list length less place). A
+query reads the files of its own pivots only, an eighth of all where there are
+512 pivots, and adds up what they share with it: the footrule distance of two
+lists is a constant less twice the sum of the smaller weights. The best
+candidates of a block by that distance are then reranked by the inner product of
+the original vectors in double precision, and the blocks' lists are merged.
+
+The number of pivots grows with the table up to ``MOST_PIVOTS``, and the candidates
+of a query grow with the table's size to the power ``GROWTH``, so their share falls:
+a quarter of 2,000 rows, a tenth of 50,000, a hundredth of 100 million.
 
 Inner products become nearness by one more component that brings all vectors
 to the norm of the longest (queries keep a zero there); vectors of one norm
@@ -22,7 +25,8 @@ Cases: vectors that are null, zero, of another than the most frequent length,
 or that hold null or non-finite components take no part, nor do rows without
 id; rows with the same id count once, by the smallest vector; equal vectors
 tie to the smaller id; with fewer candidates than asked for, all are returned;
-an empty table gives an empty result.
+only id and vector are read, so other columns cannot clash; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,12 +41,11 @@ from pyspark.sql import types as T
 
 from tagweave.llm.common import cut, map_rows, parallelism
 
-PIVOTS = 128
+LEAST_PIVOTS, MOST_PIVOTS = 128, 512
 NEAR = 64
-# Share of a block's different vectors that is reranked, and their least number. A
-# cluster of near-copies ranks as one, so the share exceeds a third.
-SHARE = 0.4
-LEAST = 512
+# Different vectors that a query reranks: CANDIDATES * n ** GROWTH, and at least LEAST in a block.
+CANDIDATES, GROWTH = 2.6, 0.7
+LEAST = 64
 BLOCK_ROWS = 16384
 QUERY_ROWS = 4096
 
@@ -75,7 +78,7 @@ def lengthen(x: np.ndarray, norm: float) -> np.ndarray:
 
 def nearest_pivots(x: np.ndarray, centres: np.ndarray, near: int) -> np.ndarray:
     """Numbers of the nearest pivots of each row, nearest first (ties to the smaller number)."""
-    return np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :near].astype(np.uint8)
+    return np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :near].astype(np.uint16)
 
 
 def matrix(column) -> np.ndarray:
@@ -95,14 +98,17 @@ def search_block(ids, x, lists, query_ids, q, query_lists, n_pivots: int, k: int
     begin = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(first)))]).astype(int)
     x, lists, n = x[first], lists[first], len(first)
     near = lists.shape[1]
-    posted = np.zeros((n_pivots, n), np.int16)
-    posted[lists.T, np.arange(n)] = np.arange(near, 0, -1, dtype=np.int16)[:, None]
+    # The inverted files: vectors by pivot, ascending, with the pivot's weight on their lists.
+    flat = lists.ravel()
+    by_pivot = np.argsort(flat, kind="stable")
+    files = np.searchsorted(flat[by_pivot], np.arange(n_pivots + 1))
+    posted, weights = by_pivot // max(near, 1), near - by_pivot % max(near, 1)
     take = min(n, max(least, 2 * k, math.ceil(share * n)))
     out = []
     for query, vector, its in zip(query_ids, q, query_lists, strict=True):
-        shared = np.zeros(n, np.int32)
-        for place, pivot in enumerate(its):
-            shared += np.minimum(posted[pivot], np.int16(near - place))
+        read = [slice(files[p], files[p + 1]) for p in its]
+        shared = np.bincount(np.concatenate([posted[r] for r in read]), minlength=n, weights=np.concatenate(
+            [np.minimum(weights[r], near - place) for place, r in enumerate(read)]))
         if take < n:
             bar = np.partition(shared, n - take)[n - take]
             above = np.flatnonzero(shared > bar)
@@ -124,13 +130,12 @@ def search_block(ids, x, lists, query_ids, q, query_lists, n_pivots: int, k: int
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def search(df: DataFrame, is_query, vec: str = "vec_id", embedding: str = "embedding", k: int = 20, n_pivots: int = PIVOTS,
-           near: int = NEAR, share: float = SHARE, least: int = LEAST, block_rows: int = BLOCK_ROWS,
+def search(df: DataFrame, is_query, vec: str = "vec_id", embedding: str = "embedding", k: int = 20, n_pivots: int | None = None,
+           near: int = NEAR, share: float | None = None, least: int = LEAST, block_rows: int = BLOCK_ROWS,
            query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row whose id
-    satisfies ``is_query`` (a function of the id column)."""
-    if n_pivots > 256:
-        raise ValueError("pivot numbers are single bytes: at most 256 pivots")
+    satisfies ``is_query`` (a function of the id column). ``n_pivots`` and the
+    ``share`` of a block that is reranked follow from the number of rows unless given."""
     spark = df.sparkSession
     kept, width = usable(df, vec, embedding)
     rows = cut(kept)
@@ -140,7 +145,8 @@ def search(df: DataFrame, is_query, vec: str = "vec_id", embedding: str = "embed
     if not n_query:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     norm = math.sqrt(square)
-    plain = pivots(rows, n_pivots)
+    share = min(1.0, CANDIDATES * n ** (GROWTH - 1)) if share is None else share
+    plain = pivots(rows, n_pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, n // 8)))
     centres, n_centres = lengthen(plain, norm), len(plain)
     near = min(near, n_centres)
 
@@ -162,9 +168,9 @@ def search(df: DataFrame, is_query, vec: str = "vec_id", embedding: str = "embed
                      F.pmod(F.xxhash64("id"), F.lit(n_query_blocks)).cast("int").alias("part")))
 
     def tile(key, left, right):
-        lists = [np.frombuffer(b"".join(t[c].to_pylist()), np.uint8).reshape(-1, near) for t, c in ((left, "list"), (right, "asked"))]
+        lists = [np.frombuffer(b"".join(t[c].to_pylist()), np.uint16).reshape(-1, near) for t, c in ((left, "list"), (right, "asked"))]
         if not left.num_rows or not right.num_rows:
-            found = search_block(np.empty(0), np.empty((0, width)), np.empty((0, near), np.uint8), [], [], [], n_centres, k, share, least)
+            found = search_block(np.empty(0), np.empty((0, width)), np.empty((0, near), np.uint16), [], [], [], n_centres, k, share, least)
         else:
             found = search_block(left["id"].to_numpy(), matrix(left["v"]), lists[0], right["id"].to_numpy(), matrix(right["v"]),
                                  lists[1], n_centres, k, share, least)
