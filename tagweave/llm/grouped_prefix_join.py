@@ -19,16 +19,21 @@ sets.
    become one; shingles of one document alone are dropped from the sets, as
    they match nothing, and counted in the sizes.
 3. Star step: in each list, and for each class of sizes that differ by up to a
-   quarter, every group is verified against the list's first group, and every
+   quarter, every group is verified against the group with the fewest shingles of
+   its own (the original, where the others are its edited copies), and every
    member against its group's first. That costs a row a posting however long the
    list is, and joins the members of a cluster.
-4. Exact step: pairs in a list that are not in one component yet. Lists within
-   one component are left out, and in the others the members of the commonest
-   component meet only those outside it. These pairs pass the size and place
-   filters, are expanded to members of different components, and verified.
-
-Links that stay unverified are inside a component already, so components are
-exact. Shingles are 64-bit hashes; sets of one document with a wrong match are
+4. Exact step: pairs in a list that are not known to be linked over others. Lists
+   of sets that all are are left out, and in the others the members of the commonest
+   cluster meet only those outside it. Four bounds on what two sets share
+   decide within the join: their sizes; the places of the shingle (the first that
+   two sets share is in the lists of both, and all others come after it); the
+   shingles that only one document has; and 256 parity bits of each set, which
+   differ in no more places than the sets do. What is left is expanded to
+   members of different components, and verified.
+
+Links that stay unverified are inside a component already, so the components,
+worked out of all verified links at the end, are exact. Shingles are 64-bit hashes; sets of one document with a wrong match are
 as unlikely as one in 10^12 for 10,000 words.
 
 Cases: A-Z are lower-cased, words end at ASCII white space. Fewer words than a
@@ -60,7 +65,9 @@ PERCENT = 80
 BLOCK_LEAST, BLOCK_MOST = 4 << 20, 32 << 20
 RANGE_ROWS = 4 << 20
 # Shortened hashes have so many bits more than the number of shingles has.
-SPARE_BITS = 6
+SPARE_BITS = 4
+# Parity bits of a set, in 64-bit words.
+PARITY_WORDS = 4
 # Rows verified at once; sets may be long.
 VERIFY_ROWS = 64
 
@@ -160,18 +167,25 @@ def digest(*parts: bytes, size: int = 16) -> bytes:
     return hashlib.blake2b(b"".join(parts), digest_size=size).digest()
 
 
+def parity(own: np.ndarray) -> list[int]:
+    """For each of the hash ranges whether an odd number of the set's shingles is in it, as 64-bit integers."""
+    size = 64 * PARITY_WORDS
+    odd = np.bincount((own >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd, bitorder="little").view("<i8").tolist()
+
+
 def settle_block(ids: list, texts: list[bytes], classes: np.ndarray, words: int, bits: int, percent: int) -> dict[str, list]:
     """One row per document. Of those that may link: set_id, group and single
-    (shingles of this document alone); the set's other shingles and the
-    group's prefix stand with the first of each in the block."""
+    (shingles of this document alone); the set's other shingles with its parity
+    bits, and the group's prefix, stand with the first of each in the block."""
     sets = shingle_sets(texts, words)
     inverse = np.unique(shortened(sets, bits), return_inverse=True)[1]
     at, seen = 0, set()
-    out = {c: [] for c in ("doc_id", "n_shingles", "set_id", "grp", "single", "tokens", "prefix")}
+    out = {c: [] for c in ("doc_id", "n_shingles", "set_id", "grp", "single", "tokens", "parity", "prefix")}
     for i, own in zip(ids, sets):
         n, rank = len(own), classes[inverse[at:at + len(own)]]
         at += n
-        row = [i, n, None, None, None, None, None]
+        row = [i, n, None, None, None, None, None, None]
         single = int((rank == 0).sum())
         if n and single < prefix_length(n, percent):
             shared, rank = own[rank > 0], rank[rank > 0]
@@ -179,9 +193,9 @@ def settle_block(ids: list, texts: list[bytes], classes: np.ndarray, words: int,
             set_id, name = digest(own.tobytes()), digest(n.to_bytes(8, "little"), single.to_bytes(8, "little"), prefix)
             row[2:5] = set_id, int.from_bytes(name[:8], "little", signed=True), single
             if set_id not in seen:
-                row[5] = shared.tobytes()
+                row[5], row[6] = shared.tobytes(), parity(own)
             if name not in seen:
-                row[6] = prefix
+                row[7] = prefix
             seen |= {set_id, name}
         for c, x in zip(out.values(), row):
             c.append(x)
@@ -214,7 +228,7 @@ def settled_documents(rows: DataFrame, words: int, percent: int, block_least: in
     answers = (blocks.mapInArrow(ask, "range int, block long, size int, differences binary, held binary")
                .groupBy("range").applyInArrow(answer, "block long, range int, classes binary"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("grp", pa.int64()),
-                        ("single", pa.int32()), ("tokens", pa.binary()), ("prefix", pa.binary())])
+                        ("single", pa.int32()), ("tokens", pa.binary()), ("parity", pa.list_(pa.int64())), ("prefix", pa.binary())])
 
     def settle(key, held, told):
         ids, texts = unpack_block(held["ids"][0], held["packed"][0])
@@ -223,11 +237,11 @@ def settled_documents(rows: DataFrame, words: int, percent: int, block_least: in
         return pa.table(found, schema=schema)
 
     return cut(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        settle, "doc_id long, n_shingles long, set_id binary, grp long, single int, tokens binary, prefix binary"))
+        settle, "doc_id long, n_shingles long, set_id binary, grp long, single int, tokens binary, parity array<long>, prefix binary"))
 
 
 def postings(found: DataFrame, percent: int) -> DataFrame:
-    """shingle, size_class, grp, n, place of every prefix shingle of every group (repeated for each block that has the group)."""
+    """shingle, size_class, grp, n, single, place of every prefix shingle of every group (repeated for each block that has the group)."""
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, VERIFY_ROWS):
@@ -236,18 +250,31 @@ def postings(found: DataFrame, percent: int) -> DataFrame:
                 place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(single, lengths)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.frombuffer(b"".join(prefix), np.int64)), pa.array(np.repeat([size_class(x, percent) for x in n], lengths), pa.int32()),
-                     pa.array(np.repeat(group, lengths)), pa.array(np.repeat(n, lengths)), pa.array(place, pa.int64())],
-                    names=["shingle", "size_class", "grp", "n", "place"])
+                     *[pa.array(np.repeat(c, lengths), pa.int64()) for c in (group, n, single)], pa.array(place, pa.int64())],
+                    names=["shingle", "size_class", "grp", "n", "single", "place"])
 
     return (found.filter("prefix IS NOT NULL").select("grp", "n_shingles", "single", "prefix")
-            .mapInArrow(run, "shingle long, size_class int, grp long, n long, place long"))
+            .mapInArrow(run, "shingle long, size_class int, grp long, n long, single long, place long"))
+
+
+def may_link(percent: int, n, n2, *overlaps):
+    """Whether sets of n and n2 shingles can link if they share no more than each of ``overlaps``."""
+    fits = F.least(n, n2) * 100 >= F.greatest(n, n2) * percent
+    for o in overlaps:
+        fits &= F.coalesce(o * (100 + percent) >= (n + n2) * percent, F.lit(True))
+    return fits
+
+
+def parity_overlap(n, n2, bits, bits2):
+    """What two sets share at most, by their parity bits (null where one has none)."""
+    differ = sum((F.bit_count(bits[i].bitwiseXOR(bits2[i])) for i in range(PARITY_WORDS)), F.lit(0))
+    return (n + n2 - differ) / 2
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of set ids whose whole sets are alike enough."""
     side = lambda c: sets.select(F.col("set_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("tokens").alias(f"tokens_{c}"))
-    joined = (pairs.join(side("a"), "a").join(side("b"), "b")
-              .filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    joined = (pairs.join(side("a"), "a").join(side("b"), "b").filter(may_link(percent, F.col("n_a"), F.col("n_b")))
               .select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b"))
 
     def run(batches):
@@ -265,46 +292,77 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def open_pairs(posted: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """ga, gb: pairs of groups of a list, and groups with themselves, that hold members of different components."""
-    span = placed.groupBy("grp").agg(F.min("mark").alias("low"), F.max("mark").alias("high"))
-    marked = posted.join(span, "grp")
+    """ga, gb: pairs of groups of a list, and groups with themselves, that hold
+    members of different marks and may link. ``placed``: grp, mark (of its
+    representative) and parity of every set."""
+    span = placed.groupBy("grp").agg(F.min("mark").alias("low"), F.max("mark").alias("high"),
+                                     F.when(F.count(F.lit(1)) == 1, F.first("parity")).alias("parity"))
+    marked = posted.join(span.drop("parity"), "grp")
     torn = marked.groupBy("shingle").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l <> h").select("shingle")
-    lists = cut(marked.join(torn, "shingle", "left_semi").select("shingle", "grp", "n", "place", "low", "high").distinct())
+    columns = ("grp", "n", "single", "place", "low", "high", "parity")
+    lists = cut(marked.join(torn, "shingle", "left_semi").select("shingle", *columns[:-1]).distinct()
+                .join(span.select("grp", "parity"), "grp").select("shingle", *columns))
     commonest = (lists.groupBy("shingle", "low").agg(F.count(F.lit(1)).alias("many"))
                  .groupBy("shingle").agg(F.max_by("low", "many").alias("main")))
     outside = (lists.join(commonest, "shingle").filter("low <> high OR low <> main")
-               .select("shingle", *[F.col(c).alias(c[0] + "2") for c in ("grp", "n", "place", "low", "high")]))
-    overlap = F.least("place", "p2") + 1 + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("p2")) - 1
-    pairs = (lists.join(outside, "shingle")
-             .filter("grp <> g2 AND NOT (low = high AND l2 = h2 AND low = l2)")
-             .filter(F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
-             .filter(overlap * (100 + percent) >= (F.col("n") + F.col("n2")) * percent)
-             .select(F.least("grp", "g2").alias("ga"), F.greatest("grp", "g2").alias("gb")))
+               .select(F.col("shingle").alias("shingle2"), *[F.col(c).alias(c + "2") for c in columns]))
+    one, two = ({c: F.col(c + x) for c in columns} for x in ("", "2"))
+    after = F.least(one["n"] - one["place"], two["n"] - two["place"])
+    shared = one["n"] + two["n"] - F.greatest(one["n"] + two["single"], two["n"] + one["single"])
+    apart = (one["grp"] != two["grp"]) & ~((one["low"] == one["high"]) & (two["low"] == two["high"]) & (one["low"] == two["low"]))
+    pairs = (lists.join(outside, (F.col("shingle") == F.col("shingle2")) & apart & may_link(
+        percent, one["n"], two["n"], after, shared, parity_overlap(one["n"], two["n"], one["parity"], two["parity"])))
+        .select(F.least("grp", "grp2").alias("ga"), F.greatest("grp", "grp2").alias("gb")))
     return pairs.union(span.filter("low <> high").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))).distinct()
 
 
+def expand(groups: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """a, b: the members of pairs of groups that have different marks and may link."""
+    side = lambda g, c: placed.select(F.col("grp").alias(g), *[F.col(x).alias(x + c) for x in ("set_id", "mark", "n_shingles", "parity")])
+    differ = (F.col("mark_a") != F.col("mark_b")) & ((F.col("ga") != F.col("gb")) | (F.col("set_id_a") < F.col("set_id_b")))
+    n, n2 = F.col("n_shingles_a"), F.col("n_shingles_b")
+    left, right = groups.join(side("ga", "_a"), "ga"), side("gx", "_b")
+    fits = may_link(percent, n, n2, parity_overlap(n, n2, F.col("parity_a"), F.col("parity_b")))
+    return (left.join(right, (F.col("gb") == F.col("gx")) & differ & fits)
+            .select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct())
+
+
 def set_components(found: DataFrame, percent: int) -> DataFrame:
     """set_id, root of every set that links with another one."""
-    sets = cut(found.filter("tokens IS NOT NULL").select("set_id", "grp", "n_shingles", "tokens").dropDuplicates(["set_id"]))
+    sets = cut(found.filter("tokens IS NOT NULL").select("set_id", "grp", "n_shingles", "parity", "tokens").dropDuplicates(["set_id"]))
     posted = postings(found, percent)
     first = sets.groupBy("grp").agg(F.min("set_id").alias("first"))
-    leaders = (posted.groupBy("shingle", "size_class").agg(F.min("grp").alias("leader"), F.max("grp").alias("last"))
-               .filter("leader <> last").select("shingle", "size_class", "leader"))
+    own = F.struct("single", "grp")
+    leaders = (posted.groupBy("shingle", "size_class").agg(F.min(own).alias("l"), F.max(own).alias("last"))
+               .filter("l <> last").select("shingle", "size_class", F.col("l.grp").alias("leader")))
     stars = posted.join(leaders, ["shingle", "size_class"]).filter("grp <> leader").select("leader", "grp").distinct()
     pairs = (stars.join(first.withColumnRenamed("first", "b"), "grp")
              .join(first.select(F.col("grp").alias("leader"), F.col("first").alias("a")), "leader").select("a", "b"))
     members = sets.join(first, "grp").filter("set_id <> first").select(F.col("first").alias("a"), F.col("set_id").alias("b"))
     links = cut(verify(pairs.union(members), sets, percent))
-    joined = components(links, "a", "b")
-    placed = cut(sets.select("set_id", "grp").join(joined, F.col("set_id") == F.col("node"), "left")
-                 .select("set_id", "grp", F.coalesce("root", "set_id").alias("root")).withColumn("mark", F.xxhash64("root")))
-    open_ = open_pairs(posted, placed, percent)
-    side = lambda g, c: placed.select(F.col("grp").alias(g), F.col("set_id").alias(c), F.col("mark").alias(f"m{c}"))
-    rest = (open_.join(side("ga", "a"), "ga").join(side("gb", "b"), "gb").filter("ma <> mb AND (ga <> gb OR a < b)").select("a", "b").distinct())
-    more = cut(verify(rest, sets, percent))
-    if more.isEmpty():
-        return joined.select(F.col("node").alias("set_id"), "root")
-    return components(links.union(more), "a", "b").select(F.col("node").alias("set_id"), "root")
+    reps = cut(reached(links))
+    placed = cut(sets.select("set_id", "grp", "n_shingles", "parity").join(reps, "set_id", "left")
+                 .withColumn("mark", F.xxhash64(F.coalesce("rep", "set_id"))))
+    more = cut(verify(expand(open_pairs(posted, placed, percent), placed, percent), sets, percent))
+    # What a representative stands for is linked, so the components are those of the representatives.
+    side = lambda c: reps.select(F.col("set_id").alias(c), F.col("rep").alias("rep_" + c))
+    edges = (links.union(more).join(side("a"), "a", "left").join(side("b"), "b", "left")
+             .select(F.coalesce("rep_a", "a").alias("a"), F.coalesce("rep_b", "b").alias("b")))
+    roots = components(edges, "a", "b")
+    every = reps.union(more.select("a", "a")).union(more.select("b", "b")).groupBy("set_id").agg(F.min("rep").alias("rep"))
+    return every.join(roots, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("root", "rep").alias("root"))
+
+
+def reached(links: DataFrame, hops: int = 3) -> DataFrame:
+    """set_id, rep: the smallest set that a linked set finds within so many
+    links. Sets with one representative are linked, over one or more; that is
+    all the exact step needs, and it leaves few nodes to the components."""
+    both = cut(links.union(links.select("b", "a")).select(F.col("a").alias("set_id"), F.col("b").alias("other")).distinct())
+    reps = both.groupBy("set_id").agg(F.least("set_id", F.min("other")).alias("rep"))
+    for _ in range(hops - 1):
+        told = both.join(reps.select(F.col("set_id").alias("other"), "rep"), "other")
+        reps = told.groupBy("set_id").agg(F.min("rep").alias("rep"))
+    return reps
 
 
 def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT,
