@@ -7,11 +7,12 @@ import __spark_entry__ as E
 from tagweave.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-# Model calls, and the splitter of JSON documents.
+# Model calls, tokenizers, and the scans that cut JSON documents.
 PYTHON_OK = {"two_temperature_responses", "generation_record_rows", "sft_run_record", "json_document_rows", "judge_input_rows",
-             "evaluate_files_metrics", "judge_model_outcomes", "encoded_tags"}
+             "evaluate_files_metrics", "judge_model_outcomes", "encoded_tags", "concurrent_responses", "generation_job",
+             "first_failed_cases", "subword_truncation", "subword_budget", "embedding_cache_reuse"}
 SIDE_EFFECTS = {"jsonl_roundtrip", "preference_file_load", "prefix_split", "difference_score_top", "resume_twice",
-                "running_tag_counts"}
+                "running_tag_counts", "resume_failed_rounds"}
 
 
 def plan_of(df):
