@@ -11,7 +11,7 @@ character.
 Rejection is calibrated on labelled texts kept out of the counts (an eighth of
 those of a language that has at least ``CALIBRATE`` of them; a language with fewer
 learns from all): a text is rejected if its cross-entropy exceeds the mean of its
-predicted language by more than an allowance. That is twice a high quantile of
+predicted language by more than an allowance. That is half a nat and twice a high quantile of
 what the language's calibration texts of that length class exceed it by, no
 less than a value that falls with the root of the text's length; where a
 language has few such texts, the quantile over all languages counts.
@@ -52,7 +52,7 @@ UNDETERMINED = "und"
 CALIBRATE = 40
 ENOUGH = 30
 CLASSES = (0, 64, 256, 1024)
-QUANTILE, MARGIN, SLACK = 0.995, 2.0, 0.15
+QUANTILE, MARGIN, SLACK = 0.995, 2.0, 0.5
 # Least allowance: nats per character, by the root of the number of letters and up to a length.
 BY_ROOT, LONGEST = 8.0, 1024
 SPACE = 32
