@@ -11,7 +11,7 @@ the original vectors in double precision, and the blocks' lists are merged.
 
 The number of pivots grows with the table up to ``MOST_PIVOTS``, and the candidates
 of a query grow with the table's size to the power ``GROWTH``, so their share falls:
-a quarter of 2,000 rows, a tenth of 50,000, a hundredth of 100 million.
+a third of 2,000 rows, an eighth of 50,000, a hundredth of 200 million.
 
 Inner products become nearness by one more component that brings all vectors
 to the norm of the longest (queries keep a zero there); vectors of one norm
@@ -44,7 +44,7 @@ from tagweave.llm.common import cut, map_rows, parallelism
 LEAST_PIVOTS, MOST_PIVOTS = 128, 512
 NEAR = 64
 # Different vectors that a query reranks: CANDIDATES * n ** GROWTH, and at least LEAST in a block.
-CANDIDATES, GROWTH = 2.6, 0.7
+CANDIDATES, GROWTH = 3.2, 0.7
 LEAST = 64
 BLOCK_ROWS = 16384
 QUERY_ROWS = 4096
