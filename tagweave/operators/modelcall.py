@@ -27,8 +27,6 @@ from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.session import checkpoint_dir, path_exists
-
 # The per-partition functions below are shipped by value, so executors need
 # neither this package installed nor the driver's import path.
 register_pickle_by_value(sys.modules[__name__])
@@ -296,6 +294,9 @@ def cached_vectors(embed: Callable[[DataFrame], DataFrame], path: str, encoder:
     encoded (an anti join on the tag column alone), and what comes back is
     appended; tags whose batch failed are not kept and are encoded again by the
     next run. Two runs at a time may both append a tag; readers take one."""
+    # Imported here: executors get this module by value and need no other one.
+    from tagweave.session import checkpoint_dir, path_exists
+
     folder = f"{path.rstrip('/')}/encoder={quote(encoder, safe=' -_.~@+,()')}"
 
     def run(tags: DataFrame) -> DataFrame:

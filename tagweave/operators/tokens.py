@@ -19,9 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagweave.functions.text import TRUNCATION_MARKER, fill_template
-from tagweave.operators.prompts import EOS, SFT_TEMPLATE, budget_columns
-
 register_pickle_by_value(sys.modules[__name__])
 
 # Texts are long: rows handed to the tokenizer at once.
@@ -72,22 +69,24 @@ def with_ids(df: DataFrame, text: str, factory: Callable, out: str = "ids") -> D
                  lambda tok, t: (None if t is None else list(tok.encode(t)),))
 
 
-def _head_tail(tokenizer, ids, text: str, max_tokens: int) -> str:
+def _head_tail(tokenizer, ids, text: str, max_tokens: int, marker: str) -> str:
     half = max_tokens // 2
     if len(ids) <= max_tokens:
         return text
-    return tokenizer.decode(ids[:half]) + TRUNCATION_MARKER + tokenizer.decode(ids[len(ids) - half:])
+    return tokenizer.decode(ids[:half]) + marker + tokenizer.decode(ids[len(ids) - half:])
 
 
 def truncate_ids(df: DataFrame, text: str, factory: Callable, max_tokens: int = 600, out: str = "truncated_text",
                  count: str = "n_tokens") -> DataFrame:
     """O-P3 on token ids: a text of more than ``max_tokens`` tokens becomes its
     first and last ``max_tokens // 2`` tokens around a marker, decoded."""
+    from tagweave.functions.text import TRUNCATION_MARKER as marker
+
     def work(tokenizer, t):
         if t is None:
             return None, None
         ids = tokenizer.encode(t)
-        return len(ids), _head_tail(tokenizer, ids, t, max_tokens)
+        return len(ids), _head_tail(tokenizer, ids, t, max_tokens, marker)
 
     return _step(df, [text], factory, [T.StructField(count, T.IntegerType()), T.StructField(out, T.StringType())], work)
 
@@ -104,10 +103,15 @@ def cap_ids(df: DataFrame, text: str, factory: Callable, max_tokens: int, out: s
 
 
 def token_budget(df: DataFrame, query_col: str, target_col: str, factory: Callable, max_len: int = 2048,
-                 prompt_cap: int = 1800, eos: str = EOS) -> DataFrame:
+                 prompt_cap: int = 1800, eos: str | None = None) -> DataFrame:
     """O-P16 with a tokenizer: ``prompts.token_budget`` in its tokens. The query
     is capped on ids; prompt and full text are encoded as they would be in
     training (the prompt by itself, then prompt and target together)."""
+    # Imported here: executors get this module by value and need no other one.
+    from tagweave.functions.text import fill_template
+    from tagweave.operators.prompts import EOS, SFT_TEMPLATE, budget_columns
+
+    eos = EOS if eos is None else eos
     capped = cap_ids(df, query_col, factory, prompt_cap, "_tw_query")
     texts = capped.withColumn("_tw_prompt", fill_template(SFT_TEMPLATE, query=F.col("_tw_query"))).withColumn(
         "_tw_full", F.concat("_tw_prompt", F.coalesce(target_col, F.lit("")), F.lit(" " + eos))).drop("_tw_query")

@@ -148,7 +148,7 @@ def _records(batches):
         made = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
         return pa.RecordBatch.from_arrays([*made[:-1], made[-1].cast(pa.string())], names=[x.split()[0] for x in RECORDS.split(", ")])
 
-    for (name, block, inside, depth, is_list, last_block), buffers in _ranges(batches):
+    for (name, block, inside, depth, is_list, last_block, broken), buffers in _ranges(batches):
         lines = last_block > 0 or name.rpartition("/")[2].startswith("part-")  # what Spark's writers name JSON Lines
         rows, size, order, complete, parts, rest, opened = [], 0, 0, 0, [], b"", ""
 
@@ -160,6 +160,8 @@ def _records(batches):
                 text = text[:-1]  # the comma that ends the last buffer
             if (block and not order) or (not closed and block < last_block):
                 parts.append((order, opened, closed, text))
+            elif not closed and broken:
+                pass  # what the document's end cuts off is told once
             elif kind := classify(is_list, opened, closed, text, False):
                 complete += 1
                 rows.append((name, block, order, kind, opened, closed, 0, is_list, text))
@@ -215,10 +217,12 @@ def document_texts(spark: SparkSession, path, glob: str | None = "*.json", recur
               .withColumn("change", F.when(F.col("within") == 0, F.col("outside")).otherwise(F.col("inside")))
               .withColumn("depth", F.coalesce(F.sum("change").over(before), F.lit(0)))
               .withColumn("is_list", F.coalesce(F.min_by("is_list", F.when(F.col("is_list").isNotNull(), F.col("block"))).over(whole), F.lit(False)))
-              .withColumn("last_block", F.max("block").over(whole))).checkpoint(eager=True)
+              .withColumn("last_block", F.max("block").over(whole))
+              .withColumn("broken", F.max_by((F.col("depth") + F.col("change") != 0) | ((F.col("within") + F.col("flips")) % 2 == 1), "block").over(whole))
+              ).checkpoint(eager=True)
     # One narrow row for each byte range that Spark reads: bounded by their number.
-    narrow = F.broadcast(states.select("file_name", "block", "within", "depth", "is_list", "last_block"))
-    found = (pieces.join(narrow, ["file_name", "block"]).select("file_name", "block", "within", "depth", "is_list", "last_block", "value")
+    narrow = F.broadcast(states.select("file_name", "block", "within", "depth", "is_list", "last_block", "broken"))
+    found = (pieces.join(narrow, ["file_name", "block"]).select("file_name", "block", "within", "depth", "is_list", "last_block", "broken", "value")
              .mapInArrow(_records, RECORDS))
     # Parts of records: one that begins in its range opens a group, those that go on belong to the last one opened.
     # The window holds two narrow rows a range.
@@ -228,7 +232,8 @@ def document_texts(spark: SparkSession, path, glob: str | None = "*.json", recur
     piece = F.struct("block", "ord", "opened", "closed", "text")
     groups = (parts.join(owned, ["file_name", "block", "ord"]).groupBy("file_name", "is_list", "owner")
               .agg(F.array_sort(F.collect_list(piece)).alias("p"), F.sum("others").alias("others"))
-              .join(narrow.where("block = 0").select("file_name", "last_block"), "file_name"))
+              .join(narrow.where("block = 0").select("file_name", "last_block", "broken"), "file_name")
+              .where(~F.col("broken") | (F.element_at("p", -1)["closed"] != "")))
     first, last = F.get("p", 0), F.element_at("p", -1)
     single = (F.col("others") == 0) & (first["block"] == 0) & (last["block"] == F.col("last_block"))
     crossing = groups.select("file_name", first["block"].alias("block"), first["ord"].alias("ord"), "is_list", first["opened"].alias("opened"),
@@ -237,7 +242,7 @@ def document_texts(spark: SparkSession, path, glob: str | None = "*.json", recur
     crossing = crossing.mapInArrow(_put_together, "file_name string, block long, ord long, kind string, text string").where("kind IS NOT NULL")
     every = found.where("kind IS NOT NULL").select("file_name", "block", "ord", "kind", "text").unionByName(crossing)
     doc = F.when(F.col("kind") == "error", F.concat(F.lit("no value where one is expected: "), F.substring("text", 1, 80))).otherwise(F.col("text"))
-    ended = states.where("block = last_block AND (depth + change <> 0 OR (within + flips) % 2 = 1)")
+    ended = states.where("block = last_block AND broken")
     return every.select("file_name", "kind", doc.alias("doc"), "block", F.col("ord").alias("row")).unionByName(
         ended.select("file_name", F.lit("error").alias("kind"), F.lit("the document ends inside a value").alias("doc"), "block",
                      F.lit(None).cast("long").alias("row")))
