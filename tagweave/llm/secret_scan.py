@@ -172,10 +172,14 @@ def scan(df: DataFrame, doc: str = "doc_id", text: str = "text", owner: str = "s
     label = lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))
     spans = F.coalesce("s", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))
     base = F.filter(spans, lambda s: s["kind"] < len(BASE))
+
+    def count(kind: int):  # a second parameter of the lambda would be the span's index
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind))
+
     out = found.join(judged, "row", "left")
     return out.select(
         "doc_id",
-        *[F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(BASE)],
+        *[count(k).cast("long").alias(f"n_{name}") for k, name in enumerate(BASE)],
         F.transform(base, label).alias("base"), F.transform(spans, label).alias("spans"),
         F.coalesce("n_owner_specific", F.lit(0)).cast("long").alias("n_owner_specific"),
         F.coalesce("n_widely_copied", F.lit(0)).cast("long").alias("n_widely_copied"))

@@ -491,6 +491,18 @@ def test_op10(spark, docs):
         assert set(spans) <= set(filter(None, r.spans.split(",")))
 
 
+def test_op10_counts_each_base_kind_by_itself(spark):
+    hexes, access = [f"{hashlib.sha1(bytes([i])).hexdigest()}" for i in range(3)], "AKIA" + "Q7W2E9R4T6Y1U8I3"
+    texts = ["", hexes[0], access, "password = hunter22", f"token = '{hexes[0]}'", f"{hexes[0]} {access} {access} {hexes[1]}",
+             f"{access} secret: abc-def-ghi and api_key={hexes[2]} then {hexes[1]}, Token=ZYXWVU", f"é {hexes[0]} {hexes[1]} {hexes[2]}", None]
+    df = spark.createDataFrame([(i, t, "s1") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secret_scan.scan(df).collect()}
+    for i, t in enumerate(texts):
+        spans = plain_base(t or "")
+        assert got[i].base == spans
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(s.startswith(k) for s in spans) for k in ("assign", "access", "hex")]
+
+
 def plain_base(text):
     found = []
     for kind, pattern, group, least in (
