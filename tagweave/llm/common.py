@@ -9,13 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagweave.session import checkpoint_dir
+from tagweave.session import checkpoint_dir, small_batches
 
 # Rows handed to a per-batch function at once: texts are long, so slices stay
 # small whatever the session's Arrow batch size is.
 SLICE_ROWS = 256
-# Rows of an Arrow batch between the JVM and a Python worker, at most.
-BATCH_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,14 +49,6 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the session's Arrow batches: whole texts are long, and a batch is
-    held on both sides of every task at once."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
-
-
 def map_rows(df: DataFrame, fields: list[T.StructField], make: Callable, rows: int = SLICE_ROWS,
              keep: list[str] | None = None) -> DataFrame:
     """Add ``fields`` to ``df``, computed slice by slice in Arrow batches.

@@ -1,4 +1,4 @@
-"""Model calls as Arrow-batched ``mapInPandas`` steps (O-M1 .. O-M4, O-M6).
+"""Model calls as Arrow-batched steps (O-M1 .. O-M4, O-M6).
 
 A model is a plain Python callable; the client is built once per partition
 (``factory``) and called on batches, never per row through a row UDF. Spark
@@ -23,8 +23,9 @@ from datetime import datetime, timezone
 from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The per-partition functions below are shipped by value, so executors need
@@ -34,6 +35,8 @@ register_pickle_by_value(sys.modules[__name__])
 # Fixed values written for failures (same strings as the reference).
 GENERATION_FAILED = "Generation failed"
 DEFAULT_TEMPERATURES = (0.5, 0.9)
+# Prompts are long: rows whose texts a task holds as Python strings at once (a call's rows at least).
+ROWS = 256
 
 
 def word_count_tagger(prompts: list[str], temperature: float = 0.0) -> list[str]:
@@ -43,11 +46,41 @@ def word_count_tagger(prompts: list[str], temperature: float = 0.0) -> list[str]
                          "explanation": f"sampled at {temperature}"}]) for p in prompts]
 
 
+def small_batches(spark: SparkSession, rows: int = 1) -> None:
+    """Bound the session's Arrow batches (``session.small_batches``; at least
+    ``rows`` rows, so that no model call is cut)."""
+    # Imported here: executors get this module by value and need no other one.
+    from tagweave.session import small_batches as bound
+
+    bound(spark, rows)
+
+
 def _batches(pdf: pd.DataFrame, size: int):
     for i in range(0, len(pdf), size):
         yield pdf.iloc[i:i + size]
 
 
+def _extended(df: DataFrame, *fields):
+    """The schema of ``df`` and further fields, none of which may be there."""
+    from pyspark.sql import types as T
+
+    clash = {f.name.lower() for f in fields} & {c.lower() for c in df.columns}
+    if clash:
+        raise ValueError(f"columns already there: {sorted(clash)}")
+    return T.StructType([*df.schema.fields, *fields])
+
+
+def _texts(batches: Iterator[pa.RecordBatch], at: int, batch_size: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the batches, in whole calls of ``batch_size`` rows, with the texts
+    of column ``at`` (null: empty): a task turns one slice at a time into Python
+    strings, and all other columns stay in Arrow as they came."""
+    rows = max(ROWS // batch_size, 1) * batch_size
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            piece = batch.slice(start, rows)
+            yield piece, ["" if t is None else t for t in piece.column(at).to_pylist()]
+
+
 class _Call(threading.Thread):
     """One call under way. A daemon: a call that never ends does not keep the worker."""
 
@@ -99,26 +132,35 @@ def generate(df: DataFrame, text_col: str, factory: Callable[[], Callable] = lam
     ``generation_error``; outputs are stripped."""
     from pyspark.sql import types as T
 
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType()),
-                                              T.StructField("generation_error", T.StringType())])
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = factory()
-        for pdf in it:
-            outs, errs = [], []
-            asked = [b[text_col].fillna("").tolist() for b in _batches(pdf, batch_size)]
-            call = lambda prompts: [str(r or "").strip() for r in model(prompts)][:len(prompts)]
-            for prompts, (res, e) in zip(asked, in_flight(call, asked, max_in_flight, pause_s, deadline_s)):
-                if e is None:
-                    short = len(prompts) - len(res)  # a reply list shorter than the batch
-                    outs += res + [GENERATION_FAILED] * short
-                    errs += [None] * len(res) + ["no output for this prompt"] * short
-                else:  # the batch alone fails, as in the reference
-                    outs += [GENERATION_FAILED] * len(prompts)
-                    errs += [f"{type(e).__name__}: {e}"] * len(prompts)
-            yield pdf.assign(**{out: outs, "generation_error": errs})
-
-    return df.mapInPandas(run, schema)
+    schema, at = _extended(df, T.StructField(out, T.StringType()), T.StructField("generation_error", T.StringType())), df.columns.index(text_col)
+    small_batches(df.sparkSession, batch_size)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, held, outs, errs, done = factory(), deque(), [], [], 0
+
+        def calls():
+            for piece, texts in _texts(it, at, batch_size):
+                asked = [texts[i:i + batch_size] for i in range(0, len(texts), batch_size)]
+                held.append((piece, asked))
+                yield from asked
+
+        call = lambda prompts: [str(r or "").strip() for r in model(prompts)][:len(prompts)]
+        for res, e in in_flight(call, calls(), max_in_flight, pause_s, deadline_s):
+            piece, asked = held[0]
+            n, done = len(asked[done]), done + 1
+            if e is None:
+                short = n - len(res)  # a reply list shorter than the batch
+                outs += res + [GENERATION_FAILED] * short
+                errs += [None] * len(res) + ["no output for this prompt"] * short
+            else:  # the batch alone fails, as in the reference
+                outs += [GENERATION_FAILED] * n
+                errs += [f"{type(e).__name__}: {e}"] * n
+            if done == len(asked):
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(outs, pa.string()), pa.array(errs, pa.string())], names=schema.fieldNames())
+                held.popleft()
+                outs, errs, done = [], [], 0
+
+    return df.mapInArrow(run, schema)
 
 
 RESPONSES_DDL = ("array<struct<response_id:int,temperature:double,text:string,"
@@ -133,32 +175,48 @@ def sample_responses(df: DataFrame, text_col: str, factory: Callable[[], Callabl
     call gives text '' and an error for that response only."""
     from pyspark.sql import types as T
 
-    schema = T.StructType(df.schema.fields + [T.StructField("responses", T.ArrayType(T.StructType([
+    schema, at = _extended(df, T.StructField("responses", T.ArrayType(T.StructType([
         T.StructField("response_id", T.IntegerType()), T.StructField("temperature", T.DoubleType()),
         T.StructField("text", T.StringType()), T.StructField("error", T.StringType()),
-        T.StructField("generated_at", T.StringType())])))])
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = factory()
-        for pdf in it:
-            per_row = [[] for _ in range(len(pdf))]
-            texts = pdf[text_col].fillna("").tolist()
-            asked = [(start, i, t) for start in range(0, len(pdf), batch_size) for i, t in enumerate(temperatures)]
-
-            def call(ask):
-                stamp = datetime.now(timezone.utc).isoformat()
-                return stamp, [str(x or "") for x in model(texts[ask[0]:ask[0] + batch_size], ask[2])]
-
-            for (start, i, t), (reply, e) in zip(asked, in_flight(call, asked, max_in_flight, pause_s, deadline_s)):
-                stamp, found = reply or (datetime.now(timezone.utc).isoformat(), [])
-                missing = f"{type(e).__name__}: {e}" if e else "no output for this prompt"
-                for j in range(len(texts[start:start + batch_size])):
-                    there = j < len(found)
-                    per_row[start + j].append({"response_id": i + 1, "temperature": float(t), "text": found[j] if there else "",
-                                               "error": None if there else missing, "generated_at": stamp})
-            yield pdf.assign(responses=per_row)
-
-    return df.mapInPandas(run, schema)
+        T.StructField("generated_at", T.StringType())])))), df.columns.index(text_col)
+    small_batches(df.sparkSession, batch_size)
+    temperatures = list(temperatures)
+    arrow = pa.list_(pa.struct([("response_id", pa.int32()), ("temperature", pa.float64()), ("text", pa.string()),
+                                ("error", pa.string()), ("generated_at", pa.string())]))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, held, done = factory(), deque(), 0
+
+        def filled(piece, per_row):
+            return pa.RecordBatch.from_arrays([*piece.columns, pa.array(per_row, arrow)], names=schema.fieldNames())
+
+        def calls():
+            for piece, texts in _texts(it, at, batch_size):
+                asked = [(texts[start:start + batch_size], start, i, t) for start in range(0, len(texts), batch_size) for i, t in enumerate(temperatures)]
+                held.append((piece, asked, [[] for _ in texts]))
+                yield from asked
+
+        def call(ask):
+            stamp = datetime.now(timezone.utc).isoformat()
+            return stamp, [str(x or "") for x in model(ask[0], ask[3])]
+
+        if not temperatures:  # no calls: no responses
+            yield from (filled(piece, [[] for _ in texts]) for piece, texts in _texts(it, at, batch_size))
+        for reply, e in in_flight(call, calls(), max_in_flight, pause_s, deadline_s):
+            piece, asked, per_row = held[0]
+            (texts, start, i, t), done = asked[done], done + 1
+            stamp, found = reply or (datetime.now(timezone.utc).isoformat(), [])
+            missing = f"{type(e).__name__}: {e}" if e else "no output for this prompt"
+            for j in range(len(texts)):
+                there = j < len(found)
+                per_row[start + j].append({"response_id": i + 1, "temperature": float(t), "text": found[j] if there else "",
+                                           "error": None if there else missing, "generated_at": stamp})
+            if done == len(asked):
+                yield filled(piece, per_row)
+                held.popleft()
+                done = 0
+
+    return df.mapInArrow(run, schema)
 
 
 def generation_records(df: DataFrame, original, prompt: str, model: str, responses: str = "responses",
@@ -195,6 +253,7 @@ def judge_pairs(df: DataFrame, factory: Callable[[], Callable], prompt: str = "p
     row as failed. A deadline holds for a row's tries together."""
     from pyspark.sql import types as T
 
+    small_batches(df.sparkSession)
     extra = T._parse_datatype_string(JUDGEMENT_COLUMNS)
     schema = T.StructType(df.schema.fields + extra.fields)
 

@@ -29,6 +29,19 @@ BASE_CONF = {
 }
 
 
+# Rows of an Arrow batch between the JVM and a Python worker, at most.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Bound the session's Arrow batches to BATCH_ROWS rows (``rows``, if those
+    are more): whole texts are long, and a batch is held on both sides of every
+    task at once."""
+    name, most = "spark.sql.execution.arrow.maxRecordsPerBatch", max(BATCH_ROWS, rows)
+    if not 0 < int(spark.conf.get(name)) <= most:
+        spark.conf.set(name, str(most))
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "tagweave", extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the settings above.

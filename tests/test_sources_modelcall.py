@@ -3,6 +3,7 @@
 import json
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,3 +292,35 @@ def test_running_file_metrics_match_batch(spark, tmp_dir):
         assert run[f].total_samples == batch[f].total_samples
         assert run[f].exact_match_f1 == pytest.approx(batch[f].exact_match_f1)
         assert run[f].failed_cases_count == batch[f].failed_cases_count
+
+
+def test_model_steps_hold_one_slice_of_texts_and_keep_other_columns(spark):
+    n, big = 2_600, 2**53 + 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    df = spark.range(0, n, 1, 1).select(F.when(F.col("id") % 5 > 0, F.col("id") + big).alias("key"), F.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("t"))
+    want = [(None if i % 5 == 0 else i + big, None if i % 7 == 0 else str(i)) for i in range(n)]
+
+    def model():
+        asked = []
+
+        def answer(prompts, temperature=0.0):
+            asked.append(len(prompts))
+            return [f"{p or 'none'} {len(prompts)} {len(asked)}" for p in prompts]
+
+        return answer
+
+    for width in (1, 3):
+        made = modelcall.generate(df, "t", model, 100, "a", max_in_flight=width)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1024
+        rows = made.collect()
+        assert [(r.key, r.t) for r in rows] == want  # a key beside nulls stays exact
+        assert [r.a.split()[0] for r in rows] == [t or "none" for _, t in want] and all(r.generation_error is None for r in rows)
+        sampled = modelcall.sample_responses(df, "t", model, (0.1, 0.2), 100, max_in_flight=width).collect()
+        assert [(r.key, r.t) for r in sampled] == want
+        assert all([x.text.split()[0] for x in r.responses] == [r.t or "none"] * 2 and [x.response_id for x in r.responses] == [1, 2] for r in sampled)
+    assert [r.responses for r in modelcall.sample_responses(df.limit(2), "t", model, ()).collect()] == [[], []]
+    batch = pa.RecordBatch.from_pydict({"t": ["x"] * 1000 + [None]})
+    sizes = lambda size: [len(texts) for _, texts in modelcall._texts(iter([batch]), 0, size)]
+    assert sizes(8) == [256, 256, 256, 233] and sizes(300) == [300, 300, 300, 101] and sum(sizes(7)) == 1001
+    with pytest.raises(ValueError, match="already there"):
+        modelcall.generate(df, "t", model, out="key")
