@@ -27,3 +27,10 @@ def posexplode_rows(df: DataFrame, keep: list, arr: Column | str, pos: str = "po
     a = F.col(arr) if isinstance(arr, str) else arr
     return (df.select(*keep, F.posexplode_outer(a).alias(pos, value))
             .where(F.col(pos).isNotNull()))
+
+
+def once(value: Column) -> Column:
+    """``value`` as the output of a generator of one row: filters on it stay
+    above the generator, where they would otherwise be pushed below the
+    projection and each evaluate the whole expression (a JSON parse) again."""
+    return F.explode_outer(F.array(value))

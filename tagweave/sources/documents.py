@@ -19,9 +19,11 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -72,38 +74,36 @@ def cuts(data: np.ndarray, inside: int, depth: int, is_list: bool) -> tuple[np.n
     return np.flatnonzero(here), *end
 
 
+def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bytes]]:
+    """(key, buffer) of the rows' texts (the last column), joined by commas and
+    ended by one; a buffer holds rows of one batch and one key (the other
+    columns) and, beyond one row, about BUFFER_BYTES. Keys are taken once for
+    each stretch of rows, not for each row."""
+    for batch in batches:
+        rows = batch.num_rows
+        if not rows:
+            continue
+        changes = np.zeros(rows - 1, bool)
+        for c in batch.columns[:2]:  # the file and the place of the range tell the other columns
+            changes |= pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, rows - 1)), True).to_numpy(zero_copy_only=False)
+        texts = batch.column(batch.num_columns - 1).cast(pa.binary())
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False) + 1)
+        bounds = [0, *(np.flatnonzero(changes) + 1).tolist(), rows]
+        for start, stop in zip(bounds, bounds[1:]):
+            key = tuple(c[start].as_py() for c in batch.columns[:-1])
+            while start < stop:
+                before = ends[start - 1] if start else 0
+                end = min(stop, max(start + 1, int(np.searchsorted(ends, before + BUFFER_BYTES))))
+                piece = texts.slice(start, end - start)
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, end - start], pa.int32()), piece), b",")
+                yield key, joined[0].as_py() + b","
+                start = end
+
+
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator[bytes]]]:
     """((file, block, ...), buffers) of every byte range, in order; buffers end with a comma."""
-    def rows():
-        for batch in batches:
-            keys = list(zip(*[c.to_pylist() for c in batch.columns[:-1]]))
-            yield from zip(keys, batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist())
-
-    stream, held = rows(), []
-
-    def buffers(key):
-        pieces, size = [], 0
-        while held:
-            own, text = held.pop()
-            if own != key:
-                held.append((own, text))
-                break
-            pieces.append(text)
-            size += len(text) + 1
-            if size >= BUFFER_BYTES:
-                yield b",".join(pieces) + b","
-                pieces, size = [], 0
-            held.extend([r] if (r := next(stream, None)) else [])
-        if pieces:
-            yield b",".join(pieces) + b","
-
-    held.extend([r] if (r := next(stream, None)) else [])
-    while held:
-        key = held[0][0]
-        own = buffers(key)
-        yield key, own
-        for _ in own:  # what the caller has not taken
-            pass
+    for key, own in groupby(_buffers(batches), key=lambda x: x[0]):
+        yield key, (data for _, data in own)
 
 
 def _effects(batches):
@@ -140,9 +140,9 @@ def classify(is_list: bool, opened: str, closed: str, text: bytes, single: bool)
 RECORDS = "file_name string, block long, ord long, kind string, opened string, closed string, others long, is_list boolean, text string"
 
 
-def _records(batches):
-    """The records of every range, and its parts of records that cross ranges
-    (kind null; ``others``: complete records of the range beside it)."""
+def _records(batches, crossing: bool = False):
+    """The records of every range or, if ``crossing``, its parts of records that
+    cross ranges (kind null; ``others``: complete records of the range beside it)."""
     def batch(rows):
         types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.binary()]
         made = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
@@ -164,8 +164,9 @@ def _records(batches):
                 pass  # what the document's end cuts off is told once
             elif kind := classify(is_list, opened, closed, text, False):
                 complete += 1
-                rows.append((name, block, order, kind, opened, closed, 0, is_list, text))
-                size += len(text)
+                if not crossing:
+                    rows.append((name, block, order, kind, opened, closed, 0, is_list, text))
+                    size += len(text)
             order, opened = order + 1, closed
 
         for data in buffers:
@@ -181,7 +182,8 @@ def _records(batches):
         put("", rest)
         if not lines and len(rows) == 1 and not is_list:
             rows = [(*rows[0][:3], "value", *rows[0][4:])]
-        rows += [(name, block, o, None, a, b, complete, is_list, text) for o, a, b, text in parts]
+        if crossing:
+            rows = [(name, block, o, None, a, b, complete, is_list, text) for o, a, b, text in parts]
         if rows:
             yield batch(rows)
 
@@ -222,11 +224,11 @@ def document_texts(spark: SparkSession, path, glob: str | None = "*.json", recur
               ).checkpoint(eager=True)
     # One narrow row for each byte range that Spark reads: bounded by their number.
     narrow = F.broadcast(states.select("file_name", "block", "within", "depth", "is_list", "last_block", "broken"))
-    found = (pieces.join(narrow, ["file_name", "block"]).select("file_name", "block", "within", "depth", "is_list", "last_block", "broken", "value")
-             .mapInArrow(_records, RECORDS))
+    ranged = pieces.join(narrow, ["file_name", "block"]).select("file_name", "block", "within", "depth", "is_list", "last_block", "broken", "value")
+    found = ranged.mapInArrow(_records, RECORDS)
     # Parts of records: one that begins in its range opens a group, those that go on belong to the last one opened.
-    # The window holds two narrow rows a range.
-    parts = found.where("kind IS NULL")
+    # The window holds two narrow rows a range. Parts are read three times and written once: they hold one record a range.
+    parts = ranged.mapInArrow(lambda batches: _records(batches, crossing=True), RECORDS).checkpoint(eager=True)
     begins = ((F.col("ord") > 0) | (F.col("block") == 0)).cast("int")
     owned = parts.select("file_name", "block", "ord").withColumn("owner", F.sum(begins).over(W.partitionBy("file_name").orderBy("block", "ord")))
     piece = F.struct("block", "ord", "opened", "closed", "text")
@@ -240,7 +242,7 @@ def document_texts(spark: SparkSession, path, glob: str | None = "*.json", recur
                              last["closed"].alias("closed"), single.alias("single"),
                              F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
     crossing = crossing.mapInArrow(_put_together, "file_name string, block long, ord long, kind string, text string").where("kind IS NOT NULL")
-    every = found.where("kind IS NOT NULL").select("file_name", "block", "ord", "kind", "text").unionByName(crossing)
+    every = found.select("file_name", "block", "ord", "kind", "text").unionByName(crossing)
     doc = F.when(F.col("kind") == "error", F.concat(F.lit("no value where one is expected: "), F.substring("text", 1, 80))).otherwise(F.col("text"))
     ended = states.where("block = last_block AND broken")
     return every.select("file_name", "kind", doc.alias("doc"), "block", F.col("ord").alias("row")).unionByName(

@@ -324,3 +324,31 @@ def test_model_steps_hold_one_slice_of_texts_and_keep_other_columns(spark):
     assert sizes(8) == [256, 256, 256, 233] and sizes(300) == [300, 300, 300, 101] and sum(sizes(7)) == 1001
     with pytest.raises(ValueError, match="already there"):
         modelcall.generate(df, "t", model, out="key")
+
+
+def test_evaluation_rows_parse_every_record_once(spark, tmp_dir):
+    from tagweave.operators import prompts
+
+    os.makedirs(f"{tmp_dir}/in")
+    with open(f"{tmp_dir}/in/a.json", "w") as f:
+        f.write("\n".join(json.dumps({"input": f"t, {i}", "parsed_tags": []}) for i in range(5)))
+    with open(f"{tmp_dir}/in/b.jsonl", "w") as f:
+        f.write(json.dumps({"input": "x"}))
+    rows = prompts.inference_text(readers.source_fields(readers.evaluation_rows(spark, f"{tmp_dir}/in")))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 2  # one for each reader, whatever is filtered later
+    assert sorted(r.input for r in rows.collect()) == [*(f"t, {i}" for i in range(5)), "x"]
+
+
+def test_document_buffers_hold_whole_stretches_of_a_range(monkeypatch):
+    from tagweave.sources import documents
+
+    monkeypatch.setattr(documents, "BUFFER_BYTES", 10)
+    keys = [("f", 0)] * 4 + [("f", 8)] * 2 + [("g", 8)]
+    texts = ["aaaa", "", "ééé", "x" * 30, "b", "c", ""]
+    batch = lambda i, j: pa.RecordBatch.from_pydict({
+        "file_name": [k[0] for k in keys[i:j]], "block": [k[1] for k in keys[i:j]], "value": texts[i:j]})
+    for cuts in ([0, 7], [0, 1, 5, 7], [0, 3, 3, 6, 7]):
+        found = [(k, list(b)) for k, b in documents._ranges(iter([batch(i, j) for i, j in zip(cuts, cuts[1:])]))]
+        assert [(k, b"".join(b)) for k, b in found] == [(("f", 0), "aaaa,,ééé,{},".format("x" * 30).encode()), (("f", 8), b"b,c,"), (("g", 8), b",")]
+        assert all(len(x) <= 11 or x.count(b",") == 1 for _, b in found for x in b)
