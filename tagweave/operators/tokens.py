@@ -9,10 +9,10 @@ default elsewhere, as they need no Python.
 
 from __future__ import annotations
 
-import re
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
@@ -30,17 +30,23 @@ PIECE, POINT_BITS = 3, 21
 class PieceTokenizer:
     """Stand-in subword tokenizer: pieces of up to three characters without
     white space, or one white-space character. An id holds its piece's code
-    points, so ids are decoded without a vocabulary."""
-
-    pattern = re.compile(r"[^\x20\x09-\x0D]{1,%d}|[\x20\x09-\x0D]" % PIECE)
+    points, so ids are decoded without a vocabulary. Both ways are array
+    operations over the whole text."""
 
     def encode(self, text: str) -> list[int]:
-        return [sum((ord(c) + 1) << POINT_BITS * i for i, c in enumerate(p)) for p in self.pattern.findall(text)]
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        if not len(points):
+            return []
+        space, at = (points == 0x20) | (points >= 0x09) & (points <= 0x0D), np.arange(len(points))
+        # A piece starts at white space and at every PIECE-th character after it.
+        starts = space | ((at - np.maximum.accumulate(np.where(space, at, -1)) - 1) % PIECE == 0)
+        first = np.flatnonzero(starts)
+        place = at - np.repeat(first, np.diff(first, append=len(points)))
+        return np.add.reduceat((points.astype(np.int64) + 1) << POINT_BITS * place, first).tolist()
 
     def decode(self, ids) -> str:
-        mask = (1 << POINT_BITS) - 1
-        points = ((i >> POINT_BITS * k & mask) for i in ids for k in range(PIECE))
-        return "".join(chr(x - 1) for x in points if x)
+        points = np.asarray(ids, np.int64)[:, None] >> POINT_BITS * np.arange(PIECE) & (1 << POINT_BITS) - 1
+        return (points[points > 0] - 1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def _step(df: DataFrame, text_cols: list[str], factory: Callable, fields: list[T.StructField], work: Callable) -> DataFrame:

@@ -221,3 +221,22 @@ def test_bounded_broadcast_limits(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_piece_tokenizer_equals_the_plain_pattern_and_is_quick():
+    import random
+    import re
+    import time
+
+    from tagweave.operators import tokens
+
+    pattern, tok, draw = re.compile(r"[^\x20\x09-\x0D]{1,3}|[\x20\x09-\x0D]"), tokens.PieceTokenizer(), random.Random(5)
+    plain = lambda t: [sum((ord(c) + 1) << 21 * i for i, c in enumerate(p)) for p in pattern.findall(t)]
+    for n in range(400):
+        t = "".join(draw.choice("abc \n\t\x0b\x1f\u00a0\u2028é😀\0\U0010ffff") for _ in range(n % 37))
+        ids = tok.encode(t)
+        assert ids == plain(t) and tok.decode(ids) == t and tok.decode(ids[:4]) == "".join(pattern.findall(t)[:4])
+    text = "some words of a text and so on\n" * 150_000
+    began = time.process_time()
+    assert tok.decode(tok.encode(text)) == text
+    assert time.process_time() - began < 4
