@@ -67,9 +67,9 @@ def token_budget(df: DataFrame, query_col: str, target_col: str, max_len: int =
     """
     prompt = fill_template(SFT_TEMPLATE, query=cap_tokens(F.col(query_col), prompt_cap))
     target = F.concat(F.col(target_col), F.lit(" " + eos))
-    n_prompt = F.size(word_tokens(prompt))
-    n_total = n_prompt + F.size(word_tokens(target))
-    return budget_columns(df.withColumn("n_prompt", n_prompt).withColumn("n_total", n_total), max_len)
+    # n_total refers to the column n_prompt, so that the prompt's tokens are counted once.
+    counted = df.withColumn("_tw_target", F.size(word_tokens(target))).withColumn("n_prompt", F.size(word_tokens(prompt)))
+    return budget_columns(counted.withColumn("n_total", F.col("n_prompt") + F.col("_tw_target")).drop("_tw_target"), max_len)
 
 
 def budget_columns(counted: DataFrame, max_len: int) -> DataFrame:

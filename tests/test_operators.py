@@ -240,3 +240,14 @@ def test_piece_tokenizer_equals_the_plain_pattern_and_is_quick():
     began = time.process_time()
     assert tok.decode(tok.encode(text)) == text
     assert time.process_time() - began < 4
+
+
+def test_token_budget_counts_the_prompt_once(spark):
+    from tagweave.operators import prompts
+
+    df = spark.createDataFrame([("a b " * 3, "x y"), (None, "z")], "q string, t string")
+    b = prompts.token_budget(df, "q", "t", prompt_cap=4, eos="")
+    plan = b._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 3  # the cap's pieces, the prompt's words, the target's words
+    fixed = len(prompts.SFT_TEMPLATE.replace("{query}", "").split())
+    assert [(r.n_prompt, r.n_total) for r in b.collect()] == [(fixed + 4, fixed + 6), (fixed, fixed + 1)]
