@@ -3,8 +3,10 @@
 The reference relies on list order ("first n", prefix split). A DataFrame has
 no order, so every operator takes an explicit order. Exact positional cuts
 use ``global_ordinal``: a range-partitioned sort, per-partition row counts
-(one number per partition) and their prefix sums, broadcast back. No
-unpartitioned window over the data and no driver loop over rows.
+(one number per partition) and their prefix sums, broadcast back. Cuts in
+source order use ``source_ordinal``, which counts rows by byte range and
+sorts no row. No unpartitioned window over the data and no driver loop over
+rows.
 """
 
 from __future__ import annotations
@@ -60,6 +62,33 @@ def global_ordinal(df: DataFrame, order: list[Column], out: str = "ordinal", tot
             .drop("_tw_pid", "_tw_mid", "_tw_off"))
 
 
+def source_ordinal(df: DataFrame, out: str = "ordinal") -> DataFrame:
+    """0-based position, in source order, of every row of a scan (columns
+    ``file_name`` and ``pos`` of the readers: files by name, their rows as they
+    stand in them), without sorting or keeping the rows.
+
+    A task reads a byte range from its start to its end, so a row's place is
+    that of its range's first row and its own number in the range. A first
+    scan counts the rows of every range; running sums over these counts (by
+    range-partitioned sort, as in ``global_ordinal``) are joined to a second
+    scan under a size check. Use within ``session.fixed_splits``: files that are
+    cut otherwise by the second scan, or have got more rows, are an error."""
+    checkpoint_dir(df.sparkSession)
+    numbered = df.withColumn("_tw_row", F.monotonically_increasing_id()).withColumn("_tw_block", F.col("pos.block"))
+    ranges = numbered.groupBy("file_name", "_tw_block").agg(F.count(F.lit(1)).alias("_tw_n"), F.min("_tw_row").alias("_tw_first"))
+    ordered = ranges.orderBy("file_name", "_tw_block").withColumn("_tw_pid", F.spark_partition_id()).checkpoint(eager=True)
+    parts = ordered.groupBy("_tw_pid").agg(F.sum("_tw_n").alias("_tw_n"))
+    before = lambda w: F.coalesce(F.sum("_tw_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.select("_tw_pid", before(W.orderBy("_tw_pid")).alias("_tw_off"))  # one row per partition
+    within = ordered.withColumn("_tw_at", before(W.partitionBy("_tw_pid").orderBy("file_name", "_tw_block")))
+    starts = within.join(F.broadcast(offsets), "_tw_pid").select(
+        "file_name", "_tw_block", "_tw_n", "_tw_first", (F.col("_tw_off") + F.col("_tw_at")).alias("_tw_start"))
+    local = F.col("_tw_row") - F.col("_tw_first")
+    place = F.when((local >= 0) & (local < F.col("_tw_n")), F.col("_tw_start") + local).otherwise(
+        F.raise_error(F.concat(F.lit("rows or byte ranges changed between two scans of "), F.col("file_name"))).cast("bigint"))
+    return numbered.join(bounded_broadcast(starts), ["file_name", "_tw_block"], "left").withColumn(out, place).select(*df.columns, out)
+
+
 def grouped_ordinal(df: DataFrame, group: str, order: list[Column], out: str = "ordinal") -> DataFrame:
     """0-based position of every row within its group: its place in one sort by
     group and ``order``, less the place of the group's first row. The sort cuts

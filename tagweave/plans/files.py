@@ -158,7 +158,7 @@ def generation_job(spark, sf_dir):
     """The generation job (O-S9, O-P2, O-M2, O-M3, O-R2) run twice over all documents: prompts of odd length fail the first time."""
     d = derived.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("index"), F.col("text").alias("prompt"), "n_chars")
     path = scratch_folder(spark, "generation-job")
-    sinks.write_jsonl(d, f"{path}/in")
+    sinks.write_jsonl(d, f"{path}/in", options=sinks.GZIP)
 
     def model(n):
         def answer(prompts_, temperature):
@@ -168,7 +168,8 @@ def generation_job(spark, sf_dir):
         return lambda: answer
 
     for n in (1, 2):
-        records = jobs.generate_records(spark, f"{path}/in", f"{path}/out", model(n), "stand-in", end=None if n == 1 else 0, batch_size=1)
+        records = jobs.generate_records(spark, f"{path}/in", f"{path}/out", model(n), "stand-in", end=None if n == 1 else 0, batch_size=1,
+                                        glob="*.json.gz")
     return records.select("index", F.length("prompt").alias("prompt_chars"), F.length("tagging_prompt").alias("tagging_chars"), "metadata.model",
                           "metadata.n_responses", F.get("responses", 1)["text"].alias("second_text"),
                           F.col("metadata.processed_at").isNotNull().alias("timed"), "error")

@@ -24,7 +24,7 @@ from tagweave.functions.extract import extract_tags_sft, tag_names
 from tagweave.functions.jsonparse import has_key, is_object
 from tagweave.functions.text import fill_template
 from tagweave.operators import export, freq, judge, modelcall, parse, prompts, score, split
-from tagweave.session import checkpoint_dir, remove_path
+from tagweave.session import checkpoint_dir, fixed_splits, remove_path
 from tagweave.sources import readers, sinks
 from tagweave.streaming import resume as streams
 from tagweave.streaming.ledger import append_new, results
@@ -183,18 +183,21 @@ def generate_records(spark: SparkSession, in_path: str, output_dir: str, model_f
 
     The range is written as files of ``rows_per_file`` rows, which a streaming
     run takes up in micro-batches; each batch is committed, so a run that dies
-    goes on where it stopped. Records are keyed by ``index`` (a row without one
+    goes on where it stopped. Rows are numbered where they stand, without a
+    sort or a copy of them, and what is written is compressed (``sinks.GZIP``;
+    Spark reads it like plain JSON Lines). Records are keyed by ``index`` (a row without one
     gets its place in the source). A row all of whose calls failed is written
     as an error record, and asked again by the next run. Returns the usable
     records of all runs."""
     lines = readers.tolerant_jsonl(spark, in_path, glob, position=True)
     rows = lines.select(F.try_variant_get("v", "$.index", "bigint").alias("index"), F.try_variant_get("v", "$.prompt", "string").alias("prompt"),
                         F.to_json("v").alias("original_data"), "file_name", "pos")
-    ranked = split.global_ordinal(rows, [F.col("file_name"), F.col("pos")], out="place")
     stop = min([x for x in (end, None if limit is None else start + limit) if x is not None], default=None)
-    ranked = ranked.where(F.col("place") >= start) if stop is None else ranked.where(F.col("place").between(start, stop - 1))
-    (ranked.select(F.coalesce("index", "place").alias("index"), "prompt", "original_data")
-     .write.mode("append").option("maxRecordsPerFile", rows_per_file).json(f"{output_dir}/input"))
+    with fixed_splits(spark):
+        ranked = split.source_ordinal(rows, out="place")
+        ranked = ranked.where(F.col("place") >= start) if stop is None else ranked.where(F.col("place").between(start, stop - 1))
+        (ranked.select(F.coalesce("index", "place").alias("index"), "prompt", "original_data")
+         .write.mode("append").options(**sinks.GZIP).option("maxRecordsPerFile", rows_per_file).json(f"{output_dir}/input"))
 
     def answer(todo: DataFrame) -> DataFrame:
         prompted = todo.withColumn("tagging_prompt", fill_template(prompts.GENERATION_TEMPLATE, query=F.col("prompt")))
@@ -203,7 +206,7 @@ def generate_records(spark: SparkSession, in_path: str, output_dir: str, model_f
 
     out = f"{output_dir}/records"
     streams.resumable_append(spark, f"{output_dir}/input", out, f"{output_dir}/progress", GENERATION_INPUT_DDL, "index", answer,
-                             "*.json", F.col("error").isNull(), files_per_batch)
+                             "*.{json,json.gz}", F.col("error").isNull(), files_per_batch, sinks.GZIP)
     schema = answer(spark.createDataFrame([], GENERATION_INPUT_DDL + ", row_id string")).drop("row_id").schema
     return results(spark, out, schema)
 

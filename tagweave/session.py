@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark import SparkContext
 from pyspark.sql import SparkSession
@@ -42,6 +43,28 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(name, str(most))
 
 
+@contextmanager
+def held_conf(spark: SparkSession, values: dict):
+    """Within this, the session's settings are ``values``; afterwards what they were."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def fixed_splits(spark: SparkSession):
+    """Within this, a scan that is run again cuts its files into the same byte
+    ranges and deals them to the same tasks, also when executors have joined
+    or left meanwhile (else their cores have a say in it)."""
+    cores = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(spark.sparkContext.defaultParallelism)
+    name = "spark.sql.files.minPartitionNum"
+    return held_conf(spark, {name: spark.conf.get(name, None) or cores})
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "tagweave", extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the settings above.

@@ -12,10 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Writer options of texts that are written to be read again: at a low level
+# gzip takes little more time than plain text, and repeats of a text in one line
+# (a prompt, its source, the prompt that was sent) take next to nothing.
+GZIP = {"compression": "gzip", "zlib.compress.level": "FOUR"}
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "append", keep_nulls: bool = True,
-                partition_by: list[str] | None = None) -> None:
+                partition_by: list[str] | None = None, options: dict | None = None) -> None:
     """O-K1 / O-K2 / O-K6: JSON Lines; nulls written unless ``keep_nulls`` is off."""
-    w = df.write.mode(mode).option("ignoreNullFields", str(not keep_nulls).lower())
+    w = df.write.mode(mode).options(**(options or {})).option("ignoreNullFields", str(not keep_nulls).lower())
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.json(path)

@@ -20,7 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.session import checkpoint_dir, list_folders, path_exists, remove_path
+from tagweave.functions.sizing import bounded_broadcast
+from tagweave.session import checkpoint_dir, held_conf, list_folders, path_exists, remove_path
 
 BUCKET_KEYS = 100_000
 BUCKET_FILES = 32
@@ -100,30 +101,44 @@ class KeyLedger:
 
 def append_new(spark: SparkSession, rows: DataFrame, out_path: str, batch: str, key: str | None,
                transform: Callable[[DataFrame], DataFrame] | None = None, usable: Column | None = None,
-               ledger: KeyLedger | None = None, keep_failed: bool = True) -> KeyLedger:
+               ledger: KeyLedger | None = None, keep_failed: bool = True, stable: bool = False,
+               options: dict | None = None) -> KeyLedger:
     """Run ``transform`` on the rows whose key has no usable result yet, and
     write what it returns, once.
 
-    Repeated keys of the batch are dropped first. ``transform`` (a model call,
+    Repeated keys of the batch are dropped first: the row that comes first
+    stays. Rows are told apart by their number in the batch, so only numbers
+    and keys are grouped, joined and kept; the rows themselves are read where
+    they are. Rows that would not be the same, in the same order and tasks, if
+    read again (``stable``: they are; a scan of files within
+    ``session.fixed_splits``) are copied first. ``transform`` (a model call,
     say) must keep the column ``row_id``. Rows for which ``usable`` is not true
     are written apart, do not enter the ledger, and are asked again by the next
     batch that brings them; with ``keep_failed`` their input rows are kept for
-    that (``retry_rows``).
+    that (``retry_rows``). ``options`` are the writer's.
     """
     ledger = ledger or KeyLedger(spark, f"{out_path}/_ledger")
     checkpoint_dir(spark)
-    fresh = rows.withColumn("row_id", row_id(rows, key)).dropDuplicates(["row_id"]).checkpoint(eager=True)
-    known = ledger.known(fresh.select(F.col("row_id").alias("id")), batch)
-    todo = fresh.join(known, fresh.row_id == known.id, "left_anti")
+    rows = rows if stable else rows.checkpoint(eager=True)
+    numbered = rows.withColumn("row_id", row_id(rows, key)).withColumn("_tw_n", F.monotonically_increasing_id())
+    every = numbered.select(F.col("row_id").alias("id"), "_tw_n").checkpoint(eager=True)
+    first = every.groupBy("id").agg(F.min("_tw_n").alias("_tw_n"))
+    known = ledger.known(first.select("id"), batch)
+    left_out = every.select("_tw_n").join(first.join(known, "id", "left_anti"), "_tw_n", "left_anti")
+    todo = numbered.join(bounded_broadcast(left_out), "_tw_n", "left_anti").drop("_tw_n")
     made = transform(todo) if transform else todo
     good = F.lit(True) if usable is None else F.coalesce(usable, F.lit(False))
-    (made.withColumn("ok", good).withColumn("batch", F.lit(batch)).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false").partitionBy("ok", "batch").json(out_path))
+    options = options or {}
+    # Two files open in a task, instead of a sort of its rows by ``ok``.
+    with held_conf(made.sparkSession, {"spark.sql.maxConcurrentOutputFileWriters": "2"}):
+        (made.withColumn("ok", good).withColumn("batch", F.lit(batch)).write.mode("overwrite").options(**options)
+         .option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false").partitionBy("ok", "batch").json(out_path))
     written = {ok: f"{out_path}/ok={str(ok).lower()}/batch={batch}" for ok in (True, False)}
     ids = {ok: spark.read.schema("row_id string").json(p).select(F.col("row_id").alias("id"))
            for ok, p in written.items() if path_exists(spark, p)}
     if False in ids and keep_failed:
-        (fresh.join(ids[False], fresh.row_id == ids[False].id, "left_semi").drop("row_id").write.mode("overwrite")
+        asked = first.join(ids[False], "id", "left_semi").select("_tw_n")
+        (numbered.join(bounded_broadcast(asked), "_tw_n", "left_semi").drop("_tw_n", "row_id").write.mode("overwrite").options(**options)
          .option("ignoreNullFields", "false").json(f"{out_path}/_retry/batch={batch}"))
     if True in ids:
         ledger.add(ids[True], batch)

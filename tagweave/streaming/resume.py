@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.session import checkpoint_dir, list_folders
+from tagweave.session import checkpoint_dir, fixed_splits, list_folders
 from tagweave.streaming.ledger import KeyLedger, append_new, drop_retries, results, retry_rows
 
 
@@ -29,28 +29,34 @@ def remaining(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 def resumable_append(spark: SparkSession, in_path: str, out_path: str, checkpoint: str, schema,
                      key: str, transform: Callable[[DataFrame], DataFrame] | None = None,
-                     glob: str = "*.jsonl", usable: Column | None = None, files_per_batch: int = 64) -> KeyLedger:
+                     glob: str = "*.jsonl", usable: Column | None = None, files_per_batch: int = 64,
+                     options: dict | None = None) -> KeyLedger:
     """O-R1 / O-R2 / O-R3: process every input file not processed yet, and
     append results whose key has none yet. Runs to completion (availableNow).
 
     Rows whose result is not ``usable`` are taken up again at the start of the
     next run, also without new files. Rows without a key are told apart by
     their content. ``transform`` runs on new rows only and keeps ``row_id``.
-    Read the output with ``ledger.results``."""
+    ``options`` are the writer's (a compression, say). Read the output with
+    ``ledger.results``."""
     ledger = KeyLedger(spark, f"{out_path}/_ledger")
     before = list_folders(spark, f"{out_path}/_retry")
     again = retry_rows(spark, out_path, schema)
     if again is not None:
         # A label of its own for each round, so that earlier results stay.
         rounds = sum(n.startswith("batch=retry") for n in list_folders(spark, f"{out_path}/ok=true") + list_folders(spark, f"{out_path}/ok=false"))
-        append_new(spark, again, out_path, f"retry-{rounds}", key, transform, usable, ledger)
+        # Rows are read from their files again and again, unless a folder of that label is there and gets replaced.
+        with fixed_splits(spark):
+            append_new(spark, again, out_path, f"retry-{rounds}", key, transform, usable, ledger,
+                       stable=f"batch=retry-{rounds}" not in before, options=options)
         drop_retries(spark, out_path, [n[6:] for n in before if n != f"batch=retry-{rounds}"])
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", glob)
               .option("maxFilesPerTrigger", files_per_batch).json(in_path))
 
     def batch(df: DataFrame, epoch: int) -> None:
         query = df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        append_new(df.sparkSession, df, out_path, f"{query}-{epoch}", key, transform, usable, ledger)
+        with fixed_splits(df.sparkSession):
+            append_new(df.sparkSession, df, out_path, f"{query}-{epoch}", key, transform, usable, ledger, stable=True, options=options)
 
     q = (stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import time
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tagweave.functions.extract import line_fallback
 from tagweave.operators import freq, judge, modelcall, prompts, split, tokens
 from tagweave.plans import jobs
-from tagweave.session import list_folders
+from tagweave.session import fixed_splits, held_conf, list_folders
 from tagweave.sources import readers, sinks
 from tagweave.streaming import ledger, resume
 
@@ -277,6 +278,84 @@ def test_generation_job_takes_ranges_and_numbers_rows(spark, tmp_dir):
     assert len(jobs.generate_records(spark, src, out, model, "org/m", (0.1,), start=0, end=4).collect()) == 7
 
 
+def test_source_order_is_numbered_without_a_sort(spark, tmp_dir):
+    want = []
+    for name, n in (("b.jsonl", 150), ("a.jsonl", 300), ("c.jsonl", 1)):
+        lines = ["", "not json", "[1]"] + [json.dumps({"id": f"{name}{i}", "x": "y" * (i * 7 % 90)}) for i in range(n)]
+        lines = [x for i, line in enumerate(lines) for x in ([line, " ", "{}"] if i % 5 == 0 else [line])]
+        with open(os.path.join(tmp_dir, name), "w") as f:
+            f.write("\n".join(lines))
+    for name, n in (("a.jsonl", 300), ("b.jsonl", 150), ("c.jsonl", 1)):
+        want += [f"{name}{i}" for i in range(n)]
+    small = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "1"}
+    with held_conf(spark, small), fixed_splits(spark):
+        rows = readers.tolerant_jsonl(spark, tmp_dir, position=True).select(F.try_variant_get("v", "$.id", "string").alias("id"), "file_name", "pos")
+        assert rows.rdd.getNumPartitions() > 20
+        ranked = split.source_ordinal(rows, "place")
+        assert ranked.columns == ["id", "file_name", "pos", "place"] and ranked.select("id").distinct().count() == 451
+        assert [r.id for r in sorted(ranked.collect(), key=lambda r: r.place)] == want
+        assert sorted(r.place for r in ranked.collect()) == list(range(451))
+        assert "rangepartitioning" not in ranked._jdf.queryExecution().executedPlan().toString()
+        by_sort = {r.id: r.at for r in split.global_ordinal(rows, [F.col("file_name"), F.col("pos")], "at").collect()}
+        assert {r.id: r.place for r in ranked.collect()} == by_sort
+    for other in ("500", "1400", "100000"):  # files that are cut otherwise the second time
+        with held_conf(spark, small), fixed_splits(spark):
+            ranked = split.source_ordinal(rows, "place")
+        with held_conf(spark, small | {"spark.sql.files.maxPartitionBytes": other}), pytest.raises(Exception, match="between two scans"):
+            ranked.select(F.sum("place"), F.count("id")).collect()
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+    assert split.source_ordinal(rows.where("id = 'no'"), "place").count() == 0
+
+
+def test_generation_job_keeps_no_plain_copies(spark, tmp_dir):
+    src, out = folder(tmp_dir, "in", "out")
+    pick = random.Random(5)
+    words = ["".join(pick.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(pick.randint(2, 9))) for _ in range(400)]
+    texts = {i: " ".join(pick.choice(words) for _ in range(pick.randint(100, 500))) for i in range(600)}
+    for n in range(3):
+        write(src, f"{n}.jsonl", [{"index": i, "prompt": t} for i, t in texts.items() if i % 3 == n])
+    kept = os.path.join(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    size = lambda top: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(top) for f in fs)
+
+    def model(n):
+        def answer(ps, temperature):
+            if n == 1 and any(len(p) % 2 for p in ps):
+                raise RuntimeError("service down")
+            return [f"round {n}"] * len(ps)
+        return lambda: answer
+
+    before = size(kept)
+    jobs.generate_records(spark, src, out, model(1), batch_size=1, rows_per_file=100, files_per_batch=3)
+    mid = jobs.results(spark, f"{out}/records", "index bigint, prompt string").collect()
+    assert 200 < len(mid) < 400 and spark.read.json(f"{out}/records/_retry").count() == 600 - len(mid)
+    got = jobs.generate_records(spark, src, out, model(2), end=0, batch_size=1).collect()
+    assert {r["index"]: r.prompt for r in got} == texts and len(got) == 600
+    assert all(r.tagging_prompt.count(texts[r["index"]]) == 1 and json.loads(r.original_data)["prompt"] == texts[r["index"]] for r in got)
+    # Plain, the range, the records and the failed rows are eight times the source; and no checkpoint holds texts.
+    assert size(out) < 3 * size(src) and size(kept) - before < 0.5 * size(src)
+
+
+def test_failed_rows_are_kept_as_they_came_and_first_rows_stay(spark, tmp_dir):
+    src, out = folder(tmp_dir, "in", "out")
+    rows = [{"key": f"k{i % 40}", "body": f"{i}"} for i in range(100)]
+    write(src, "a.jsonl", rows)
+    for stable in (True, False):
+        to = f"{out}-{stable}"
+        asked = []
+
+        def transform(todo):
+            asked.append(sorted(int(r.body) for r in todo.collect()))
+            return todo.select("row_id", F.col("body").alias("told"))
+
+        df = spark.read.schema(SCHEMA).json(src)
+        for good, options in (("told % 2 = 0", None), ("true", sinks.GZIP)):
+            ledger.append_new(spark, df, to, f"batch-{len(asked)}", "key", transform, F.expr(good), stable=stable, options=options)
+        assert asked == [list(range(40)), list(range(1, 40, 2))]
+        assert sorted(int(r.told) for r in ledger.results(spark, to, "told string").collect()) == list(range(40))
+        kept = spark.read.schema(SCHEMA).json(f"{to}/_retry/batch=batch-0").collect()
+        assert sorted(map(tuple, kept), key=lambda r: int(r[1])) == [(f"k{i}", f"{i}") for i in range(1, 40, 2)]
+
+
 def test_text_judge_fills_the_template(spark):
     seen = []
 
